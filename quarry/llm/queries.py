@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curriculum", "packing", "transport", "quality_rules")
+MODULES = ("curriculum", "packing", "transport", "quality_rules", "warc", "secrets", "ranking")
 
 
 def _all(kind: str) -> dict:
