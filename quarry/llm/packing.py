@@ -12,6 +12,7 @@ Everything the driver holds is bounded by the window: the histogram has at most
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,51 +24,83 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 WINDOW, END_ID = 2048, 1
-#: Words whose ids a task keeps; beyond that it starts afresh.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps; beyond that it starts afresh.
+CACHED_WORDS = 1_000_000
+#: Marks that are parted from a word's end, and the end of the letters whose case is folded here.
+MARKS, LATIN = ".,!?;:", "\u0250"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordCache(dict):
-    """Ids of words, tokenized once each; they lie in one flat array.
+    """Places of words whose ids are known; the ids lie in one flat array.
 
     The tokenizer's normaliser and pre-tokenizer never look across white space, so a text's ids are those of
-    its space-separated parts, in order.
+    its space-separated parts, in order. They also lower-case and part letters from marks, so a new word of
+    Latin letters and one mark has the ids of its lower-cased letters, then the mark's: only new stems are
+    tokenized.
     """
 
     def __init__(self, tokenizer, most: int = CACHED_WORDS):
         super().__init__()
-        self.tokenizer, self.most, self.new = tokenizer, most, []
+        self.tokenizer, self.most = tokenizer, most
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.new.clear()
+        self.new: list[tuple[int, str, str]] = []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.size = 0
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ("", *MARKS)}
+
+    def _place(self) -> int:
+        self.size += 1
+        return self.size - 1
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = k = len(self)
+        mark = word[-1:] if word[-1:] in self.marks else ""
+        stem = word[: len(word) - len(mark)]
+        if stem.isalpha() and max(stem) < LATIN and "İ" not in stem:
+            stem = stem.lower()
+            known = self.get(stem) if mark or stem != word else None
+            if known is not None and not mark:
+                self[word] = known
+                return known
+        else:
+            stem, mark = word, ""
+        if mark and stem not in self:
+            self[stem] = k = self._place()
+            self.new.append((k, stem, ""))
+        self[word] = k = self._place()
+        if stem != word and not mark:
+            self[stem] = k
+        self.new.append((k, stem, mark))
         return k
 
     def _learn(self) -> None:
-        if len(self) > len(self.first):
-            more = max(len(self), 2 * len(self.first))
+        if self.size > len(self.first):
+            more = max(self.size, 2 * len(self.first))
             self.first, self.count = np.resize(self.first, more), np.resize(self.count, more)
-        at = len(self) - len(self.new)
-        for k, found in enumerate(self.tokenizer.encode_batch(self.new, add_special_tokens=False), at):
-            ids = found.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
+        plain = [(k, stem) for k, stem, mark in self.new if not mark]
+        found = self.tokenizer.encode_batch_fast([stem for _, stem in plain], add_special_tokens=False)
+        for (k, _), x in zip(plain, found, strict=True):
+            self._add(k, x.ids)
+        for k, stem, mark in self.new:
+            if mark:
+                at = self[stem]
+                self._add(k, [*self.flat[self.first[at] : self.first[at] + self.count[at]].tolist(), *self.marks[mark]])
         self.new.clear()
 
+    def _add(self, k: int, ids: list[int]) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[k], self.count[k] = self.used, len(ids)
+        self.used += len(ids)
+
     def ids(self, text: str, end: int) -> np.ndarray:
         """uint32 ids of text, then end."""
-        if len(self) > self.most:
+        if self.size > self.most:
             self._empty()
         words = text.replace("\n", " ").split(" ")
         which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -82,6 +115,17 @@ class WordCache(dict):
         return out
 
 
+#: One for each worker and tokenizer: workers serve many tasks, and words come again.
+_CACHES: dict[str, WordCache] = {}
+
+
+def cache_of(path: str) -> WordCache:
+    if path not in _CACHES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _CACHES[path] = WordCache(load_tokenizer(path))
+    return _CACHES[path]
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -92,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int =
     """A row for each piece of each document: full windows, then what is left of it (1 to window ids)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(load_tokenizer(tokenizer))
+        cache = cache_of(tokenizer)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
