@@ -58,13 +58,16 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word is to be removed."""
-    words = F.regexp_count(line, F.lit(WORD))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     separators = F.length(line) - F.length(F.translate(line, "|»•", ""))
-    punctuation = ((words < PROSE_WORDS) & ~F.rlike(line, F.lit(END_MARK))) | (symbols > MOST_SYMBOLS * words) | (F.regexp_count(line, F.lit(SHOUT)) > MOST_SHOUTS * words)
-    navigation = separators >= SEPARATORS
-    boilerplate = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
-    return punctuation | navigation | boilerplate
+
+    def rules(words: Column) -> Column:
+        punctuation = ((words < PROSE_WORDS) & ~F.rlike(line, F.lit(END_MARK))) | (symbols > MOST_SYMBOLS * words) | (F.regexp_count(line, F.lit(SHOUT)) > MOST_SHOUTS * words)
+        navigation = separators >= SEPARATORS
+        boilerplate = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
+        return punctuation | navigation | boilerplate
+
+    return let(F.regexp_count(line, F.lit(WORD)), rules)
 
 
 def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT) -> DataFrame:
