@@ -4,11 +4,14 @@ Each tree of the forest is one sorted order of the documents' signatures, by val
 an order that agree on MIN_DEPTH values or more are candidates: in a sparse region that is the shallow prefix
 both share, in a crowded one the sort has put the documents with the longest common prefix side by side, so
 depth adapts to the region. Orders are range-partitioned and streamed, so no region has to fit a task.
-Candidates are confirmed on the full shingle sets, and confirmed links make components.
+Candidates whose signatures agree well enough are confirmed on the full shingle sets, and confirmed links
+make components.
 
-Documents with equal shingle sets are one node from the start. Links are confirmed in two turns: every node's
-most promising candidates, then whatever candidates still run between different components; a pair inside a
-component needs no check, since it cannot change the result.
+In a crowded region a document may have its only link far from its neighbours in every order. So the
+documents that have candidates at all, which every linked document is in some tree, take a second, exact
+turn: their rarest shingles (as many as a linked pair must share one of) are matched, and pairs that still
+run between different components are confirmed too. Documents with equal shingle sets are one node
+throughout.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stage, table
@@ -28,12 +31,14 @@ from .winnow import mix
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 3, 85
-#: Sorted orders, the values each compares, the least common prefix, and neighbours to either side.
+#: Sorted orders, the 16-bit values each compares, the least common prefix, and neighbours to either side.
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 2, 3
-#: Candidates of a node that the first turn confirms.
-FIRST_TURN = 2
-#: Candidates of the second turn are confirmed if their signatures agree on this share of values at least (over 4 deviations below LEAST).
+#: The share of values on which candidates must agree to be confirmed in the first turn; the second is exact without it.
 LEAST_AGREED = 0.70
+#: Cells of the table of shingle frequencies that orders them; any order is exact, a true one prunes most.
+CELLS = 1 << 20
+#: Ids that are broadcast at most (16 MB); beyond that they are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 CACHED_WORDS = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -81,3 +86,233 @@ def similar(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= least * (len(a) + len(b) - both)
+
+
+NODE = "doc_id long, n_shingles long, digest binary, sig binary"
+
+
+def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, digests, signatures = [], [], []
+        for data in batch.column(1):
+            found = shingles(data.as_py() or b"")
+            sizes.append(len(found))
+            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+            signatures.append((signature(found) & np.uint32(0xFFFF)).astype(">u2").tobytes() if len(found) else None)
+        yield _table({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array(signatures, pa.binary())})
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of near rows of a sorted order that agree on MIN_DEPTH values; then the rows at both ends (a is null)."""
+    last, first = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, doc = batch.column("tree").to_numpy(), batch.column("doc").to_numpy()
+        values = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), ">u2").reshape(-1, DEPTH)
+        if last is not None:
+            tree, doc, values = (np.concatenate(x) for x in zip(last, (tree, doc, values), strict=True))
+        fresh = 0 if last is None else len(last[0])
+        found = []
+        for gap in range(1, NEIGHBOURS + 1):
+            near = np.logical_and.accumulate(values[gap:] == values[:-gap], axis=1).sum(axis=1) if len(doc) > gap else np.zeros(0, int)
+            hit = (near >= MIN_DEPTH) & (tree[gap:] == tree[:-gap]) & (doc[gap:] != doc[:-gap]) & (np.arange(gap, gap + len(near)) >= fresh)
+            at = np.flatnonzero(hit)
+            found.append((np.minimum(doc[at], doc[at + gap]), np.maximum(doc[at], doc[at + gap])))
+        if first is None:
+            first = [x[:NEIGHBOURS] for x in (tree, doc, values)]
+        last = [x[-NEIGHBOURS:] for x in (tree, doc, values)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        none = pa.nulls(len(a), pa.int32())
+        yield _table({"a": pa.array(a), "b": pa.array(b), "tree": none, "prefix": pa.nulls(len(a), pa.binary())})
+    if first is not None:
+        tree, doc, values = (np.concatenate(x) for x in zip(first, last, strict=True))
+        yield _table({"a": pa.nulls(len(doc), pa.int64()), "b": pa.array(doc), "tree": pa.array(tree, pa.int32()), "prefix": pa.array([v.tobytes() for v in values], pa.binary())})
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of documents that are neighbours in some tree; reps: doc, sig."""
+    width = 2 * DEPTH
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("prefix")))
+    rows = reps.select("doc", F.explode(trees).alias("t")).select("t.tree", "t.prefix", "doc")
+    ddl = "a long, b long, tree int, prefix binary"
+    near = stage(rows.repartitionByRange(parts_for(reps, 1 << 20), "tree", "prefix", "doc").sortWithinPartitions("tree", "prefix", "doc").mapInArrow(_neighbours, ddl), "neighbours")
+    ends = near.filter("a is null").select("tree", "prefix", F.col("b").alias("doc")).distinct()  # a few rows of each partition
+    seams = ends.repartition(1).sortWithinPartitions("tree", "prefix", "doc").mapInArrow(_neighbours, ddl)
+    return near.union(seams).filter("a is not null").select("a", "b").distinct()
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, TREES * DEPTH) for c in ("sa", "sb"))
+        yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREED))
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    left = rows.select(F.col("doc").alias("a"), F.col(value).alias("sa"))
+    right = rows.select(F.col("doc").alias("b"), F.col(value).alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are links by their full sets; sets: doc, shingles."""
+    return _with_both(pairs, sets, "shingles").mapInArrow(_confirm, "a long, b long").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(v, c) for the nodes of links (a, b): c is the smallest node that v reaches.
+
+    Every node takes its smallest neighbour or itself, chains are shortened by halves, and what still links
+    different nodes is solved in the same way. Aggregations combine before they shuffle, and joins are on
+    nodes, whose links are few; a component that holds any part of all nodes is in no one task.
+    """
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    label = stage(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c")), "labels")
+    while True:
+        up = label.select(F.col("v").alias("c"), F.col("c").alias("top"))
+        further = stage(label.join(up, "c").select("v", F.col("top").alias("c"), (F.col("top") != F.col("c")).alias("moved")), "labels")
+        label = further.drop("moved")
+        if not further.filter("moved").take(1):
+            break
+    a, b = label.select(F.col("v").alias("a"), F.col("c").alias("x")), label.select(F.col("v").alias("b"), F.col("c").alias("y"))
+    left = stage(links.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not left.take(1):
+        return label
+    over = components(left).select(F.col("v").alias("c"), F.col("c").alias("top"))
+    return stage(label.join(over, "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Shingles by cell, over all of sets; the driver gets CELLS numbers, whatever the input."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(count, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        for at in range(0, CELLS, 4096):
+            if count[at : at + 4096].any():
+                yield _table({"at": pa.array([at], pa.int32()), "n": pa.array([count[at : at + 4096].tobytes()], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in rows.column("n").to_pylist()], axis=0)
+        return pa.table({"at": rows.column("at")[:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    count = np.zeros(CELLS, np.int64)
+    for row in sets.select("shingles").mapInArrow(tally, "at int, n binary").groupBy("at").applyInArrow(add, "at int, n binary").collect():
+        count[row.at : row.at + 4096] = np.frombuffer(bytes(row.n), np.int64)
+    return count
+
+
+ENTRY = ("<u8", "<i8", "<i8", "<u4", "<u4")  # shingle, doc, component, place among the rarest, size of the set
+
+
+def rare_matches(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles and may be links by size and place.
+
+    A link shares so much that one of the first size - ceil(0.85 size) + 1 shingles of either set, in any
+    common order, is in the other's; and what both have after the first shared place bounds what they share.
+    """
+    told = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    buckets = parts_for(sets, 1 << 20)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = told.value
+        for batch in batches:
+            parts = []
+            for doc, own, x in zip(batch.column("doc").to_pylist(), batch.column("c").to_pylist(), batch.column("shingles"), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(s)
+                k = n - -(-LEAST * n // 100) + 1
+                order = np.lexsort((s, count[(s % np.uint64(CELLS)).astype(np.int64)]))[:k]
+                parts.append((s[order], np.full(k, doc), np.full(k, own), np.arange(k), np.full(k, n)))
+            if not parts:
+                continue
+            cols = [np.concatenate(c).astype(t) for c, t in zip(zip(*parts, strict=True), ENTRY, strict=True)]
+            key = mix(cols[0]) % np.uint64(buckets)
+            order = np.argsort(key, kind="stable")
+            key, cols = key[order], [c[order] for c in cols]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            spans = list(zip(cuts, [*cuts[1:], len(key)], strict=True))
+            yield _table({"key": pa.array([int(key[i]) for i, _ in spans], pa.int32()), "data": pa.array([(j - i).item().to_bytes(4, "little") + b"".join(c[i:j].tobytes() for c in cols) for i, j in spans], pa.binary())})
+
+    def match(rows: pa.Table) -> pa.Table:
+        parts = []
+        for data in rows.column("data").to_pylist():
+            n, at, cols = int.from_bytes(data[:4], "little"), 4, []
+            for t in ENTRY:
+                cols.append(np.frombuffer(data, t, n, at))
+                at += cols[-1].nbytes
+            parts.append(cols)
+        shingle, doc, own, place, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((size, shingle))
+        shingle, doc, own, place, size = shingle[order], doc[order], own[order], place[order].astype(np.int64), size[order].astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        found: list[np.ndarray] = []
+        for i, j in zip(cuts, [*cuts[1:], len(shingle)], strict=True):
+            if j - i < 2 or (own[i:j] == own[i]).all():
+                continue
+            for u in range(i, j - 1):
+                v = slice(u + 1, j)
+                shared = np.minimum(size[u] - place[u], size[v] - place[v])
+                good = (own[v] != own[u]) & (100 * size[u] >= LEAST * size[v]) & ((100 + LEAST) * shared >= LEAST * (size[u] + size[v]))
+                if good.any():
+                    other = doc[v][good]
+                    found.append(np.stack([np.minimum(doc[u], other), np.maximum(doc[u], other)]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    known = labels.select(F.col("v").alias("doc"), "c")
+    rows = sets.join(known, "doc", "left").select("doc", F.coalesce("c", "doc").alias("c"), "shingles")
+    return rows.mapInArrow(send, "key int, data binary").groupBy("key").applyInArrow(match, "a long, b long").distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _table({"doc": batch.column(0), "shingles": pa.array([shingles(x.as_py() or b"").tobytes() for x in batch.column(1)], pa.binary())})
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts without words, nulls among them, have an empty set and are linked with nothing. Rows that repeat an
+    id and a text have the same result, and each is kept if the id is its component's; an id with several
+    texts belongs to the component of each. Rows with a null id are linked with nothing, have no component
+    and are kept. An empty table gives no rows.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_data"))
+    nodes = stage(base.mapInArrow(_nodes, NODE), "nodes")
+    known = nodes.filter("doc_id is not null and n_shingles > 0")
+    firsts = known.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("f"))
+    reps = stage(firsts.select("digest", F.col("f.doc_id").alias("doc"), F.col("f.sig").alias("sig")), "reps")
+    pairs = stage(candidates(reps), "pairs")
+    near = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near")
+    some = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
+    sets = stage(base.join(some, "doc_id", "left_semi").mapInArrow(_sets, "doc long, shingles binary").filter(F.octet_length("shingles") > 0), "sets")
+    agreeing = _with_both(pairs, reps, "sig").mapInArrow(_agreeing, "a long, b long").distinct()
+    links = stage(confirm(agreeing, sets), "links")
+    labels = components(links)
+    more = stage(confirm(rare_matches(sets, labels), sets), "links")
+    stars = labels.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b"))
+    final = components(stage(stars.union(more).distinct(), "links")).select(F.col("v").alias("doc"), "c")
+    classes = reps.select("digest", "doc").join(final, "doc", "left").select("digest", F.coalesce("c", "doc").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    joined = nodes.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def op8_lsh_forest(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_lsh_forest": op8_lsh_forest}
