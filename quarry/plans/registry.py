@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "texts")
+MODULES = ("retrieval", "texts", "corpus", "documents")
 
 
 def collect(kind: str) -> dict:
