@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "texts", "corpus", "documents")
+MODULES = ("retrieval", "texts", "corpus", "documents", "rules")
 
 
 def collect(kind: str) -> dict:

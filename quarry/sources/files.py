@@ -13,7 +13,7 @@ SAMPLES = "question string, expected_specs array<string>, expected_sections arra
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Every *.md under folder: path, cleaned text, and the facts of its path, else of its header."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
     rows = rows.withColumns({"p": path_facts(F.col("path")), "h": header(F.col("raw"))})
     either = lambda n: F.when(F.col(f"p.{n}") != "", F.col(f"p.{n}")).otherwise(F.col(f"h.{n}"))
     kind = F.when(F.col("p.doc_type") != "", F.col("p.doc_type")).when(F.rlike("raw", F.lit(r"(?i)O-RAN\s+ALLIANCE|O-RAN\s+Working\s+Group")), "oran").otherwise("3gpp")
@@ -22,7 +22,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest of JSON lines; broken lines are left out."""
-    return spark.read.schema(MANIFEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad is null").drop("_bad")
+    return spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(path).filter("spec_number is not null")
 
 
 def eval_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -31,5 +31,5 @@ def eval_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def log_tail(spark: SparkSession, path: str, *, level: str = "", lines: int = 100) -> DataFrame:
     """The last lines of a log (a tail has a limit) that contain a level."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("place", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line"))
     return rows.filter(F.col("line").contains(level) & (F.col("line") != "")).orderBy(F.desc("place")).limit(lines)
