@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What rows that come from no files are taken to hold, in bytes.
+UNKNOWN = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +42,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of df's size, from file sizes; no job runs. Of rows without files it has none: UNKNOWN."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else UNKNOWN
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

@@ -184,6 +184,14 @@ def _first_of(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def _places(doc: np.ndarray, own: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """Where each document's rows start and end, in rows sorted by document."""
+    if not len(doc):
+        return {}
+    cuts = np.flatnonzero(_first_of([doc, own]))
+    return {(int(doc[a]), int(own[a])): (a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)}
+
+
 def _runs(doc: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Runs of windows, with those that touch or overlap made one."""
     order = np.lexsort((start, own, doc))
@@ -315,8 +323,7 @@ def extend(docs: pa.Table, rows: pa.Table, search: Search, buckets: int) -> pa.T
     anchor, doc, own, start, size, flags = gather(rows, ASK)
     order = np.lexsort((start, own, doc))
     anchor, doc, own, start, size, flags = (c[order] for c in (anchor, doc, own, start, size, flags))
-    cuts = np.flatnonzero(_first_of([doc, own])) if len(doc) else []
-    where = {(int(doc[a]), int(own[a])): (a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)}
+    where = _places(doc, own)
     hashes, content = [], []
     for key_doc, key_own, data in _documents(docs) if where else ():
         a, b = where.pop((key_doc, key_own), (0, 0))
@@ -394,8 +401,7 @@ def repeated_windows(docs: DataFrame, search: Search, answer: Callable[[bytes, n
     def finish(key, left: pa.Table, rows: pa.Table) -> pa.Table:
         doc, hashes, start, size = gather(_rows(rows), DONE)
         doc, hashes, start, size = _runs(doc, hashes, start, size)
-        cuts = np.flatnonzero(_first_of([doc, hashes])) if len(doc) else []
-        where = {(int(doc[a]), int(hashes[a])): (a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)}
+        where = _places(doc, hashes)
         answers = []
         for d, h, data in _documents(left):
             a, b = where.get((d, h), (0, 0))
