@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,93 +27,109 @@ from .common import stage, table
 WINDOW, END_ID = 2048, 1
 #: Words whose ids a worker keeps; beyond that it starts afresh.
 CACHED_WORDS = 1_000_000
-#: Marks that are parted from a word's end, and the end of the letters whose case is folded here.
-MARKS, LATIN = ".,!?;:", "\u0250"
+#: Texts whose words are looked up together.
+TOGETHER = 1024
+#: Marks that are parted from a word's end, and letters whose case is not folded here.
+MARKS, NOT_LATIN = ".,!?;:", "[^\\x00-\\x{24f}]|\\x{130}"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordCache(dict):
+class WordCache:
     """Places of words whose ids are known; the ids lie in one flat array.
 
     The tokenizer's normaliser and pre-tokenizer never look across white space, so a text's ids are those of
     its space-separated parts, in order. They also lower-case and part letters from marks, so a new word of
-    Latin letters and one mark has the ids of its lower-cased letters, then the mark's: only new stems are
-    tokenized.
+    Latin letters and perhaps one mark has the ids of its lower-cased letters, then the mark's: only new stems
+    are tokenized, many in one string, and parted at the ids that end a word.
     """
 
     def __init__(self, tokenizer, most: int = CACHED_WORDS):
-        super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: np.array(tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in MARKS}
         self._empty()
 
     def _empty(self) -> None:
-        self.clear()
-        self.new: list[tuple[int, str, str]] = []
+        self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.count = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.size = 0
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ("", *MARKS)}
-
-    def _place(self) -> int:
-        self.size += 1
-        return self.size - 1
-
-    def __missing__(self, word: str) -> int:
-        mark = word[-1:] if word[-1:] in self.marks else ""
-        stem = word[: len(word) - len(mark)]
-        if stem.isalpha() and max(stem) < LATIN and "İ" not in stem:
-            stem = stem.lower()
-            known = self.get(stem) if mark or stem != word else None
-            if known is not None and not mark:
-                self[word] = known
-                return known
-        else:
-            stem, mark = word, ""
-        if mark and stem not in self:
-            self[stem] = k = self._place()
-            self.new.append((k, stem, ""))
-        self[word] = k = self._place()
-        if stem != word and not mark:
-            self[stem] = k
-        self.new.append((k, stem, mark))
-        return k
-
-    def _learn(self) -> None:
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of new words whose ids lie one after the other."""
+        places = np.arange(self.size, self.size + len(sizes))
+        self.size += len(sizes)
         if self.size > len(self.first):
             more = max(self.size, 2 * len(self.first))
             self.first, self.count = np.resize(self.first, more), np.resize(self.count, more)
-        plain = [(k, stem) for k, stem, mark in self.new if not mark]
-        found = self.tokenizer.encode_batch_fast([stem for _, stem in plain], add_special_tokens=False)
-        for (k, _), x in zip(plain, found, strict=True):
-            self._add(k, x.ids)
-        for k, stem, mark in self.new:
-            if mark:
-                at = self[stem]
-                self._add(k, [*self.flat[self.first[at] : self.first[at] + self.count[at]].tolist(), *self.marks[mark]])
-        self.new.clear()
-
-    def _add(self, k: int, ids: list[int]) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.first[k], self.count[k] = self.used, len(ids)
+        self.first[places], self.count[places] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
-
-    def ids(self, text: str, end: int) -> np.ndarray:
-        """uint32 ids of text, then end."""
-        if self.size > self.most:
+        return places
+
+    def _encode(self, words: list[str]) -> np.ndarray:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        places = self._add(np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+        self.known.update(zip(words, places.tolist(), strict=True))
+        return places
+
+    def _encode_stems(self, stems: list[str]) -> None:
+        parts = [stems[at : at + 500] for at in range(0, len(stems), 500)]
+        for part, told in zip(parts, self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(told.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self.known.update(zip(part, self._add(ids, np.diff(ends, prepend=0)).tolist(), strict=True))
+            else:
+                self._encode(part)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The places of new words."""
+        last = pc.utf8_slice_codeunits(words, -1)
+        marked = pc.is_in(last, value_set=pa.array(list(MARKS)))
+        body = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        simple = pc.and_(pc.utf8_is_alpha(body), pc.invert(pc.match_substring_regex(body, NOT_LATIN)))
+        found, good = np.empty(len(words), np.int64), simple.to_numpy(zero_copy_only=False)
+        found[~good] = self._encode(words.filter(pc.invert(simple)).to_pylist())
+        own, last = words.filter(simple), last.filter(simple)
+        stems = pc.utf8_lower(body.filter(simple)).to_pylist()
+        self._encode_stems([s for s in dict.fromkeys(stems) if s not in self.known])
+        places = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        for mark, ids in self.marks.items():
+            which = np.flatnonzero(pc.equal(last, mark).to_numpy(zero_copy_only=False))
+            at = places[which]
+            size = self.count[at].astype(np.int64) + len(ids)
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            inside = step < np.repeat(size - len(ids), size)
+            flat = np.empty(len(step), np.uint32)
+            flat[inside] = self.flat[(np.repeat(self.first[at], size) + step)[inside]]
+            flat[~inside] = np.tile(ids, len(at))
+            places[which] = self._add(flat, size)
+        self.known.update(zip(own.to_pylist(), places.tolist(), strict=True))
+        found[good] = places
+        return found
+
+    def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """uint32 ids of each text, then end. Words are split and made distinct by Arrow, so each distinct one is looked up once."""
+        if len(self.known) > self.most:
             self._empty()
-        words = text.replace("\n", " ").split(" ")
-        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._learn()
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        places = np.array([self.known.get(w, -1) for w in distinct], np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._learn(words.dictionary.take(pa.array(new)))
+        which = places.astype(np.int32)[words.indices.to_numpy()]
         count = self.count[which]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.flat[np.repeat(self.first[which] - (ends - count), count) + np.arange(total)]
-        out[total] = end
-        return out
+        ends = np.cumsum(count, dtype=np.int64)
+        flat = self.flat[np.repeat(self.first[which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [np.append(flat[a:b], np.uint32(end)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 #: One for each worker and tokenizer: workers serve many tasks, and words come again.
@@ -139,8 +156,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int =
         cache = cache_of(tokenizer)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = cache.ids(body.as_py() or "", end)
+            parts = (batch.slice(at, TOGETHER) for at in range(0, batch.num_rows, TOGETHER))
+            for doc, ids in ((d, x) for part in parts for d, x in zip(part.column(0).to_pylist(), cache.ids(part.column(1), end), strict=True)):
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 for at in range(0, len(ids), window):
                     size = min(window, len(ids) - at)
