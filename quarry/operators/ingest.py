@@ -63,3 +63,19 @@ def save(chunks: DataFrame, path: str) -> None:
 def unfinished(chunks: DataFrame, stored: DataFrame, key: Sequence[str] = ("doc_id", "spec_number", "chunk_index")) -> DataFrame:
     """What a resumed job still has to write."""
     return chunks.join(stored.select(*key), list(key), "left_anti")
+
+
+def apply_changes(stored: DataFrame, incoming: DataFrame, status: DataFrame, keys: Sequence[str] = ("spec_number", "release")) -> DataFrame:
+    """The store after a run: rows of deleted and replaced keys go, and new and replaced keys' rows come.
+
+    The manifest is to be marked only after the result is written.
+    """
+    gone = status.filter(F.col("status").isin("deleted", "replaced")).select(*keys)
+    come = status.filter(F.col("status").isin("new", "replaced")).select(*keys)
+    return stored.join(gone, list(keys), "left_anti").unionByName(incoming.join(come, list(keys), "left_semi"), allowMissingColumns=True)
+
+
+def supplement(official: DataFrame, web: DataFrame, most: int = 5) -> DataFrame:
+    """Online results: the official source's first, then the web's, at most `most` (a prompt's limit)."""
+    both = official.withColumn("_s", F.lit(0)).unionByName(web.withColumn("_s", F.lit(1)))
+    return both.orderBy("_s", "rank").limit(most).drop("_s")

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation, filters, ingest
+from quarry.operators.embedding import centroids, route
+from quarry.operators.numbering import numbered
 from quarry.plans.retrieval import C, R
 from quarry.sources.chunks import chunks, ranked, table
 
@@ -308,9 +310,26 @@ def expected_labels(spark, d):
 @query("""WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label % 2 = 0), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 1) SELECT vec_id, doc_id FROM a JOIN b USING (n)""")
 def positional_zip(spark, d):
     """Vectors and texts aligned by place, each in order of id."""
-    number = lambda x, c: x.withColumn("n", F.row_number().over(Window.orderBy(c)))
-    vectors = number(table(spark, d, "embeddings").filter("label % 2 = 0").select("vec_id"), "vec_id")
-    return vectors.join(number(table(spark, d, "documents").filter("doc_id % 2 = 1").select("doc_id"), "doc_id"), "n").select("vec_id", "doc_id")
+    vectors = numbered(table(spark, d, "embeddings").filter("label % 2 = 0").select("vec_id"), "vec_id")
+    return vectors.join(numbered(table(spark, d, "documents").filter("doc_id % 2 = 1").select("doc_id"), "doc_id"), "n").select("vec_id", "doc_id")
+
+
+@query("""WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS centre FROM c GROUP BY label),
+s AS (SELECT e.vec_id AS query_id, m.label, round(list_cosine_similarity(e.embedding::double[], m.centre), 6) AS score FROM embeddings e, m WHERE e.vec_id % 20 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS pos FROM s) WHERE pos <= 3""")
+def route_series(spark, d):
+    """The labels that a query vector is likeliest to belong to, by nearest centroid."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    return route(rows.filter("query_id % 20 = 0").select("query_id", "vector"), centroids(rows), 3)
+
+
+@query(f"""WITH {_MAN}, st AS (SELECT coalesce(m.spec_number, f.spec_number) AS spec_number, coalesce(m.release, f.release) AS release, m.spec_number IS NULL AS is_new, f.spec_number IS NULL AS is_gone,
+  coalesce(m.sha256 <> f.sha256, true) AND ({_NUM.format('f.version')} > {_NUM.format('m.version')} OR ({_NUM.format('f.version')} = {_NUM.format('m.version')} AND f.version > m.version)) AS is_higher
+  FROM man m FULL JOIN fil f ON m.spec_number = f.spec_number AND m.release = f.release)
+SELECT spec_number, release, version FROM man JOIN st USING (spec_number, release) WHERE NOT is_gone AND NOT coalesce(is_higher, false) UNION ALL SELECT spec_number, release, version FROM fil JOIN st USING (spec_number, release) WHERE is_new OR coalesce(is_higher, false)""")
+def apply_changes(spark, d):
+    old, new = _manifest(spark, d), _files(spark, d)
+    return ingest.apply_changes(old, new, ingest.manifest_diff(old, new)).select("spec_number", "release", "version")
 
 
 @query(f"{C} SELECT id FROM chunks WHERE id % 4 > 1 AND NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = chunks.id AND doc_id % 4 = 3)")

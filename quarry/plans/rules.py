@@ -170,3 +170,28 @@ def online_context(spark, d):
     row = F.concat(F.lit("### "), F.col("turn").cast("string"), F.lit(": "), "role", F.lit("\n"), F.substring("text", 1, 60), F.lit("\n"))
     rows = F.array_sort(F.collect_list(F.struct("turn", row.alias("r"))))
     return table(spark, d, "conversations").filter("turn < 5").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x.r), "\n").alias("context"))
+
+
+_IMG = ("![Figure 4.%d: one](a%s.png) text ![logo](b.png)", "![Figure 4.%d: again](c%s.png)", "none %s")
+_IMG_RX = r"!\[([^\]]+)\]\(([^)]+)\)"
+
+
+@query(f"""WITH {cased_sql(*_IMG)}, m AS (SELECT 's' || (id % 5) AS spec_number, unnest(regexp_extract_all(x, '{_IMG_RX}', 1)) AS t, unnest(regexp_extract_all(x, '{_IMG_RX}', 2)) AS path, generate_subscripts(regexp_extract_all(x, '{_IMG_RX}', 1), 1) AS k FROM c),
+f AS (SELECT spec_number, CASE WHEN regexp_matches(trim(t), '^Figure\\s+\\S+') THEN regexp_replace(regexp_extract(trim(t), '^(Figure\\s+\\S+)', 1), '[:：]+$', '') ELSE left(trim(t), 80) END AS figure_id, path, k FROM m)
+SELECT spec_number, figure_id, path FROM (SELECT *, row_number() OVER (PARTITION BY spec_number, figure_id ORDER BY k, path) AS n FROM f) WHERE n = 1""")
+def image_map(spark, d):
+    from quarry.sources.files import image_map as images
+
+    return images(cased(spark, d, *_IMG).select(F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("spec_number"), X.alias("text")))
+
+
+def ivf_topk(spark, d):
+    """Approximate search by inverted lists; tests hold its recall against the exact one."""
+    from quarry.operators import search
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = search.ivf_centres(vectors, 16)
+    return search.ivf_search(search.ivf_index(vectors, centres), centres, vectors.filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=6)
+
+
+QUERIES["ivf_topk"] = ivf_topk

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import graph, search
+from quarry.operators.numbering import numbered
 from quarry.operators.ranking import positions
 from quarry.plans.retrieval import C
 from quarry.sources.chunks import chunks, table
@@ -223,7 +224,7 @@ _VERS = ("i10", "f60", "18.%d.0", "", "id0", "i10a")
 SELECT id, x AS version, row_number() OVER (ORDER BY x IS NOT NULL, coalesce(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '')::bigint, 0), coalesce(x, ''), id) AS place FROM v""")
 def version_order(spark, d):
     rows = cased(spark, d, *_VERS).select("id", F.nullif("x", F.lit("")).alias("version"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(tx.version_key(F.col("version")), "id")))
+    return numbered(rows.withColumn("_k", tx.version_key(F.col("version"))), "_k", "id", name="place").drop("_k")
 
 
 _FIGS = ("Figure 4.2-%s: Overview", "Figure  6.1.%s：layout", "a plain title that is long enough to be cut somewhere, since it goes on for more than eighty characters", " logo %s ")

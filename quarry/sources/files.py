@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clean_markdown, header, path_facts
+from quarry.functions.text import clean_markdown, figure_id, header, path_facts
+from quarry.operators.ranking import positions
 
 MANIFEST = "spec_number string, release string, latest_version string, file_path string, sha256 string, chunk_count int, ingested_at string"
 SAMPLES = "question string, expected_specs array<string>, expected_sections array<string>, difficulty string, multi_hop boolean, expected map<string,array<string>>"
@@ -33,3 +37,35 @@ def log_tail(spark: SparkSession, path: str, *, level: str = "", lines: int = 10
     """The last lines of a log (a tail has a limit) that contain a level."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line"))
     return rows.filter(F.col("line").contains(level) & (F.col("line") != "")).orderBy(F.desc("place")).limit(lines)
+
+
+def documents(spark: SparkSession, folder: str, pattern: str = "*.docx", *, series: tuple[int, ...] | None = None) -> DataFrame:
+    """path, length and hash of files under folder: of the wanted series' folders and the open-interface ones, without covers."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    name = F.lower(F.substring_index("path", "/", -1))
+    wanted = F.rlike("path", F.lit(r"(?i)O-RAN")) | F.regexp_extract("path", r"/(\d{2})_series/", 1).try_cast("int").isin(*series) if series else F.lit(True)
+    return rows.filter(F.coalesce(wanted, F.lit(False)) & ~name.startswith("cover") & ~name.startswith("~$"))
+
+
+def converted(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
+    """path, raw Markdown and error of binary documents, by a converter that runs on the executors; a failure is a row with its error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    rows.append((path, convert(bytes(content)), None))
+                except Exception as e:  # noqa: BLE001  what a converter may raise is not known
+                    rows.append((path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "raw", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, raw string, error string")
+
+
+def image_map(docs: DataFrame) -> DataFrame:
+    """(spec_number, figure_id, path) of the images of Markdown documents (spec_number, text); the first of a figure counts."""
+    pattern = F.lit(r"!\[([^\]]+)\]\(([^)]+)\)")
+    pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("title"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("path"))
+    rows = docs.select("spec_number", F.posexplode(pairs).alias("place", "p")).select("spec_number", "place", figure_id(F.col("p.title")).alias("figure_id"), "p.path")
+    return positions(rows, F.asc("place"), F.asc("path"), by=["spec_number", "figure_id"], pos="_n").filter("_n = 1").select("spec_number", "figure_id", "path")

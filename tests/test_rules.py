@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import arrow
 from quarry.functions import text as tx
-from quarry.operators import chunking, filters, ingest, ranking, search
+from quarry.operators import chunking, embedding, filters, ingest, numbering, ranking, search
 from quarry.plans import answers
 from quarry.streaming import traffic
 
@@ -181,3 +181,54 @@ def test_files(spark, tmp_path):
 
 def test_idf_floor():
     assert math.log(10 - 9 + 0.5) - math.log(9.5) < 0  # a term in nearly all documents is what the floor is for
+
+
+def test_numbering_is_global(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as x")
+    assert [(r.x, r.n) for r in numbering.numbered(rows, "x", parts=7).orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
+
+
+def test_embedding_uses_its_cache(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id int, text string")
+    cache = spark.createDataFrame([("x", [0.0])], "text_hash string, vector array<double>")
+    got, full = embedding.embed_with_cache(rows, cache, lambda texts: [[float(len(t))] for t in texts])
+    assert {r.id: r.vector for r in got.collect()} == {1: [3.0], 2: [3.0], 3: [1.0]} and full.count() == 3
+    again, same = embedding.embed_with_cache(rows, full, lambda texts: [[-1.0] for _ in texts])
+    assert {r.id: r.vector for r in again.collect()} == {1: [3.0], 2: [3.0], 3: [1.0]} and same.count() == 3
+
+
+def test_supplement_prefers_the_official_source(spark):
+    make = lambda name, n: spark.createDataFrame([(name, i) for i in range(n)], "source string, rank int")
+    assert [(r.source, r.rank) for r in ingest.supplement(make("o", 2), make("w", 9)).collect()] == [("o", 0), ("o", 1), ("w", 0), ("w", 1), ("w", 2)]
+
+
+def test_upload_targets(spark):
+    from quarry.functions import documents as dx
+
+    rows = spark.createDataFrame([("38300-60.docx", "3GPP TS 38.300 V17.4.0"), ("38865.md", "(Release 16)"), ("O-RAN.WG4.CUS.md", ""), ("notes.md", "")], "n string, h string")
+    assert [r[0] for r in rows.select(dx.upload_target(F.col("n"), F.col("h"))).collect()] == ["original/R17/38_series/38300-60.docx", "marked/R16/38_series/38865/raw.md", "marked/ORAN/O-RAN.WG4.CUS/raw.md", "other/notes.md"]
+
+
+def test_inverted_lists_find_nearly_all(spark):
+    from quarry.plans import registry
+
+    queries = registry.collect("QUERIES")
+    exact = {(r.query_id, r.id) for r in queries["dense_topk"](spark, "/root/testdata/sf0.1").collect()}
+    found = {(r.query_id, r.id) for r in queries["ivf_topk"](spark, "/root/testdata/sf0.1").collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_converters_may_fail(spark, tmp_path):
+    from quarry.sources import files
+
+    for name in ("38_series/38300.docx", "36_series/36211.docx", "38_series/cover.docx", "O-RAN/O-RAN.WG1.docx"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"bad" if "38300" in name else b"good")
+
+    def convert(content: bytes) -> str:
+        if content == b"bad":
+            raise ValueError("broken")
+        return content.decode()
+
+    got = {r.path.rsplit("/", 1)[-1]: (r.raw, r.error) for r in files.converted(files.documents(spark, str(tmp_path), series=(38,)), convert).collect()}
+    assert got == {"38300.docx": (None, "broken"), "O-RAN.WG1.docx": ("good", None)}
