@@ -191,7 +191,7 @@ def ivf_topk(spark, d):
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     centres = search.ivf_centres(vectors, 16)
-    return search.ivf_search(search.ivf_index(vectors, centres), centres, vectors.filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=6)
+    return search.ivf_search(search.ivf_index(vectors, centres), centres, vectors.filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=12)
 
 
 QUERIES["ivf_topk"] = ivf_topk
