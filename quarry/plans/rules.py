@@ -24,7 +24,10 @@ def query(sql: str | None = None):
     return add
 
 
-X = F.col("x")
+def text_column():
+    return F.col("x")
+
+
 _PANDOC = ("[Intro](#i) text {#a .b} more", "Figure 4.2-1: Model\n![](media/image%s.emf)\nend", "![](media/image3.emf){width=1}\n\nFigure 4.2-%d: Model\nend", "body\n\n\n\n\nnext  \nline ![](x.png) z", "text %s\n\n# Annex B (informative): Change history\n\n| a | b |")
 
 
@@ -40,7 +43,7 @@ _POST = _chain("x", (r"\[([^\]]+?)\]\(#[^)]+\)", r"'\1'"), (r"\{[#.][^}]+\}", "'
 
 @query(f"WITH {_lines_sql(*_PANDOC)} SELECT id, {_POST} AS cleaned FROM c")
 def postprocess_markdown(spark, d):
-    return cased(spark, d, *_PANDOC).select("id", dx.postprocess(X).alias("cleaned"))
+    return cased(spark, d, *_PANDOC).select("id", dx.postprocess(text_column()).alias("cleaned"))
 
 
 _DOCS = ("# Contents\n\n## 3GPP TS 38.%n V18.1.0 ##\nbody", "# logo here\n# O-RAN Working Group %s\n# A", "# Contents\n# First heading %s\ntext", "no title %s")
@@ -52,7 +55,7 @@ SELECT id, coalesce(list_transform(list_filter(l[1:30], lambda y: regexp_matches
   list_transform(list_filter(l[1:30], lambda y: starts_with({_BARE}, 'O-RAN Working Group') OR starts_with({_BARE}, 'O-RAN ALLIANCE')), lambda y: {_BARE})[1],
   list_transform(list_filter(l, lambda y: starts_with(y, '#') AND length(y) > 3 AND NOT contains(lower(y), 'contents') AND NOT contains(lower(y), 'logo')), lambda y: {_BARE})[1], '') AS title FROM l""")
 def document_title(spark, d):
-    return cased(spark, d, *_DOCS).select("id", dx.title(X).alias("title"))
+    return cased(spark, d, *_DOCS).select("id", dx.title(text_column()).alias("title"))
 
 
 _GAPS = ("SUFFICIENT", " sufficient, all is there", "first query %s\n\nab\nsecond query\nthird query\nfourth query\nfifth query", "tiny")
@@ -61,7 +64,7 @@ _GAPS = ("SUFFICIENT", " sufficient, all is there", "first query %s\n\nab\nsecon
 @query(f"""WITH {_lines_sql(*_GAPS)}, t AS (SELECT id, trim(x) AS t FROM c) SELECT id, starts_with(upper(t), 'SUFFICIENT') AS sufficient,
   CASE WHEN starts_with(upper(t), 'SUFFICIENT') THEN [] ELSE list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(y)), lambda y: length(y) > 5)[1:4] END AS queries FROM t""")
 def gap_response(spark, d):
-    return cased(spark, d, *_GAPS).select("id", dx.gap_response(X).alias("g")).select("id", "g.*")
+    return cased(spark, d, *_GAPS).select("id", dx.gap_response(text_column()).alias("g")).select("id", "g.*")
 
 
 _LINES = ("TRANSLATED: beam failure %s\nEXPANDED: beam failure recovery", "EXPANDED: only this", "TRANSLATED: ab\nEXPANDED: abcdef", "  TRANSLATED:  spaced %s \n EXPANDED:  well spaced ")
@@ -70,7 +73,7 @@ _TR, _EX = (f"trim(regexp_extract(x, '(?m)^\\s*{n}:(.*)$', 1))" for n in ("TRANS
 
 @query(f"WITH {_lines_sql(*_LINES)} SELECT id, CASE WHEN length({_TR}) > 3 AND length({_EX}) > 3 THEN {_TR} END AS translated, CASE WHEN length({_TR}) > 3 AND length({_EX}) > 3 THEN {_EX} END AS expanded FROM c")
 def translation_lines(spark, d):
-    return cased(spark, d, *_LINES).select("id", dx.translation(X).alias("t")).select("id", "t.*")
+    return cased(spark, d, *_LINES).select("id", dx.translation(text_column()).alias("t")).select("id", "t.*")
 
 
 @query(f"{R} SELECT query_id, id, CASE WHEN id % 3 = 0 THEN text ELSE parent_title || chr(10) || text END AS input FROM ranked WHERE pos <= 5")
@@ -84,7 +87,7 @@ _NORMAL = ("38300", "38.300", "%d%n", "O-RAN.WG1")
 
 @query(f"WITH {cased_sql(*_NORMAL)} SELECT id, CASE WHEN regexp_matches(x, '^\\d{{5}}$') THEN left(x, 2) || '.' || substr(x, 3, 3) ELSE x END AS spec_number FROM c")
 def spec_normalise(spark, d):
-    return cased(spark, d, *_NORMAL).select("id", dx.normal_spec(X).alias("spec_number"))
+    return cased(spark, d, *_NORMAL).select("id", dx.normal_spec(text_column()).alias("spec_number"))
 
 
 _ROUTES = ("/api/v1/ask", "/api/v1/documents/%s", "/", "/health/live/", "/metrics")
@@ -93,7 +96,7 @@ _ROUTES = ("/api/v1/ask", "/api/v1/documents/%s", "/", "/health/live/", "/metric
 @query(f"""WITH {cased_sql(*_ROUTES)}, b AS (SELECT id, regexp_replace(x, '^/+|/+$', '', 'g') AS b FROM c)
 SELECT id, CASE WHEN regexp_extract(b, '^api/v1/([^/]+)', 1) <> '' THEN regexp_extract(b, '^api/v1/([^/]+)', 1) WHEN b = '' THEN 'root' ELSE replace(b, '/', '_') END AS label FROM b""")
 def route_label(spark, d):
-    return cased(spark, d, *_ROUTES).select("id", dx.route_label(X).alias("label"))
+    return cased(spark, d, *_ROUTES).select("id", dx.route_label(text_column()).alias("label"))
 
 
 _INTENTS = ("R17 vs R18 in QoS", "Release 18 handover %s", "what changed in 5G QoS?", "beam failure %s")
@@ -104,7 +107,7 @@ _INTENTS = ("R17 vs R18 in QoS", "Release 18 handover %s", "what changed in 5G Q
 SELECT id, CASE WHEN note = '' THEN '' ELSE concat_ws(chr(10), chr(10) || '## Release 版本说明', CASE WHEN a <> '' THEN '- 用户要求对比 R' || a || ' 与 R' || b || ' 的差异' || chr(10) || '- 以下上下文按版本分组标注，请以对比表格或逐项对比的方式回答'
   WHEN o <> '' THEN '- 用户指定了版本范围: R' || o || chr(10) || '- 以下上下文已限定为该版本的内容' WHEN comp THEN '- 用户意图为对比类查询，但未指定具体版本' || chr(10) || '- 请关注上下文中的版本差异信息' END, '- ' || note) END AS paragraph FROM m""")
 def release_note(spark, d):
-    rows = cased(spark, d, *_INTENTS).withColumns({"i": tx.release_intent(X), "note": F.when(F.col("id") % 7 == 0, "").otherwise(F.concat(F.lit("note "), F.col("id").cast("string")))})
+    rows = cased(spark, d, *_INTENTS).withColumns({"i": tx.release_intent(text_column()), "note": F.when(F.col("id") % 7 == 0, "").otherwise(F.concat(F.lit("note "), F.col("id").cast("string")))})
     return rows.select("id", dx.release_note(F.col("i.kind"), F.col("i.first"), F.col("i.second"), F.col("i.comparative"), F.col("note")).alias("paragraph"))
 
 
@@ -115,7 +118,7 @@ _WATCHED = ("TS 38.%n_R18.docx", "%d%n-rel18.docx", "notes.docx", "TR23.501 rele
 p AS (SELECT id, CASE WHEN regexp_extract(s, '(?i)(?:TS|TR)\\s*(\\d{{2}})\\.(\\d{{3}})', 1) <> '' THEN regexp_extract(s, '(?i)(?:TS|TR)\\s*(\\d{{2}})\\.(\\d{{3}})', 1) || regexp_extract(s, '(?i)(?:TS|TR)\\s*(\\d{{2}})\\.(\\d{{3}})', 2) ELSE regexp_extract(s, '(\\d{{4,5}})', 1) END AS n, regexp_extract(s, '[Rr]el(?:ease)?[._-]?(\\d{{2}})', 1) AS r FROM s)
 SELECT id, coalesce(try_cast(left(n, 2) AS int), 0) AS series, n AS spec_number, CASE WHEN r <> '' THEN 'R' || r ELSE '' END AS release FROM p""")
 def monitored_name(spark, d):
-    return cased(spark, d, *_WATCHED).select("id", dx.monitored_name(X).alias("m")).select("id", "m.*")
+    return cased(spark, d, *_WATCHED).select("id", dx.monitored_name(text_column()).alias("m")).select("id", "m.*")
 
 
 _UPLOADS = ("38300-60.docx", "%d%n.md", "O-RAN.WG1.CUS.md", "O-RAN.WG1.CUS.docx", "notes %s.md", "TS_38.300.md")
@@ -125,7 +128,7 @@ _UPLOADS = ("38300-60.docx", "%d%n.md", "O-RAN.WG1.CUS.md", "O-RAN.WG1.CUS.docx"
 def upload_target(spark, d):
     k = F.col("id")
     head = F.when(k % 3 == 0, "3GPP TS 38.300 V17.4.0").when(k % 3 == 1, "x (Release 16)").otherwise("text")
-    return cased(spark, d, *_UPLOADS).select("id", dx.upload_target(X, head).alias("target"))
+    return cased(spark, d, *_UPLOADS).select("id", dx.upload_target(text_column(), head).alias("target"))
 
 
 _ANSWERS = ("an answer %s", "   ", "未在规范库中找到相关内容。", "抱歉，模型未能生成回答，请重试或换个问法。")
@@ -133,7 +136,7 @@ _ANSWERS = ("an answer %s", "   ", "未在规范库中找到相关内容。", "
 
 @query(f"WITH {cased_sql(*_ANSWERS)} SELECT id, trim(x) <> '' AND trim(x) NOT IN {dx.NO_ANSWERS} AS cacheable FROM c")
 def cacheable(spark, d):
-    return cased(spark, d, *_ANSWERS).select("id", dx.is_cacheable(X).alias("cacheable"))
+    return cased(spark, d, *_ANSWERS).select("id", dx.is_cacheable(text_column()).alias("cacheable"))
 
 
 _TARGETS = ("38.%n", "36.211", "O-RAN.WG1", "x")
@@ -143,7 +146,7 @@ _TARGETS = ("38.%n", "36.211", "O-RAN.WG1", "x")
 def graph_gates(spark, d):
     k = F.col("id")
     section, own = F.when(k % 4 == 0, "2").otherwise("3"), F.when(k % 3 == 0, "References").otherwise("Scope")
-    return cased(spark, d, *_TARGETS).select("id", dx.is_target_series(X, (38,)).alias("target"), dx.is_references_section(section, own, F.lit("")).alias("is_references"))
+    return cased(spark, d, *_TARGETS).select("id", dx.is_target_series(text_column(), (38,)).alias("target"), dx.is_references_section(section, own, F.lit("")).alias("is_references"))
 
 
 _TREF = ("see Table 6.3.3.2-1", "Table 4.1 – 2 holds", "table of contents %s", "Table 7-1")
@@ -151,7 +154,7 @@ _TREF = ("see Table 6.3.3.2-1", "Table 4.1 – 2 holds", "table of contents %s",
 
 @query(f"WITH {cased_sql(*_TREF)} SELECT id, regexp_matches(x, '{dx.TABLE_REFERENCE}') AS refers FROM c")
 def table_reference(spark, d):
-    return cased(spark, d, *_TREF).select("id", F.rlike(X, F.lit(dx.TABLE_REFERENCE)).alias("refers"))
+    return cased(spark, d, *_TREF).select("id", F.rlike(text_column(), F.lit(dx.TABLE_REFERENCE)).alias("refers"))
 
 
 def _badges(column: str, names: dict) -> str:
@@ -182,7 +185,7 @@ SELECT spec_number, figure_id, path FROM (SELECT *, row_number() OVER (PARTITION
 def image_map(spark, d):
     from quarry.sources.files import image_map as images
 
-    return images(cased(spark, d, *_IMG).select(F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("spec_number"), X.alias("text")))
+    return images(cased(spark, d, *_IMG).select(F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("spec_number"), text_column().alias("text")))
 
 
 def ivf_topk(spark, d):
