@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stage, table
-from .seed_extend import words_of
+from .seed_extend import symbols
 from .winnow import mix
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -39,28 +38,15 @@ LEAST_AGREED = 0.70
 CELLS = 1 << 20
 #: Ids that are broadcast at most (16 MB); beyond that they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
-CACHED_WORDS = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _XOR = mix(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64)).astype(np.uint32)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of word shingles; of fewer words the whole sequence is one, of none there are none."""
-    parts = words_of(data.translate(_LOWER))
-    if len(_HASHES) > CACHED_WORDS:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
+    h = symbols(data.translate(_LOWER))
     if not len(h):
         return h
     n = max(1, len(h) - words + 1)

@@ -20,7 +20,7 @@ from .winnow import Search, repeated_windows
 
 WINDOW, GRAM = 35, 12
 #: Words whose hashes a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 _TO_SPACE = bytes(0x20 if 9 <= b <= 13 else b for b in range(256))
 
@@ -41,6 +41,7 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 def symbols(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word."""
     words = words_of(data)
     if len(_HASHES) > CACHED_WORDS:
         _HASHES.clear()
