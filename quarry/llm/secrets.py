@@ -157,7 +157,7 @@ def postings(docs: DataFrame, trigrams: list[str], shards: int) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
-    """(_key, rules): the rules, as bits, whose query the document satisfies."""
+    """(_key, _rules): the rules, as bits, whose query the document satisfies."""
     lists = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
     none = F.array().cast("array<bigint>")
 
@@ -172,7 +172,7 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
 
     solved = F.array(*[F.struct(F.lit(1 << r).cast("long").alias("bit"), solve(q).alias("keys")) for r, q in queries.items()])
     hits = lists.select(F.explode(solved).alias("s")).select("s.bit", F.explode("s.keys").alias("_key"))
-    return hits.groupBy("_key").agg(F.bit_or("bit").alias("rules"))
+    return hits.groupBy("_key").agg(F.bit_or("bit").alias("_rules"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, *, text: str = "text") -> DataFrame:
@@ -180,20 +180,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, *, text: str =
 
     Null texts are empty; repeated rows are searched alike; an empty table gives no rows. The key of a
     document is a hash of its id and text: documents that share one share candidates, which verification
-    sorts out. Columns of docs that are named like added ones are replaced.
+    sorts out. Columns of docs that are named like added ones are replaced; _given, _key and _rules are left out.
     """
-    others = [c for c in docs.columns if c not in ("found", text)]
-    base = docs.select(*others, F.col(text).alias("_given"), F.coalesce(F.col(text), F.lit("")).alias("text")) if text != "text" else docs.select(*others, F.col("text").alias("_given"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c not in ("found", text, "text", "_given", "_key", "_rules")]
+    base = docs.select(*others, F.col(text).alias("_given"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumn("_key", F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), "text"))
     queries = {r: q for r, x in enumerate(rules) if (q := trigram_query(x.pattern)) != ANYTHING}
     trigrams = sorted({t for q in queries.values() for clause in q for t in clause})
     shards = int(input_bytes(docs) // (1 << 20)) + 8
     told = candidates(postings(base.select("_key", "text"), trigrams, shards), queries) if queries else None
-    joined = base.join(told, "_key", "left") if told is not None else base.withColumn("rules", F.lit(0))
+    joined = base.join(told, "_key", "left") if told is not None else base.withColumn("_rules", F.lit(0))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for r, rule in enumerate(rules):
-        wanted = (F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) if r in queries else F.rlike("text", F.lit(rule.pattern))
+        wanted = (F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) if r in queries else F.rlike("text", F.lit(rule.pattern))
         spans.append(F.when(wanted, matches(F.col("text"), rule, r)).otherwise(none))
     return joined.withColumn("found", F.array_sort(F.concat(*spans))).select(*others, F.col("_given").alias(text), "found")
 
