@@ -11,23 +11,30 @@ from .text import RELEASE_LINE, spec_from_name, upload_kind
 NO_ANSWERS = ("抱歉，模型未能生成回答，请重试或换个问法。", "未在规范库中找到相关内容。")
 ROLE_BADGES = {"authoritative": "🔴权威定义", "supporting": "🟡补充参考", "overview": "⚪概述"}
 TYPE_BADGES = {"parameter_table": "📊参数表", "definition": "📋定义"}
+# The lines of a prompt's paragraph on releases.
+NOTE_HEAD = "\n## Release 版本说明"
+NOTE_ONE = ("- 用户指定了版本范围: ", "\n- 以下上下文已限定为该版本的内容")
+NOTE_TWO = ("- 用户要求对比 ", " 与 ", " 的差异\n- 以下上下文按版本分组标注，请以对比表格或逐项对比的方式回答")
+NOTE_ANY = "- 用户意图为对比类查询，但未指定具体版本\n- 请关注上下文中的版本差异信息"
+# Patterns of converted Markdown.
 TABLE_REFERENCE = r"(?i)Table\s+\d+(?:\.\d+)+\s*[-–—]\s*\d+"
 IMAGE = r"!\[\]\(media/image[^)]+\)(?:\{[^}]+\})?"
 CAPTION = r"(Figure\s+\d[\d.]*-\d+:\s*[^\n]+)"
+LINK, ATTRIBUTES, HISTORY = r"\[([^\]]+?)\]\(#[^)]+\)", r"\{[#.][^}]+\}", r"(?ims)^#+\s+Annex\s+\w+(\s*\([^\n]*?\))?:\s*Change\s+history.*\z"
 
 
 def postprocess(text: Column) -> Column:
     """Converted Markdown without navigation links, attributes, bare images and the change history; captions stay."""
     for pattern, put in (
-        (r"\[([^\]]+?)\]\(#[^)]+\)", "$1"),
-        (r"\{[#.][^}]+\}", ""),
+        (LINK, "$1"),
+        (ATTRIBUTES, ""),
         (rf"(?m)^{CAPTION}\n+{IMAGE}", "[$1]"),
         (rf"{IMAGE}\s*\n+{CAPTION}", "[$1]"),
         (rf"{IMAGE}\s*", ""),
         (r"!\[\]\([^)]*\)\s*", ""),
     ):
         text = F.regexp_replace(text, pattern, put)
-    text = F.regexp_replace(text, r"(?ims)^#+\s+Annex\s+\w+(\s*\([^\n]*?\))?:\s*Change\s+history.*\z", "")
+    text = F.regexp_replace(text, HISTORY, "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r" +\n", "\n"), r"^\s+|\s+$", "")
 
 
@@ -76,11 +83,11 @@ def route_label(path: Column) -> Column:
 def release_note(kind: Column, first: Column, second: Column, comparative: Column, note: Column) -> Column:
     """The prompt's paragraph on releases; empty without a note."""
     body = (
-        F.when(kind == "single", F.concat(F.lit("- 用户指定了版本范围: "), first, F.lit("\n- 以下上下文已限定为该版本的内容")))
-        .when(kind == "compare", F.concat(F.lit("- 用户要求对比 "), first, F.lit(" 与 "), second, F.lit(" 的差异\n- 以下上下文按版本分组标注，请以对比表格或逐项对比的方式回答")))
-        .when(comparative, F.lit("- 用户意图为对比类查询，但未指定具体版本\n- 请关注上下文中的版本差异信息"))
+        F.when(kind == "single", F.concat(F.lit(NOTE_ONE[0]), first, F.lit(NOTE_ONE[1])))
+        .when(kind == "compare", F.concat(F.lit(NOTE_TWO[0]), first, F.lit(NOTE_TWO[1]), second, F.lit(NOTE_TWO[2])))
+        .when(comparative, F.lit(NOTE_ANY))
     )
-    return F.when(F.coalesce(note, F.lit("")) == "", "").otherwise(F.concat_ws("\n", F.lit("\n## Release 版本说明"), body, F.concat(F.lit("- "), note)))
+    return F.when(F.coalesce(note, F.lit("")) == "", "").otherwise(F.concat_ws("\n", F.lit(NOTE_HEAD), body, F.concat(F.lit("- "), note)))
 
 
 def monitored_name(name: Column) -> Column:

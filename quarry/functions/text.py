@@ -55,6 +55,10 @@ COMPARATIVE = r"(?i)(?:difference|change|new|update|delta|comparison|更新|新
 HEADER = r"(?i)(?:3GPP\s+)?(?:TS|TR)\s+(\d{2}\.\d{3})\s+V(\d+\.\d+\.\d+)"
 RELEASE_LINE = r"(?i)\(Release\s+(\d+)\)"
 ORAN_NAME = r"(?i)^O-RAN\.WG(\d+)\.(\w+(?:\.\w+)*)-(R\d+)-(v\d+\.\d+)"
+IMAGE_TAG, IMAGE_TITLED, IMAGE_BARE, ANCHOR = r"(?i)<img\s+[^>]*/?>", r"!\[\s*([^\]]*[^\]\s])\s*\]\([^)]*\)\s*", r"!\[\s*\]\([^)]*\)\s*", r"\[([^\]]+?)\]\(#[^)]+\)"
+FIGURE = r"^(Figure\s+\S+)"
+PRECISE_SECTION = r"(?i)§\s*\d+|section\s+\d+"
+TABLE_LINE = r"^\|[\s\-:|]+\|$"
 NAME_VERSION = r"(?i)[.-]([a-z]{1,3}\d{1,3}[a-z]?)$"
 
 
@@ -116,7 +120,7 @@ def is_cross_protocol(text: Column) -> Column:
 
 
 def is_precise(text: Column) -> Column:
-    return F.rlike(text, F.lit(SPEC_NUMBER)) & F.rlike(text, F.lit(r"(?i)§\s*\d+|section\s+\d+"))
+    return F.rlike(text, F.lit(SPEC_NUMBER)) & F.rlike(text, F.lit(PRECISE_SECTION))
 
 
 def spec_from_name(name: Column) -> Column:
@@ -172,10 +176,8 @@ def path_facts(path: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Images give way to their titles, anchors to their texts; blank runs and line ends are trimmed."""
-    text = F.regexp_replace(text, r"(?i)<img\s+[^>]*/?>", "")
-    text = F.regexp_replace(text, r"!\[\s*([^\]]*[^\]\s])\s*\]\([^)]*\)\s*", "[图: $1]")
-    text = F.regexp_replace(text, r"!\[\s*\]\([^)]*\)\s*", "")
-    text = F.regexp_replace(text, r"\[([^\]]+?)\]\(#[^)]+\)", "$1")
+    for pattern, put in ((IMAGE_TAG, ""), (IMAGE_TITLED, "[图: $1]"), (IMAGE_BARE, ""), (ANCHOR, "$1")):
+        text = F.regexp_replace(text, pattern, put)
     text = F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r" +\n", "\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -187,7 +189,7 @@ def version_key(version: Column) -> Column:
 
 
 def figure_id(title: Column) -> Column:
-    found = F.regexp_extract(F.trim(title), r"^(Figure\s+\S+)", 1)
+    found = F.regexp_extract(F.trim(title), FIGURE, 1)
     return F.when(found != "", F.regexp_replace(found, "[:：]+$", "")).otherwise(F.substring(F.trim(title), 1, 80))
 
 
@@ -208,7 +210,7 @@ def key_phrases(text: Column, least: int = 20, most: int = 5) -> Column:
 
 def has_table(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    return F.exists(lines, lambda x: F.rlike(x, F.lit(r"^\|[\s\-:|]+\|$"))) | (F.size(F.filter(lines, lambda x: x.startswith("+"))) >= 2)
+    return F.exists(lines, lambda x: F.rlike(x, F.lit(TABLE_LINE))) | (F.size(F.filter(lines, lambda x: x.startswith("+"))) >= 2)
 
 
 def content_type(text: Column, title: Column) -> Column:

@@ -37,8 +37,8 @@ def _chain(text: str, *steps: tuple[str, str]) -> str:
     return text
 
 
-_POST = _chain("x", (r"\[([^\]]+?)\]\(#[^)]+\)", r"'\1'"), (r"\{[#.][^}]+\}", "''"), (rf"(?m)^{dx.CAPTION}\n+{dx.IMAGE}", r"'[\1]'"), (rf"{dx.IMAGE}\s*\n+{dx.CAPTION}", r"'[\1]'"), (rf"{dx.IMAGE}\s*", "''"), (r"!\[\]\([^)]*\)\s*", "''"),
-               (r"(?ims)^#+\s+Annex\s+\w+(\s*\([^\n]*?\))?:\s*Change\s+history.*\z", "''"), (r"\n{4,}", "chr(10) || chr(10) || chr(10)"), (r" +\n", "chr(10)"), (r"^\s+|\s+$", "''"))
+_POST = _chain("x", (dx.LINK, r"'\1'"), (dx.ATTRIBUTES, "''"), (rf"(?m)^{dx.CAPTION}\n+{dx.IMAGE}", r"'[\1]'"), (rf"{dx.IMAGE}\s*\n+{dx.CAPTION}", r"'[\1]'"), (rf"{dx.IMAGE}\s*", "''"), (r"!\[\]\([^)]*\)\s*", "''"),
+               (dx.HISTORY, "''"), (r"\n{4,}", "chr(10) || chr(10) || chr(10)"), (r" +\n", "chr(10)"), (r"^\s+|\s+$", "''"))
 
 
 @query(f"WITH {_lines_sql(*_PANDOC)} SELECT id, {_POST} AS cleaned FROM c")
@@ -104,8 +104,8 @@ _INTENTS = ("R17 vs R18 in QoS", "Release 18 handover %s", "what changed in 5G Q
 
 @query(f"""WITH {cased_sql(*_INTENTS)}, m AS (SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE 'note ' || id END AS note, regexp_extract(x, '{tx.RELEASE_PAIR}', 1) AS a, regexp_extract(x, '{tx.RELEASE_PAIR}', 2) AS b,
   regexp_extract(x, '(?i)(?:Release\\s+|Rel[.-]?\\s*|R\\s*)(\\d{{2}})', 1) AS o, regexp_matches(x, '{tx.COMPARATIVE}') AS comp FROM c)
-SELECT id, CASE WHEN note = '' THEN '' ELSE concat_ws(chr(10), chr(10) || '## Release 版本说明', CASE WHEN a <> '' THEN '- 用户要求对比 R' || a || ' 与 R' || b || ' 的差异' || chr(10) || '- 以下上下文按版本分组标注，请以对比表格或逐项对比的方式回答'
-  WHEN o <> '' THEN '- 用户指定了版本范围: R' || o || chr(10) || '- 以下上下文已限定为该版本的内容' WHEN comp THEN '- 用户意图为对比类查询，但未指定具体版本' || chr(10) || '- 请关注上下文中的版本差异信息' END, '- ' || note) END AS paragraph FROM m""")
+SELECT id, CASE WHEN note = '' THEN '' ELSE concat_ws(chr(10), '{dx.NOTE_HEAD}', CASE WHEN a <> '' THEN '{dx.NOTE_TWO[0]}R' || a || '{dx.NOTE_TWO[1]}R' || b || '{dx.NOTE_TWO[2]}'
+  WHEN o <> '' THEN '{dx.NOTE_ONE[0]}R' || o || '{dx.NOTE_ONE[1]}' WHEN comp THEN '{dx.NOTE_ANY}' END, '- ' || note) END AS paragraph FROM m""")
 def release_note(spark, d):
     rows = cased(spark, d, *_INTENTS).withColumns({"i": tx.release_intent(text_column()), "note": F.when(F.col("id") % 7 == 0, "").otherwise(F.concat(F.lit("note "), F.col("id").cast("string")))})
     return rows.select("id", dx.release_note(F.col("i.kind"), F.col("i.first"), F.col("i.second"), F.col("i.comparative"), F.col("note")).alias("paragraph"))
