@@ -1,19 +1,123 @@
+"""The pipeline's stages against brute force, each on what its predecessor kept."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from quarry.llm import packing, quality_rules, secrets
 from quarry.llm.common import stage
 
+from .test_exact import WORD, components_of
+
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+@pytest.fixture(scope="module")
+def stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    kept = {}
+    found = [("documents", docs)]
     for name, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, DATA), name)
-        kept[name] = docs.count()
-        assert name == "packing" or docs.columns == columns
-    assert 0 < kept["near_duplicates"] < kept["quality_rules"] < before and kept["secret_scans"] == kept["near_duplicates"]
-    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        found.append((name, docs))
+    return {name: (df.columns, [tuple(r) for r in df.collect()]) for name, df in found}
+
+
+def clean(text):
+    """The kept lines and whether the document stays."""
+    words = WORD.findall(text)
+    win = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    hit = {p for k in range(len(words) - 7) if win[tuple(words[k : k + 8])] > 1 for p in range(k, k + 8)}
+    kept = []
+    for line in text.split("\n"):
+        n = len(WORD.findall(line))
+        symbols, bars = sum(c in quality_rules.SYMBOLS for c in line), sum(c in "|»•" for c in line)
+        ended = re.search(r"[.!?:;,…。！？][\"')\]»”’]*[\x20\x09-\x0D]*$", line)
+        fails = n < 8 and not ended or symbols > 0.1 * n or len(re.findall(r"[!?]{2,}", line)) > 0.2 * n or bars >= 3 or n <= 25 and re.search(quality_rules.BOILERPLATE, line)
+        if not (n and fails):
+            kept.append(line)
+    left = sum(len(WORD.findall(x)) for x in kept)
+    return "\n".join(kept), not (len(words) < 20 or 100 * len(hit) > 30 * len(words)) and 100 * left >= 70 * len(words)
+
+
+def hidden(text):
+    """text with its secrets marked."""
+    spans = sorted((m.start(), m.end()) for r in secrets.BASE + secrets.ADDED for m in re.finditer(r.pattern, text, re.A) if len(m[r.group]) >= r.least)
+    out, at = "", 0
+    for a, b in spans:
+        if a > at or at == 0:
+            out += text[at:a] + "[REDACTED]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scans", "source_mixing", "packing"]
+    assert all(stages[n][0] == stages["documents"][0] for n, _ in corpus_pipeline.STAGES[:-1])
+
+
+def test_quality_rules(stages):
+    want = [(i, *clean(t)) for i, t, *_ in stages["documents"][1]]
+    assert sorted((i, t) for i, t, *_ in stages["quality_rules"][1]) == sorted((i, t) for i, t, kept in want if kept)
+    assert all(n == len(t) for _, t, _, _, n in stages["quality_rules"][1])
+
+
+def test_near_duplicates(stages):
+    rows = stages["quality_rules"][1]
+    keep = {i for i, (_, _, _, kept) in components_of([(r[0], r[1]) for r in rows]).items() if kept}
+    assert sorted(stages["near_duplicates"][1]) == sorted(r for r in rows if r[0] in keep) and 0 < len(keep) < len(rows)
+
+
+def test_secret_scans(stages):
+    want = [(i, hidden(t), lang, source) for i, t, lang, source, _ in stages["near_duplicates"][1]]
+    assert sorted(r[:4] for r in stages["secret_scans"][1]) == sorted(want)
+
+
+def test_source_mixing(stages):
+    rows = stages["secret_scans"][1]
+    size = Counter()
+    for _, t, _, s, _ in rows:
+        size[s] += len(WORD.findall(t))
+    names = sorted(size)
+    weight, goal, open_ = {s: 1 + i % 3 for i, s in enumerate(names)}, {}, set(names)
+    while open_:
+        share = {s: (sum(size.values()) - sum(goal.values())) * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        goal |= {s: 3 * size[s] for s in over} if over else share
+        open_ = open_ - over if over else set()
+    want = Counter()
+    for s in names:
+        at, total = 0, int(goal[s] + 0.5)
+        full = total // size[s]
+        for i, t in sorted(((i, t) for i, t, _, x, _ in rows if x == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            w = WORD.findall(t)
+            part = max(0, min(len(w), total - full * size[s] - at))
+            at += len(w)
+            want[(i, t)] += full + (0 < part == len(w))
+            if 0 < part < len(w):
+                want[(i, " ".join(w[:part]))] += 1
+    assert Counter((i, t) for i, t, *_ in stages["source_mixing"][1]) == +want
+
+
+def test_packing(stages, spark):
+    tokenizer = packing.load_tokenizer(packing.default_tokenizer())
+    want = Counter()
+    for i, t, *_ in stages["source_mixing"][1]:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for a in range(0, len(ids), 2048):
+            want[(i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids))] += 1
+    assert Counter(r[:5] for r in stages["packing"][1]) == want
+    run = Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, DATA).collect())
+    assert run == want
+    ends: dict = {}
+    for *_, n, _, _, sequence, offset in sorted(stages["packing"][1], key=lambda r: (r[5], r[6])):
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + n
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(ends.values()) // 2048) + 1
 
 
 def test_one_of_each(spark):
