@@ -26,7 +26,7 @@ from .common import stage, table
 
 WINDOW, END_ID = 2048, 1
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 #: Texts whose words are looked up together.
 TOGETHER = 1024
 #: Marks that are parted from a word's end, and letters whose case is not folded here.
