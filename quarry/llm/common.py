@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: What rows that come from no files are taken to hold, in bytes.
 UNKNOWN = 64 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables of documents under so many bytes are dealt to all cores before they are worked on.
+SMALL = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +45,12 @@ def input_bytes(df: DataFrame) -> int:
     return found if found < 1 << 60 else UNKNOWN
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of few bytes, which may be a single row group, is dealt to all cores first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") and input_bytes(df) < SMALL else df
+
+
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """Shuffle partitions that grow with the input, and are never fewer than the session's own count."""
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
