@@ -55,7 +55,7 @@ def bm25_topk(spark, d):
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, d):
     docs = _docs(spark, d)
-    return search.term_stats(search.postings(docs), docs.count()).withColumn("idf", F.round("idf", 6))
+    return search.term_stats(search.document_frequencies(docs), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, bm.id, score, pos FROM bm JOIN documents ON doc_id = bm.id WHERE pos <= 20 AND lang = 'en'")
