@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,6 +126,16 @@ def test_dense_handles_zero_and_missing_vectors(spark):
     assert search.dense(v, q.limit(0), 3).count() == 0
 
 
+def test_dense_refuses_no_number_of_queries(spark):
+    n, rows = 10_050, np.random.default_rng(4).normal(size=(20, 2)).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id long, vector array<float>")
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") % 97 + 1).cast("float"), (F.col("id") % 89).cast("float")).alias("vector"))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit(np.stack([np.arange(n) % 97 + 1.0, np.arange(n) % 89], axis=1)) @ unit(rows.astype(np.float64)).T, 6)
+    want = {(i, int(j), p + 1) for i in range(n) for p, j in enumerate(np.lexsort((np.arange(20), -scores[i]))[:3])}
+    assert {(r.query_id, r.id, r.pos) for r in search.dense(v, q, 3).collect()} == want
+
+
 def test_truncation_and_saving(spark, tmp_path):
     rows = spark.createDataFrame([("é" * 40_000, "s" * 100, 38)], "text string, spec_number string, series int")
     path = str(tmp_path / "chunks")
