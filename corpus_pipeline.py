@@ -39,8 +39,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret becomes a mark; no document goes."""
-    found = secrets.scan(docs.withColumn("_all", F.struct(*docs.columns))).select("_all.*", F.col("found").alias("_found"))
+    """Every secret becomes a mark, private keys with their body; no document goes."""
+    found = secrets.scan(docs.withColumn("_all", F.struct(*docs.columns)), secrets.TO_REDACT).select("_all.*", F.col("found").alias("_found"))
     return _with_text(found, secrets.redact(F.col("text"), F.col("_found"))).drop("_found")
 
 

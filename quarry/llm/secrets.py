@@ -48,6 +48,16 @@ ADDED = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: For redaction: a private key from BEGIN over its body to its END line, which no other mark may precede; where END is
+#: missing, to the end of the base64 block. Breaks may be escaped. Possessive, so that long keys need no deep recursion.
+_BREAK = r"(?:[\x20\x09-\x0D]|\\[nrt])"
+WHOLE_KEY = Rule(
+    "pem",
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]+)*+"
+    rf"(?:(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_BREAK}++[A-Za-z0-9+/]++(?:={{1,2}}|(?=[\x20\x09-\x0D]*(?:[\"'\\\n]|$))))?)?)",
+)
+TO_REDACT = BASE + tuple(WHOLE_KEY if r.kind == "pem" else r for r in ADDED)
 
 
 def _trigrams(text: str) -> frozenset:

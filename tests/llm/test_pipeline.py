@@ -130,3 +130,20 @@ def test_stage_functions_keep_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "This is a clean line of prose that has more than twenty words in it, so that the base rules pass it on, as they should.", "s", "mine", 5)], "doc_id long, text string, source string, kept string, size int")
     for function in (corpus_pipeline.clean_lines, corpus_pipeline.redact_secrets):
         assert [tuple(r) for r in function(spark, rows, "").collect()] == [tuple(r) for r in rows.collect()]
+
+
+def test_redaction_hides_whole_private_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIE" + "Ab1+/" * 12] * 25 + ["Qz9="]
+    texts = {
+        "\n".join(["before", begin, *lines, end, "after"]): "before\n[REDACTED]\nafter",
+        "k = '" + "\\n".join([begin, *lines, end]) + "' and more": "k = '[REDACTED]' and more",
+        " ".join(["before", begin, *lines, "and prose goes on."]): "before [REDACTED] and prose goes on.",
+        "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, "prose - with a mark."]): "[REDACTED]\nprose - with a mark.",
+        " ".join([begin, *lines, "kept words", begin, *lines, end, "after"]): "[REDACTED] kept words [REDACTED] after",
+        f"The line {begin} starts a key.": "The line [REDACTED] starts a key.",
+        " ".join([begin, *lines * 2000, "a-b " * 20000, end, "x"]): "[REDACTED] x",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, rows, "").collect()}
+    assert found == dict(enumerate(texts.values()))
