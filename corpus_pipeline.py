@@ -27,7 +27,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines are removed; documents that fail the base rules or lose too much text go."""
-    judged = quality_rules.judge(docs.withColumn("_all", F.struct(*docs.columns))).filter("kept").select("_all.*", F.col("clean_text").alias("_clean"))
+    judged = quality_rules.judge(docs.withColumn("_all", F.struct(*docs.columns)), item_words=quality_rules.ITEM_WORDS).filter("kept").select("_all.*", F.col("clean_text").alias("_clean"))
     return _with_text(judged, F.col("_clean")).drop("_clean")
 
 

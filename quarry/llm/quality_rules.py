@@ -23,6 +23,8 @@ SHOUT = r"[!?]{2,}"
 BOILERPLATE = r"(?i)(licen[sc]e|copyright|all rights reserved|terms of (use|service)|privacy policy|cookie|subscribe|newsletter|click here|read more|sign in|log in)"
 #: Most symbols a word, most shouting marks a word, separators that make a line navigation, most words of a boilerplate line.
 MOST_SYMBOLS, MOST_SHOUTS, SEPARATORS, BOILERPLATE_WORDS = 0.1, 0.2, 3, 25
+#: For judge's item_words: the most words a separator that items of navigation have.
+ITEM_WORDS = 8
 #: A last line without an end mark is often cut-off prose; lines of so many words pass without one.
 PROSE_WORDS = 8
 #: The least part of a document's words that kept lines must hold, in hundredths.
@@ -56,24 +58,27 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) <= window, F.lit(0).cast("long")).otherwise(let(windows(h), count)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word is to be removed."""
+def line_fails(line: Column, item_words: int | None = None) -> Column:
+    """Whether a line with a word is to be removed; with item_words, navigation has at most so many words a separator."""
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     separators = F.length(line) - F.length(F.translate(line, "|»•", ""))
 
     def rules(words: Column) -> Column:
         punctuation = ((words < PROSE_WORDS) & ~F.rlike(line, F.lit(END_MARK))) | (symbols > MOST_SYMBOLS * words) | (F.regexp_count(line, F.lit(SHOUT)) > MOST_SHOUTS * words)
         navigation = separators >= SEPARATORS
+        if item_words is not None:
+            navigation = navigation & (words <= item_words * separators)
         boilerplate = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
         return punctuation | navigation | boilerplate
 
     return let(F.regexp_count(line, F.lit(WORD)), rules)
 
 
-def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT, item_words: int | None = None) -> DataFrame:
     """docs' columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_words, base_failed, kept and clean_text.
 
-    clean_text is the text without failing lines. Null and empty texts have no words, fail the base rules
+    clean_text is the text without failing lines. Separators make a line navigation whatever lies between them,
+    as op3's SQL has it, unless item_words bounds the words a separator. Null and empty texts have no words, fail the base rules
     and are not kept; repeated rows are judged alike; nothing depends on other rows, so an empty table gives
     none; columns of docs that are named like added ones are replaced.
     """
@@ -82,7 +87,7 @@ def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n", -1)
     with_word = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD)))
-    left = F.filter(lines, lambda x: ~(F.rlike(x, F.lit(WORD)) & line_fails(x)))
+    left = F.filter(lines, lambda x: ~(F.rlike(x, F.lit(WORD)) & line_fails(x, item_words)))
     counted = docs.select(
         *others,
         let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(F.transform(w, lambda x: F.xxhash64(x))).alias("r"))).alias("_w"),

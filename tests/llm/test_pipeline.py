@@ -147,3 +147,11 @@ def test_redaction_hides_whole_private_keys(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, rows, "").collect()}
     assert found == dict(enumerate(texts.values()))
+
+
+def test_long_lines_with_separators_are_no_navigation(spark):
+    prose = " ".join(f"word{i}" + " |" * (i in (500, 1000, 1500)) for i in range(2000)) + "."
+    menu = "Home | News and weather | Sport | About the people who work here | Contact."
+    body = " ".join(f"plain{i}" for i in range(60)) + "."
+    rows = spark.createDataFrame([(1, prose), (2, menu + "\n" + body)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.clean_lines(spark, rows, "").collect()} == {1: prose, 2: body}
