@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 # Fixed values of the format (ISO/IEC 13818-1).
 PACKET, SYNC, PAT_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x06, 0xBD
@@ -237,7 +237,8 @@ def with_stream(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 def op2_transport_stream(spark, sf_dir):
     docs = with_stream(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return docs.select("doc_id", size, digest("media").alias("d")).select("doc_id", "n_bytes", "d.*")
+    stored = stage(docs.select("doc_id", size, "media"), "media")
+    return stored.select("doc_id", "n_bytes", digest("media").alias("d")).select("doc_id", "n_bytes", "d.*")
 
 
 QUERIES = {"op2_transport_stream": op2_transport_stream}

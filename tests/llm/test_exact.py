@@ -352,3 +352,12 @@ def test_ranking_separates(spark):
     assert {r.score for r in ranking.rank(docs.limit(20), untrained).collect()} == {0.5}
     odd = ranking.rank(spark.createDataFrame([(1, None), (2, ""), (3, "a " * 50_000)], "doc_id long, text string"), ranking.train(docs, labels)).collect()
     assert all(0 <= r.score <= 1 for r in odd) and odd[0].score == odd[1].score
+
+
+def test_transport_digests_are_of_the_stored_table(spark):
+    found = transport.op2_transport_stream(spark, DATA)
+    (folder,) = {f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    stored = {r.doc_id: bytes(r.media) for r in spark.read.parquet(folder).select("doc_id", "media").collect()}
+    assert folder.removeprefix("file://").startswith(staged_path(spark, "media").removeprefix("file://").rsplit("-", 1)[0])
+    assert {r.doc_id: r.media_sha256 for r in found.collect()} == {i: hashlib.sha256(m).hexdigest() for i, m in stored.items()}
+    assert len(stored) == spark.read.parquet(f"{DATA}/documents.parquet").count()
