@@ -1,14 +1,17 @@
 """Substring dedup with a run-length index.
 
-Repetitive texts have a Burrows-Wheeler transform of few runs. The index keeps the runs and, at both ends of
-each, the text place sampled from the suffix array: that is enough to know, for every place of the text, the
-place whose suffix comes just before in suffix order, and how long both agree (they move along together
-between samples, and the agreement shrinks by one a step). These matching statistics are streamed along the
-text; where they reach the window, both places hold equal windows.
-
-Indexes are built for shards of text that share winnowed anchors (see `winnow`), so a window and all its
-equals are in one shard, and a shard holds each different block once. Blocks of an anchor with very many
-different blocks go by window hash instead, which is as exact and needs no shard to hold them.
+Repetitive texts have a Burrows-Wheeler transform of few runs. The index keeps the runs (letter, first row) and, at
+both ends of each, the text place sampled from the suffix array; the suffix array itself is dropped. Texts are
+streamed against it from their last byte to their first: a step finds the run of the next letter, moves the row by
+the last-to-first mapping, and carries along the length of the match and one text place that has it; where the
+letter is not in the row's run, the longer match at the neighbouring run ends is taken over. These are the
+matching statistics; where they reach the window, its bytes are in the index.
+
+Which of the places that have a window stands for all follows from the samples too: between sampled places, a
+place's predecessor in suffix order moves along with it, and their agreement shrinks by one a step.
+
+Indexes are built for shards of text that share winnowed anchors (see `winnow`), so a window and all its equals
+are in one shard, and a shard's index holds each different block once.
 """
 
 from __future__ import annotations
@@ -27,44 +30,122 @@ WINDOW, GRAM = 100, 32
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def symbols(data: bytes) -> np.ndarray:
+def hashes(data: bytes) -> np.ndarray:
     return _BYTES[np.frombuffer(data, np.uint8)]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; text holds small integers, and sorts end before all."""
+def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places in order of what follows them up to the next mark (0), ties by place; left: how far that mark is."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-    have, bits = 1, int(rank.max(initial=1)).bit_length()
-    while True:
-        both = rank << np.uint64(bits)
-        both[: n - have] |= rank[have:]
-        order = np.argsort(both)
+    room, bits = max(1, n.bit_length()), max(1, int(text.max(initial=0)).bit_length())
+    low = np.arange(n, dtype=np.uint64)
+
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Order by key and place, and the rank of each place's key from 1."""
+        if int(key.max(initial=0)).bit_length() + room <= 64:  # place and key in one number sort without an index
+            both = (key << np.uint64(room)) | low
+            both.sort()
+            order, key = (both & np.uint64((1 << room) - 1)).astype(np.int64), both >> np.uint64(room)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
         new = np.ones(n, bool)
-        if n:
-            ordered = both[order]
-            new[1:] = ordered[1:] != ordered[:-1]
+        new[1:] = key[1:] != key[:-1]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
-        have, bits = 2 * have, n.bit_length()
-        if new.all() or have > n:
-            return order
+        return order, rank, bool(new.all())
+
+    have, key = 1, text.astype(np.uint64)
+    while (have + 1) * bits + room <= 64 and have < n:
+        key <<= np.uint64(bits)
+        key[: n - have] |= np.where(left[: n - have] >= have, text[have:], 0).astype(np.uint64)
+        have += 1
+    order, rank, apart = ranked(key)
+    most = int(left.max(initial=0)) + 1
+    while not apart and have < most:
+        key = rank << np.uint64(room)
+        key[: n - have] |= np.where(left[: n - have] >= have, rank[have:], np.uint64(0))
+        order, rank, apart = ranked(key)
+        have *= 2
+    return order
 
 
 class RunIndex:
-    """Runs of the transform, with the text places at the ends of each."""
-
-    def __init__(self, text: np.ndarray):
-        order = suffix_array(text)
-        before = text[order - 1]  # the first place's is the last, which closes the text
+    """Runs of the transform of texts, with the text places at both ends of each."""
+
+    def __init__(self, texts: list[bytes]):
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(b"\x00".join([*texts, b""]), np.uint8)
+        self.firsts = np.cumsum(lengths + 1) - lengths - 1  # where each text starts
+        marks = self.firsts + lengths
+        there = np.bincount(raw, minlength=256) > 0
+        there[0] = any(b"\x00" in x for x in texts)
+        self.codes = np.where(there, np.cumsum(there), 0).astype(np.int64)  # of bytes; 0 is the mark that ends a text
+        text = self.codes[raw]
+        text[marks] = 0
+        order = suffix_order(text, np.repeat(marks, lengths + 1) - np.arange(len(text)))
+        before = text[order - 1]  # the first place's is the last, a mark
         head = np.ones(len(text), bool)
-        head[1:] = before[1:] != before[:-1]
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # marks are all different, so none goes on a run
         self.text, self.heads = text, np.flatnonzero(head)
         self.letters = before[self.heads]
         self.lengths = np.diff(self.heads, append=len(text))
         self.starts = order[self.heads]  # the text place at the first row of each run
         self.stops = order[self.heads + self.lengths - 1]  # and at the last
         self.runs = len(self.heads)
+        by_letter = np.argsort(self.letters, kind="stable")
+        self.letter_runs = by_letter
+        self.letter_keys = self.letters[by_letter] * (len(text) + 1) + self.heads[by_letter]
+        sizes = self.lengths[by_letter]
+        self.letter_rows = np.cumsum(sizes) - sizes  # the row that the first row of each run maps to
+
+    def stream(self, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics at the places where a window of each text starts: the length, at most, of the match, and a text place that has it.
+
+        All texts are streamed side by side, a letter of each at a step.
+        """
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        by_length = np.argsort(-lengths, kind="stable")
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        ends, sizes = np.cumsum(lengths)[by_length], lengths[by_length]
+        windows = np.maximum(lengths - window + 1, 0)
+        out = (np.cumsum(windows) - windows)[by_length]
+        found, places = np.zeros(windows.sum(), np.int64), np.full(windows.sum(), -1)
+        row, at, match = np.zeros(len(texts), np.int64), np.full(len(texts), self.starts[0] if self.runs else 0), np.zeros(len(texts), np.int64)
+        if not self.runs:
+            return found, places
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            n = int(np.searchsorted(-sizes, -step, side="right"))
+            letter, r = self.codes[raw[ends[:n] - step]], row[:n]
+            slot = np.searchsorted(self.letter_keys, letter * (len(self.text) + 1) + r, side="right") - 1
+            run = self.letter_runs[slot]
+            inside = (letter > 0) & (slot >= 0) & (self.letters[run] == letter) & (r < self.heads[run] + self.lengths[run])
+            if not inside.all():
+                self._jump(np.flatnonzero(~inside), letter, slot, row, at, match)
+                run = self.letter_runs[slot]
+            row[:n] = np.where(letter > 0, self.letter_rows[slot] + row[:n] - self.heads[run], 0)
+            at[:n] = np.where(letter > 0, at[:n] - 1, self.starts[0])
+            match[:n] = np.where(letter > 0, match[:n] + 1, 0)
+            if step >= window:
+                to = out[:n] + sizes[:n] - step
+                found[to], places[to] = match[:n], at[:n]
+        return found, places
+
+    def _jump(self, which: np.ndarray, letter: np.ndarray, slot: np.ndarray, row: np.ndarray, at: np.ndarray, match: np.ndarray) -> None:
+        """Moves streams whose letter is not in their row's run to the end of a neighbouring run of it, where the longer match is."""
+        best, place, to, slots = np.full(len(which), -1), at[which].copy(), row[which].copy(), slot[which].copy()
+        for k in (0, 1):
+            near = np.clip(slot[which] + k, 0, self.runs - 1)
+            run = self.letter_runs[near]
+            good = (letter[which] > 0) & (self.letters[run] == letter[which]) & (slot[which] + k == near)
+            spot = np.where(k == 0, self.stops[run], self.starts[run])
+            own = np.where(good, np.minimum(match[which], self._extent(np.where(good, at[which], -1), spot)), -1)
+            better = own > best
+            best[better], place[better], slots[better] = own[better], spot[better], near[better]
+            to[better] = (np.where(k == 0, self.heads[run] + self.lengths[run] - 1, self.heads[run]))[better]
+        gone = best < 0  # the letter is nowhere in the index
+        letter[which[gone]] = 0
+        match[which], at[which], row[which], slot[which] = np.maximum(best, 0), place, to, slots
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text place: the place before it in suffix order (-1 for none), and the length on which both agree."""
@@ -72,7 +153,7 @@ class RunIndex:
         sample = np.argsort(self.starts)
         at = self.starts[sample]
         prior = np.where(sample > 0, self.stops[sample - 1], -1)
-        agree = self._extent(at, prior)
+        agree = self._extent(prior, at)
         last = np.zeros(n, np.int64)
         last[at] = np.arange(len(at))
         last = np.maximum.accumulate(last)
@@ -81,41 +162,33 @@ class RunIndex:
         return other, np.where(other >= 0, np.maximum(agree[last] - gone, 0), 0)
 
     def _extent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length on which the suffixes at a and b agree; 0 where b is -1."""
-        n, out = len(self.text), np.zeros(len(a), np.int64)
-        live = np.flatnonzero(b >= 0)
+        """The length on which the texts from a and b agree; 0 where a is -1."""
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(a >= 0)
         step = 0
         while len(live):
-            x, y = a[live] + step, b[live] + step
-            same = (x < n) & (y < n)
-            same[same] = self.text[x[same]] == self.text[y[same]]
-            live = live[same]
+            x = self.text[a[live] + step]
+            live = live[(x == self.text[b[live] + step]) & (x > 0)]
             out[live] += 1
             step += 1
         return out
 
-
-def equal_windows(text: np.ndarray, window: int) -> np.ndarray:
-    """For each place a label that it shares with the places at which an equal window starts."""
-    index = RunIndex(text)
-    other, agree = index.statistics()
-    label = np.where(agree >= window, other, np.arange(len(text)))
-    while True:
-        further = label[label]
-        if np.array_equal(further, label):
-            return label
-        label = further
+    def classes(self, window: int) -> np.ndarray:
+        """For each text place the first in suffix order of the places with an equal window."""
+        other, agree = self.statistics()
+        label = np.where(agree >= window, other, np.arange(len(self.text)))
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                return label
+            label = further
 
 
-def classes(body: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Labels of the places of blocks that lie one after the other; equal windows of any two share one."""
-    many = len(lengths)
-    ends = np.cumsum(lengths)
-    text = np.empty(len(body) + many, np.int64)
-    at = np.arange(len(body)) + np.repeat(np.arange(many), lengths)
-    text[at] = body.astype(np.int64) + many
-    text[ends + np.arange(many)] = np.arange(many)  # a mark of its own ends each block
-    return equal_windows(text, window)[at]
+def labels(contents: list[bytes], anchors: np.ndarray, copies: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Streams contents against the index of all; a label for each of their windows that the stream finds there, else -1."""
+    index = RunIndex(contents)
+    length, place = index.stream(contents, window)
+    return np.where(length >= window, index.classes(window)[place], -1)
 
 
 def keep(data: bytes, starts: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[bytes, int]:
@@ -132,7 +205,7 @@ def keep(data: bytes, starts: np.ndarray, sizes: np.ndarray, window: int = WINDO
     return b"".join(parts), spans
 
 
-SEARCH = Search(WINDOW, GRAM, False, symbols, classes)
+SEARCH = Search(WINDOW, GRAM, False, bytes, hashes, bytes, lambda *args: labels(*args))
 
 
 def _answer(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple:

@@ -2,49 +2,47 @@
 
 Documents are sequences of symbols (bytes or words). Every window of W symbols picks an anchor, the K-gram
 of smallest hash (the last of equal ones), which depends on the window alone: equal windows, wherever they are,
-have equal anchors at the same distance. Consecutive windows with one anchor form a block. Work then follows
-the anchors:
-
-1. `seed`     cuts the documents of a bucket into blocks and sends a fixed-size record for each, by anchor.
-2. `meet`     joins the records of an anchor. Blocks of equal content are settled at once, and a block whose
-              anchor occurs nowhere else is dropped; blocks that share an anchor but differ are asked for.
-3. `extend`   goes back to the texts and sends what those blocks hold: their content or their window hashes.
-4. `compare`  finds the windows that the blocks share.
-5. `finish`   brings the repeated windows of each document together with its text.
-
-Texts are dealt out once, by bucket of documents; the steps that need them share that exchange. Groups stay
-bounded: within a bucket, blocks of equal content send one record, and an anchor with many different blocks
-sends a marker and its window hashes, dealt by window, so that no anchor's blocks need to meet in one task.
+have equal anchors at the same distance. Consecutive windows with one anchor form a block. Hashes of anchors
+only choose which blocks meet; what is equal is decided by the search's own `labels`, on the blocks' content.
+
+1. `seed`    sends the anchors of a bucket of documents, each once with its count of blocks.
+2. `meet`    tells each bucket which of its anchors other buckets have too.
+3. `extend`  decides blocks that share an anchor inside the bucket, and sends the content of blocks whose anchor
+             other buckets have: each different content once, and only if it holds the first of some window.
+4. `decide`  decides the blocks that meet from all buckets, in the same way.
+5. `finish`  brings the repeated windows of each document together with its text.
+
+Texts are dealt out once, by bucket of documents; the steps that need them share that exchange. No group grows
+with the documents: copies in a bucket send one content, buckets meet in groups of FAN and groups of buckets in
+a second level, and an anchor of very many blocks sends its windows one by one, dealt by window, to the same
+decision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_bytes
 
-# Kinds of rows that the steps exchange; each row holds many records, column by column.
-ANCHOR, DONE, WINDOW, ASK, CONTENT = range(5)
-DTYPES = {
-    ANCHOR: ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4"),  # anchor, block hash, doc, doc hash, start, windows; no windows: a marker
-    DONE: ("<i8", "<u4", "<u4", "<u4"),  # doc, doc hash, start, windows
-    WINDOW: ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4"),  # anchor, window hash, doc, doc hash, start, settled
-    ASK: ("<u8", "<i8", "<u4", "<u4", "<u4", "<u4"),  # anchor, doc, doc hash, start, windows, flags
-    CONTENT: ("<i8", "<u4", "<u4", "<u4"),  # as DONE; then the blocks' bytes
-}
-ROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-ROW_DDL = "key int, kind int, data binary"
-SETTLED, BY_WINDOW = 1, 2
-#: A block record's count of windows has this bit where the block is settled already.
-SETTLED_BIT = np.uint32(1 << 31)
-#: Different blocks of an anchor in one bucket, and in all, before they go by window.
-MOST_LOCAL, MOST_BLOCKS = 8, 4096
+# Records that the steps exchange, column by column; a row holds many.
+ANCHOR = ("<u8", "<u4")  # anchor, blocks
+TOTAL = ("<u8", "<u4", "<u4")  # anchor, blocks, buckets
+SHARED = ("<u8", "<u4")  # anchor, whether its windows go one by one
+DONE = ("<u4", "<u4", "<u4")  # document of the bucket, start, windows
+BLOCK = ("<i8", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4")  # doc id, bucket, document of it, start, windows, place of the anchor, bytes of content
+ROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+ROW_DDL = "key long, part int, data binary"
+#: Buckets whose records meet in one group at most; beyond that groups meet in a second level.
+FAN = 4096
+#: Blocks of one anchor, over all buckets, that meet in one group at most; beyond that its windows are dealt apart.
+MOST_BLOCKS = 8192
 #: Symbols hashed at a time, compressed input bytes of a bucket of documents, and what a null id counts as.
 CHUNK, BUCKET, NO_ID = 1 << 18, 3 << 20, np.iinfo(np.int64).max
 
@@ -76,25 +74,31 @@ _UP, _DOWN = _powers(_B, CHUNK + 4096), _powers(_B_INV, CHUNK + 4096)
 
 @dataclass(frozen=True)
 class Search:
-    """What to look for: windows of `window` symbols; the sizes of K-grams; which of equal windows count as repeated.
+    """What to look for: windows of `window` symbols, anchors of `gram`; which of equal windows count as repeated.
 
     all_repeats: every window that also starts elsewhere, else every one that starts earlier in order of
-    (doc id, start). symbols: a document's bytes to an array of uint64, equal for equal symbols.
+    (doc id, start). units: a document's bytes to a sequence of symbols; hashes: of units, uint64, equal for
+    equal symbols; content: units to bytes, equal for equal units only.
+
+    labels(contents, anchors, copies): for different contents, one after the other, a label of each window, which
+    equal windows share, or -1 for a window that no other place of these contents, with so many copies, holds.
     """
 
     window: int
     gram: int
     all_repeats: bool
-    symbols: Callable[[bytes], np.ndarray]
-    classes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None  # of blocks' contents; None: by window hashes
+    units: Callable[[bytes], Sequence]
+    hashes: Callable[[Sequence], np.ndarray]
+    content: Callable[[Sequence], bytes]
+    labels: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 def blocks(values: np.ndarray, ends: np.ndarray, search: Search) -> tuple[np.ndarray, ...]:
-    """(anchor, block hash, start, windows) of symbols that hold several documents; ends are those of each symbol's document."""
+    """(anchor, start, windows, place of the anchor from start) of symbols that hold several documents; ends are those of each symbol's document."""
     n, w = len(values), search.window
     starts = n - w + 1
     if starts <= 0:
-        return tuple(np.zeros(0, t) for t in ("u8", "u8", "i8", "u4"))
+        return tuple(np.zeros(0, t) for t in ("u8", "i8", "i8", "i8"))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _DOWN[:n], out=sums[1:])
     grams = mix((sums[search.gram :] - sums[: n - search.gram + 1]) * _UP[: n - search.gram + 1])
@@ -110,73 +114,60 @@ def blocks(values: np.ndarray, ends: np.ndarray, search: Search) -> tuple[np.nda
     new &= inside
     first = np.flatnonzero(new)
     size = np.minimum(np.diff(first, append=n), ends[first] - w + 1 - first)
-    anchor = grams[(_PLACE - (least[first] & _PLACE)).astype(np.int64)]
-    content = mix((sums[first + size + w - 1] - sums[first]) * _UP[first] + size.astype(np.uint64))
-    return anchor, content | np.uint64(1), first, size.astype(np.uint32)
-
-
-def window_hashes(values: np.ndarray, search: Search) -> np.ndarray:
-    """A hash of every window of one block's symbols."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _DOWN[: len(values)], out=sums[1:])
-    n = len(values) - search.window + 1
-    return mix((sums[search.window :] - sums[:n]) * _UP[:n] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    at = (_PLACE - (least[first] & _PLACE)).astype(np.int64)
+    return grams[at], first, size, at - first
 
 
-def pack(columns, kind: int, more: bytes = b"") -> bytes:
-    parts = [np.ascontiguousarray(c).astype(t, copy=False).tobytes() for c, t in zip(columns, DTYPES[kind], strict=True)]
+def pack(columns, kind: tuple[str, ...], more: bytes = b"") -> bytes:
+    parts = [np.ascontiguousarray(c).astype(t, copy=False).tobytes() for c, t in zip(columns, kind, strict=True)]
     return b"".join([len(columns[0]).to_bytes(4, "little"), *parts, more])
 
 
-def unpack(data: bytes, kind: int) -> tuple[list[np.ndarray], int]:
+def unpack(data: bytes, kind: tuple[str, ...]) -> tuple[list[np.ndarray], int]:
     """The columns, and where they end."""
     n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for t in DTYPES[kind]:
+    for t in kind:
         out.append(np.frombuffer(data, t, n, at))
         at += out[-1].nbytes
     return out, at
 
 
-def gather(rows, kind: int) -> list[np.ndarray]:
-    """The records of a kind of all rows (kind, data)."""
-    found = [unpack(d, kind)[0] for k, d in rows if k == kind]
-    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in DTYPES[kind]]
+def gather(rows: list[bytes], kind: tuple[str, ...]) -> list[np.ndarray]:
+    """The records of all rows."""
+    found = [unpack(data, kind)[0] for data in rows]
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in kind]
 
 
 class Out:
-    """Rows to send, dealt by key."""
+    """Rows to send."""
 
     def __init__(self):
-        self.keys, self.kinds, self.data = [], [], []
+        self.keys, self.parts, self.data = [], [], []
 
-    def one(self, key: int, kind: int, data: bytes) -> None:
+    def one(self, key: int, part: int, data: bytes) -> None:
         self.keys.append(key)
-        self.kinds.append(kind)
+        self.parts.append(part)
         self.data.append(data)
 
-    def put(self, keys: np.ndarray, kind: int, columns) -> None:
-        if not len(keys):
-            return
-        order = np.argsort(keys, kind="stable")
-        keys, columns = keys[order], [c[order] for c in columns]
-        cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-            self.one(int(keys[a]), kind, pack([c[a:b] for c in columns], kind))
+    def put(self, keys: np.ndarray, part: int | None, kind: tuple[str, ...], columns) -> None:
+        """A row for each key; part None: the key itself."""
+        for key, rows in _by(keys):
+            self.one(key, key if part is None else part, pack([c[rows] for c in columns], kind))
 
     def table(self) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(self.keys, pa.int32()), pa.array(self.kinds, pa.int32()), pa.array(self.data, pa.binary())], schema=ROW)
-
+        return pa.Table.from_arrays([pa.array(self.keys, pa.int64()), pa.array(self.parts, pa.int32()), pa.array(self.data, pa.binary())], schema=ROW)
 
-def _rows(table: pa.Table) -> list[tuple[int, bytes]]:
-    return list(zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True))
 
-
-def _documents(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    for doc, own, data in zip(table.column("doc_id").to_pylist(), table.column("_hash").to_pylist(), table.column("_data"), strict=True):
-        yield NO_ID if doc is None else doc, own, data.as_py() or b""
+def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key, with the rows that have it in their order."""
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
+        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            yield int(keys[order[a]]), order[a:b]
 
 
-def _first_of(columns: list[np.ndarray]) -> np.ndarray:
+def first_of(columns: list[np.ndarray]) -> np.ndarray:
     """Whether each row of sorted key columns differs from the one before."""
     new = np.ones(len(columns[0]), bool)
     if len(new):
@@ -184,204 +175,282 @@ def _first_of(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _places(doc: np.ndarray, own: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-    """Where each document's rows start and end, in rows sorted by document."""
-    if not len(doc):
-        return {}
-    cuts = np.flatnonzero(_first_of([doc, own]))
-    return {(int(doc[a]), int(own[a])): (a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)}
-
-
-def _runs(doc: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+def _runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Runs of windows, with those that touch or overlap made one."""
-    order = np.lexsort((start, own, doc))
-    doc, own, start, end = doc[order], own[order], start[order].astype(np.int64), start[order].astype(np.int64) + size[order]
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order].astype(np.int64), start[order].astype(np.int64) + size[order]
     if not len(doc):
-        return [doc, own, start, end]
-    new = _first_of([doc, own])
+        return [doc, start, end]
+    new = first_of([doc])
     group = np.cumsum(new)
     top = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)  # the furthest end so far, within a document
     cut = new.copy()
     cut[1:] |= start[1:] > top[:-1]
     at = np.flatnonzero(cut)
-    return [doc[at], own[at], start[at], np.maximum.reduceat(end, at) - start[at]]
+    return [doc[at], start[at], np.maximum.reduceat(end, at) - start[at]]
+
+
+def documents(table: pa.Table) -> list[tuple[int, bytes]]:
+    """The different documents of a bucket, (id, data), in order of id and then of data: a place in it names the document."""
+    ids = table.column("doc_id").to_pylist()
+    return sorted({(NO_ID if i is None else i, x.as_py() or b"") for i, x in zip(ids, table.column("_data"), strict=True)})
 
 
-def seed(docs: pa.Table, search: Search, buckets: int) -> pa.Table:
-    """The blocks of a bucket's documents, by anchor; what can be settled inside the bucket is."""
-    found, held, seen = [], [], set()
+def _all_blocks(docs: list[tuple[int, bytes]], search: Search) -> tuple[list[np.ndarray], Callable[[int], Sequence]]:
+    """(anchor, document, start, windows, place of the anchor) of all blocks of a bucket, and a document's units."""
+    found, held, room = [], [], 0
 
     def flush() -> None:
-        if not held:
-            return
-        values = np.concatenate([h[2] for h in held])
-        sizes = np.array([len(h[2]) for h in held])
-        ends = np.cumsum(sizes)
-        anchor, content, first, size = blocks(values, np.repeat(ends, sizes), search)
-        which = np.searchsorted(ends, first, side="right")
-        base = np.array([h[3] for h in held]) - (ends - sizes)
-        found.append((anchor, content, np.array([h[0] for h in held], np.int64)[which], np.array([h[1] for h in held], np.uint32)[which], (first + base[which]).astype(np.uint32), size))
-        held.clear()
-
-    room = 0
-    for doc, own, data in _documents(docs):
-        if (doc, own) in seen:
-            continue
-        seen.add((doc, own))
-        values, at = search.symbols(data), 0
+        if held:
+            sizes = np.array([len(h[1]) for h in held])
+            ends = np.cumsum(sizes)
+            anchor, first, size, at = blocks(np.concatenate([h[1] for h in held]), np.repeat(ends, sizes), search)
+            which = np.searchsorted(ends, first, side="right")
+            base = np.array([h[2] for h in held]) - (ends - sizes)
+            found.append((anchor, np.array([h[0] for h in held])[which], first + base[which], size, at))
+            held.clear()
+
+    for k, (_, data) in enumerate(docs):
+        values, at = search.hashes(search.units(data)), 0
         while at == 0 or at + search.window <= len(values):
             part = values[at : at + CHUNK]
             if room + len(part) > CHUNK:
                 flush()
                 room = 0
             if len(part) >= search.window:
-                held.append((doc, own, part, at))
+                held.append((k, part, at))
                 room += len(part)
             at += CHUNK - search.window + 1
     flush()
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in ("u8", "i8", "i8", "i8", "i8")]
+    last: list = [None, None]
+
+    def units(k: int) -> Sequence:
+        if last[0] != k:
+            last[:] = k, search.units(docs[k][1])
+        return last[1]
+
+    return columns, units
+
+
+def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = np.sort(keys)
+    at = np.flatnonzero(first_of([found]))
+    return found[at], np.diff(at, append=len(found))
+
+
+def seed(table: pa.Table, search: Search, part: int, shards: int, groups: int) -> pa.Table:
+    """The different anchors of a bucket, with their blocks, dealt by anchor and group of buckets."""
     out = Out()
-    if not found:
-        return out.table()
-    anchor, content, doc, own, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+    anchor, many = _counts(_all_blocks(documents(table), search)[0][0])
+    out.put((anchor % np.uint64(shards)).astype(np.int64) + shards * (part % groups), part, ANCHOR, [anchor, many])
+    return out.table()
+
+
+def _sum(rows: pa.Table, kind: tuple[str, ...]) -> list[np.ndarray]:
+    """(anchor, blocks, buckets) of rows of a group, each anchor once."""
+    cols = gather(rows.column("data").to_pylist(), kind)
+    anchor, many, buckets = cols if kind is TOTAL else (*cols, np.ones(len(cols[0]), np.int64))
     order = np.argsort(anchor, kind="stable")
-    lone = np.ones(len(anchor), bool)
-    same = anchor[order][1:] == anchor[order][:-1]
-    lone[1:] &= ~same
-    lone[:-1] &= ~same
-    alone, order = order[lone], order[~lone]
-    out.put((anchor[alone] % np.uint64(buckets)).astype(np.int64), ANCHOR, [c[alone] for c in (anchor, content, doc, own, start, size)])
-    if not len(order):
-        return out.table()
-    cols = [c[order] for c in (anchor, content, doc, own, start, size)]
-    order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-    anchor, content, doc, own, start, size = (c[order] for c in cols)
-    group, new = _first_of([anchor]), _first_of([anchor, content])
-    count = np.diff(np.flatnonzero(new), append=len(new))
-    twice = np.repeat(count > 1, count)
-    done = twice & (search.all_repeats | ~new)
-    key = int(own[0]) % buckets
-    if done.any():
-        out.one(key, DONE, pack(_runs(doc[done], own[done], start[done], size[done]), DONE))
-    size = np.where(twice & search.all_repeats, size | SETTLED_BIT, size)
-    kept = [c[new] for c in (anchor, content, doc, own, start, size)]
-    groups = np.flatnonzero(group[new])
-    many = np.diff(groups, append=len(kept[0]))
-    hot = np.repeat(many > MOST_LOCAL, many)
-    out.put((kept[0][~hot] % np.uint64(buckets)).astype(np.int64), ANCHOR, [c[~hot] for c in kept])
-    if hot.any():
-        at = groups[many > MOST_LOCAL]
-        zero = np.zeros(len(at), np.uint32)
-        out.put((kept[0][at] % np.uint64(buckets)).astype(np.int64), ANCHOR, [kept[0][at], np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), zero, zero, zero])
-        ask = [kept[0][hot], *(c[hot] for c in kept[2:5]), kept[5][hot] & ~SETTLED_BIT, np.where(kept[5][hot] & SETTLED_BIT, SETTLED, 0) | BY_WINDOW]
-        out.one(key, ASK, pack(ask, ASK))
+    at = np.flatnonzero(first_of([anchor[order]]))
+    if not len(at):
+        return [anchor, many, buckets]
+    return [anchor[order][at], *(np.minimum(np.add.reduceat(c[order].astype(np.int64), at), 1 << 31) for c in (many, buckets))]
+
+
+def total(rows: pa.Table, shards: int) -> pa.Table:
+    """A group's anchors, each once with its blocks and buckets, for the second level."""
+    out = Out()
+    if rows.num_rows:
+        key = rows.column("key")[0].as_py()
+        out.one(key % shards, key // shards, pack(_sum(rows, ANCHOR), TOTAL))
     return out.table()
 
 
-def meet(rows: pa.Table, search: Search, parts: int) -> pa.Table:
-    """Settles blocks of equal content, and asks for those that share an anchor and differ."""
-    rows, out = _rows(rows), Out()
-    for kind, data in rows:  # what is settled or asked for already goes back to its documents
-        if kind in (DONE, ASK):
-            out.one(int(unpack(data, kind)[0][1 if kind == DONE else 2][0]) % parts, kind, data)
-    cols = gather(rows, ANCHOR)
-    order = np.argsort(cols[0], kind="stable")
-    same = cols[0][order][1:] == cols[0][order][:-1]
-    shared = np.zeros(len(order), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    cols = [c[order[shared]] for c in cols]
-    order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-    anchor, content, doc, own, start, size = (c[order] for c in cols)
-    if not len(anchor):
-        return out.table()
-    settled, size = (size & SETTLED_BIT) != 0, size & ~SETTLED_BIT
-    marker = size == 0
-    group = np.cumsum(_first_of([anchor])) - 1
-    new = _first_of([anchor, content])
-    variant = np.cumsum(new) - 1
-    twice = (np.bincount(variant) > 1)[variant] & ~marker
-    done = twice & ~settled if search.all_repeats else twice & ~new
-    runs = _runs(doc[done], own[done], start[done], size[done])
-    out.put((runs[1] % np.uint32(parts)).astype(np.int64), DONE, runs)
-    differ = np.bincount(group[new & ~marker], minlength=group[-1] + 1)
-    marked = np.bincount(group[marker], minlength=group[-1] + 1) > 0
-    hot = marked | (differ > MOST_BLOCKS)
-    open_ = ~(settled | twice) if search.all_repeats else np.ones(len(new), bool)
-    some_open = np.bincount(group[new & ~marker & open_], minlength=group[-1] + 1) > 0
-    ask = new & ~marker & (((differ > 1) & some_open) | marked)[group]
-    flags = np.where(open_, 0, SETTLED) | np.where(hot[group], BY_WINDOW, 0)
-    out.put((own[ask] % np.uint32(parts)).astype(np.int64), ASK, [c[ask] for c in (anchor, doc, own, start, size, flags)])
+def across(rows: pa.Table, shards: int) -> pa.Table:
+    """For each group of buckets that have it, the shared anchors over all groups."""
+    out, (anchor, many, buckets) = Out(), _sum(rows, TOTAL)
+    shared, hot = anchor[buckets > 1], (many > MOST_BLOCKS)[buckets > 1]
+    for row in rows.to_pylist():
+        mine = np.isin(shared, unpack(row["data"], TOTAL)[0][0])
+        out.one(row["key"] + shards * row["part"], -1, pack([shared[mine], hot[mine]], SHARED))
     return out.table()
 
 
-def extend(docs: pa.Table, rows: pa.Table, search: Search, buckets: int) -> pa.Table:
-    """What the blocks asked for hold; what is settled passes."""
-    rows, out = _rows(rows), Out()
-    for kind, data in rows:
-        if kind == DONE:
-            out.one(int(unpack(data, DONE)[0][1][0]) % buckets, DONE, data)
-    anchor, doc, own, start, size, flags = gather(rows, ASK)
-    order = np.lexsort((start, own, doc))
-    anchor, doc, own, start, size, flags = (c[order] for c in (anchor, doc, own, start, size, flags))
-    where = _places(doc, own)
-    hashes, content = [], []
-    for key_doc, key_own, data in _documents(docs) if where else ():
-        a, b = where.pop((key_doc, key_own), (0, 0))
-        values = None
-        for i in range(a, b):
-            first, n = int(start[i]), int(size[i])
-            if flags[i] & BY_WINDOW or search.classes is None:
-                values = search.symbols(data) if values is None else values
-                found = window_hashes(values[first : first + n + search.window - 1], search)
-                hashes.append((np.full(n, anchor[i]), found, np.full(n, doc[i]), np.full(n, own[i]), np.arange(first, first + n, dtype=np.uint32), np.full(n, flags[i] & SETTLED, np.uint32)))
-            else:
-                content.append((int(anchor[i] % np.uint64(buckets)), i, data[first : first + n + search.window - 1]))
-    if hashes:
-        cols = [np.concatenate(c) for c in zip(*hashes, strict=True)]
-        out.put((cols[1] % np.uint64(buckets)).astype(np.int64), WINDOW, cols)
-    content.sort(key=lambda x: x[:2])
-    for k in sorted({c[0] for c in content}):
-        own_rows = [c for c in content if c[0] == k]
-        at = np.array([c[1] for c in own_rows])
-        out.one(k, CONTENT, pack([doc[at], own[at], start[at], size[at]], CONTENT, b"".join(c[2] for c in own_rows)))
+def meet(rows: pa.Table, known: pa.Table | None = None) -> pa.Table:
+    """For each bucket of a group, those of its anchors that other buckets have too; known: shared over all groups."""
+    out = Out()
+    if known is None:
+        anchor, many, buckets = _sum(rows, ANCHOR)
+        shared, hot = anchor[buckets > 1], (many > MOST_BLOCKS)[buckets > 1]
+    else:
+        shared, hot = gather(known.column("data").to_pylist(), SHARED)
+    order = np.argsort(shared)
+    shared, hot = shared[order], hot[order]
+    for part, data in zip(rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True) if len(shared) else ():
+        anchor = unpack(data, ANCHOR)[0][0]
+        at = np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)
+        at = at[shared[at] == anchor]
+        if len(at):
+            out.one(part, part, pack([shared[at], hot[at]], SHARED))
     return out.table()
 
 
-def _repeated(classes: list[np.ndarray], doc, own, start, settled, search: Search) -> list[np.ndarray]:
-    """The windows of each class that count as repeated, as runs."""
-    order = np.lexsort((start, own, doc, *classes[::-1]))
-    classes, doc, own, start, settled = [c[order] for c in classes], doc[order], own[order], start[order], settled[order]
-    new = _first_of(classes)
+@dataclass
+class Met:
+    """Blocks that meet: documents' ids, buckets and places in them; starts, windows, anchors' places; contents."""
+
+    doc: np.ndarray
+    part: np.ndarray
+    pos: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    contents: list[bytes]
+
+
+def decided(met: Met, search: Search) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(block, start, windows) of repeated runs; the blocks with the first of any window; and, window by window of these, whether it is one.
+
+    Equal contents are one to the labels, with as many copies. A window's first place is that of the smallest
+    (doc id, start) among the blocks that meet.
+    """
+    known: dict[bytes, int] = {}
+    own = np.fromiter((known.setdefault(c, len(known)) for c in met.contents), np.int64, len(met.contents))
+    order = np.lexsort((met.pos, met.part, met.doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(first_of([met.doc[order], met.part[order], met.pos[order]]))
+    base = (rank << 32) + met.start
+    order = np.lexsort((base, own))
+    lead = order[first_of([own[order]])]  # the first block of each content
+    copies = np.bincount(own)
+    label = search.labels(list(known), met.at[lead], copies)
+    size = met.size[lead].astype(np.int64)
+    which = np.repeat(np.arange(len(lead)), size)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    place, there = base[lead][which] + offset, label >= 0
+    least = np.full(label.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label[there], place[there])
+    first = ~there
+    first[there] = least[label[there]] == place[there]
     if search.all_repeats:
-        count = np.diff(np.flatnonzero(new), append=len(new))
-        hit = np.repeat(count > 1, count) & (settled == 0)
+        many = np.bincount(label[there], weights=copies[which[there]], minlength=len(least))
+        hit = there.copy()
+        hit[there] = many[label[there]] > 1
+        again = hit
     else:
-        hit = ~new
-    return _runs(doc[hit], own[hit], start[hit], np.ones(int(hit.sum()), np.int64))
-
-
-def compare(rows: pa.Table, search: Search, parts: int) -> pa.Table:
-    """The windows that different blocks share."""
-    rows, out = _rows(rows), Out()
-    for kind, data in rows:
-        if kind == DONE:
-            out.one(int(unpack(data, DONE)[0][1][0]) % parts, DONE, data)
-    anchor, found, doc, own, start, settled = gather(rows, WINDOW)
-    if len(anchor):
-        runs = _repeated([anchor, found], doc, own, start, settled, search)
-        out.put((runs[1] % np.uint32(parts)).astype(np.int64), DONE, runs)
-    texts = [(unpack(d, CONTENT), d) for k, d in rows if k == CONTENT]
-    if texts:
-        doc, own, start, size = (np.concatenate(c) for c in zip(*[t[0][0] for t in texts], strict=True))
-        body = np.frombuffer(b"".join(d[at:] for (_, at), d in texts), np.uint8)
-        size = size.astype(np.int64)
-        label = search.classes(body, size + search.window - 1)
-        lengths = size + search.window - 1
-        base = np.cumsum(lengths) - lengths
-        which = np.repeat(np.arange(len(size)), size)
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        runs = _repeated([label[base[which] + step]], doc[which], own[which], (start[which] + step).astype(np.uint32), np.zeros(len(which), np.uint32), search)
-        out.put((runs[1] % np.uint32(parts)).astype(np.int64), DONE, runs)
+        hit, again = there & ~first, there
+
+    def runs(mask: np.ndarray) -> tuple[np.ndarray, ...]:
+        edge = mask.copy()
+        edge[1:] &= ~mask[:-1] | (offset[1:] == 0)
+        a = np.flatnonzero(edge)
+        stop = mask.copy()
+        stop[:-1] &= ~mask[1:] | (offset[1:] == 0)
+        return which[a], offset[a], np.flatnonzero(stop) - a + 1
+
+    content, off, n = runs(hit)
+    found = [(lead[content], met.start[lead[content]] + off, n)]
+    content, off, n = runs(again & (copies[which] > 1))
+    later = np.ones(len(own), bool)
+    later[lead] = False
+    later = np.flatnonzero(later)
+    a, b = np.searchsorted(content, own[later]), np.searchsorted(content, own[later], side="right")
+    of = np.repeat(later, b - a)
+    row = np.arange(len(of)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+    found.append((of, met.start[of] + off[row], n[row]))
+    some = np.zeros(len(lead), bool)
+    some[which[first]] = True
+    return [np.concatenate(c) for c in zip(*found, strict=True)], lead[some], first[some[which]]
+
+
+def _send(out: Out, met: Met, key: Callable[[np.ndarray], np.ndarray], anchor: np.ndarray) -> None:
+    for k, rows in _by(key(anchor)):
+        held = [met.contents[i] for i in rows]
+        columns = [c[rows] for c in (met.doc, met.part, met.pos, met.start, met.size, met.at)]
+        out.one(k, -1, pack([*columns, np.fromiter(map(len, held), np.int64, len(held))], BLOCK, b"".join(held)))
+
+
+def extend(table: pa.Table, answers: pa.Table, search: Search, part: int, shards: int, groups: int) -> pa.Table:
+    """What is repeated inside the bucket, and the contents of blocks that share an anchor with other buckets."""
+    out, docs = Out(), documents(table)
+    (anchor, pos, start, size, at), units = _all_blocks(docs, search)
+    many_anchors, many = _counts(anchor)
+    here = many[np.searchsorted(many_anchors, anchor)] > 1 if len(anchor) else np.zeros(0, bool)
+    shared, hot = gather(answers.column("data").to_pylist(), SHARED)
+    order = np.argsort(shared)
+    shared, hot = shared[order], hot[order]
+    place = np.searchsorted(shared, anchor)
+    place[place == len(shared)] = 0
+    there = shared[place] == anchor if len(shared) else np.zeros(len(anchor), bool)
+    apart = there & (hot[place] > 0) if len(shared) else there
+    rows = np.flatnonzero(here | there)
+    if not len(rows):
+        return out.table()
+    rows = rows[np.argsort(pos[rows], kind="stable")]
+    anchor, pos, start, size, at, here, there, apart = (c[rows] for c in (anchor, pos, start, size, at, here, there, apart))
+    contents = [search.content(units(k)[a : a + n + search.window - 1]) for k, a, n in zip(pos.tolist(), start.tolist(), size.tolist(), strict=True)]
+    ids = np.array([d[0] for d in docs], np.int64)[pos]
+    all_ = Met(ids, np.full(len(pos), part), pos, start, size, at, contents)
+
+    def of(rows: np.ndarray) -> Met:
+        return Met(*(c[rows] for c in (all_.doc, all_.part, all_.pos, all_.start, all_.size, all_.at)), [contents[i] for i in rows])
+
+    left = np.flatnonzero(~here)  # whose windows are all their bucket's first
+    fresh = [np.ones(size[i], bool) for i in left if apart[i]]
+    left_apart = [i for i in left if apart[i]]
+    send = list(left[~apart[left]])
+    inside = np.flatnonzero(here)
+    if len(inside):
+        (block, begin, n), some, first = decided(of(inside), search)
+        found = _runs(pos[inside[block]], begin, n)
+        if len(found[0]):
+            out.one(-1 - part, part, pack(found, DONE))
+        some = inside[some]
+        cuts = np.cumsum(size[some])[:-1]
+        for i, mask in zip(some, np.split(first, cuts), strict=True):
+            if there[i] and not apart[i]:
+                send.append(i)
+            elif there[i]:
+                left_apart.append(i)
+                fresh.append(mask)
+    group = shards * (part % groups)
+    send = np.array(send, np.int64)
+    _send(out, of(send), lambda a: (a % np.uint64(shards)).astype(np.int64) + group, anchor[send])
+    if left_apart:  # window by window, dealt by window
+        which = np.repeat(np.array(left_apart), [int(m.sum()) for m in fresh])
+        offset = np.concatenate([np.flatnonzero(m) for m in fresh])
+        one = Met(ids[which], np.full(len(which), part), pos[which], start[which] + offset, np.ones(len(which), np.int64), at[which] - offset, [])
+        one.contents = [search.content(units(k)[a : a + search.window]) for k, a in zip(one.pos.tolist(), one.start.tolist(), strict=True)]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, one.contents), np.uint64, len(which))
+        _send(out, one, lambda a: (a % np.uint64(shards)).astype(np.int64) + group, hashes)
+    return out.table()
+
+
+def decide(rows: pa.Table, search: Search, shards: int, last: bool) -> pa.Table:
+    """What is repeated among the blocks that meet; before the last level, also the blocks with the first of any window."""
+    out, held = Out(), []
+    for key, part, data in zip(rows.column("key").to_pylist(), rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True):
+        if key < 0:  # what is settled goes back to its bucket
+            out.one(-1 - part if not last else part, part, data)
+        else:
+            held.append((key, data))
+    if not held:
+        return out.table()
+    told = [unpack(data, BLOCK) for _, data in held]
+    *columns, length = (np.concatenate(c).astype(np.int64) for c in zip(*(t[0] for t in told), strict=True))
+    contents, k = [], 0
+    for (_, data), (cols, at) in zip(held, told, strict=True):
+        for n in cols[-1].tolist():
+            contents.append(data[at : at + n])
+            at += n
+    met = Met(*columns, contents)
+    (block, begin, n), some, _ = decided(met, search)
+    for part, rows_ in _by(met.part[block]):
+        out.one(part if last else -1 - part, part, pack(_runs(met.pos[block[rows_]], begin[rows_], n[rows_]), DONE))
+    if not last and len(some):
+        kept = Met(*(c[some] for c in columns), [contents[i] for i in some])
+        _send(out, kept, lambda a: a, np.full(len(some), held[0][0] % shards))
     return out.table()
 
 
@@ -389,28 +458,39 @@ def repeated_windows(docs: DataFrame, search: Search, answer: Callable[[bytes, n
     """A row for each row of docs (doc_id, _data binary): doc_id and answer(data, starts, windows).
 
     starts and windows are runs of repeated window starts. Rows that repeat both id and data are one document
-    to the search, and each gets its answer; rows with one id and different data are different documents,
-    ordered by hash. Null ids are ordered last, as one id; null data is empty; an empty table gives no rows.
+    to the search, and each gets its answer; rows with one id and different data are different documents, in
+    a fixed order. Null ids are ordered last, as one id; null data is empty; an empty table gives no rows.
     """
     parts = int(input_bytes(docs) // BUCKET) + 8
-    buckets = 2 * parts
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_data", F.xxhash64("doc_id", "_data").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_hash"))
-    own = own.withColumn("_part", F.pmod("_hash", F.lit(parts)).cast("int"))
+    shards, groups = 4 * parts, -(-parts // FAN)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_data")
+    own = own.withColumn("_part", F.pmod(F.xxhash64("doc_id", "_data"), F.lit(parts)).cast("int"))
     dealt = own.groupBy("_part")
 
+    def bucket(key) -> int:
+        return key[0].as_py()
+
     def finish(key, left: pa.Table, rows: pa.Table) -> pa.Table:
-        doc, hashes, start, size = gather(_rows(rows), DONE)
-        doc, hashes, start, size = _runs(doc, hashes, start, size)
-        where = _places(doc, hashes)
+        doc, start, size = _runs(*gather(rows.column("data").to_pylist(), DONE))
+        distinct = {d: k for k, d in enumerate(documents(left))}
+        a, b = (np.searchsorted(doc, np.arange(len(distinct)), side=s) for s in ("left", "right"))
         answers = []
-        for d, h, data in _documents(left):
-            a, b = where.get((d, h), (0, 0))
-            answers.append(answer(data, start[a:b], size[a:b]))
+        for i, x in zip(left.column("doc_id").to_pylist(), left.column("_data"), strict=True):
+            data = x.as_py() or b""
+            k = distinct[NO_ID if i is None else i, data]
+            answers.append(answer(data, start[a[k] : b[k]], size[a[k] : b[k]]))
         columns = zip(*answers, strict=True) if answers else [[] for _ in names]
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), *(pa.array(list(c), names[n][1]) for n, c in zip(names, columns, strict=True))], names=["doc_id", *names])
 
-    seeds = dealt.applyInArrow(lambda t: seed(t, search, buckets), ROW_DDL)
-    met = seeds.groupBy("key").applyInArrow(lambda t: meet(t, search, parts), ROW_DDL)
-    asked = dealt.cogroup(met.groupBy("key")).applyInArrow(lambda left, right: extend(left, right, search, buckets), ROW_DDL)
-    told = asked.groupBy("key").applyInArrow(lambda t: compare(t, search, parts), ROW_DDL)
+    seeds = dealt.applyInArrow(lambda key, t: seed(t, search, bucket(key), shards, groups), ROW_DDL)
+    by_key = seeds.groupBy("key")
+    if groups == 1:
+        met = by_key.applyInArrow(lambda t: meet(t), ROW_DDL)
+    else:
+        known = by_key.applyInArrow(lambda t: total(t, shards), ROW_DDL).groupBy("key").applyInArrow(lambda t: across(t, shards), ROW_DDL)
+        met = by_key.cogroup(known.groupBy("key")).applyInArrow(lambda left, right: meet(left, right), ROW_DDL)
+    told = dealt.cogroup(met.groupBy("key")).applyInArrow(lambda key, left, right: extend(left, right, search, bucket(key), shards, groups), ROW_DDL)
+    if groups > 1:
+        told = told.groupBy("key").applyInArrow(lambda t: decide(t, search, shards, False), ROW_DDL)
+    told = told.groupBy("key").applyInArrow(lambda t: decide(t, search, shards, True), ROW_DDL)
     return dealt.cogroup(told.groupBy("key")).applyInArrow(finish, "doc_id long, " + ", ".join(f"{n} {t}" for n, (t, _) in names.items()))
