@@ -109,6 +109,9 @@ def keep(words: list[bytes], starts: np.ndarray, sizes: np.ndarray, window: int
     return parts + words[at:]
 
 
+SEARCH = Search(WINDOW, GRAM, True, words_of, hashes, b" ".join, lambda *args: labels(*args))
+
+
 def _answer(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple:
     words = words_of(data)
     kept = keep(words, starts, sizes)

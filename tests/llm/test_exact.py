@@ -73,16 +73,48 @@ def repeated_words(rows):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [{}, {"BUCKET": 1 << 10}, {"BUCKET": 1 << 10, "FAN": 3, "MOST_BLOCKS": 2}])
 def test_substring_dedup(docs, texts, monkeypatch, small):
-    if small:  # hot anchors and many buckets
-        for name, value in {"BUCKET": 1 << 10, "MOST_LOCAL": 1, "MOST_BLOCKS": 2}.items():
-            monkeypatch.setattr(winnow, name, value)
+    for name, value in small.items():  # many buckets, many groups of buckets, and hot anchors
+        monkeypatch.setattr(winnow, name, value)
     rows = list(enumerate(texts))
     assert {r.doc_id: bytes(r.kept) for r in run_index.clean_texts(docs).collect()} == repeated_bytes(rows)
     assert {r.doc_id: r.kept for r in seed_extend.clean_texts(docs).collect()} == repeated_words(rows)
 
 
+@pytest.mark.parametrize("module", [run_index, seed_extend])
+def test_substring_dedup_comes_from_its_method(spark, texts, monkeypatch, module):
+    """Without labels, those of the index or of extended seeds, nothing is found."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: len(r.kept) for r in module.clean_texts(frame).collect()}
+    asked = winnow.Search(module.WINDOW, module.GRAM, module.SEARCH.all_repeats, module.SEARCH.units, module.SEARCH.hashes, module.SEARCH.content, _no_labels(module.WINDOW, module is seed_extend))
+    monkeypatch.setattr(module, "SEARCH", asked)
+    off = {r.doc_id: len(r.kept) for r in module.clean_texts(frame).collect()}
+    assert off != whole and all(off[i] == (len(texts[i] or "") if module is seed_extend and i < 52 else len((texts[i] or "").encode())) for i in range(52))
+
+
+def _no_labels(window, words):
+    def labels(contents, anchors, copies):
+        sizes = [len(c.split(b" ")) if words else len(c) for c in contents]
+        return np.full(sum(max(0, n - window + 1) for n in sizes), -1)
+
+    return labels
+
+
+def test_substring_dedup_of_one_passage_everywhere(spark):
+    """A passage that all documents hold, in differing surroundings and in few buckets or many."""
+    draw = random.Random(21)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for i in range(400):
+        around = [f"{draw.choice('abcd')}{draw.randrange(500)}" for _ in range(40)]
+        at = draw.randrange(30)
+        rows.append((i, " ".join(around[:at] + passage + around[at:])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in seed_extend.clean_texts(frame).collect()} == repeated_words(rows)
+    assert {r.doc_id: bytes(r.kept) for r in run_index.clean_texts(frame).collect()} == repeated_bytes(rows)
+
+
 def test_substring_dedup_of_repeated_rows(spark):
     t = "some text of many words " * 10
     rows = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id long, text string")
@@ -92,20 +124,57 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert run_index.clean_texts(rows.limit(0)).count() == 0
 
 
+def _random_texts(draw, letters, many, most):
+    return [bytes(draw.integers(97, 97 + letters, draw.integers(1, most)).astype(np.uint8)) for _ in range(many)]
+
+
 def test_run_index_labels_equal_windows():
     draw = np.random.default_rng(3)
     for _ in range(60):
-        body = draw.integers(0, 2, draw.integers(1, 200)).astype(np.uint8)
-        lengths = np.diff(np.concatenate([[0], np.sort(draw.integers(0, len(body) + 1, 4)), [len(body)]]))
-        lengths = lengths[lengths > 0]
-        label, ends, raw = run_index.classes(body, lengths, 5), np.repeat(np.cumsum(lengths), lengths), bytes(body)
-        at = [i for i in range(len(raw)) if i + 5 <= ends[i]]
-        assert all((raw[i : i + 5] == raw[j : j + 5]) == (label[i] == label[j]) for i in at for j in at)
+        texts = list(dict.fromkeys(_random_texts(draw, 2, 5, 60)))
+        label = run_index.labels(texts, None, np.ones(len(texts)), 5)
+        seen = [t[i : i + 5] for t in texts for i in range(len(t) - 4)]
+        assert len(label) == len(seen) and all((a == b) == (x == y) for a, x in zip(seen, label, strict=True) for b, y in zip(seen, label, strict=True))
+
+
+def test_run_index_streams_matching_statistics():
+    """Texts that the index does not hold: the longest match at each place, and a place that has it."""
+    draw = np.random.default_rng(4)
+    for letters in (1, 2, 4):
+        for _ in range(20):
+            held, asked = _random_texts(draw, letters, 4, 50), _random_texts(draw, letters + 1, 3, 50)
+            index = run_index.RunIndex(held)
+            length, place = index.stream(asked, 3)
+            want = [max((n for n in range(len(t) - i + 1) if any(t[i : i + n] in h for h in held)), default=0) for t in asked for i in range(len(t) - 2)]
+            assert length.tolist() == want
+            joined = b"\x00".join([*held, b""])
+            k = 0
+            for t in asked:
+                for i in range(len(t) - 2):
+                    assert joined[place[k] : place[k] + length[k]] == t[i : i + length[k]]
+                    k += 1
 
 
 def test_run_index_compresses_repetitive_text():
-    text = np.frombuffer(b"abracadabra, " * 300 + b"\x00", np.uint8).astype(np.int64)
-    assert run_index.RunIndex(text).runs < 60
+    assert run_index.RunIndex([b"abracadabra, " * 300]).runs < 60
+
+
+def test_seeds_are_extended_both_ways():
+    """Occurrences of a seed with differing surroundings: windows are alike as far as both sides go on alike."""
+    draw = random.Random(9)
+    for _ in range(30):
+        contents, anchors = [], []
+        for _ in range(6):
+            left, right = [draw.choice("ab") for _ in range(draw.randrange(4, 8))], [draw.choice("ab") for _ in range(draw.randrange(4, 8))]
+            contents.append(" ".join([*left, "s", "t", *right]).encode())
+            anchors.append(len(left))
+        contents, anchors = zip(*{c: a for c, a in zip(contents, anchors, strict=True)}.items(), strict=True)
+        label = seed_extend.labels(list(contents), np.array(anchors), np.ones(len(contents), np.int64), 6)
+        windows = [(tuple(c.split(b" ")[i : i + 6]), i <= a and i + 6 > a) for c, a in zip(contents, anchors, strict=True) for i in range(len(c.split(b" ")) - 5)]
+        count = Counter(w for w, inside in windows if inside)
+        for (w, inside), x in zip(windows, label, strict=True):
+            assert inside is False or (x >= 0) == (count[w] > 1)
+        assert all((v == w) == (x == y) for (v, _), x in zip(windows, label, strict=True) for (w, _), y in zip(windows, label, strict=True) if x >= 0 and y >= 0)
 
 
 def shingle_set(text):
