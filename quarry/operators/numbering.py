@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, which all executors see, and read back: its rows are the same each time they are read."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    path = f"{folder.rstrip('/')}/quarry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import stage as settled
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "n", parts: int | None = None) -> DataFrame:
