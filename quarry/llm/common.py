@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.storage import discard, shared_dir, stage, staged_path
+
+__all__ = ["WORD", "discard", "groups_for", "input_bytes", "let", "parts_for", "shared_dir", "stage", "staged_path", "table"]
+
 #: A word is a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What rows that come from no files are taken to hold, in bytes.
 UNKNOWN = 64 << 20
-#: Tables of documents under so many bytes are dealt to all cores before they are worked on.
-SMALL = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="quarry-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = staged_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -46,13 +24,19 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of few bytes, which may be a single row group, is dealt to all cores first."""
+    """A table; one whose scan has fewer tasks than there are cores is dealt to all of them first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") and input_bytes(df) < SMALL else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
+
+
+def groups_for(df: DataFrame, bytes_each: int) -> int:
+    """Hash groups of so many bytes of the input; their number grows with it without bound."""
+    return input_bytes(df) // bytes_each + 8
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions that grow with the input, and are never fewer than the session's own count."""
+    """Shuffle partitions that grow with the input, from the session's own count to 200,000; beyond that they grow in size, and sort on disk."""
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(max(own, min(200_000, input_bytes(df) // bytes_each + 1)))
 

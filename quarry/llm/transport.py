@@ -113,11 +113,12 @@ class Stream:
     random_access: list[int] = field(default_factory=list)
     packets: int = 0
     gaps: int = 0
+    duplicates: int = 0
     errors: list[str] = field(default_factory=list)
 
 
 def _tables(s: Stream, pid: int, body: bytes) -> None:
-    at = 1 + body[0]
+    at = 1 + (body[0] if body else 0)
     size = 3 + (int.from_bytes(body[at + 1 : at + 3], "big") & 0xFFF)
     section = body[at : at + size]
     if len(section) < size or section_crc(section):
@@ -134,6 +135,12 @@ def _tables(s: Stream, pid: int, body: bytes) -> None:
 
 
 def demux(media: bytes) -> Stream:
+    """What a stream holds; it may be cut, damaged or empty.
+
+    A counter that is not the next one is a gap; a packet that repeats the one before it on its PID, counter and
+    content, is a duplicate, which the format allows once and whose content counts once. An elementary packet of
+    length 0 goes on to the next one's start.
+    """
     s, last, parts, payload = Stream(packets=len(media) // PACKET), {}, [], []
     if len(media) % PACKET:
         s.errors.append("length")
@@ -144,13 +151,14 @@ def demux(media: bytes) -> Stream:
         pes = b"".join(parts)
         parts.clear()
         size = int.from_bytes(pes[4:6], "big")
-        if pes[:3] != b"\x00\x00\x01" or len(pes) < 6 + size:
+        end = 6 + size if size else len(pes)
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < max(9, end) or end < 9 + pes[8]:
             s.errors.append(f"elementary packet {len(s.times)}")
             return
-        if pes[7] & 0x80:
+        if pes[7] & 0x80 and pes[8] >= 5:
             t = pes[9:14]
             s.times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
-        unit = pes[9 + pes[8] : 6 + size]
+        unit = pes[9 + pes[8] : end]
         s.units.append(len(unit))
         payload.append(unit)
 
@@ -160,23 +168,32 @@ def demux(media: bytes) -> Stream:
             continue
         pid, control = (media[at + 1] & 0x1F) << 8 | media[at + 2], media[at + 3]
         body, count = at + 4, control & 15
+        random_access = False
         if control & 0x20:
-            if media[body] and media[body + 1] & 0x40:
-                s.random_access.append(len(s.units) + bool(parts))
+            random_access = bool(media[body] and media[body + 1] & 0x40)
             body += 1 + media[body]
+        content = media[body : at + PACKET] if control & 0x10 else b""
+        if control & 0x10:
+            if pid in last:
+                expected, before, again = last[pid]
+                if count == (expected - 1) & 15 and content == before and not again:
+                    last[pid] = (expected, before, True)
+                    s.duplicates += 1
+                    continue
+                s.gaps += count != expected
+            last[pid] = ((count + 1) & 15, content, False)
+        if random_access:
+            s.random_access.append(len(s.units) + bool(parts))
         if not control & 0x10:
             continue
-        if pid in last and last[pid] != count:
-            s.gaps += 1
-        last[pid] = (count + 1) & 15
         start = media[at + 1] & 0x40
         if pid == PAT_PID or pid in s.programs.values():
             if start:
-                _tables(s, pid, media[body : at + PACKET])
+                _tables(s, pid, content)
         elif pid in s.types:
             if start:
                 close()
-            parts.append(media[body : at + PACKET])
+            parts.append(content)
     close()
     s.payload = b"".join(payload)
     return s
@@ -200,13 +217,19 @@ def _read(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"payload": [s.payload for s in found], "pts": [s.times for s in found], "unit_bytes": [s.units for s in found], "random_access": [s.random_access for s in found], "programs": [s.programs for s in found], "stream_types": [s.types for s in found], "packets": [s.packets for s in found], "continuity_errors": [s.gaps for s in found], "errors": [s.errors for s in found]})
 
 
+def feature_of(s: Stream) -> str:
+    """Programs, stream types, packets, units, times (first, last and step; none are dashes), random-access points and faults."""
+    pairs = lambda x: ",".join(f"{k}:{v}" for k, v in sorted(x.items()))
+    times = f"{s.times[0]}-{s.times[-1]}/{s.times[1] - s.times[0] if len(s.times) > 1 else 0}" if s.times else "-"
+    return f"programs={pairs(s.programs)};types={pairs(s.types)};packets={s.packets};units={len(s.units)};pts={times};rap={','.join(map(str, s.random_access))};gaps={s.gaps};errors={len(s.errors)}"
+
+
 def _digest(media: pd.Series) -> pd.DataFrame:
     rows = []
     for x in media:
+        x = x or b""
         s = demux(x)
-        step = s.times[1] - s.times[0] if len(s.times) > 1 else 0
-        feature = f"programs={','.join(f'{k}:{v}' for k, v in sorted(s.programs.items()))};types={','.join(f'{k}:{v}' for k, v in sorted(s.types.items()))};packets={s.packets};units={len(s.units)};pts={s.times[0]}-{s.times[-1]}/{step};rap={','.join(map(str, s.random_access))};gaps={s.gaps};errors={len(s.errors)}"
-        rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(x), hashlib.sha256(x).hexdigest(), feature))
+        rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(x), hashlib.sha256(x).hexdigest(), feature_of(s)))
     return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
@@ -216,12 +239,15 @@ def to_stream(data: Column) -> Column:
 
 
 def read_stream(media: Column) -> Column:
-    """The parsed stream: payload, a presentation time and size for each unit, and the units that start at a random-access point."""
+    """The parsed stream: payload, a presentation time and size for each unit, and the units that start at a random-access point.
+
+    A null or empty stream holds nothing; what is broken in a damaged one is named in errors, and the rest is read.
+    """
     return F.pandas_udf(_read, PARSED)(media)
 
 
 def digest(media: Column) -> Column:
-    """Digests of a stored stream and of the payload read back from it."""
+    """Digests of a stored stream and of the payload read back from it; a null stream is an empty one, a damaged one has what can be read."""
     return F.pandas_udf(_digest, DIGEST)(media)
 
 
@@ -235,6 +261,11 @@ def with_stream(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 
 
 def op2_transport_stream(spark, sf_dir):
+    """Every document's stored stream and what is read back from it.
+
+    A null text is empty, so one unit of 64 zero bytes; texts of any length are whole; repeated rows have equal
+    values, null ids are kept, and an empty table gives no rows.
+    """
     docs = with_stream(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     stored = stage(docs.select("doc_id", size, "media"), "media")

@@ -430,3 +430,137 @@ def test_transport_digests_are_of_the_stored_table(spark):
     assert folder.removeprefix("file://").startswith(staged_path(spark, "media").removeprefix("file://").rsplit("-", 1)[0])
     assert {r.doc_id: r.media_sha256 for r in found.collect()} == {i: hashlib.sha256(m).hexdigest() for i, m in stored.items()}
     assert len(stored) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def python_features(text):
+    """The features of a text, stated without Spark."""
+    body = text or ""
+    words = WORD.findall(body)
+    n, size = max(len(words), 1), max(len(body), 1)
+    lines = [x for x in body.split("\n") if WORD.search(x)]
+    win = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    hit = {p for k in range(len(words) - 7) if win[tuple(words[k : k + 8])] > 1 for p in range(k, k + 8)} if len(words) > 8 else set()
+    of = lambda s: sum(c in s for c in body)
+    return {
+        "short": max(0.0, 1 - len(words) / 20), "symbols": min(1, 5 * of("#*$%&|<>") / n), "capitals": min(1, 2 * len(re.findall("[A-Z]{2,}", body)) / n),
+        "shouts": min(1, 4 * len(re.findall("[!?]{2,}", body)) / n), "bars": min(1, 4 * of("|") / n), "digits": min(1, 5 * of("0123456789") / size), "distinct": len(set(words)) / n,
+        "stutter": min(1, 2 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n), "repeated": min(1, 1.5 * len(hit) / n),
+        "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "word_length": min(1, 0.05 * size / n), "log_words": float(np.log1p(len(words))) / 12,
+        "unended": 0.0 if re.search(r"[.!?][\"')\]]*\s*$", body, re.A) else 1.0,
+    }
+
+
+def test_ranking_features(docs, texts):
+    for r in docs.select("doc_id", ranking.features(F.col("text")).alias("f")).collect():
+        for k, v in python_features(texts[r.doc_id]).items():
+            assert r.f[k] == pytest.approx(v), (r.doc_id, k)
+
+
+def test_ranking_minimises_the_pairwise_loss():
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(400, 3)), np.repeat([0, 1], 200)
+    x[y == 1] += [1.0, -0.5, 0.0]
+    model = ranking.fit(x, y, pairs=5000, ridge=1e-3)
+    again = np.random.default_rng(7)  # the pairs, drawn as documented: good ones first, then bad ones
+    good, bad = x[y == 1], x[y == 0]
+    diff = good[again.integers(200, size=5000)] - bad[again.integers(200, size=5000)]
+
+    def loss(w):
+        return np.log1p(np.exp(-diff @ w)).mean() + 0.5e-3 * (w @ w)
+
+    w = np.array(model.weights)
+    assert all(loss(w) < loss(w + step * axis) for axis in np.eye(3) for step in (-0.01, 0.01))
+    assert (x @ w < model.threshold).mean() == pytest.approx(0.5, abs=0.01) and w[0] > 0 > w[1]
+
+
+def test_ranking_does_not_depend_on_partitions(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    a, b = (ranking.train(docs.repartition(n), labels.repartition(n)) for n in (2, 7))
+    assert a == b
+    twice = ranking.train(docs.union(docs).repartition(5), labels, most_rows=50)
+    assert twice == ranking.train(docs.union(docs).repartition(3), labels, most_rows=50)
+
+
+def plain_parse(media):
+    """Payload, times and random-access points of a stream, by the format's layout, without the operator's reader."""
+    units, times, points, seen = [], [], [], {}
+    tables = {0: None}
+    for packet in (media[i : i + 188] for i in range(0, len(media), 188)):
+        bits = int.from_bytes(packet[:4], "big")
+        assert bits >> 24 == 0x47 and bits >> 23 & 1 == 0
+        start, pid, field, count = bits >> 22 & 1, bits >> 8 & 0x1FFF, bits >> 4 & 3, bits & 15
+        assert count == seen.get(pid, -1) + 1 & 15
+        seen[pid] = count
+        at = 4
+        if field & 2:
+            if packet[4] and packet[5] >> 6 & 1:
+                points.append(len(units))
+                base = int.from_bytes(packet[6:12], "big")
+                assert base >> 15 == 3600 * len(units) and base & 0x1FF == 0
+            at = 5 + packet[4]
+        body = packet[at:]
+        if pid in tables and tables[pid] != "data":
+            size = 3 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+            section = body[1 : 1 + size]
+            check = 0xFFFFFFFF
+            for bit in (b >> (7 - k) & 1 for b in section for k in range(8)):
+                check = (check << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (check >> 31) ^ bit else 0)
+            assert check == 0
+            if pid == 0:
+                tables[int.from_bytes(section[10:12], "big") & 0x1FFF] = "map"
+            else:
+                tables[int.from_bytes(section[13:15], "big") & 0x1FFF] = "data"
+        else:
+            assert tables[pid] == "data"
+            if start:
+                units.append(b"")
+            units[-1] += body
+    out = []
+    for k, pes in enumerate(units):
+        assert pes[:4] == b"\x00\x00\x01\xbd" and int.from_bytes(pes[4:6], "big") == len(pes) - 6
+        b = [int(f"{x:08b}"[i : i + n], 2) for x, i, n in ((pes[9], 4, 3), (pes[10], 0, 8), (pes[11], 0, 7), (pes[12], 0, 8), (pes[13], 0, 7))]
+        times.append(b[0] << 30 | b[1] << 22 | b[2] << 15 | b[3] << 7 | b[4])
+        out.append(pes[9 + pes[8] :])
+    return b"".join(out), times, points
+
+
+def test_transport_query_against_a_plain_parser(spark):
+    got = {r.doc_id: r for r in transport.op2_transport_stream(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for i, text in rows:
+        data = (text or "").encode()
+        padded = data + b"\x00" * (-len(data) % 64 if data else 64)
+        media = transport.mux(padded)
+        payload, times, points = plain_parse(media)
+        r = got[i]
+        assert payload == padded and (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(data), len(padded), len(media))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(padded).hexdigest(), hashlib.sha256(media).hexdigest(), zlib.crc32(padded[-64:]))
+        step = times[1] - times[0] if len(times) > 1 else 0
+        assert r.feature == f"programs=1:256;types=257:6;packets={len(media) // 188};units={len(times)};pts={times[0]}-{times[-1]}/{step};rap={','.join(map(str, points))};gaps=0;errors=0"
+
+
+def test_transport_streams_that_are_damaged(spark):
+    media = transport.mux(transport.pad(b"y" * 40_000))
+    rows = [(1, None), (2, b""), (3, b"\x47"), (4, media[:1000]), (5, b"\x47" * 376), (6, bytes(188)), (7, media)]
+    frame = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r.doc_id: r.d for r in frame.select("doc_id", transport.digest("media").alias("d")).collect()}
+    assert got[1] == got[2] and got[1].payload_bytes == 0 and got[7].payload_bytes == 40_000 and "errors=1" in got[3].feature
+    draw = random.Random(6)
+    for _ in range(300):
+        bad = bytearray(media)
+        for _ in range(draw.randint(1, 30)):
+            bad[draw.randrange(len(bad))] = draw.randrange(256)
+        transport.demux(bytes(bad[: draw.randrange(len(bad))]))
+
+
+def test_transport_duplicates_and_open_lengths():
+    media = transport.mux(transport.pad(b"z" * 20_000))
+    twice = media[: 188 * 5] + media[188 * 4 : 188 * 5] + media[188 * 5 :]
+    assert transport.demux(twice).gaps == 0 and transport.demux(twice).duplicates == 1 and transport.demux(twice).payload == transport.demux(media).payload
+    open_length = bytearray(media)
+    for at in range(0, len(media), 188):
+        if media[at + 1] & 0x40 and media[at + 2] == 1 and media[at + 1] & 1:
+            start = media.index(b"\x00\x00\x01\xbd", at)
+            open_length[start + 4 : start + 6] = b"\x00\x00"
+    assert transport.demux(bytes(open_length)).payload == transport.demux(media).payload
