@@ -19,7 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, let, table
+from .common import groups_for, let, parts_for, table
 
 #: A query is a set of clauses, any of which must hold; a clause is a set of trigrams that must all be there.
 Query = frozenset
@@ -143,20 +143,45 @@ def trigram_query(pattern: str) -> Query:
     return _sets(sre_parse.parse(pattern))[1]
 
 
+#: Items of an array that are folded in one run; runs are joined by a second fold, so a text's time grows with its hits, not with their square.
+RUN = 256
+
+
+def runs_of(items: Column, body) -> Column:
+    """body(run, k) for each run k of RUN items, in order."""
+    last = F.floor((F.size(items) - 1) / RUN).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: body(F.slice(items, k * RUN + 1, F.lit(RUN)), k))).otherwise(F.array())
+
+
+def before_each(values: Column, fold) -> Column:
+    """For each of an array of ints the fold, from 0, of those before it; the last item is the fold of all."""
+    zero = F.lit(0)
+    none = F.array().cast("array<int>")
+
+    def folded(v: Column) -> Column:
+        tops = runs_of(v, lambda run, k: F.aggregate(run, zero, fold))
+        grown = lambda run, first: F.aggregate(run, F.struct(first.alias("now"), none.alias("out")), lambda a, x: F.struct(fold(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
+        starts = F.aggregate(tops.cast("array<int>"), F.struct(zero.alias("now"), none.alias("out")), lambda a, x: F.struct(fold(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")))
+        return let(starts, lambda s: F.concat(F.flatten(runs_of(v, lambda run, k: grown(run, F.get(s["out"], k)))).cast("array<int>"), F.array(s["now"])))
+
+    return let(values, folded)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, kind's order, end) in code points of a rule's leftmost non-overlapping matches that are long enough."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole).alias("own"))
-    span = "struct<start:int,kind:int,end:int>"
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{span}>").alias("found"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["pos"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("pos"), F.when(F.length(p["own"]) >= rule.least, F.concat(a["found"], one)).otherwise(a["found"]).alias("found"))
+    def spans(p: Column) -> Column:
+        begins = before_each(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))), lambda a, n: a + n)
+        row = lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + F.length(x["gap"])).alias("start"), F.lit(order).alias("kind"), (F.get(at, i) + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.length(x["own"]).alias("n")))
+        good = let(begins, lambda at: F.filter(row(at), lambda s: F.coalesce(s["n"] >= rule.least, F.lit(False))))
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    return F.aggregate(parts, zero, step, lambda a: a["found"])
+    return let(parts, spans)
 
 
 def postings(docs: DataFrame, trigrams: list[str], shards: int) -> DataFrame:
@@ -188,19 +213,25 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, *, text: str = "text") -> DataFrame:
     """docs' columns with found: spans struct(start, kind, end) sorted by start, then rule; kind is the rule's place.
 
-    Null texts are empty; repeated rows are searched alike; an empty table gives no rows. The key of a
-    document is a hash of its id and text: documents that share one share candidates, which verification
-    sorts out. Columns of docs that are named like added ones are replaced; _given, _key and _rules are left out.
+    Null texts are empty; repeated rows are searched alike; an empty table gives no rows; a text of any length and
+    with any number of hits is searched whole, in time that grows with both. The key of a document is a hash of its
+    id and text: documents that share one share candidates, which verification sorts out. Columns of docs that are
+    named like added ones are replaced; _given, _key and _rules are left out.
+
+    Texts meet their candidates in partitions that grow in number with the input.
     """
     others = [c for c in docs.columns if c not in ("found", text, "text", "_given", "_key", "_rules")]
     base = docs.select(*others, F.col(text).alias("_given"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumn("_key", F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), "text"))
     queries = {r: q for r, x in enumerate(rules) if (q := trigram_query(x.pattern)) != ANYTHING}
     trigrams = sorted({t for q in queries.values() for clause in q for t in clause})
-    shards = int(input_bytes(docs) // (1 << 20)) + 8
-    told = candidates(postings(base.select("_key", "text"), trigrams, shards), queries) if queries else None
-    joined = base.join(told, "_key", "left") if told is not None else base.withColumn("_rules", F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    if queries:
+        parts = parts_for(docs, 8 << 20)
+        asked = candidates(postings(base.select("_key", "text"), trigrams, groups_for(docs, 1 << 20)), queries)
+        joined = base.repartition(parts, "_key").join(asked.repartition(parts, "_key"), "_key", "left")
+    else:
+        joined = base.withColumn("_rules", F.lit(0))
+    none = F.array().cast(SPANS)
     spans = []
     for r, rule in enumerate(rules):
         wanted = (F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) if r in queries else F.rlike("text", F.lit(rule.pattern))
@@ -215,19 +246,25 @@ def told(found: Column, kinds: list[str]) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """text with every span of found, which is sorted, replaced by mark; overlapping spans are one."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    """text with every span of found, which is sorted, replaced by mark; overlapping and touching spans are one. Null stays null."""
+
+    def cuts(spans: Column) -> Column:
+        ends = before_each(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        both = lambda e: F.transform(spans, lambda s, i: F.struct(F.get(e, i).alias("a"), s["start"].alias("b")))
+        apart = lambda x: (x["b"] > x["a"]) | ((x["b"] == 0) & (x["a"] == 0))
+        return let(ends, lambda e: F.struct(F.filter(both(e), apart).alias("gaps"), F.element_at(e, -1).alias("last")))
 
-    def step(a: Column, s: Column) -> Column:
-        apart = (s["start"] >= a["pos"]) & ~((s["start"] == a["pos"]) & (a["pos"] > 0))
-        out = F.when(apart, F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def run(gaps: Column, k: Column) -> Column:
+        first = F.get(gaps, F.lit(0))["a"]
+        body = F.substring(text, first + 1, F.element_at(gaps, -1)["b"] - first)  # a run's gaps are cut from its own stretch of the text
+        return let(body, lambda t: F.array_join(F.transform(gaps, lambda x: F.concat(F.substring(t, x["a"] - first + 1, x["b"] - x["a"]), F.lit(mark))), ""))
 
-    done = F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+    done = let(cuts(found), lambda c: F.concat(F.array_join(runs_of(c["gaps"], run).cast("array<string>"), ""), F.substring(text, c["last"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 
 def op5_trigram_secrets(spark, sf_dir):
+    """Counts and spans of secrets in every document; null and empty texts have none, repeated rows each have theirs, an empty table gives no rows."""
     rules = BASE + ADDED
     kinds = [r.kind for r in rules]
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).drop("text")

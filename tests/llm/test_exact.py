@@ -564,3 +564,18 @@ def test_transport_duplicates_and_open_lengths():
             start = media.index(b"\x00\x00\x01\xbd", at)
             open_length[start + 4 : start + 6] = b"\x00\x00"
     assert transport.demux(bytes(open_length)).payload == transport.demux(media).payload
+
+
+def test_many_secrets_in_one_text(spark):
+    """Time grows with the hits, not with their square, and spans and marks stay exact past a run's length."""
+    import time
+
+    hits = 60_000
+    text = "é " + " ".join(f"token=abcdefg{i % 10}" for i in range(hits)) + " end"
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    row.count()
+    secrets.scan(row.limit(1)).count()
+    began = time.time()
+    (found,) = secrets.scan(row).select(F.size("found").alias("n"), F.element_at("found", -1).alias("last"), secrets.redact(F.col("text"), F.col("found")).alias("clean")).collect()
+    assert time.time() - began < 15
+    assert found.n == hits and found.last.end == len(text) - 4 and found.clean == "é " + " ".join(["[REDACTED]"] * hits) + " end"
