@@ -66,7 +66,8 @@ def with_first(pages: DataFrame, payload: Column, least_revisit: int = 0) -> Dat
     """Adds _first: for a page whose payload an earlier page has, the smallest id with it, else null.
 
     Repeated payloads alone are joined, by digest and salt, so a payload that holds any part of all rows is
-    dealt to many tasks.
+    dealt to SALTS tasks at least; it is an outer join on its left side, so adaptive execution splits these
+    further where they are large. Null ids are no payload's first.
     """
     keyed = pages.withColumn("_digest", F.sha1(payload)).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     large = F.octet_length(payload) >= least_revisit
@@ -109,8 +110,20 @@ class _Window:
     """Bytes of a file from a place on, read as they are asked for; what lies before is dropped."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data, self.over = file, at, b"", False
-        file.seek(at)
+        self.file = file
+        self.to(at)
+
+    def to(self, at: int) -> None:
+        """Start afresh at a place."""
+        self.at, self.data, self.over = at, b"", False
+        self.file.seek(at)
+
+    def next(self) -> bool:
+        """Drop what is held and take the next block in its place."""
+        self.at += len(self.data)
+        self.data = b"" if self.over else self.file.read(BLOCK)
+        self.over = not self.data
+        return not self.over
 
     def more(self) -> bool:
         got = b"" if self.over else self.file.read(BLOCK)
@@ -123,22 +136,37 @@ class _Window:
 
 
 def _decode(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The record in the member at a place and where the member ends, or None if none starts there."""
-    unpacker, found, fed, checked = zlib.decompressobj(31), [], at - window.at, False
+    """The record in the member at a place and where the member ends, or None if none starts there.
+
+    Once its head is known to be a record's, a member is decoded block by block, and no block is held twice.
+    """
+    unpacker, found, size = zlib.decompressobj(31), [], 0
+    window.drop(at)
+    feed = window.data
     while True:
         try:
-            found.append(unpacker.decompress(window.data[fed:]))
+            found.append(unpacker.decompress(feed))
         except zlib.error:
             return None
-        fed = len(window.data)
-        if not checked and sum(map(len, found)) >= len(VERSION):
+        size += len(found[-1])
+        if unpacker.eof or size >= len(VERSION):
             if not b"".join(found).startswith(b"WARC/1."):
                 return None
-            checked = True
-        if unpacker.eof:
-            return (b"".join(found), window.at + fed - len(unpacker.unused_data)) if checked else None
+            break
+        before = len(window.data)
         if not window.more():
             return None
+        feed = window.data[before:]
+    while not unpacker.eof:
+        if not window.next():
+            return None
+        try:
+            found.append(unpacker.decompress(window.data))
+        except zlib.error:
+            return None
+    end = window.at + len(window.data) - len(unpacker.unused_data)
+    window.drop(end)
+    return b"".join(found), end
 
 
 def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -158,10 +186,11 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         got = _decode(window, at)
         if got is None:
             at += 1
+            if window.at > at:  # the member broke off after its head
+                window.to(at)
             continue
         yield at, got[0]
         at = got[1]
-        window.drop(at)
 
 
 def parse(data: bytes) -> dict:
@@ -185,7 +214,11 @@ _FIELDS = {"page_id": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()
 
 
 def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tuple[str, ...] = tuple(_FIELDS)) -> DataFrame:
-    """Records of a table of archives (path, size), read by byte ranges."""
+    """Records of a table of archives (path, size), read by byte ranges of range_bytes, which are dealt a task each.
+
+    Archives of no bytes and an empty table give no rows; a record's null page id or url come back as null and a
+    placeholder; bytes that are no record's are skipped.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,11 +238,17 @@ def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tupl
         return pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], _FIELDS[f][1]) for f in fields], names=list(fields))
 
     ranges = archives.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))))
-    many = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = archives.agg(F.sum("size")).first()[0] or 0
+    many = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // range_bytes) + 1)
     return ranges.select("path", "start").repartition(many, "path", "start").mapInArrow(read, ", ".join(f"{f} {_FIELDS[f][0]}" for f in fields))
 
 
 def op7_warc(spark, sf_dir):
+    """Every page's record, read back from archives.
+
+    A null html is an empty payload; of pages with equal payloads the smallest id is the response, and rows that
+    repeat it are responses too; pages with null ids revisit it; an empty table gives no rows.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = write_archives(pages, staged_path(spark, "warc"))
     return read_archives(archives, fields=("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

@@ -579,3 +579,32 @@ def test_many_secrets_in_one_text(spark):
     (found,) = secrets.scan(row).select(F.size("found").alias("n"), F.element_at("found", -1).alias("last"), secrets.redact(F.col("text"), F.col("found")).alias("clean")).collect()
     assert time.time() - began < 15
     assert found.n == hits and found.last.end == len(text) - 4 and found.clean == "é " + " ".join(["[REDACTED]"] * hits) + " end"
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_warc_reader_by_blocks(tmp_path, monkeypatch, block):
+    """Records that span many blocks, one broken off after its head, and false magic inside and between."""
+    monkeypatch.setattr(warc, "BLOCK", block)
+    draw = random.Random(3)
+    noise = bytes(draw.randrange(256) for _ in range(3000))
+    records = [warc.member(warc.record(i, "u", noise[: 300 * i] + b"\x1f\x8b\x08", "D", None), level=0) for i in range(9)]
+    broken = bytearray(warc.member(warc.record(99, "u", noise, "D", None), level=0))
+    broken[-6] ^= 255  # its checksum
+    path = tmp_path / "a"
+    path.write_bytes(b"x" + b"".join(records[:4]) + bytes(broken) + b"\x1f\x8b" + b"".join(records[4:]))
+    starts = []
+    with path.open("rb") as f:
+        for a in range(0, path.stat().st_size, 1111):
+            starts += [warc.parse(d)["page_id"] for _, d in warc.members(f, a, a + 1111)]
+    assert starts == list(range(9))
+
+
+def test_warc_reader_takes_a_large_payload_once(tmp_path):
+    import time
+
+    path = tmp_path / "a"
+    path.write_bytes(warc.member(warc.record(1, "u", bytes(range(256)) * (1 << 20), "D", None), level=0))
+    began = time.time()
+    with path.open("rb") as f:
+        ((_, data),) = warc.members(f, 0, 1 << 30)
+    assert len(data) > 1 << 28 and time.time() - began < 20
