@@ -12,6 +12,7 @@ Everything the driver holds is bounded by the window: the histogram has at most
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,35 @@ MARKS, NOT_LATIN = ".,!?;:", "[^\\x00-\\x{24f}]|\\x{130}"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: What the cache of words relies on: how a tokenizer prepares texts, and how its model marks the end of a word.
+PREPARED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+def goes_by_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, splits at white space and ends words with a mark, as the cache of words supposes."""
+    told = json.loads(tokenizer.to_str())
+    return all(told.get(k) == v for k, v in PREPARED.items()) and told["model"]["type"] == "BPE" and told["model"].get("end_of_word_suffix") == "</w>" and not told["model"].get("continuing_subword_prefix")
+
+
+class WholeTexts:
+    """Ids of any tokenizer: whole texts, encoded together."""
+
+    def __init__(self, tokenizer):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer = tokenizer
+
+    def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        return [np.array([*x.ids, end], np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+
+
 class WordCache:
     """Places of words whose ids are known; the ids lie in one flat array.
 
@@ -133,13 +163,15 @@ class WordCache:
 
 
 #: One for each worker and tokenizer: workers serve many tasks, and words come again.
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[str, WordCache | WholeTexts] = {}
 
 
-def cache_of(path: str) -> WordCache:
+def cache_of(path: str) -> WordCache | WholeTexts:
+    """The cache of words where the tokenizer allows it, else whole texts are encoded."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _CACHES[path] = WordCache(load_tokenizer(path))
+        tokenizer = load_tokenizer(path)
+        _CACHES[path] = WordCache(tokenizer) if goes_by_words(tokenizer) else WholeTexts(tokenizer)
     return _CACHES[path]
 
 
@@ -256,7 +288,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end
     """Tokenize docs, cut them and pack the pieces.
 
     A null or empty text is the end id alone; repeated rows are separate documents, and a null id is kept;
-    very long texts are cut like others, none is truncated.
+    very long texts are cut like others, none is truncated; columns besides id and text are left out; an empty
+    table gives no rows. tokenizer is the path of any tokenizer file: one that does not go by words is slower.
     """
     return pack(stage(pieces(docs, tokenizer, window=window, end=end), "pieces"), window=window)
 
@@ -268,6 +301,7 @@ def default_tokenizer() -> str:
 
 
 def op10_packing(spark, sf_dir):
+    """Every document's pieces and their places; odd rows are as in pack_documents."""
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer())
 
 

@@ -1,7 +1,8 @@
 """Line-first cleaning: lines are judged one by one, and a document that loses too much text is rejected.
 
 A line fails by punctuation (no end mark where prose has one, shouting marks, or symbols in place of marks), by
-navigation (separators between short items) or as boilerplate (short licence, cookie or policy lines).
+navigation (separators of any usual kind between short items: bars, bullets, arrows, slashes and angles that stand
+alone) or as boilerplate (short licence, cookie or policy lines, by a table of phrases for each language).
 Failing lines are removed; the document is kept if enough of its words are left. Base rules on whole
 documents (length, repeated word windows) come first.
 
@@ -20,11 +21,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A line's end mark, perhaps with closing quotes or brackets after it.
 END_MARK = r"[.!?:;,…。！？][\"')\]»”’]*[\x20\x09-\x0D]*$"
 SHOUT = r"[!?]{2,}"
-BOILERPLATE = r"(?i)(licen[sc]e|copyright|all rights reserved|terms of (use|service)|privacy policy|cookie|subscribe|newsletter|click here|read more|sign in|log in)"
-#: Most symbols a word, most shouting marks a word, separators that make a line navigation, most words of a boilerplate line.
-MOST_SYMBOLS, MOST_SHOUTS, SEPARATORS, BOILERPLATE_WORDS = 0.1, 0.2, 3, 25
-#: For judge's item_words: the most words a separator that items of navigation have.
-ITEM_WORDS = 8
+#: Phrases of boilerplate by language; a phrase starts a line or follows a space or an opening bracket.
+PHRASES = {
+    "en": (r"licen[sc]e", "copyright", "all rights reserved", r"terms of (?:use|service)", "privacy policy", "cookie", "subscribe", "newsletter", "click here", "read more", "sign in", "log in", "released under", "powered by"),
+    "de": ("alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "urheberrecht", "hier klicken", "weiterlesen", "jetzt anmelden", "lizenz"),
+    "fr": ("tous droits r[éÉ]serv[éÉ]s", "politique de confidentialit[éÉ]", "mentions l[éÉ]gales", "conditions d['’]utilisation", "cliquez ici", "lire la suite", "se connecter", "droits d['’]auteur"),
+    "es": ("todos los derechos reservados", "pol[íÍ]tica de privacidad", "aviso legal", r"t[éÉ]rminos (?:de uso|y condiciones)", "haga clic", "leer m[áÁ]s", "iniciar sesi[óÓ]n", "derechos de autor"),
+}
+BOILERPLATE = "(?i)(?:^|[\\x20\\x09(\\[])(?:" + "|".join(p for phrases in PHRASES.values() for p in phrases) + ")"
+#: Separators of navigation; slashes and angles only where they stand alone.
+SEPARATOR = r"[|»•·›→]|\x20[/>]\x20"
+SEPARATOR_MARKS = "|»•·›→/>"
+#: Most symbols a word, most shouting marks a word, separators that make a line navigation, most words a separator, most words of a boilerplate line.
+MOST_SYMBOLS, MOST_SHOUTS, SEPARATORS, ITEM_WORDS, BOILERPLATE_WORDS = 0.1, 0.2, 3, 8, 25
 #: A last line without an end mark is often cut-off prose; lines of so many words pass without one.
 PROSE_WORDS = 8
 #: The least part of a document's words that kept lines must hold, in hundredths.
@@ -58,36 +67,32 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) <= window, F.lit(0).cast("long")).otherwise(let(windows(h), count)))
 
 
-def line_fails(line: Column, item_words: int | None = None) -> Column:
-    """Whether a line with a word is to be removed; with item_words, navigation has at most so many words a separator."""
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    separators = F.length(line) - F.length(F.translate(line, "|»•", ""))
+def line_fails(line: Column) -> Column:
+    """Whether a line with a word is to be removed. Cheap tests come first: each rule's expression runs only on lines that may fail by it."""
+    marks = lambda chars: F.length(line) - F.length(F.translate(line, chars, ""))
 
     def rules(words: Column) -> Column:
-        punctuation = ((words < PROSE_WORDS) & ~F.rlike(line, F.lit(END_MARK))) | (symbols > MOST_SYMBOLS * words) | (F.regexp_count(line, F.lit(SHOUT)) > MOST_SHOUTS * words)
-        navigation = separators >= SEPARATORS
-        if item_words is not None:
-            navigation = navigation & (words <= item_words * separators)
+        punctuation = ((words < PROSE_WORDS) & ~F.rlike(line, F.lit(END_MARK))) | (marks(SYMBOLS) > MOST_SYMBOLS * words) | ((marks("!?") > MOST_SHOUTS * words) & (F.regexp_count(line, F.lit(SHOUT)) > MOST_SHOUTS * words))
+        navigation = (marks(SEPARATOR_MARKS) >= SEPARATORS) & let(F.regexp_count(line, F.lit(SEPARATOR)), lambda n: (n >= SEPARATORS) & (words <= ITEM_WORDS * n))
         boilerplate = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
         return punctuation | navigation | boilerplate
 
     return let(F.regexp_count(line, F.lit(WORD)), rules)
 
 
-def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT, item_words: int | None = None) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT) -> DataFrame:
     """docs' columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_words, base_failed, kept and clean_text.
 
-    clean_text is the text without failing lines. Separators make a line navigation whatever lies between them,
-    as op3's SQL has it, unless item_words bounds the words a separator. Null and empty texts have no words, fail the base rules
-    and are not kept; repeated rows are judged alike; nothing depends on other rows, so an empty table gives
-    none; columns of docs that are named like added ones are replaced.
+    clean_text is the text without failing lines. Null and empty texts have no words, fail the base rules and are
+    not kept; texts of any length are judged whole; repeated rows are judged alike; nothing depends on other rows,
+    so an empty table gives none; columns of docs that are named like added ones are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words", "base_failed", "kept", "clean_text"]
     others = [c for c in docs.columns if c not in added]
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n", -1)
     with_word = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD)))
-    left = F.filter(lines, lambda x: ~(F.rlike(x, F.lit(WORD)) & line_fails(x, item_words)))
+    left = F.filter(lines, lambda x: ~(F.rlike(x, F.lit(WORD)) & line_fails(x)))
     counted = docs.select(
         *others,
         let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(F.transform(w, lambda x: F.xxhash64(x))).alias("r"))).alias("_w"),
@@ -104,6 +109,7 @@ def judge(docs: DataFrame, *, text: str = "text", least_kept: int = LEAST_KEPT,
 
 
 def op3_line_first(spark, sf_dir):
+    """Every document's counts and verdict; odd rows are as in judge."""
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
@@ -115,11 +121,11 @@ lines AS (
   SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
 judged AS (
   SELECT rid, k, line, len(regexp_extract_all(line, '{_W}')) AS n,
-    length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols, length(line) - length(translate(line, '|»•', '')) AS separators,
+    length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols, len(regexp_extract_all(line, '{SEPARATOR}')) AS separators,
     len(regexp_extract_all(line, '[!?]{{2,}}')) AS shouts, regexp_matches(line, '[.!?:;,…。！？]["'')\\]»”’]*[\\x20\\x09-\\x0D]*$') AS ended,
-    regexp_matches(line, '{BOILERPLATE}') AS boilerplate FROM lines),
+    regexp_matches(line, '{BOILERPLATE.replace("'", "''")}') AS boilerplate FROM lines),
 kept_lines AS (
-  SELECT rid, sum(CASE WHEN (n < {PROSE_WORDS} AND NOT ended) OR symbols > {MOST_SYMBOLS}::double * n OR shouts > {MOST_SHOUTS}::double * n OR separators >= {SEPARATORS}
+  SELECT rid, sum(CASE WHEN (n < {PROSE_WORDS} AND NOT ended) OR symbols > {MOST_SYMBOLS}::double * n OR shouts > {MOST_SHOUTS}::double * n OR (separators >= {SEPARATORS} AND n <= {ITEM_WORDS} * separators)
     OR (n <= {BOILERPLATE_WORDS} AND boilerplate) THEN 0 ELSE n END) AS kept_words,
     count(*) - count(DISTINCT line) AS n_dup_lines FROM judged WHERE n > 0 GROUP BY rid),
 windows AS (

@@ -177,13 +177,13 @@ def test_seeds_are_extended_both_ways():
         assert all((v == w) == (x == y) for (v, _), x in zip(windows, label, strict=True) for (w, _), y in zip(windows, label, strict=True) if x >= 0 and y >= 0)
 
 
-def shingle_set(text):
+def shingle_set(text, words=3):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def components_of(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def components_of(rows, words=3, least=85):
+    sets = {i: shingle_set(t, words) for i, t in rows}
     top = {i: i for i in sets}
 
     def find(x):
@@ -194,7 +194,7 @@ def components_of(rows):
     for i in sets:
         for j in sets:
             both = len(sets[i] & sets[j])
-            if i < j and sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if i < j and sets[i] and sets[j] and 100 * both >= least * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return {i: (i, len(sets[i]), find(i), find(i) == i) for i in sets}
@@ -204,6 +204,48 @@ def test_near_duplicates(docs, texts):
     assert {r.doc_id: tuple(r) for r in forest.near_duplicates(docs).collect()} == components_of(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize(("words", "least"), [(5, 80), (1, 90), (2, 100)])
+def test_near_duplicates_of_other_shingles(docs, texts, words, least):
+    found = forest.near_duplicates(docs, words=words, least=least).collect()
+    assert {r.doc_id: tuple(r) for r in found} == components_of(list(enumerate(texts)), words, least)
+
+
+def test_depth_adapts_to_the_region(monkeypatch):
+    monkeypatch.setattr(forest, "REGION", 2)
+    common = np.array([0, 5, 3, 0, 8, 8, 8, 1, 4, 6, 4, 6, 2])  # what each row shares with the next
+    want = []
+    for i in range(len(common) + 1):
+        sizes = []
+        for depth in range(forest.MIN_DEPTH, forest.DEPTH + 1):
+            a = b = i
+            while a > 0 and common[a - 1] >= depth:
+                a -= 1
+            while b < len(common) and common[b] >= depth:
+                b += 1
+            sizes.append(b - a + 1)
+        want.append(next((d for d, n in zip(range(forest.MIN_DEPTH, forest.DEPTH + 1), sizes, strict=True) if n <= 3), forest.DEPTH + 1))
+    assert forest.region_depths(common).tolist() == want
+
+
+def test_near_duplicates_with_hubs_and_no_broadcast(spark):
+    """A hub that links many, exact copies in different case, a template with differing bodies, and texts without words."""
+    draw = random.Random(17)
+    base = [f"h{i}" for i in range(120)]
+    rows = [(1000 + i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(draw.randrange(120) for _ in range(120))]
+    rows += [(i, " ".join(base).upper() if i % 2 else " ".join(base)) for i in range(500, 560)]
+    template = [f"t{i}" for i in range(60)]
+    rows += [(2000 + i, " ".join(template + [f"b{i}x{j}" for j in range(draw.randint(3, 30))])) for i in range(80)]
+    rows += [(3000 + i, draw.choice([None, "", "  "])) for i in range(40)]
+    draw.shuffle(rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: tuple(r) for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found == components_of(rows)
+
+
 def test_near_duplicates_in_a_crowded_region(spark):
     draw = random.Random(11)
     base = [f"w{i}" for i in range(80)]
@@ -262,6 +304,21 @@ def test_word_cache_is_the_tokenizer():
         assert cache.ids(pa.array([text]), 1)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_packing_with_a_tokenizer_that_does_not_go_by_words(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = packing.load_tokenizer(path)
+    assert packing.goes_by_words(packing.load_tokenizer(packing.default_tokenizer())) and not packing.goes_by_words(tokenizer)
+    texts = ["Two  spaces\nand Case", "", None, "é" * 3000]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [(r.start, r.length) for r in mine] == [(a, min(2048, len(ids) - a)) for a in range(0, len(ids), 2048)]
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine)
+
+
 def test_best_fill_is_the_best():
     draw = random.Random(1)
     for _ in range(150):
@@ -371,6 +428,16 @@ def test_quality_lines(spark):
     assert got[1].kept is True and got[1].clean_text == body and got[2].kept is False
 
 
+def test_quality_lines_of_navigation_and_phrases(spark):
+    """Lines of prose and of junk, each beside a body that keeps the document."""
+    body = "\n".join(f"plain{i} " + " ".join(f"w{i}x{j}" for j in range(13)) + "." for i in range(9))
+    junk = ["Home / Products / Shoes / Red shoes for running.", "Start › Hilfe › Kontakt › Anfahrt.", "A > B > C > D.", "Tous droits réservés par la société et ses amis.", "Aviso legal y otras cosas que se deben decir.", "Es gilt unsere (Datenschutzerklärung) für alle Seiten hier bei uns."]
+    prose = ["The ratio a/b and c/d and e/f is used in this line of prose.", "An x>y and y→z chain of this or that kind is no menu at all, as it stands.", "A long sentence | with bars | that part | it into pieces of many more than eight words each, since it goes on and on and on, as prose of this kind now and then does in texts about tables."]
+    rows = spark.createDataFrame([(i, f"{line}\n{body}") for i, line in enumerate(junk + prose)], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in quality_rules.judge(rows).collect()}
+    assert got == {i: body if i < len(junk) else f"{line}\n{body}" for i, line in enumerate(junk + prose)}
+
+
 def test_curriculum(spark):
     draw = random.Random(4)
     rows = [(i, draw.choice(["a", "b", "b", "c", None]), " ".join(["w"] * draw.randint(0, 30))) for i in range(300)] + [(7, "b", "w w w"), (7, "b", "w w w"), (None, "z", "w"), (None, "z", None)]
