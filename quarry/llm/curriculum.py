@@ -64,12 +64,12 @@ def due(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0, schedules=SCHEDULES, text: str = "text", keep_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0, schedules=SCHEDULES, text: str = "text", keep_text: bool = False, whole: bool = False) -> DataFrame:
     """One row per document: its columns (the text if keep_text), size, source_size, target, taken and draws.
 
     draws is an array of struct(copy, words, position), one for each time that the mix takes the document;
-    the last may be part of it, so that a source's taken words are its target, rounded. Order within a source
-    is by md5 of the id.
+    the last may be part of it, so that a source's taken words are its target, rounded; with whole, it is taken
+    whole where that is nearer, else not at all. Order within a source is by md5 of the id.
 
     Null text counts 0 words and is never drawn; an empty table gives no rows; a null source is a source,
     placed last; rows that repeat an id are separate documents; columns of docs that clash with added ones
@@ -97,6 +97,8 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0
         .withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_goal") - F.col("_full") * F.col("source_size") - F.col("_at"))))
         .withColumn("taken", F.col("_full") * F.col("size") + F.col("_part"))
     )
+    if whole:
+        rows = rows.withColumn("_part", F.when(2 * F.col("_part") >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))).withColumn("taken", F.col("_full") * F.col("size") + F.col("_part"))
     copies = F.when(F.col("taken") > 0, F.col("_full") + F.when(F.col("_part") > 0, 1).otherwise(0)).otherwise(0)
     words = lambda k: F.when(k < F.col("_full"), F.col("size")).otherwise(F.col("_part"))
     share = lambda k: (k * F.col("source_size") + F.col("_at") + words(k) / 2) / F.col("_goal")
@@ -117,23 +119,28 @@ def in_order(mixed: DataFrame, position: Column, parts: int) -> DataFrame:
     return mixed.withColumn("_position", position).repartitionByRange(parts, "_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The training stream: a row of docs' columns for each draw, in training order, with its copy, words and position.
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """(row, draw), range-sorted by training position: a row for each time that the mix takes a document of docs, whole.
 
-    A draw of part of a document has its first words, joined by one space.
+    row is a struct of all of docs' columns, so none of their names matters, and draw has copy, words and position.
+    Documents without words, nulls among them, are never drawn; rows that repeat an id are separate documents, and
+    ties of position are in order of id; an empty table gives no rows.
     """
-    mixed = mix(docs, keep_text=True, **options)
-    kept = [c for c in docs.columns if c in mixed.columns]
-    drawn = mixed.withColumn("_draw", F.explode("draws")).select(*kept, "size", F.col("_draw.copy").alias("_copy"), F.col("_draw.words").alias("_taken"), F.col("_draw.position").alias("_due"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
-    drawn = drawn.withColumn("text", F.when(F.col("_taken") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in kept:
-        drawn = drawn.withColumn("n_chars", F.when(F.col("_taken") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    drawn = mix(slim, keep_text=True, whole=True, **options).select("row", F.explode("draws").alias("draw"))
     parts = max(2, int(input_bytes(docs) // (8 << 20)) + 1)
-    return in_order(drawn, F.col("_due"), parts).select(*kept, *[c for c in ("_copy", "_taken", "_due")])
+    return drawn.repartitionByRange(parts, F.col("draw.position"), F.col("row.doc_id")).sortWithinPartitions(F.col("draw.position"), F.col("row.doc_id"))
+
+
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """The training stream: docs' columns for each draw, in training order, with its _copy, _taken words and _due position, which replace columns of those names."""
+    kept = [c for c in docs.columns if c not in ("_copy", "_taken", "_due")]
+    draw = [F.col(f"draw.{a}").alias(b) for a, b in (("copy", "_copy"), ("words", "_taken"), ("position", "_due"))]
+    return training_order(docs, **options).select(*[F.col("row").getField(c).alias(c) for c in kept], *draw)
 
 
 def op9_curriculum(spark, sf_dir):
+    """Every document's share of the mix, in order of its first draw; odd rows are as in mix."""
     docs = table(spark, sf_dir, "documents")
     mixed = mix(docs.select("doc_id", "source", "text"))
     rows = mixed.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.words).alias("taken"), F.round(F.array_min(F.transform("draws", lambda d: d.position)), 6).alias("first_position"))

@@ -90,7 +90,8 @@ def _nodes(words: int):
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 signatures.append((signature(found) & np.uint32(0xFFFF)).astype(">u2").tobytes() if len(found) else None)
-            yield _table({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array(signatures, pa.binary())})
+            more = {"text_sha256": batch.column(2)} if batch.num_columns > 2 else {}
+            yield _table({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array(signatures, pa.binary()), **more})
 
     return run
 
@@ -277,23 +278,25 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = WORDS, least: int = LEAST, with_sha: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept; shingles of so many words, links of least hundredths or more.
 
+    with_sha adds text_sha256, of the whole text (null: empty), by which a caller finds the row that is meant.
+
     Texts without words, nulls among them, have an empty set and are linked with nothing; texts of any length are
     whole. Rows that repeat an id and a text have the same result, and each is kept if the id is its component's; an
     id with several texts belongs to the component of each. Rows with a null id are linked with nothing, have no
     component and are kept. An empty table gives no rows; columns besides id and text are left out.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_data"))
-    nodes = stage(base.mapInArrow(_nodes(words), NODE), "nodes")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_data"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"))
+    nodes = stage(base.select(*base.columns if with_sha else ["doc_id", "_data"]).mapInArrow(_nodes(words), NODE + ", text_sha256 string" * with_sha), "nodes")
     known = nodes.filter("doc_id is not null and n_shingles > 0")
     firsts = known.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("f"))
     reps = stage(firsts.select("digest", F.col("f.doc_id").alias("doc"), F.col("f.sig").alias("sig")), "reps")
     pairs = candidates(reps)
     near = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near")
     some = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
-    sets = stage(base.join(some, "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, shingles binary").filter(F.octet_length("shingles") > 0), "sets")
+    sets = stage(base.select("doc_id", "_data").join(some, "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, shingles binary").filter(F.octet_length("shingles") > 0), "sets")
     agreeing = _with_both(pairs, reps, "sig").mapInArrow(_agreeing, "a long, b long").distinct()
     links = stage(confirm(agreeing, sets, least), "links")
     labels = components(links)
@@ -305,8 +308,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = WORDS,
     classes = reps.select("digest", "doc").join(final.select(F.col("v").alias("doc"), "c"), "doc", "left").select(F.col("digest").alias("_digest"), F.coalesce("c", "doc").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     spread = F.coalesce("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))  # texts without words meet nothing, in many tasks
-    joined = nodes.select("doc_id", "n_shingles", spread.alias("_digest")).join(classes, "_digest", "left")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    more = ["text_sha256"] if with_sha else []
+    joined = nodes.select("doc_id", "n_shingles", *more, spread.alias("_digest")).join(classes, "_digest", "left")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *more)
 
 
 def op8_lsh_forest(spark, sf_dir):
