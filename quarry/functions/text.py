@@ -183,9 +183,9 @@ def clean_markdown(text: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sorts versions by all their digits, then as text; none is lowest."""
-    digits = F.regexp_replace(version, "[^0-9]", "")
-    return F.struct(version.isNotNull().alias("some"), F.coalesce(F.when(digits != "", digits.cast("long")), F.lit(0)).alias("n"), F.coalesce(version, F.lit("")).alias("text"))
+    """Sorts versions by the number that all their digits make, however many, then as text; none is lowest."""
+    digits = F.coalesce(F.regexp_replace(version, "^[^1-9]*|[^0-9]", ""), F.lit(""))
+    return F.struct(version.isNotNull().alias("some"), F.length(digits).alias("n"), digits.alias("digits"), F.coalesce(version, F.lit("")).alias("text"))
 
 
 def figure_id(title: Column) -> Column:

@@ -307,11 +307,11 @@ def expected_labels(spark, d):
     return ranked(spark, d).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label % 2 = 0), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 1) SELECT vec_id, doc_id FROM a JOIN b USING (n)""")
+@query("""WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) SELECT vec_id, doc_id FROM a JOIN b USING (n)""")
 def positional_zip(spark, d):
     """Vectors and texts aligned by place, each in order of id."""
-    vectors = numbered(table(spark, d, "embeddings").filter("label % 2 = 0").select("vec_id"), "vec_id")
-    return vectors.join(numbered(table(spark, d, "documents").filter("doc_id % 2 = 1").select("doc_id"), "doc_id"), "n").select("vec_id", "doc_id")
+    vectors = numbered(table(spark, d, "embeddings").select("vec_id"), "vec_id")
+    return vectors.join(numbered(table(spark, d, "documents").select("doc_id"), "doc_id"), "n").select("vec_id", "doc_id")
 
 
 @query("""WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS centre FROM c GROUP BY label),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import filters, ranking, search
 from quarry.operators.ranking import positions
+from quarry.operators.storage import staged_path
 from quarry.sources.chunks import CHUNKS_SQL, RANKED_SQL, chunks, ranked, table
 
 QUERIES: dict = {}
@@ -32,7 +33,8 @@ def _docs(spark, d):
 
 
 def _questions(spark, d):
-    return table(spark, d, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    """Every benchmark item as a question, with its whole text."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _TOKENS = r"regexp_extract_all(lower(text), '\d{2}\.\d{3}|[a-z0-9]+')"
@@ -41,8 +43,7 @@ dl AS (SELECT id, len(t) AS dl FROM t), nd AS (SELECT count(*) AS n, avg(dl) AS
 post AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM t) GROUP BY ALL),
 raw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, nd GROUP BY term),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '\\d{{2}}\\.\\d{{3}}|[a-z0-9]+')) AS term
-  FROM benchmark WHERE item_id % 4 = 0) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 hits AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM q JOIN stats USING (term) JOIN post USING (term) JOIN dl USING (id), nd GROUP BY query_id, id),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM hits WHERE score > 0)"""
 
@@ -54,8 +55,15 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, d):
-    docs = _docs(spark, d)
-    return search.term_stats(search.document_frequencies(docs), docs.count()).withColumn("idf", F.round("idf", 6))
+    return search.bm25_build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, id, score, pos FROM bm WHERE pos <= 5")
+def bm25_persisted(spark, d):
+    """The index written as tables sorted by term, opened again and searched."""
+    path = staged_path(spark, "bm25")
+    search.bm25_write(search.bm25_build(_docs(spark, d)), path)
+    return search.bm25_search(search.bm25_read(spark, path), _questions(spark, d), 5)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, bm.id, score, pos FROM bm JOIN documents ON doc_id = bm.id WHERE pos <= 20 AND lang = 'en'")
@@ -70,12 +78,12 @@ def _vectors(spark, d):
 
 
 def _vector_queries(spark, d):
-    return _vectors(spark, d).filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector")
+    return _vectors(spark, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 def _dense_sql(where: str = "true", k: int = 10) -> str:
     return f"""sims AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(coalesce(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 6) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id % 25 = 0 AND {where}),
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM sims) WHERE pos <= {k})"""
 
 
@@ -115,15 +123,14 @@ def rrf_weighted(spark, d):
     return ranking.reciprocal_rank_fusion(*_two_lists(spark, d), 20, k_dense=40, k_sparse=120)
 
 
-@query(f"""WITH {BM25_SQL}, {_dense_sql(k=20)}, s AS (SELECT * FROM bm WHERE pos <= 20 AND query_id % 100 = 0),
-dd AS (SELECT * FROM dense WHERE query_id % 100 = 0),
+@query(f"""WITH {BM25_SQL}, {_dense_sql(k=20)}, s AS (SELECT * FROM bm WHERE pos <= 20), dd AS (SELECT * FROM dense),
 f AS (SELECT coalesce(dd.query_id, s.query_id) AS query_id, coalesce(dd.id, s.id) AS id, dd.pos AS rank_dense, s.pos AS rank_sparse,
   round(coalesce(1.0::double / (60.0::double + dd.pos), 0) + coalesce(1.0::double / (60.0::double + s.pos), 0), 9) AS score FROM dd FULL JOIN s ON dd.query_id = s.query_id AND dd.id = s.id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM f) WHERE pos <= 10""")
 def hybrid_search(spark, d):
-    """Vectors and words searched and fused; a query without words is answered by vectors alone."""
-    dense = search.dense(_vectors(spark, d), _vector_queries(spark, d).filter("query_id % 100 = 0"), 20)
-    sparse = search.bm25(_docs(spark, d), _questions(spark, d).filter("query_id % 100 = 0"), 20)
+    """Vectors and words searched and fused; a query that one side alone has is answered by that side."""
+    dense = search.dense(_vectors(spark, d), _vector_queries(spark, d), 20)
+    sparse = search.bm25(_docs(spark, d), _questions(spark, d), 20)
     return ranking.reciprocal_rank_fusion(dense, sparse, 10)
 
 
@@ -310,10 +317,10 @@ def score_stats(spark, d):
     return ranked(spark, d).filter("pos <= 20").groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"), F.floor(F.sum(F.length("text").cast("long")) / 4).cast("long").alias("tokens"))
 
 
-@query(f"{R} SELECT query_id, id, pos FROM ranked WHERE pos <= 5 AND query_id < 10")
+@query(f"{R} SELECT query_id, id, pos FROM ranked WHERE pos <= 5")
 def batch_search(spark, d):
-    """Ten queries in one job: a window by query in the place of ten searches."""
-    return ranking.top(ranked(spark, d).filter("query_id < 10"), 5).select("query_id", "id", "pos")
+    """All queries in one job: a window by query in the place of a search for each."""
+    return ranking.top(ranked(spark, d), 5).select("query_id", "id", "pos")
 
 
 @query(f"{R} SELECT query_id, count(*) AS n FROM ranked WHERE spec_number = '22.201' GROUP BY query_id")

@@ -167,12 +167,12 @@ def context_header(spark, d):
     return ranked(spark, d).filter("pos <= 5").select("query_id", "id", dx.context_header(c("spec_role"), c("content_type"), c("spec_number"), c("section_number"), c("parent_title"), c("release")).alias("header"))
 
 
-@query("""SELECT conv_id, string_agg('### ' || turn || ': ' || role || chr(10) || left(text, 60) || chr(10), chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 5 GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg('### ' || turn || ': ' || role || chr(10) || text || chr(10), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
 def online_context(spark, d):
     """Numbered references, formatted and joined in order."""
-    row = F.concat(F.lit("### "), F.col("turn").cast("string"), F.lit(": "), "role", F.lit("\n"), F.substring("text", 1, 60), F.lit("\n"))
+    row = F.concat(F.lit("### "), F.col("turn").cast("string"), F.lit(": "), "role", F.lit("\n"), "text", F.lit("\n"))
     rows = F.array_sort(F.collect_list(F.struct("turn", row.alias("r"))))
-    return table(spark, d, "conversations").filter("turn < 5").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x.r), "\n").alias("context"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x.r), "\n").alias("context"))
 
 
 _IMG = ("![Figure 4.%d: one](a%s.png) text ![logo](b.png)", "![Figure 4.%d: again](c%s.png)", "none %s")
@@ -194,7 +194,7 @@ def ivf_topk(spark, d):
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     centres = search.ivf_centres(vectors, 16)
-    return search.ivf_search(search.ivf_index(vectors, centres), centres, vectors.filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=12)
+    return search.ivf_search(search.ivf_index(vectors, centres), centres, vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=12)
 
 
 QUERIES["ivf_topk"] = ivf_topk

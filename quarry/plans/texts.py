@@ -30,20 +30,26 @@ def _ids(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"))
 
 
+#: Ids of the documents' own texts and of the pages' addresses, beside those of made texts.
+TEXT_IDS, PAGE_IDS = 10**9, 2 * 10**9
+
+
 def cased(spark, d, *texts: str):
-    """id and x: one of texts by id, in which %s is the id, %n a number and %d a two-digit one."""
+    """id and x: one of texts by id, in which %s is the id, %n a number and %d a two-digit one; then every document's own text and every page's address."""
     k = F.col("id")
     found = F.lit(texts[0])
     for i, t in enumerate(texts):
         found = F.when(k % len(texts) == i, F.lit(t)).otherwise(found)
     found = F.replace(found, F.lit("%s"), k.cast("string"))
     found = F.replace(found, F.lit("%n"), (100 + k % 900).cast("string"))
-    return _ids(spark, d).withColumn("x", F.replace(found, F.lit("%d"), (21 + k % 18).cast("string")))
+    made = _ids(spark, d).withColumn("x", F.replace(found, F.lit("%d"), (21 + k % 18).cast("string")))
+    texts_ = table(spark, d, "documents").select((TEXT_IDS + F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("x"))
+    return made.union(texts_).union(table(spark, d, "pages").select((PAGE_IDS + F.col("page_id")).alias("id"), F.coalesce("url", F.lit("")).alias("x")))
 
 
 def cased_sql(*texts: str) -> str:
     cases = " ".join("WHEN {} THEN '{}'".format(i, t.replace("'", "''")) for i, t in enumerate(texts))
-    return f"""c AS (SELECT doc_id AS id, replace(replace(replace(CASE doc_id % {len(texts)} {cases} END, '%s', doc_id::varchar), '%n', (100 + doc_id % 900)::varchar), '%d', (21 + doc_id % 18)::varchar) AS x FROM documents)"""
+    return f"""c AS (SELECT doc_id AS id, replace(replace(replace(CASE doc_id % {len(texts)} {cases} END, '%s', doc_id::varchar), '%n', (100 + doc_id % 900)::varchar), '%d', (21 + doc_id % 18)::varchar) AS x FROM documents UNION ALL SELECT {TEXT_IDS} + doc_id, coalesce(text, '') FROM documents UNION ALL SELECT {PAGE_IDS} + page_id, coalesce(url, '') FROM pages)"""
 
 
 _T = "regexp_extract_all(lower(text), '\\d{2}\\.\\d{3}|[a-z0-9]+')"
@@ -217,11 +223,12 @@ def clean_markdown(spark, d):
     return cased(spark, d, *_MD).select("id", tx.clean_markdown(F.col("x")).alias("cleaned"))
 
 
+_DIG = "coalesce(ltrim(regexp_replace(x, '[^0-9]', '', 'g'), '0'), '')"
 _VERS = ("i10", "f60", "18.%d.0", "", "id0", "i10a")
 
 
 @query(f"""WITH {cased_sql(*_VERS)}, v AS (SELECT id, nullif(x, '') AS x FROM c)
-SELECT id, x AS version, row_number() OVER (ORDER BY x IS NOT NULL, coalesce(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '')::bigint, 0), coalesce(x, ''), id) AS place FROM v""")
+SELECT id, x AS version, row_number() OVER (ORDER BY x IS NOT NULL, length({_DIG}), {_DIG}, coalesce(x, ''), id) AS place FROM v""")
 def version_order(spark, d):
     rows = cased(spark, d, *_VERS).select("id", F.nullif("x", F.lit("")).alias("version"))
     return numbered(rows.withColumn("_k", tx.version_key(F.col("version"))), "_k", "id", name="place").drop("_k")
@@ -241,7 +248,7 @@ _UPS = ("38300-60.docx", "TS_38.300_R18.docx", "O-RAN.WG1.CUS.docx", "notes %s.m
 @query(f"""WITH {cased_sql(*_UPS)}, h AS (SELECT id, x, CASE id % 7 WHEN 0 THEN 'O-RAN ALLIANCE text' WHEN 1 THEN '3GPP TS 38.300 V18.4.0' ELSE 'text' END AS head FROM c)
 SELECT id, CASE WHEN regexp_matches(x, '(?i)O-RAN\\.') OR regexp_matches(head, '(?i)O-RAN\\s+ALLIANCE|O-RAN\\s+WORKING\\s+GROUP') THEN 'oran'
   WHEN regexp_matches(x, '^\\d{{5}}') OR regexp_matches(x, '(?i)(?:TS|TR)[_\\s]\\d{{2}}\\.\\d{{3}}') OR regexp_matches(head, '(?i)3GPP\\s+(?:TS|TR)\\s+\\d{{2}}\\.\\d{{3}}\\s+V\\d+\\.\\d+\\.\\d+') THEN '3gpp' ELSE 'unknown' END AS kind,
-  regexp_replace(string_split(x, '/')[-1], '[^\\w.\\-()一-鿿]+', '_', 'g') AS safe FROM h""")
+  regexp_replace(string_split(x, '/')[-1], '[^\\p{{L}}\\p{{N}}_.\\-()一-鿿]+', '_', 'g') AS safe FROM h""")
 def kind_classify(spark, d):
     k = F.col("id")
     head = F.when(k % 7 == 0, "O-RAN ALLIANCE text").when(k % 7 == 1, "3GPP TS 38.300 V18.4.0").otherwise("text")
@@ -260,9 +267,9 @@ def history_fingerprint(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.array_join(F.transform(last, lambda x: x.t), "|").alias("fingerprint"))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, text, unnest(generate_series(0, greatest(ceil(length(text) / 32.0)::bigint, 1) - 1)) AS place FROM documents WHERE doc_id % 10 = 0) SELECT id, place, substr(text, place * 32 + 1, 32) AS piece FROM s""")
+@query("""WITH s AS (SELECT doc_id AS id, text, unnest(generate_series(0, greatest(ceil(length(text) / 32.0)::bigint, 1) - 1)) AS place FROM documents) SELECT id, place, substr(text, place * 32 + 1, 32) AS piece FROM s""")
 def stream_pieces(spark, d):
-    return table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.posexplode(tx.pieces(F.col("text"))).alias("place", "piece"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(tx.pieces(F.col("text"))).alias("place", "piece"))
 
 
 @query("SELECT doc_id AS id, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda x: trim(x)), lambda x: length(x) >= 20)[1:5] AS phrases FROM documents")
@@ -334,13 +341,13 @@ def xref_siblings(spark, d):
     return graph.sibling_edges(chunks(spark, d))
 
 
-_TOP = """o AS (SELECT id, 'g' || (id // 40) AS doc_id, 1 + (id * 7) % 40 AS n FROM chunks WHERE id % 3 <> 1)"""
+_TOP = """o AS (SELECT id, 'g' || (id // 40) AS doc_id, 1 + (id * 7) % 40 AS n FROM chunks)"""
 
 
 @query(f"{C}, {_TOP} SELECT src, dst, 'NEXT_SECTION' AS type, 0.4::double AS weight FROM (SELECT id AS src, n, lead(id) OVER w AS dst, lead(n) OVER w AS m FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY n, id)) WHERE m = n + 1")
 def xref_next_section(spark, d):
     k = F.col("id")
-    rows = chunks(spark, d).filter("id % 3 <> 1").select("id", F.concat(F.lit("g"), F.floor(k / 40).cast("string")).alias("doc_id"), (1 + k * 7 % 40).cast("string").alias("section_number"), F.lit("").alias("parent_section_id"), "chunk_index")
+    rows = chunks(spark, d).select("id", F.concat(F.lit("g"), F.floor(k / 40).cast("string")).alias("doc_id"), (1 + k * 7 % 40).cast("string").alias("section_number"), F.lit("").alias("parent_section_id"), "chunk_index")
     return graph.next_section_edges(rows)
 
 
@@ -366,7 +373,7 @@ def xref_adjacency(spark, d):
     return graph.adjacency(_edges(spark, d))
 
 
-@query(f"""{C}, {_INDEX}, a AS (SELECT id AS ref, spec_number, (1 + id % 9) || '.' || (id % 6) || CASE WHEN id % 2 = 0 THEN '.' || (id % 12) ELSE '' END AS clause FROM chunks WHERE id % 5 = 0),
+@query(f"""{C}, {_INDEX}, a AS (SELECT id AS ref, spec_number, (1 + id % 9) || '.' || (id % 6) || CASE WHEN id % 2 = 0 THEN '.' || (id % 12) ELSE '' END AS clause FROM chunks),
 l AS (SELECT ref, spec_number, unnest([clause, array_to_string(string_split(clause, '.')[1:len(string_split(clause, '.')) - 1], '.'), array_to_string(string_split(clause, '.')[1:len(string_split(clause, '.')) - 2], '.')]) AS section, unnest([0, 1, 2]) AS up FROM a),
 h AS (SELECT ref, id, 2 * up AS level FROM l JOIN ix USING (spec_number, section) WHERE section <> '' UNION SELECT ref, id, 2 * up + 1 FROM l JOIN ix ON ix.spec_number = l.spec_number AND starts_with(ix.section, l.section || '.') WHERE l.section <> '')
 SELECT DISTINCT ref, id, level FROM (SELECT *, min(level) OVER (PARTITION BY ref) AS best FROM h) WHERE level = best""")
@@ -374,7 +381,7 @@ def xref_resolve(spark, d):
     k = F.col("id")
     clause = F.concat((1 + k % 9).cast("string"), F.lit("."), (k % 6).cast("string"), F.when(k % 2 == 0, F.concat(F.lit("."), (k % 12).cast("string"))).otherwise(""))
     nodes = chunks(spark, d)
-    return graph.resolve(nodes.filter("id % 5 = 0").select(k.alias("ref"), "spec_number", clause.alias("clause")), nodes)
+    return graph.resolve(nodes.select(k.alias("ref"), "spec_number", clause.alias("clause")), nodes)
 
 
 _ASN = ("Foo-Bar%s ::= SEQUENCE { a INTEGER }", "ab ::= INTEGER and QosId ::= Integer, QosId ::= CHOICE", "true ::= BOOLEAN", "none %s")
@@ -389,11 +396,11 @@ def ie_defines(spark, d):
 _ANS = ("As TS %d.%n says [1] and [9]", "无法确定 %s", "TS 22.201 and TS 99.%n hold", "nothing cited %s")
 
 
-@query(f"""{C}, {cased_sql(*_ANS)}, s AS (SELECT DISTINCT spec_number FROM chunks WHERE id < 200), r AS (SELECT id, unnest(regexp_extract_all(x, 'TS\\s*(\\d{{2}}\\.\\d{{3}})', 1)) AS spec_number FROM c)
+@query(f"""{C}, {cased_sql(*_ANS)}, s AS (SELECT DISTINCT spec_number FROM chunks), r AS (SELECT id, unnest(regexp_extract_all(x, 'TS\\s*(\\d{{2}}\\.\\d{{3}})', 1)) AS spec_number FROM c)
 SELECT r.id, r.spec_number, s.spec_number IS NULL AS unseen FROM (SELECT DISTINCT * FROM r) r LEFT JOIN s USING (spec_number)""")
 def verify_refs(spark, d):
     """Specifications that an answer cites, and whether its sources lack them."""
     from quarry.plans.answers import cited_specs
 
-    sources = chunks(spark, d).filter("id < 200").select("spec_number")
+    sources = chunks(spark, d).select("spec_number")
     return cited_specs(cased(spark, d, *_ANS).withColumnRenamed("x", "answer"), sources)
