@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import found_at, once
+
 # Abbreviations and what they stand for.
 ABBREVIATIONS = {
     "AMF": "Access and Mobility Management Function",
@@ -49,6 +51,10 @@ CJK = "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]"
 HANGUL = "[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
 SPEC_NUMBER = r"\b(\d{2}\.\d{3})\b"
 SPEC_WITH_CLAUSE = r"(?i)(?:3GPP\s+)?(TS|TR)\s+(\d{2})\.(\d{3})(?:\s*(?:§|clause|subclause|section|,)\s*([A-Z]?\d+(?:\.\d+)*))?"
+CLAUSE_ALONE = r"(?i)(?:§\s*|clause\s+|subclause\s+|sub-clause\s+|section\s+|Annex\s+)([A-Z]?\d+(?:\.\d+)*)"
+TABLE_NUMBER = r"(?i)Table\s+([A-Z]?\d+(?:\.\d+)*(?:-[A-Z]?\d+(?:\.\d+)*)?)"
+FIGURE_NUMBER = r"(?i)Figure\s+([A-Z]?\d+(?:\.\d+)*(?:-[A-Z]?\d+(?:\.\d+)*)?)"
+CLAUSE_CONTEXT = ("ts ", "tr ", "3gpp", "specif", "clause", "section")
 RELEASE_PAIR = r"(?i)(?:Release\s+|Rel[.-]?\s*|R\s*)(\d{2})\s*(?:vs\.?|versus|compared?\s*(?:to|with)|和|与|对比|相比|比较|versus)\s*(?:Release\s+|Rel[.-]?\s*|R\s*)?(\d{2})"
 RELEASE_ONE = r"(?i)(?:Release\s+|Rel[.-]?\s*|R\s*)(\d{2})(?!\s*(?:vs\.?|versus|compared?|和|对比))"
 COMPARATIVE = r"(?i)(?:difference|change|new|update|delta|comparison|更新|新增|变更|区别|不同|变化|差异|修改|演进|增强|add|remove|deprecat)"
@@ -82,10 +88,29 @@ def language(text: Column) -> Column:
 
 
 def spec_references(text: Column) -> Column:
-    """Array of struct(type, spec_number, clause) in order; the clause is empty where none is given."""
-    get = lambda g: F.regexp_extract_all(text, F.lit(SPEC_WITH_CLAUSE), F.lit(g))
-    rows = F.arrays_zip(get(1).alias("a"), get(2).alias("b"), get(3).alias("c"), get(4).alias("d"))
-    return F.transform(rows, lambda x: F.struct(F.upper(x.a).alias("type"), F.concat(x.b, F.lit("."), x.c).alias("spec_number"), F.coalesce(x.d, F.lit("")).alias("clause")))
+    """Array of struct(start, rank, type, spec_number, clause, table, figure) by place: specifications with or without a clause, clauses that
+    stand alone after words of the field, tables and figures. Type and specification are ? where a text names none."""
+    empty, unknown = F.lit(""), F.lit("?")
+
+    def row(x: Column, rank: int, kind=unknown, spec=unknown, clause=empty, table=empty, figure=empty) -> Column:
+        values = {"start": x["start"], "rank": F.lit(rank), "type": kind, "spec_number": spec, "clause": clause, "table": table, "figure": figure}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def all_kinds(named: Column) -> Column:
+        specs = F.transform(named, lambda x: row(x, 0, F.upper(x["g1"]), F.concat(x["g2"], F.lit("."), x["g3"]), x["g4"]))
+        before = lambda x: F.lower(F.substring(text, F.greatest(x["start"] - 50, F.lit(0)) + 1, F.least(x["start"], F.lit(50))))
+        free = lambda x: ~F.exists(named, lambda s: x["start"].between(s["start"], s["end"]))
+        alone = F.filter(found_at(text, CLAUSE_ALONE, 1), lambda x: free(x) & any_of(before(x), CLAUSE_CONTEXT))
+        tables, figures = found_at(text, TABLE_NUMBER, 1), found_at(text, FIGURE_NUMBER, 1)
+        return F.array_sort(F.concat(specs, F.transform(alone, lambda x: row(x, 1, clause=x["g1"])), F.transform(tables, lambda x: row(x, 2, table=x["g1"])), F.transform(figures, lambda x: row(x, 3, figure=x["g1"]))))
+
+    return once(found_at(text, SPEC_WITH_CLAUSE, 1, 2, 3, 4), all_kinds)
+
+
+def reference_query(ref: Column) -> Column:
+    """What to search for to find a reference."""
+    more = lambda name, x: F.when(x != "", F.concat(F.lit(f" {name} "), x)).otherwise("")
+    return F.concat(ref["type"], F.lit(" "), ref["spec_number"], more("clause", ref["clause"]), more("Table", ref["table"]))
 
 
 def spec_numbers(text: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import spec_references
+
 from .ranking import BY, positions
 
 # Edge weights, and names that are no information elements.
+REFERENCE_WEIGHTS = {"other": 1.0, "own": 0.6}
+NEAR, MOST_EVIDENCE = 40, 200
 WEIGHTS = {"PARENT_CHILD": 0.5, "SIBLING": 0.3, "NEXT_SECTION": 0.4, "DEFINES": 0.8}
 GENERIC_NAMES = ("true", "false", "null", "integer", "boolean", "string", "choice", "sequence", "enumerated", "bit", "octet")
 ELEMENT = r"(?i)(\w[\w-]*)\s*::=\s*(INTEGER|SEQUENCE|ENUMERATED|BIT\s+STRING|OCTET\s+STRING|CHOICE|BOOLEAN)"
@@ -95,3 +99,32 @@ def element_definitions(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("id", F.posexplode(pairs).alias("place", "p")).select("id", "place", "p.name", "p.kind")
     good = (F.length("name") >= 3) & ~F.lower("name").isin(*GENERIC_NAMES)
     return positions(rows.filter(good), F.asc("place"), by=["id", "name"], pos="_n").filter("_n = 1").select("id", "name", "kind")
+
+
+def reference_edges(nodes: DataFrame, claims: Callable[[Column], Column]) -> DataFrame:
+    """REFERENCES edges (src, dst, type, weight, target_spec, target_clause, evidence), each once, the first in a text winning.
+
+    nodes: id, text, spec_number and the sections. claims gives a text's references as array<struct(spec_number,
+    clause, start, end)>; an empty specification is the text's own. A reference without a clause reaches the first
+    five nodes of its specification. What refers to itself is left out.
+    """
+    rows = nodes.select("id", "spec_number", "text", F.posexplode(claims(F.col("text"))).alias("place", "c"))
+    spec = F.when(F.col("c.spec_number") == "", F.col("spec_number")).otherwise(F.col("c.spec_number"))
+    begin = F.greatest(F.col("c.start") - NEAR, F.lit(0))
+    evidence = F.substring(F.trim(F.substring("text", begin + 1, F.col("c.end") + NEAR - begin)), 1, MOST_EVIDENCE)
+    asked = rows.select(F.struct("id", "place").alias("ref"), F.col("spec_number").alias("own"), spec.alias("spec_number"), F.col("c.clause").alias("clause"), evidence.alias("evidence"))
+    whole = positions(section_index(nodes), F.asc("id"), F.asc("place"), by=["spec_number"], pos="_n").filter("_n <= 5").select("spec_number", F.col("id").alias("dst"))
+    named = asked.join(resolve(asked.select("ref", "spec_number", "clause"), nodes).select("ref", F.col("id").alias("dst")), "ref")
+    both = named.unionByName(asked.filter("clause = ''").join(whole, "spec_number").select(*asked.columns, "dst"))
+    weight = F.when(F.col("spec_number") == F.col("own"), REFERENCE_WEIGHTS["own"]).otherwise(REFERENCE_WEIGHTS["other"])
+    edges = both.select(F.col("ref.id").alias("src"), "dst", F.lit("REFERENCES").alias("type"), weight.alias("weight"), F.col("spec_number").alias("target_spec"), F.col("clause").alias("target_clause"), "evidence", F.col("ref.place").alias("pos"))
+    return first_edges(edges.filter("src <> dst")).drop("pos")
+
+
+def online_references(hits: DataFrame, *, most: int = 5, by: Sequence[str] = BY) -> DataFrame:
+    """(by, pos, search_query): the first `most` different specifications with their clauses that texts of hits (by, pos, text) refer to."""
+    rows = hits.select(*by, "pos", F.posexplode(spec_references(F.col("text"))).alias("place", "r")).filter("r.type <> '?'")
+    once = positions(rows, F.asc("pos"), F.asc("place"), by=[*by, "r.type", "r.spec_number", "r.clause"], pos="_n").filter("_n = 1")
+    asked = F.concat(F.col("r.type"), F.lit(" "), F.col("r.spec_number"), F.when(F.col("r.clause") != "", F.concat(F.lit(" clause "), F.col("r.clause"))).otherwise(""))
+    ranked = positions(once.select(*by, F.col("pos").alias("_p"), "place", asked.alias("search_query")), F.asc("_p"), F.asc("place"), by=by)
+    return ranked.filter(F.col("pos") <= most).select(*by, "pos", "search_query")

@@ -69,26 +69,46 @@ def detect_language(spark, d):
     return cased(spark, d, *_LANG).select("id", tx.language(F.col("x")).alias("lang"))
 
 
-_REFS = ("see TS %d.%n clause 5.%s and TR 38.901", "as in 3GPP TS %d.%n §6.2.1; TS %d.%n, 7.1 too", "nothing %s", "ts 23.501 section 4.2 or TS 23.501 clause 4.2")
-_REF_RX = tx.SPEC_WITH_CLAUSE.replace("'", "''")
-_REF_SQL = f"""{cased_sql(*_REFS)}, m AS (SELECT id, unnest(regexp_extract_all(x, '{_REF_RX}', 1)) AS a, unnest(regexp_extract_all(x, '{_REF_RX}', 2)) AS b, unnest(regexp_extract_all(x, '{_REF_RX}', 3)) AS cc,
-  unnest(regexp_extract_all(x, '{_REF_RX}', 4)) AS e, generate_subscripts(regexp_extract_all(x, '{_REF_RX}', 1), 1) AS n FROM c),
-refs AS (SELECT id, n - 1 AS place, upper(a) AS type, b || '.' || cc AS spec_number, coalesce(e, '') AS clause FROM m)"""
+_REFS = ("see TS %d.%n clause 5.%s and TR 38.901, Table 7.3.1-1", "as in 3GPP TS %d.%n §6.2.1; TS %d.%n, 7.1 too. See also clause 4.1 and Figure 4.1-1", "nothing %s of § 5 here", "ts 23.501 section 4.2 or TS 23.501 clause 4.2; Annex A1 of that specification, and clause 9 there")
 
 
-def _refs(spark, d):
+def _found_sql(name: str, pattern: str, *groups: int) -> str:
+    """name (id, x, start, fin, g1, ...): a pattern's matches with their places."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    own = "".join(f", unnest(regexp_extract_all(x, {p}, {g})) AS g{i}" for i, g in enumerate(groups, 1))
+    return f"""{name}_u AS (SELECT id, x, unnest(regexp_extract_all(x, {p})) AS h, unnest(string_split_regex(x, {p})[1:len(regexp_extract_all(x, {p}))]) AS gap, generate_subscripts(regexp_extract_all(x, {p}), 1) AS i{own} FROM c WHERE regexp_matches(x, {p})),
+{name} AS (SELECT *, fin - length(h) AS start FROM (SELECT *, (sum(length(gap) + length(h)) OVER (PARTITION BY id ORDER BY i))::bigint AS fin FROM {name}_u))"""
+
+
+def _like(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_REF_SQL = f"""{cased_sql(*_REFS)}, {_found_sql('sp', tx.SPEC_WITH_CLAUSE, 1, 2, 3, 4)}, {_found_sql('cl', tx.CLAUSE_ALONE, 1)}, {_found_sql('ta', tx.TABLE_NUMBER, 1)}, {_found_sql('fi', tx.FIGURE_NUMBER, 1)},
+parts AS (SELECT id, start, 0 AS rank, upper(g1) AS type, g2 || '.' || g3 AS spec_number, coalesce(g4, '') AS clause, '' AS tab, '' AS fig FROM sp
+  UNION ALL SELECT id, start, 1, '?', '?', g1, '', '' FROM cl WHERE {_like("lower(substr(x, greatest(start - 50, 0) + 1, least(start, 50)))", tx.CLAUSE_CONTEXT)} AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.id = cl.id AND cl.start BETWEEN sp.start AND sp.fin)
+  UNION ALL SELECT id, start, 2, '?', '?', '', g1, '' FROM ta UNION ALL SELECT id, start, 3, '?', '?', '', '', g1 FROM fi),
+everything AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, rank) - 1 AS place FROM parts), refs AS (SELECT * FROM everything WHERE type <> '?')"""
+
+
+def _all_refs(spark, d):
     return cased(spark, d, *_REFS).select("id", F.posexplode(tx.spec_references(F.col("x"))).alias("place", "r")).select("id", "place", "r.*")
 
 
-@query(f"WITH {_REF_SQL} SELECT id, place, type, spec_number, clause FROM refs")
+def _refs(spark, d):
+    return _all_refs(spark, d).filter("type <> '?'")
+
+
+@query(f"WITH {_REF_SQL} SELECT id, place, start, type, spec_number, clause, tab AS table_number, fig AS figure_number FROM everything")
 def extract_spec_refs(spark, d):
-    return _refs(spark, d)
+    """Specifications, clauses that stand alone, tables and figures, in order of place."""
+    return _all_refs(spark, d).select("id", "place", "start", "type", "spec_number", "clause", F.col("table").alias("table_number"), F.col("figure").alias("figure_number"))
 
 
-@query(f"WITH {_REF_SQL} SELECT id, place, type || ' ' || spec_number || CASE WHEN clause <> '' THEN ' clause ' || clause ELSE '' END AS search_query FROM (SELECT *, row_number() OVER (PARTITION BY id, type, spec_number, clause ORDER BY place) AS k FROM refs) WHERE k = 1")
+@query(f"WITH {_REF_SQL} SELECT id, place, type || ' ' || spec_number || CASE WHEN clause <> '' THEN ' clause ' || clause ELSE '' END || CASE WHEN tab <> '' THEN ' Table ' || tab ELSE '' END AS search_query FROM (SELECT *, row_number() OVER (PARTITION BY id, type, spec_number, clause ORDER BY place) AS k FROM refs) WHERE k = 1")
 def dedup_refs(spark, d):
     first = positions(_refs(spark, d), F.asc("place"), by=["id", "type", "spec_number", "clause"], pos="k").filter("k = 1")
-    return first.select("id", "place", F.concat("type", F.lit(" "), "spec_number", F.when(F.col("clause") != "", F.concat(F.lit(" clause "), "clause")).otherwise("")).alias("search_query"))
+    return first.select("id", "place", tx.reference_query(F.struct("type", "spec_number", "clause", "table")).alias("search_query"))
 
 
 @query(f"WITH {_REF_SQL} SELECT spec_number, list(DISTINCT CASE WHEN clause = '' THEN type || ' ' || spec_number ELSE clause END ORDER BY CASE WHEN clause = '' THEN type || ' ' || spec_number ELSE clause END) AS labels, count(DISTINCT id) AS n_chunks FROM refs GROUP BY spec_number")
@@ -103,6 +123,13 @@ def ref_summary(spark, d):
     return _refs(spark, d).groupBy("spec_number").agg(F.coalesce(F.nullif(clauses, F.lit("")), F.lit("-")).alias("clauses"))
 
 
+@query(f"WITH {_REF_SQL}, k AS (SELECT id % 40 AS query_id, id, place, type || ' ' || spec_number || CASE WHEN clause <> '' THEN ' clause ' || clause ELSE '' END AS search_query, row_number() OVER (PARTITION BY id % 40, type, spec_number, clause ORDER BY id, place) AS n FROM refs), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id, place) AS pos FROM k WHERE n = 1) SELECT query_id, pos, search_query FROM o WHERE pos <= 5")
+def online_references(spark, d):
+    """What a question's results refer to, to be searched for in turn: each reference once, the first five."""
+    hits = cased(spark, d, *_REFS).withColumn("query_id", F.col("id") % 40)
+    return graph.online_references(hits.select("query_id", F.col("id").alias("pos"), F.col("x").alias("text")))
+
+
 @query(f"WITH {cased_sql(*_REFS)} SELECT id, list_sort(list_distinct(regexp_extract_all(x, '\\b(\\d{{2}}\\.\\d{{3}})\\b', 1))) AS specs FROM c")
 def spec_numbers(spark, d):
     return cased(spark, d, *_REFS).select("id", tx.spec_numbers(F.col("x")).alias("specs"))
@@ -122,10 +149,6 @@ def release_intent(spark, d):
 _ASK = ("What are the PRACH formats?", "有哪些帧格式", "explain beam failure %s", "information on cell %s", "MAC and RRC steps", "NR versus LTE bearers", "EN-DC setup", "pdcp reordering")
 
 
-def _like(column: str, words) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
 @query(f"WITH {cased_sql(*_ASK)} SELECT id, {_like('x', tx.TAXONOMY_ZH)} OR {_like('lower(x)', tx.TAXONOMY_EN)} AS flag FROM c")
 def taxonomy_flag(spark, d):
     return cased(spark, d, *_ASK).select("id", tx.asks_for_list(F.col("x")).alias("flag"))
@@ -248,7 +271,7 @@ _UPS = ("38300-60.docx", "TS_38.300_R18.docx", "O-RAN.WG1.CUS.docx", "notes %s.m
 @query(f"""WITH {cased_sql(*_UPS)}, h AS (SELECT id, x, CASE id % 7 WHEN 0 THEN 'O-RAN ALLIANCE text' WHEN 1 THEN '3GPP TS 38.300 V18.4.0' ELSE 'text' END AS head FROM c)
 SELECT id, CASE WHEN regexp_matches(x, '(?i)O-RAN\\.') OR regexp_matches(head, '(?i)O-RAN\\s+ALLIANCE|O-RAN\\s+WORKING\\s+GROUP') THEN 'oran'
   WHEN regexp_matches(x, '^\\d{{5}}') OR regexp_matches(x, '(?i)(?:TS|TR)[_\\s]\\d{{2}}\\.\\d{{3}}') OR regexp_matches(head, '(?i)3GPP\\s+(?:TS|TR)\\s+\\d{{2}}\\.\\d{{3}}\\s+V\\d+\\.\\d+\\.\\d+') THEN '3gpp' ELSE 'unknown' END AS kind,
-  regexp_replace(string_split(x, '/')[-1], '[^\\p{{L}}\\p{{N}}_.\\-()一-鿿]+', '_', 'g') AS safe FROM h""")
+  coalesce(nullif(regexp_replace(string_split(x, '/')[-1], '[^\\p{{L}}\\p{{N}}_.\\-()一-鿿]+', '_', 'g'), ''), 'unnamed') AS safe FROM h""")
 def kind_classify(spark, d):
     k = F.col("id")
     head = F.when(k % 7 == 0, "O-RAN ALLIANCE text").when(k % 7 == 1, "3GPP TS 38.300 V18.4.0").otherwise("text")
