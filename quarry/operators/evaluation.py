@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KS = (5, 10, 20)
@@ -53,3 +54,36 @@ def by_group(scores: DataFrame, values: Sequence[str]) -> DataFrame:
     """Means over all samples, by difficulty and by hops, in one pass over grouping sets."""
     means = ", ".join(f"round(avg({v}), 6) AS {v}" for v in values)
     return scores.sparkSession.sql(f"SELECT difficulty, multi_hop, count(*) AS n, {means} FROM {{scores}} GROUP BY GROUPING SETS ((), (difficulty), (multi_hop))", scores=scores)
+
+
+def _done(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def run_resumable(samples: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """The results of all samples (query_id, text): those that path holds under the hash of a sample's text, and answer's, which are added to it.
+
+    A run that breaks off is called again with the same path; samples with no results are asked again.
+    """
+    keyed = samples.withColumn("sample_key", F.substring(F.sha2("text", 256), 1, 16))
+    done = _done(samples.sparkSession, path)
+    left = keyed if done is None else keyed.join(done.select("sample_key").distinct(), "sample_key", "left_anti")
+    answer(left).join(keyed.select("query_id", "sample_key"), "query_id").write.mode("append").parquet(path)
+    return samples.sparkSession.read.parquet(path).join(keyed.select("sample_key").distinct(), "sample_key", "left_semi").drop("sample_key")
+
+
+def compare(results: dict[str, DataFrame], expected: DataFrame, k: int) -> DataFrame:
+    """(model, n, recall, mrr): the means of each model's results over one set of expectations."""
+    parts = []
+    for name, rows in results.items():
+        scores = recall(rows, expected, [k]).join(reciprocal_rank(rows, expected), "sample")
+        parts.append(scores.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr")).select(F.lit(name).alias("model"), "n", "recall", "mrr"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found

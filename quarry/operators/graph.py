@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import spec_references
@@ -128,3 +128,14 @@ def online_references(hits: DataFrame, *, most: int = 5, by: Sequence[str] = BY)
     asked = F.concat(F.col("r.type"), F.lit(" "), F.col("r.spec_number"), F.when(F.col("r.clause") != "", F.concat(F.lit(" clause "), F.col("r.clause"))).otherwise(""))
     ranked = positions(once.select(*by, F.col("pos").alias("_p"), "place", asked.alias("search_query")), F.asc("_p"), F.asc("place"), by=by)
     return ranked.filter(F.col("pos") <= most).select(*by, "pos", "search_query")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Write a graph as two tables; edges lie by type."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of a written graph."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")

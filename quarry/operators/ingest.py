@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,16 @@ def save(chunks: DataFrame, path: str) -> None:
     truncated(chunks).write.mode("append").partitionBy("series").parquet(path)
 
 
+def rebuild(chunks: DataFrame, path: str) -> None:
+    """Replace the whole store by chunks, cut to their limits, by series."""
+    truncated(chunks).write.mode("overwrite").partitionBy("series").parquet(path)
+
+
+def copy_with_vectors(chunks: DataFrame, path: str, text: Column, encode: Callable[[Column], Column]) -> None:
+    """Write a copy of chunks, ids and all, whose dense_vector is encode(text)."""
+    chunks.withColumn("dense_vector", encode(text)).write.mode("overwrite").parquet(path)
+
+
 def unfinished(chunks: DataFrame, stored: DataFrame, key: Sequence[str] = ("doc_id", "spec_number", "chunk_index")) -> DataFrame:
     """What a resumed job still has to write."""
     return chunks.join(stored.select(*key), list(key), "left_anti")

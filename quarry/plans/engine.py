@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions import documents as dx
 from quarry.functions import text as tx
 from quarry.operators import filters, graph, ranking, search
+from quarry.operators.storage import stage as settled
 from quarry.plans.answers import verify
 
 BY = ["query_id"]
@@ -128,7 +129,7 @@ def search_plan(spark: SparkSession, corpus: Corpus, question: str, models: Mode
 
 def _hinted(spark: SparkSession, results: DataFrame, corpus: Corpus, questions: DataFrame, cfg: Settings) -> DataFrame:
     hints = questions.select("query_id", F.explode(tx.spec_numbers(F.col("text"))).alias("spec_number"))
-    wanted = [r.spec_number for r in hints.select("spec_number").distinct().limit(50).collect()]  # a question names few
+    wanted = [r.spec_number for r in hints.select("spec_number").distinct().collect()]  # those that the questions of one call name
     if not wanted:
         return results
     own = corpus.chunks.filter(filters.user_filter(cfg.release, cfg.series, cfg.doc_type) & F.col("spec_number").isin(wanted))
@@ -156,7 +157,10 @@ def plan(spark: SparkSession, corpus: Corpus, question: str, models: Models = Mo
     results = _hinted(spark, ranking.rerank_fusion(scored, cfg.top_k).drop("rerank_score"), corpus, questions, cfg)
     if listing:
         results = ranking.metadata_boost(results)
-    results = filters.backfill(results, cfg.top_k).withColumn("pos", F.col("new_pos")).drop("new_pos", "is_low").persist()
+    results = settled(filters.backfill(results, cfg.top_k).withColumn("pos", F.col("new_pos")).drop("new_pos", "is_low"))
+    if listing:
+        results = _sub_queries(spark, results, corpus, question, models, cfg)
+    results = _referred(spark, results, corpus, models, cfg)
     results = _more_hops(spark, results, corpus, question, models, cfg, crossing)
     if corpus.edges is not None:
         nodes = corpus.chunks.select("id", "spec_number")
@@ -172,6 +176,35 @@ def plan(spark: SparkSession, corpus: Corpus, question: str, models: Models = Mo
     return Context(question, language, searched, results, initial, wanted, note or ("comparative" if comparative else ""))
 
 
+def _found_for(spark: SparkSession, texts: Sequence[str], corpus: Corpus, models: Models, cfg: Settings, k: int) -> DataFrame:
+    """The results of several searches in one job, as those of query 0: in order of search, then of place."""
+    found = with_facts(hybrid(corpus, _questions(spark, texts, models), k, cfg), corpus)
+    order = Window.partitionBy(F.lit(0)).orderBy("query_id", "pos")  # a few searches of k results each
+    return found.withColumn("pos", F.row_number().over(order)).withColumns({"query_id": F.lit(0).cast("long"), "source_tag": F.lit(None).cast("string")})
+
+
+def _sub_queries(spark: SparkSession, results: DataFrame, corpus: Corpus, question: str, models: Models, cfg: Settings) -> DataFrame:
+    """For a question that asks for a list: what up to five narrower questions of the language model find besides."""
+    if not models.llm:
+        return results
+    answer = models.llm([{"role": "user", "content": f"{question}\n\nSplit the question into narrower ones, a line each."}])
+    asked = [x.strip().lstrip("-*0123456789. ") for x in answer.strip().split("\n")]
+    asked = [x for x in asked if len(x) > 5][:5]
+    if not asked:
+        return results
+    columns = [*RESULT, *FACTS[1:], "source_tag"]
+    return settled(ranking.merge_supplement(results.select(*columns), _found_for(spark, asked, corpus, models, cfg, cfg.top_k).select(*columns), tag="taxonomy"))
+
+
+def _referred(spark: SparkSession, results: DataFrame, corpus: Corpus, models: Models, cfg: Settings) -> DataFrame:
+    """What the first ten results refer to, up to five references, is searched for; what is new is added."""
+    asked = [r.search_query for r in graph.online_references(results.filter("pos <= 10").select("query_id", "pos", "text")).orderBy("pos").collect()]  # five at most
+    if not asked:
+        return results
+    columns = [*RESULT, *FACTS[1:], "source_tag"]
+    return settled(ranking.merge_supplement(results.select(*columns), _found_for(spark, asked, corpus, models, cfg, 5).select(*columns), tag="cross_ref"))
+
+
 def _more_hops(spark: SparkSession, results: DataFrame, corpus: Corpus, question: str, models: Models, cfg: Settings, crossing: bool) -> DataFrame:
     """Rounds of sub-queries that the language model asks for, until it is satisfied or nothing new comes."""
     if not models.llm:
@@ -186,9 +219,8 @@ def _more_hops(spark: SparkSession, results: DataFrame, corpus: Corpus, question
         asked = _asks_more(models.llm([{"role": "user", "content": f"{question}\n\n{summary}\n\nWhat is missing?"}]))[: cfg.sub_queries]
         if not asked:
             break
-        sub = with_facts(hybrid(corpus, _questions(spark, asked, models), max(cfg.top_k // 2, 5), cfg), corpus)
-        sub = sub.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id", "pos"))).withColumns({"query_id": F.lit(0).cast("long"), "source_tag": F.lit(None).cast("string")})
-        merged = ranking.merge_supplement(results.select(*columns), sub.select(*columns)).checkpoint()
+        sub = _found_for(spark, asked, corpus, models, cfg, max(cfg.top_k // 2, 5))
+        merged = settled(ranking.merge_supplement(results.select(*columns), sub.select(*columns)))
         if merged.count() == results.count():
             break
         results = merged

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "texts", "corpus", "documents", "rules")
+MODULES = ("retrieval", "texts", "corpus", "documents", "rules", "jobs")
 
 
 def collect(kind: str) -> dict:

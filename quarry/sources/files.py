@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_markdown, figure_id, header, path_facts
 from quarry.operators.ranking import positions
+from quarry.sources.chunks import CHUNK_SCHEMA
 
 MANIFEST = "spec_number string, release string, latest_version string, file_path string, sha256 string, chunk_count int, ingested_at string"
 SAMPLES = "question string, expected_specs array<string>, expected_sections array<string>, difficulty string, multi_hop boolean, expected map<string,array<string>>"
@@ -63,6 +64,23 @@ def converted(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, raw string, error string")
 
 
+def dump_chunks(chunks: DataFrame, path: str) -> None:
+    """Write chunks as JSON lines, in their own columns, without vectors."""
+    kept = [c for c in CHUNK_SCHEMA.names if c in chunks.columns and c != "dense_vector"]
+    chunks.select(*kept).write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a dump; columns that it lacks are null, and lines that are no chunks are left out."""
+    return spark.read.schema(CHUNK_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+
+
+def unclassified(spark: SparkSession, folder: str) -> DataFrame:
+    """name, path, length and time of the files of a folder, by lower-cased name; contents are not read."""
+    rows = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), "path", "length", "modificationTime")
+    return rows.orderBy(F.lower("name"), "name")
+
+
 def image_map(docs: DataFrame) -> DataFrame:
     """(spec_number, figure_id, path) of the images of Markdown documents (spec_number, text); the first of a figure counts."""
     pattern = F.lit(r"!\[([^\]]+)\]\(([^)]+)\)")
