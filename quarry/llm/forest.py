@@ -179,30 +179,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, c) for the nodes of links (a, b): c is the smallest node that v reaches.
+    """v and c for the nodes of links (a, b): c is the smallest node that v reaches. The result is a staged table.
 
     Every node takes its smallest neighbour or itself, chains are shortened by halves, and what still links
     different nodes is solved in the same way. Aggregations combine before they shuffle. Joins are inner, from
     many nodes to the one row of their label, so adaptive execution splits the nodes of a hub over many tasks.
     """
     both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    label = stage(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c")), "labels")
+    held = stage(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c")), "labels")
     while True:
+        label = held.select("v", "c")
         up = label.select(F.col("v").alias("c"), F.col("c").alias("top"))
         further = stage(label.join(up, "c").select("v", F.col("top").alias("c"), (F.col("top") != F.col("c")).alias("moved")), "labels")
-        done, old = not further.filter("moved").take(1), label
-        discard(old)
-        label = stage(further.drop("moved"), "labels")
-        discard(further)
-        if done:
+        discard(held)
+        held = further
+        if not held.filter("moved").take(1):
             break
+    label = held.select("v", "c")
     a, b = label.select(F.col("v").alias("a"), F.col("c").alias("x")), label.select(F.col("v").alias("b"), F.col("c").alias("y"))
     left = stage(links.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     if not left.take(1):
-        return label
+        discard(left)
+        return held
     over = components(left)
     found = stage(label.join(over.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
-    discard(label, left, over)
+    discard(held, left, over)
     return found
 
 
