@@ -28,7 +28,15 @@ PHRASES = {
     "fr": ("tous droits r[éÉ]serv[éÉ]s", "politique de confidentialit[éÉ]", "mentions l[éÉ]gales", "conditions d['’]utilisation", "cliquez ici", "lire la suite", "se connecter", "droits d['’]auteur"),
     "es": ("todos los derechos reservados", "pol[íÍ]tica de privacidad", "aviso legal", r"t[éÉ]rminos (?:de uso|y condiciones)", "haga clic", "leer m[áÁ]s", "iniciar sesi[óÓ]n", "derechos de autor"),
 }
-BOILERPLATE = "(?i)(?:^|[\\x20\\x09(\\[])(?:" + "|".join(p for phrases in PHRASES.values() for p in phrases) + ")"
+
+
+def _by_first_letter(phrases: list[str]) -> str:
+    """An alternation of phrases that start with a letter, parted by it, so that few are tried at a place."""
+    letters = dict.fromkeys(p[0] for p in phrases)
+    return "|".join(f"{x}(?:{'|'.join(p[1:] for p in phrases if p[0] == x)})" for x in letters)
+
+
+BOILERPLATE = "(?i)(?:^|[\\x20\\x09(\\[])(?:" + _by_first_letter([p for phrases in PHRASES.values() for p in phrases]) + ")"
 #: Separators of navigation; slashes and angles only where they stand alone.
 SEPARATOR = r"[|»•·›→]|\x20[/>]\x20"
 SEPARATOR_MARKS = "|»•·›→/>"

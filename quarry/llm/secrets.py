@@ -170,15 +170,19 @@ def before_each(values: Column, fold) -> Column:
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, rule: Rule, order: int) -> Column:
-    """Spans (start, kind's order, end) in code points of a rule's leftmost non-overlapping matches that are long enough."""
+def parts_of(text: Column, rule: Rule) -> Column:
+    """Array of struct(gap, hit, own): a rule's matches with what lies before each, and the group whose length counts; the last has the text's rest as gap, and no hit."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole).alias("own"))
+    return F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole).alias("own"))
+
+
+def spans_of(parts: Column, kind: Column, least: Column) -> Column:
+    """Spans (start, kind, end), in code points, of the matches that are long enough."""
 
     def spans(p: Column) -> Column:
         begins = before_each(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))), lambda a, n: a + n)
-        row = lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + F.length(x["gap"])).alias("start"), F.lit(order).alias("kind"), (F.get(at, i) + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.length(x["own"]).alias("n")))
-        good = let(begins, lambda at: F.filter(row(at), lambda s: F.coalesce(s["n"] >= rule.least, F.lit(False))))
+        row = lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + F.length(x["gap"])).alias("start"), kind.alias("kind"), (F.get(at, i) + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.length(x["own"]).alias("n")))
+        good = let(begins, lambda at: F.filter(row(at), lambda s: F.coalesce(s["n"] >= least, F.lit(False))))
         return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
     return let(parts, spans)
@@ -231,12 +235,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, *, text: str =
         joined = base.repartition(parts, "_key").join(asked.repartition(parts, "_key"), "_key", "left")
     else:
         joined = base.withColumn("_rules", F.lit(0))
-    none = F.array().cast(SPANS)
-    spans = []
+    none = F.array().cast("array<struct<gap:string,hit:string,own:string>>")
+    each = []
     for r, rule in enumerate(rules):
         wanted = (F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) if r in queries else F.rlike("text", F.lit(rule.pattern))
-        spans.append(F.when(wanted, matches(F.col("text"), rule, r)).otherwise(none))
-    return joined.withColumn("found", F.array_sort(F.concat(*spans))).select(*others, F.col("_given").alias(text), "found")
+        each.append(F.struct(F.when(wanted, parts_of(F.col("text"), rule)).otherwise(none).alias("parts"), F.lit(r).alias("kind"), F.lit(rule.least).alias("least")))
+    found = F.flatten(F.transform(F.array(*each), lambda x: spans_of(x["parts"], x["kind"], x["least"]))).cast(SPANS)
+    return joined.withColumn("found", F.array_sort(found)).select(*others, F.col("_given").alias(text), "found")
 
 
 def told(found: Column, kinds: list[str]) -> Column:
