@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,16 +37,24 @@ def before_each(values: Column, fold: Callable[[Column, Column], Column]) -> Col
     return once(values, folded)
 
 
-def found_at(text: Column, pattern: str, *groups: int) -> Column:
-    """Array of struct(start, end, g1, g2, ...) of a pattern's matches in order, by code points from 0; a group that takes no part is empty."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    own = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups, 1)]
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), *own)
+def found_at(text: Column, *patterns: tuple[str, Sequence[int]]) -> Column:
+    """For each of patterns (expression, groups) an array of struct(start, end, g1, g2, ...) of its matches in order, by code points from 0.
+
+    A group that takes no part is empty, as are those that a pattern has fewer of than another. The folds are
+    stated once for all patterns, so that plans stay small.
+    """
+    most = max(len(groups) for _, groups in patterns)
+    names = [f"g{i}" for i in range(1, most + 1)]
+
+    def parts(pattern: str, groups: Sequence[int]) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        own = [F.regexp_extract_all(text, F.lit(pattern), F.lit(groups[i])) if i < len(groups) else F.array().cast("array<string>") for i in range(most)]
+        return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), *[x.alias(n) for x, n in zip(own, names, strict=True)])
 
     def spans(p: Column) -> Column:
         begins = before_each(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))), lambda a, n: a + n)
-        values = lambda x: [F.coalesce(x[f"g{i}"], F.lit("")).alias(f"g{i}") for i in range(1, len(groups) + 1)]
+        values = lambda x: [F.coalesce(x[n], F.lit("")).alias(n) for n in names]
         row = lambda at, x, i: F.struct((F.get(at, i) + F.length(x["gap"])).alias("start"), (F.get(at, i) + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), *values(x))
         return once(begins, lambda at: F.filter(F.transform(p, lambda x, i: row(at, x, i)), lambda s: s["end"].isNotNull()))
 
-    return once(parts, spans)
+    return F.transform(F.array(*[parts(*p) for p in patterns]), spans)

@@ -96,15 +96,15 @@ def spec_references(text: Column) -> Column:
         values = {"start": x["start"], "rank": F.lit(rank), "type": kind, "spec_number": spec, "clause": clause, "table": table, "figure": figure}
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
-    def all_kinds(named: Column) -> Column:
+    def all_kinds(found: Column) -> Column:
+        named, clauses, tables, figures = (F.get(found, F.lit(i)) for i in range(4))
         specs = F.transform(named, lambda x: row(x, 0, F.upper(x["g1"]), F.concat(x["g2"], F.lit("."), x["g3"]), x["g4"]))
         before = lambda x: F.lower(F.substring(text, F.greatest(x["start"] - 50, F.lit(0)) + 1, F.least(x["start"], F.lit(50))))
         free = lambda x: ~F.exists(named, lambda s: x["start"].between(s["start"], s["end"]))
-        alone = F.filter(found_at(text, CLAUSE_ALONE, 1), lambda x: free(x) & any_of(before(x), CLAUSE_CONTEXT))
-        tables, figures = found_at(text, TABLE_NUMBER, 1), found_at(text, FIGURE_NUMBER, 1)
+        alone = F.filter(clauses, lambda x: free(x) & any_of(before(x), CLAUSE_CONTEXT))
         return F.array_sort(F.concat(specs, F.transform(alone, lambda x: row(x, 1, clause=x["g1"])), F.transform(tables, lambda x: row(x, 2, table=x["g1"])), F.transform(figures, lambda x: row(x, 3, figure=x["g1"]))))
 
-    return once(found_at(text, SPEC_WITH_CLAUSE, 1, 2, 3, 4), all_kinds)
+    return once(found_at(text, (SPEC_WITH_CLAUSE, (1, 2, 3, 4)), (CLAUSE_ALONE, (1,)), (TABLE_NUMBER, (1,)), (FIGURE_NUMBER, (1,))), all_kinds)
 
 
 def reference_query(ref: Column) -> Column:
