@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 WINDOW, END_ID = 2048, 1
+#: Hash buckets in which pieces of one length are ranked, and buckets in a span of their prefix sums.
+BUCKETS, SPAN = 4096, 64
 #: Words whose ids a worker keeps; beyond that it starts afresh.
 CACHED_WORDS = 700_000
 #: Texts whose words are looked up together.
@@ -253,6 +255,19 @@ def spans(found: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def _before(heads: DataFrame) -> DataFrame:
+    """heads (length, _bucket, count) with _before, the rows of a length's earlier buckets, in place of count.
+
+    Prefix sums in two levels, over spans of SPAN buckets and inside each, so that no task has all buckets of a length.
+    """
+    heads = heads.withColumn("_span", F.floor(F.col("_bucket") / SPAN).cast("int"))
+    spans_of = heads.groupBy("length", "_span").agg(F.sum("count").alias("_all"))
+    spans_of = spans_of.withColumn("_earlier", F.sum("_all").over(Window.partitionBy("length").orderBy("_span")) - F.col("_all")).drop("_all")
+    inside = F.sum("count").over(Window.partitionBy("length", "_span").orderBy("_bucket")) - F.col("count")
+    summed = heads.withColumn("_inside", inside).join(spans_of, ["length", "_span"])
+    return summed.select("length", "_bucket", (F.col("_earlier") + F.col("_inside")).alias("_before"))
+
+
 def pack(cut: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces; cut must be a table that can be read again.
 
@@ -261,11 +276,11 @@ def pack(cut: DataFrame, *, window: int = WINDOW) -> DataFrame:
     over at a window's end is padding. An empty table gives no rows.
     """
     spark = cut.sparkSession
-    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(4096)).cast("int"))
+    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     heads = stage(keyed.groupBy("length", "_bucket").count(), "pack-counts")
     totals = {r[0]: r[1] for r in heads.groupBy("length").agg(F.sum("count")).collect()}  # at most `window` rows
     told = spark.sparkContext.broadcast(spans(patterns(totals, window)))  # a row for each length of each pattern
-    heads = heads.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
+    heads = _before(heads)
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = keyed.join(heads, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
