@@ -174,7 +174,16 @@ def precise_query(spark, d):
 _ABBR = ("RRC setup %s", "the rrc (Radio) and Qos", "RRCR or RRC1 (MAC)", "PDSCH/PUSCH with HARQ", "no such %s")
 
 
-@query()
+def _expanded(text: str) -> str:
+    """Nested replacements, longest first; without look-around a match takes the marks beside it, so each is made twice."""
+    for short in sorted(tx.ABBREVIATIONS, key=len, reverse=True):
+        full = tx.ABBREVIATIONS[short].replace("'", "''")
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(?i)(^|[^A-Za-z0-9_(]){short}($|[^A-Za-z0-9_(\\s]|\\s+$|\\s+[^\\s(])', '\\1{short} ({full})\\2', 'g')"
+    return text
+
+
+@query(f"WITH {cased_sql(*_ABBR)} SELECT id, {_expanded('x')} AS expanded FROM c")
 def expand_abbreviations(spark, d):
     return cased(spark, d, *_ABBR).select("id", tx.expand_abbreviations(F.col("x")).alias("expanded"))
 

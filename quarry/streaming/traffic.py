@@ -47,18 +47,29 @@ def accepted(events: DataFrame, *, limit: int = LIMIT, seconds: float = SECONDS)
     return times.groupBy("user_id").applyInPandas(one, "event_id long, user_id long, accepted boolean")
 
 
-def accepted_stream(events: DataFrame, *, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
-    """The same over a stream; the state of a user is the times of its accepted requests in the window."""
+def accepted_stream(events: DataFrame, *, limit: int = LIMIT, seconds: float = SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream, judged as requests come; those later than `late` are dropped.
+
+    The state of a user is the times of its accepted requests in the window. It goes when the watermark has passed
+    the last of them by the window's length, so users who stay away hold none.
+    """
 
     def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
         rows["accepted"], kept = _accept(rows["t"].tolist(), kept, limit, seconds)
         state.update((kept,))
+        ends = int(1000 * (max(kept, default=float(rows["t"].max())) + seconds))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
         yield rows[["event_id", "user_id", "accepted"]]
 
-    times = events.select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return times.groupBy("user_id").applyInPandasWithState(one, "event_id long, user_id long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    ts = F.col("ts").cast("timestamp")
+    # a watermark starts at the epoch and what lies on it is late, hence the millisecond
+    times = events.select("event_id", "user_id", ts.cast("double").alias("t"), (ts + F.expr("INTERVAL 1 MILLISECOND")).alias("seen")).withWatermark("seen", late)
+    return times.groupBy("user_id").applyInPandasWithState(one, "event_id long, user_id long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def changed_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:

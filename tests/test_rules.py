@@ -176,6 +176,22 @@ def test_streams(spark, tmp_path):
     assert limited == batch and not all(batch.values())
 
 
+def test_rate_limit_state_goes(spark, tmp_path):
+    """A user who stays away leaves no state, and is judged afresh when it comes back."""
+    schema = "event_id long, user_id long, ts timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for n, rows in enumerate(([(1, 7, 0), (2, 7, 5)], [(3, 8, 5000)], [(4, 8, 9000)], [(5, 7, 9100)])):
+        frame = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = traffic.accepted_stream(stream, limit=1, seconds=100).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        if n == 2:
+            assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    got = {r.event_id: r.accepted for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True}
+
+
 def test_files(spark, tmp_path):
     from quarry.sources import files
 
