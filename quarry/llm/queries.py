@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curriculum", "packing", "transport", "quality_rules", "warc", "secrets", "ranking", "run_index", "seed_extend", "forest", "sql")
+MODULES = ("curriculum", "packing", "transport", "quality_rules", "warc", "secrets", "ranking", "run_index", "seed_extend", "forest", "centroids", "personal", "phrases", "sql")
 
 
 def _all(kind: str) -> dict:
