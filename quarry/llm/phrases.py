@@ -18,17 +18,27 @@ from .common import discard, parts_for, stage, table
 BLOCK = 16 << 20
 #: Rows of one language that one task ranks are at most so many times the number asked for.
 FAN = 32
+#: Blocks of one task are fewer.
+MOST = 4096
 _GAP = b"\xff"  # no byte of UTF-8
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_CODEC = pa.Codec("zstd")
+
+
+def _held(codes: np.ndarray) -> list[pa.Array]:
+    """The columns size and codes: so many bytes of places, packed."""
+    return [pa.array([codes.nbytes], pa.int64()), pa.array([_CODEC.compress(codes.tobytes(), asbytes=True)], pa.binary())]
+
+
 def _words(text: bytes) -> list[bytes]:
     """Words in small letters (A-Z only), and _GAP where a piece ends."""
     return text.translate(_FOLD).replace(_GAP, b" \xff ").split()
 
 
 def blocks(docs: DataFrame, bytes_each: int = BLOCK) -> DataFrame:
-    """(block, codes, entries) of docs (lang, text): a block's words as places in its entries (lang, word, n), -1 between pieces."""
+    """(block, size, codes, entries) of docs (lang, text): a block's words as places in its entries (lang, word, n), -1 between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -44,7 +54,7 @@ def blocks(docs: DataFrame, bytes_each: int = BLOCK) -> DataFrame:
             times = np.bincount(codes[codes >= 0], minlength=len(words))
             columns = [pa.array([words[i][0] for i in order], pa.string()), pa.array([words[i][1] for i in order], pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
             entries = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays(columns, names=["lang", "word", "n"]))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + blocks_done], pa.int64()), pa.array([codes.tobytes()], pa.binary()), entries], names=["block", "codes", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array([part * MOST + blocks_done], pa.int64()), *_held(codes), entries], names=["block", "size", "codes", "entries"])
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -64,37 +74,39 @@ def blocks(docs: DataFrame, bytes_each: int = BLOCK) -> DataFrame:
             yield made()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "block long, codes binary, entries array<struct<lang:string,word:string,n:long>>")
+    return rows.mapInArrow(run, "block long, size long, codes binary, entries array<struct<lang:string,word:string,n:long>>")
 
 
 def _paired(state: pa.Table, found: pa.Table) -> pa.Table:
     """A block's next state: neighbours that both have names become pairs, as places in its new entries (left, right, n)."""
     if not state.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "entries": pa.array([], _PAIRS)})
-    codes = np.frombuffer(state.column("codes")[0].as_buffer(), np.int32)
+        return pa.table({"block": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "entries": pa.array([], _PAIRS)})
+    codes = np.frombuffer(_CODEC.decompress(state.column("codes")[0].as_buffer(), state.column("size")[0].as_py()), np.int32)
     many = int(codes.max(initial=-1)) + 1
     names = np.full(many + 1, -1, np.int64)  # the last one is for the gaps' -1
     names[found.column("code").to_numpy()] = found.column("id").to_numpy()
-    own = names[codes]
-    at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+    at = np.flatnonzero((names[codes[:-1]] >= 0) & (names[codes[1:]] >= 0))
     pairs, place, times = np.unique(codes[at].astype(np.int64) * many + codes[at + 1], return_inverse=True, return_counts=True)
     after = np.full(len(codes), -1, np.int32)
     after[at] = place
     columns = [pa.array(names[pairs // max(many, 1)]), pa.array(names[pairs % max(many, 1)]), pa.array(times.astype(np.int64))]
     entries = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays(columns, names=["left", "right", "n"]))
-    return pa.table({"block": state.column("block").combine_chunks(), "codes": pa.array([after.tobytes()], pa.binary()), "entries": entries})
+    return pa.table([state.column("block").combine_chunks(), *_held(after), entries], names=["block", "size", "codes", "entries"])
 
 
 _PAIRS = pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())]))
-_STATE = "block long, codes binary, entries array<struct<left:long,right:long,n:long>>"
+_STATE = "block long, size long, codes binary, entries array<struct<left:long,right:long,n:long>>"
+
 
+def _named(state: DataFrame, keys: list[str], least: int, parts: int) -> DataFrame:
+    """(of, code, keys, a, id) of the entries that occur often enough in all blocks together: their count, and as their name the first block's place.
 
-def _named(state: DataFrame, keys: list[str], least: int, most_parts: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs of all blocks that occur often enough, named (id, keys, a), and each block's own places of them (of, code, id)."""
-    entries = state.select("block", F.posexplode("entries").alias("code", "e")).select("block", "code", *[F.col(f"e.{k}").alias(k) for k in keys], "e.n")
-    total = entries.groupBy(*keys).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    settled = stage(total.withColumn("id", F.monotonically_increasing_id()), "phrases")  # written once, so a name stays what it is
-    return settled, entries.join(settled, keys).select(F.col("block").alias("of"), "code", "id")
+    A key's rows are sorted next to each other and spill; there is at most one of a block.
+    """
+    entries = state.select(F.col("block").alias("of"), F.posexplode("entries").alias("code", "e")).select("of", "code", *[F.col(f"e.{k}").alias(k) for k in keys], "e.n")
+    same = Window.partitionBy(*keys)
+    rows = entries.repartition(parts, *keys).withColumn("a", F.sum("n").over(same)).withColumn("id", F.min(F.shiftleft("of", 32) + F.col("code")).over(same))
+    return stage(rows.filter(F.col("a") >= least).drop("n"), "phrases")
 
 
 def named_phrases(docs: DataFrame, *, least: int = 100, longest: int = 5, bytes_each: int = BLOCK) -> list[DataFrame]:
@@ -108,22 +120,23 @@ def named_phrases(docs: DataFrame, *, least: int = 100, longest: int = 5, bytes_
     parts = parts_for(docs, BLOCK)
     state = stage(blocks(docs, bytes_each), "blocks")
     sizes = stage(state.select(F.explode("entries").alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n")), "sizes")
-    words, found = _named(state, ["lang", "word"], least, parts)
-    first = words.join(sizes, "lang").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", "n", *[F.array().cast("array<long>").alias(x) for x in ("prefix", "suffix")], *[F.lit(None).cast("long").alias(x) for x in ("left", "right")])
+    found = _named(state, ["lang", "word"], least, parts)
+    once = F.col("id") == F.shiftleft("of", 32) + F.col("code")  # of a phrase's rows, that of the first block
+    first = found.filter(once).join(sizes, "lang").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", "n", *[F.array().cast("array<long>").alias(x) for x in ("prefix", "suffix")], *[F.lit(None).cast("long").alias(x) for x in ("left", "right")])
     levels = [stage(first, "names")]
     discard(sizes)
     for _ in range(longest - 1):
-        after = stage(state.select("block", "codes").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_paired, _STATE), "blocks")
-        discard(state, words)
+        after = stage(state.select("block", "size", "codes").groupBy("block").cogroup(found.select("of", "code", "id").groupBy("of")).applyInArrow(_paired, _STATE), "blocks")
+        discard(state, found)
         state = after
-        words, found = _named(state, ["left", "right"], least, parts)
+        found = _named(state, ["left", "right"], least, parts)
         parent = levels[-1]
         side = lambda s, keep: parent.select(F.col("id").alias(s), *[F.col(c).alias(f"_{s}_{c}") for c in keep])
-        both = words.join(side("left", ["lang", "phrase", "a", "n", "prefix"]), "left").join(side("right", ["last", "a", "suffix"]), "right")
+        both = found.filter(once).join(side("left", ["lang", "phrase", "a", "n", "prefix"]), "left").join(side("right", ["last", "a", "suffix"]), "right")
         grown = lambda s, x: F.concat(f"_{s}_{x}", F.array(f"_{s}_a")).alias(x)
         levels.append(stage(both.select("id", F.col("_left_lang").alias("lang"), F.concat("_left_phrase", F.lit(" "), "_right_last").alias("phrase"), F.col("_right_last").alias("last"), "a", F.col("_left_n").alias("n"),
                                         grown("left", "prefix"), grown("right", "suffix"), "left", "right"), "names"))
-    discard(state, words)
+    discard(state, found)
     return levels
 
 
