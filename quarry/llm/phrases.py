@@ -24,12 +24,11 @@ _GAP = b"\xff"  # no byte of UTF-8
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-_CODEC = pa.Codec("zstd")
 
 
 def _held(codes: np.ndarray) -> list[pa.Array]:
     """The columns size and codes: so many bytes of places, packed."""
-    return [pa.array([codes.nbytes], pa.int64()), pa.array([_CODEC.compress(codes.tobytes(), asbytes=True)], pa.binary())]
+    return [pa.array([codes.nbytes], pa.int64()), pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary())]
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -77,35 +76,70 @@ def blocks(docs: DataFrame, bytes_each: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(run, "block long, size long, codes binary, entries array<struct<lang:string,word:string,n:long>>")
 
 
-def _paired(state: pa.Table, found: pa.Table) -> pa.Table:
-    """A block's next state: neighbours that both have names become pairs, as places in its new entries (left, right, n)."""
-    if not state.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "entries": pa.array([], _PAIRS)})
-    codes = np.frombuffer(_CODEC.decompress(state.column("codes")[0].as_buffer(), state.column("size")[0].as_py()), np.int32)
-    many = int(codes.max(initial=-1)) + 1
-    names = np.full(many + 1, -1, np.int64)  # the last one is for the gaps' -1
-    names[found.column("code").to_numpy()] = found.column("id").to_numpy()
-    at = np.flatnonzero((names[codes[:-1]] >= 0) & (names[codes[1:]] >= 0))
-    pairs, place, times = np.unique(codes[at].astype(np.int64) * many + codes[at + 1], return_inverse=True, return_counts=True)
-    after = np.full(len(codes), -1, np.int32)
-    after[at] = place
-    columns = [pa.array(names[pairs // max(many, 1)]), pa.array(names[pairs % max(many, 1)]), pa.array(times.astype(np.int64))]
-    entries = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays(columns, names=["left", "right", "n"]))
-    return pa.table([state.column("block").combine_chunks(), *_held(after), entries], names=["block", "size", "codes", "entries"])
+def _pairing(parts: int):
+    """The function that makes a block's next state: neighbours that both have names become pairs, and pairs are dealt to `parts` buckets by a hash of their names."""
 
+    def paired(state: pa.Table, found: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "pairs": pa.array([], _PIECES)})
+        codes = np.frombuffer(pa.decompress(state.column("codes")[0].as_buffer(), state.column("size")[0].as_py(), "zstd"), np.int32)
+        many = int(codes.max(initial=-1)) + 1
+        names = np.full(many + 1, -1, np.int64)  # the last one is for the gaps' -1
+        names[found.column("code").to_numpy()] = found.column("id").to_numpy()
+        at = np.flatnonzero((names[codes[:-1]] >= 0) & (names[codes[1:]] >= 0))
+        pairs, place, times = np.unique(codes[at].astype(np.int64) * many + codes[at + 1], return_inverse=True, return_counts=True)
+        after = np.full(len(codes), -1, np.int32)
+        after[at] = place
+        left, right = names[pairs // max(many, 1)], names[pairs % max(many, 1)]
+        mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        bucket = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        rows = [np.stack([left[i], right[i], times[i], i]) for i in np.split(order, cuts[1:])] if len(pairs) else []
+        pieces = [{"bucket": int(bucket[r[3, 0]]), "size": r.nbytes, "packed": pa.compress(r.tobytes(), "zstd", asbytes=True)} for r in rows]
+        return pa.table([state.column("block").combine_chunks(), *_held(after), pa.array([pieces], _PIECES)], names=["block", "size", "codes", "pairs"])
 
-_PAIRS = pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())]))
-_STATE = "block long, size long, codes binary, entries array<struct<left:long,right:long,n:long>>"
+    return paired
 
 
-def _named(state: DataFrame, keys: list[str], least: int, parts: int) -> DataFrame:
-    """(of, code, keys, a, id) of the entries that occur often enough in all blocks together: their count, and as their name the first block's place.
+_PIECES = pa.list_(pa.struct([("bucket", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())]))
+_STATE = "block long, size long, codes binary, pairs array<struct<bucket:long,size:long,packed:binary>>"
 
-    A key's rows are sorted next to each other and spill; there is at most one of a block.
+
+def _counting(least: int):
+    """The function that adds up a bucket's pairs over all blocks: (of, code, left, right, a, id) of those that occur often enough."""
+
+    def counted(pieces: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(pa.decompress(p.as_buffer(), n, "zstd"), np.int64).reshape(4, -1) for p, n in zip(pieces.column("packed"), pieces.column("size").to_pylist(), strict=True)]
+        left, right, times, code = np.concatenate(parts, axis=1)
+        of = np.repeat(pieces.column("of").to_numpy(), [p.shape[1] for p in parts])
+        order = np.lexsort((right, left))
+        left, right, times, code, of = (x[order] for x in (left, right, times, code, of))
+        first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        each = np.diff(np.r_[first, len(left)])
+        total, name = np.repeat(np.add.reduceat(times, first), each), np.repeat(np.minimum.reduceat((of << 32) + code, first), each)
+        often = total >= least
+        return pa.table([x[often] for x in (of, code, left, right, total, name)], names=["of", "code", "left", "right", "a", "id"])
+
+    return counted
+
+
+def _often(state: DataFrame, least: int, parts: int) -> DataFrame:
+    """(of, code, left, right, a, id) of the pairs that occur often enough in all blocks together: their count, and as their name the first block's place.
+
+    A block sends a bucket one row, its pairs packed; the number of buckets grows with the input, and a pair is in a
+    bucket at most once for each block.
     """
-    entries = state.select(F.col("block").alias("of"), F.posexplode("entries").alias("code", "e")).select("of", "code", *[F.col(f"e.{k}").alias(k) for k in keys], "e.n")
-    same = Window.partitionBy(*keys)
-    rows = entries.repartition(parts, *keys).withColumn("a", F.sum("n").over(same)).withColumn("id", F.min(F.shiftleft("of", 32) + F.col("code")).over(same))
+    pieces = state.select(F.col("block").alias("of"), F.explode("pairs").alias("p")).select("of", "p.bucket", "p.size", "p.packed")
+    counted = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_counting(least), "of long, code long, left long, right long, a long, id long")
+    return stage(counted, "phrases")
+
+
+def _often_words(state: DataFrame, least: int, parts: int) -> DataFrame:
+    """The same of words: (of, code, lang, word, a, id). A word's rows, one of a block, are sorted next to each other and spill."""
+    entries = state.select(F.col("block").alias("of"), F.posexplode("entries").alias("code", "e")).select("of", "code", "e.lang", "e.word", "e.n")
+    same = Window.partitionBy("lang", "word")
+    rows = entries.repartition(parts, "lang", "word").withColumn("a", F.sum("n").over(same)).withColumn("id", F.min(F.shiftleft("of", 32) + F.col("code")).over(same))
     return stage(rows.filter(F.col("a") >= least).drop("n"), "phrases")
 
 
@@ -120,16 +154,16 @@ def named_phrases(docs: DataFrame, *, least: int = 100, longest: int = 5, bytes_
     parts = parts_for(docs, BLOCK)
     state = stage(blocks(docs, bytes_each), "blocks")
     sizes = stage(state.select(F.explode("entries").alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n")), "sizes")
-    found = _named(state, ["lang", "word"], least, parts)
+    found = _often_words(state, least, parts)
     once = F.col("id") == F.shiftleft("of", 32) + F.col("code")  # of a phrase's rows, that of the first block
     first = found.filter(once).join(sizes, "lang").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", "n", *[F.array().cast("array<long>").alias(x) for x in ("prefix", "suffix")], *[F.lit(None).cast("long").alias(x) for x in ("left", "right")])
     levels = [stage(first, "names")]
     discard(sizes)
     for _ in range(longest - 1):
-        after = stage(state.select("block", "size", "codes").groupBy("block").cogroup(found.select("of", "code", "id").groupBy("of")).applyInArrow(_paired, _STATE), "blocks")
+        after = stage(state.select("block", "size", "codes").groupBy("block").cogroup(found.select("of", "code", "id").groupBy("of")).applyInArrow(_pairing(parts), _STATE), "blocks")
         discard(state, found)
         state = after
-        found = _named(state, ["left", "right"], least, parts)
+        found = _often(state, least, parts)
         parent = levels[-1]
         side = lambda s, keep: parent.select(F.col("id").alias(s), *[F.col(c).alias(f"_{s}_{c}") for c in keep])
         both = found.filter(once).join(side("left", ["lang", "phrase", "a", "n", "prefix"]), "left").join(side("right", ["last", "a", "suffix"]), "right")
