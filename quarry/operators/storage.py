@@ -41,11 +41,50 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return found
 
 
+class Folder:
+    """A folder of the shared file system, by Hadoop's own interface."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.place = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.files.exists(self.place)
+
+    def delete(self) -> bool:
+        return self.files.delete(self.place, True)
+
+    def rename(self, to: str) -> None:
+        """Move it; the folder above the new place is made, and a failure is an error."""
+        target = self.jvm.org.apache.hadoop.fs.Path(to)
+        self.files.mkdirs(target.getParent())
+        if not self.files.rename(self.place, target):
+            raise OSError(f"could not move {self.path} to {to}")
+
+    def names(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.files.listStatus(self.place)) if self.exists() else []
+
+    def claim(self, text: str) -> bool:
+        """Create it as a file that holds text, unless it is there: of several that try, one succeeds."""
+        try:
+            out = self.files.create(self.place, False)
+        except Exception as e:  # noqa: BLE001  a Java exception
+            if self.exists():
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+
+def folder(spark: SparkSession, path: str) -> Folder:
+    return Folder(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; others are left alone."""
     for df in tables:
         path = df.__dict__.pop("_staged", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            folder(df.sparkSession, path).delete()
