@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,15 @@ class Folder:
     def names(self) -> list[str]:
         return sorted(x.getPath().getName() for x in self.files.listStatus(self.place)) if self.exists() else []
 
+    def empty(self, pattern: str) -> list[str]:
+        """Paths of the files of no bytes below it whose name matches a pattern with wildcards."""
+        out, files = [], self.files.listFiles(self.place, True) if self.exists() else None
+        while files is not None and files.hasNext():
+            found = files.next()
+            if found.getLen() == 0 and fnmatch(found.getPath().getName(), pattern):
+                out.append(found.getPath().toString())
+        return sorted(out)
+
     def claim(self, text: str) -> bool:
         """Create it as a file that holds text, unless it is there: of several that try, one succeeds."""
         try:

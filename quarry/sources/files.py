@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_markdown, figure_id, header, path_facts
 from quarry.operators.ranking import positions
+from quarry.operators.storage import folder as shared_folder
 from quarry.sources.chunks import CHUNK_SCHEMA
 
 MANIFEST = "spec_number string, release string, latest_version string, file_path string, sha256 string, chunk_count int, ingested_at string"
 SAMPLES = "question string, expected_specs array<string>, expected_sections array<string>, difficulty string, multi_hop boolean, expected map<string,array<string>>"
 
 
+def empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path of the files of no bytes under folder, which Spark's readers pass over."""
+    names = shared_folder(spark, folder).empty(pattern)
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Every *.md under folder: path, cleaned text, and the facts of its path, else of its header."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
+    rows = rows.unionByName(empty_files(spark, folder, "*.md").withColumn("raw", F.lit("")))
     rows = rows.withColumns({"p": path_facts(F.col("path")), "h": header(F.col("raw"))})
     either = lambda n: F.when(F.col(f"p.{n}") != "", F.col(f"p.{n}")).otherwise(F.col(f"h.{n}"))
     kind = F.when(F.col("p.doc_type") != "", F.col("p.doc_type")).when(F.rlike("raw", F.lit(r"(?i)O-RAN\s+ALLIANCE|O-RAN\s+Working\s+Group")), "oran").otherwise("3gpp")
@@ -42,7 +50,9 @@ def log_tail(spark: SparkSession, path: str, *, level: str = "", lines: int = 10
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.docx", *, series: tuple[int, ...] | None = None) -> DataFrame:
     """path, length and hash of files under folder: of the wanted series' folders and the open-interface ones, without covers."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime", "length", "content")
+    none = empty_files(spark, folder, pattern).select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    rows = rows.unionByName(none)
     name = F.lower(F.substring_index("path", "/", -1))
     wanted = F.rlike("path", F.lit(r"(?i)O-RAN")) | F.regexp_extract("path", r"/(\d{2})_series/", 1).try_cast("int").isin(*series) if series else F.lit(True)
     return rows.filter(F.coalesce(wanted, F.lit(False)) & ~name.startswith("cover") & ~name.startswith("~$"))

@@ -213,7 +213,18 @@ def converted(files: DataFrame) -> DataFrame:
 
 def docx(spark: SparkSession, folder: str, *, series: tuple[int, ...] | None = None) -> DataFrame:
     """Word documents under folder: path, cleaned text, facts by file name and header, and the error of those that can't be read."""
-    rows = converted(documents(spark, folder, series=series))
+    return _facts(converted(documents(spark, folder, series=series)))
+
+
+def zipped(spark: SparkSession, folder: str, *, existing: DataFrame | None = None) -> DataFrame:
+    """The same of the newest archives of specifications under folder; a member's path is its archive's and its own."""
+    found = newest_members(documents(spark, folder, "*.zip"), existing=existing).withColumn("path", F.concat_ws("!/", "path", "name"))
+    good = converted(found.filter("error is null")).unionByName(found.filter("error is not null").select("path", F.lit(None).cast("string").alias("raw"), "error"))
+    return _facts(good)
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """path, cleaned text, facts by file name and header, title and error of converted documents (path, raw, error)."""
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     rows = rows.withColumns({"raw": F.coalesce("raw", F.lit("")), "o": oran_name(stem), "n": spec_from_name(stem)}).withColumn("h", header(F.col("raw")))
     either = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import search
+from quarry.operators import search, storage
+from quarry.operators.store import Conflict, Store
+from quarry.plans import ingestion
 from quarry.sources import office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -155,3 +157,120 @@ def test_many_queries_in_blocks(spark, vectors, tmp_path):
     assert search.ivf_search(index.index, index.centres, queries.limit(0), 5).count() == 0
     everywhere = search.ivf_search(index.index, index.centres, queries, 5, probes=16)
     assert {tuple(r) for r in everywhere.collect()} == {tuple(r) for r in search.dense(vectors, queries, 5).select("query_id", "id", "score", "pos").collect()}
+
+
+# The store --------------------------------------------------------------------------------------------------------
+
+
+def rows_of(spark, **texts):
+    rows = [(i, k.replace("_", "."), "R18", t, i, 38) for i, (k, t) in enumerate(texts.items())]
+    return spark.createDataFrame(rows, "id long, spec_number string, release string, text string, chunk_index long, series long")
+
+
+def marks_of(rows, version="1"):
+    return rows.select("spec_number", "release").distinct().withColumns({"version": F.lit(version), "sha256": F.lit("x"), "file_path": F.lit("f")})
+
+
+def held(store):
+    rows, known = store.chunks(), store.manifest().collect()
+    return {(r.spec_number, r.text) for r in (rows.collect() if rows is not None else [])}, {(r.spec_number, r.version, r.chunk_count) for r in known}
+
+
+def when(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_commits_touch_changed_keys_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert held(store) == (set(), set()) and store.chunks() is None
+    first = rows_of(spark, s38_1="a", s38_2="b", s38_3="c")
+    store.commit(first, marks_of(first))
+    before = when(tmp_path / "chunks")
+    second = rows_of(spark, s38_2="new", s38_4="d")
+    assert store.commit(second, marks_of(second, "2"), first.filter("spec_number = 's38.3'")) == 2
+    after = when(tmp_path / "chunks")
+    assert held(store) == ({("s38.1", "a"), ("s38.2", "new"), ("s38.4", "d")}, {("s38.1", "1", 1), ("s38.2", "2", 1), ("s38.4", "2", 1)})
+    assert len(set(before.items()) & set(after.items())) == 1  # the file of the key that stayed
+    assert store.remove(F.col("spec_number") == "s38.1") == 3 and store.remove(F.col("spec_number") == "none") is None
+    assert held(store)[1] == {("s38.2", "2", 1), ("s38.4", "2", 1)}
+    store.clear()
+    assert held(store) == (set(), set()) and store.vacuum() == 0
+    store.commit(first, marks_of(first), clear=True)
+    assert len(held(store)[0]) == 3
+
+
+@pytest.mark.parametrize("step", range(12))
+def test_killed_runs(spark, tmp_path, monkeypatch, step):
+    """A run that dies at any step leaves the old store or, once committed, the new one."""
+    store = Store(spark, str(tmp_path))
+    first = rows_of(spark, s38_1="a", s38_2="b", s38_3="c")
+    store.commit(first, marks_of(first))
+    old, second = held(store), rows_of(spark, s38_2="new", s38_4="d")
+    seen = []
+
+    def dies(name):
+        real = getattr(storage.Folder, name)
+
+        def run(self, *args):
+            seen.append(name)
+            if len(seen) == step + 1:
+                raise KeyboardInterrupt
+            return real(self, *args)
+
+        return run
+
+    with monkeypatch.context() as m:
+        for name in ("delete", "rename", "claim"):
+            m.setattr(storage.Folder, name, dies(name))
+        try:
+            store.commit(second, marks_of(second, "2"), first.filter("spec_number = 's38.3'"))
+        except KeyboardInterrupt:
+            pass
+    again = Store(spark, str(tmp_path))
+    new = ({("s38.1", "a"), ("s38.2", "new"), ("s38.4", "d")}, {("s38.1", "1", 1), ("s38.2", "2", 1), ("s38.4", "2", 1)})
+    assert held(again) == (old if step == 0 else new)
+    assert again.vacuum() == (1 if step == 0 else 0) or step > 8
+    third = rows_of(spark, s38_9="z")
+    again.commit(third, marks_of(third))
+    assert ("s38.9", "z") in held(again)[0]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    rows = rows_of(spark, s38_1="a")
+    one.commit(rows, marks_of(rows))
+    monkeypatch.setattr(Store, "commits", lambda self: [])
+    with pytest.raises(Conflict):
+        two.commit(rows_of(spark, s38_1="b"), marks_of(rows))
+    assert held(one)[0] == {("s38.1", "a")}
+
+
+def test_ingestion_of_all_sources(spark, tmp_path):
+    docs, store, interim, cache = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "interim"), str(tmp_path / "cache")
+    (docs / "38_series").mkdir(parents=True)
+    md = lambda place, text: ((docs / place).mkdir(parents=True, exist_ok=True), (docs / place / "raw.md").write_text(text))
+    md("R18/23_series/23501", "3GPP TS 23.501 V18.0.0\n\n# 1 Scope\n\nText of a specification.")
+    md("x", "no facts at all")
+    md("y", "none here either")
+    md("R18/24_series/24501", "")
+    (docs / "38_series/38300-i10.docx").write_bytes(word(p("3GPP TS 38.300 V18.1.0 (2024-03)") + p("1 Scope", "H1") + p("A Word document.")))
+    (docs / "38_series/38400-i10.docx").write_bytes(b"broken")
+    (docs / "38401-i00.zip").write_bytes(bytes(archive(**{"38401-i00__docx": word(p("TS 38.401 V18.0.0") + p("1 Scope", "H1") + p("From an archive."))})))
+    run = lambda **more: ingestion.run(spark, str(docs), store, sources=("markdown", "docx", "zip"), encoder=lambda ts: [[float(len(t))] for t in ts], cache=cache, interim=interim, **more)
+    first = run()
+    by = {(r.spec_number, (r.path or "").rsplit("/", 2)[-2]): (r.status, r.chunks > 0, bool(r.error)) for r in first.collect()}
+    assert by["38.300", "38_series"] == ("new", True, False) and by["23.501", "23501"][0] == "new" and by["38.400", "38_series"] == ("failed", False, True)
+    assert by["", "x"] == by["", "y"] == ("failed", False, True) and by["24.501", "24501"] == ("failed", False, True) and {s for (n, _), (s, *_) in by.items() if n == "38.401"} == {"new"}
+    got = ingestion.counters(first).first().asDict()
+    assert {k: got[k] for k in ("total", "new", "failed", "skipped", "replaced", "deleted")} == {"total": 7, "new": 3, "failed": 4, "skipped": 0, "replaced": 0, "deleted": 0} and got["chunks"] == Store(spark, store).chunks().count()
+    assert all(r.dense_vector == [float(len(r.text))] for r in Store(spark, store).chunks().collect())
+    before = when(tmp_path / "store" / "chunks")
+    md("R18/23_series/23501", "3GPP TS 23.501 V18.2.0\n\n# 1 Scope\n\nA higher version of it.")
+    (docs / "38_series/38300-i10.docx").write_bytes(b"damaged since")
+    second = ingestion.counters(run()).first()
+    assert (second.replaced, second.skipped, second.failed, second.new, second.deleted) == (1, 1, 5, 0, 0)
+    after = when(tmp_path / "store" / "chunks")
+    assert len(set(before) - set(after)) == 1 and "A higher version" in " ".join(r.text for r in Store(spark, store).chunks().collect())
+    assert "A Word document." in " ".join(r.text for r in Store(spark, store).chunks().collect())  # a file that broke loses nothing
+    again = ingestion.run(spark, "/no/such/folder", store, interim=interim, skip=("extract", "split", "embed"), rebuild=True)
+    assert ingestion.counters(again).first().new == 1
