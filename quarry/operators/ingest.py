@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import once
+from quarry.functions.arrow import CUTS
 from quarry.functions.text import version_key
 from quarry.sources.chunks import BYTE_LIMITS, CHAR_LIMITS
 
@@ -46,12 +48,28 @@ def delete_where(table: DataFrame, condition: Column) -> DataFrame:
     return table.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def cut_bytes(text: Column, most: int, mark: str = "…") -> Column:
+    """text within so many UTF-8 bytes: cut before the last of the first kind of mark that comes late enough (CUTS), else at a character, and marked."""
+    room = most - len(mark.encode())
+
+    def piece(raw: Column) -> Column:
+        """The whole characters among the first bytes: back to where the next byte starts a character."""
+        starts = lambda n: F.conv(F.hex(F.substring(raw, n + 1, 1)), 16, 10).cast("int").bitwiseAND(0xC0) != 0x80
+        return F.substring(raw, F.lit(1), F.coalesce(*[F.when(starts(n), F.lit(n)) for n in range(room, max(room - 4, -1), -1)], F.lit(0))).cast("string")
+
+    def ended(p: Column) -> Column:
+        last = lambda m: F.length(p) - F.locate(m[::-1], F.reverse(p)) - len(m) + 1
+        places = [F.when(p.contains(m) & (last(m) >= F.floor(F.length(p) * share)), F.struct(F.lit(-i).alias("rank"), last(m).alias("at"))) for i, (m, share) in enumerate(CUTS)]
+        best = F.array_max(F.array(*places))
+        return F.concat(F.when(best.isNull(), p).otherwise(F.regexp_replace(F.substring(p, F.lit(1), best["at"]), r"(?U)\s+$", "")), F.lit(mark))
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(once(piece(text.cast("binary")), ended))
+
+
 def truncated(chunks: DataFrame) -> DataFrame:
     """Columns cut to the store's limits; byte limits by whole characters."""
-    from quarry.functions.arrow import truncate_bytes
-
     cuts = {c: F.substring(c, 1, n) for c, n in CHAR_LIMITS.items() if c in chunks.columns}
-    cuts |= {c: F.when(F.octet_length(c) <= n, F.col(c)).otherwise(truncate_bytes(F.col(c), n)) for c, n in BYTE_LIMITS.items() if c in chunks.columns}
+    cuts |= {c: cut_bytes(F.col(c), n) for c, n in BYTE_LIMITS.items() if c in chunks.columns}
     return chunks.withColumns(cuts)
 
 

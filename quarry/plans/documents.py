@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import arrow
-from quarry.operators import chunking
+from quarry.operators import chunking, ingest
 from quarry.plans.texts import cased
 from quarry.sources import office
 from quarry.sources.chunks import table
@@ -37,7 +37,7 @@ def chunk_documents(spark, d):
 
 
 def truncate_bytes(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), arrow.truncate_bytes(F.col("text"), 1000).alias("cut"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), ingest.cut_bytes(F.col("text"), 1000).alias("cut"))
 
 
 def grid_to_pipe(spark, d):
@@ -45,11 +45,6 @@ def grid_to_pipe(spark, d):
     return cased(spark, d, text, "no grid %s").select("id", arrow.pipe_tables(F.col("x")).alias("piped"))
 
 
-def reference_claims(spark, d):
-    texts = ("Clause 9.2.%d of TS 38.214 and [6, TS 38.%n], see clause 5.1.", "TS 38.331 as in section 4.2\nclause 7.%s alone", "clause 3.1 of [7, 3GPP TS 38.213]", "none %s")
-    return cased(spark, d, *texts).select("id", F.explode(arrow.reference_claims(F.col("x"))).alias("c")).select("id", "c.*")
-
-
 def resolve_images(spark, d):
     rows = cased(spark, d, "[图: Figure 4.%d: layers] and [图: other]", "plain %s", "[图: Figure 4.21: a")
     images = F.create_map(F.lit("Figure 4.21"), F.lit("a.png"), F.lit("other"), F.lit("b.png"))
@@ -95,4 +90,4 @@ def rate_accepted(spark, d):
     return traffic.accepted(table(spark, d, "events"), limit=1, seconds=3600)
 
 
-QUERIES = {f.__name__: f for f in (docx_markdown, chunk_documents, truncate_bytes, grid_to_pipe, reference_claims, resolve_images, rate_accepted)}
+QUERIES = {f.__name__: f for f in (docx_markdown, chunk_documents, truncate_bytes, grid_to_pipe, resolve_images, rate_accepted)}

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chunking, evaluation, graph, ingest, ranking, search
+from quarry.operators import chunking, evaluation, graph, ingest, ranking, references, search
 from quarry.operators.storage import staged_path
 from quarry.plans.corpus import _EV, _HITS, _RECALL, _expected, _results
 from quarry.plans.documents import _markdown
 from quarry.plans.retrieval import BM25_SQL, C, R, _docs, _questions
 from quarry.plans.texts import SQL as TEXT_SQL
-from quarry.plans.texts import _edges
+from quarry.plans.texts import _INDEX as TEXT_INDEX
+from quarry.plans.texts import _edges, cased, cased_sql
 from quarry.sources import files
 from quarry.sources.chunks import chunks, ranked
 
@@ -93,6 +94,72 @@ def model_eval(spark, d):
     return evaluation.compare({"score": _results(spark, d), "rerank_score": second}, _expected(spark, d), 5)
 
 
+_CLAIMS = ("Clause 9.2.%d of TS 38.214 and [6, TS 38.%n], see clause 5.1.", "TS 38.331 as in section 4.2\nclause 7.%s alone", "clause 3.1 of [7, 3GPP TS 38.213]", "none %s",
+           "[1, TS 38.211][2, TS 38.212][3, TS 38.213]TS 38.%nTS 38.215-1", "subsection 4.%d\nsub-clause 5 of  TR 38.901 clause 6.%d.", "  clause A.%s of TS 21.905clause 7 ")
+
+
+def _claims_sql(rows: str) -> str:
+    """Claims of rows (id, x): every match with its place, then rank after rank against what is taken."""
+    same = references.PATTERNS["same_spec"][0]
+    parts = []
+    for r, (name, (pattern, groups)) in enumerate(references.PATTERNS.items()):
+        g = [f"regexp_extract_all(x, '{pattern}', {n})" for n in groups] + ["NULL::varchar[]"] * (3 - len(groups))
+        parts.append(f"SELECT id, {r} AS rank, '{name}' AS pattern, unnest(regexp_extract_all(x, '{pattern}')) AS hit, unnest(string_split_regex(x, '{pattern}')[1:len(regexp_extract_all(x, '{pattern}'))]) AS gap, generate_subscripts(regexp_extract_all(x, '{pattern}'), 1) AS i, unnest({g[0]}) AS g1, unnest({g[1]}) AS g2, unnest({g[2]}) AS g3 FROM {rows} WHERE regexp_matches(x, '{pattern}')")
+    steps = []
+    for r in range(len(parts)):
+        taken = " UNION ALL ".join(f"FROM t{q}" for q in range(r))
+        free = f"SELECT * FROM at_ a WHERE rank = {r}" + (f" AND NOT EXISTS (FROM ({taken}) t WHERE t.id = a.id AND (a.s BETWEEN t.s AND t.e OR a.e BETWEEN t.s AND t.e))" if r else "")
+        steps.append(f"""f{r} AS ({free}), n{r} AS (SELECT *, CASE WHEN lag(e) OVER w = s THEN 0 ELSE 1 END AS new FROM f{r} WINDOW w AS (PARTITION BY id ORDER BY s)), r{r} AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY s) AS run FROM n{r}),
+t{r} AS (SELECT * EXCLUDE (new, run) FROM r{r} QUALIFY row_number() OVER (PARTITION BY id, run ORDER BY s) % 2 = 1)""")
+    return f"""m AS ({" UNION ALL ".join(parts)}), ends AS (SELECT *, (sum(length(gap) + length(hit)) OVER (PARTITION BY id, rank ORDER BY i))::bigint AS e FROM m),
+at_ AS (SELECT ends.* EXCLUDE (gap, i), e - length(hit) AS s, x FROM ends JOIN {rows} USING (id)), {", ".join(steps)},
+claims AS (SELECT id, rank, pattern, CASE WHEN rank = 4 THEN '' ELSE g1 || '.' || g2 END AS spec_number, rtrim(CASE WHEN rank = 4 THEN g1 WHEN rank = 3 THEN regexp_extract(substr(x, greatest(s - 80, 0) + 1, e + 80 - greatest(s - 80, 0)), '{same}', 1) ELSE coalesce(g3, '') END, '.') AS clause, s, e,
+  left(trim(substr(x, greatest(s - 40, 0) + 1, e + 40 - greatest(s - 40, 0)), ' ' || chr(9) || chr(10) || chr(13)), 200) AS evidence
+  FROM ({" UNION ALL ".join(f"FROM t{q}" for q in range(len(parts)))})
+  WHERE rank < 4 OR NOT regexp_matches(regexp_extract(left(x, s), '[^\n]*$') || hit || regexp_extract(substr(x, e + 1), '^[^\n]*'), '{references.SPEC_ON_LINE}'))"""
+
+
+@query(f"WITH {cased_sql(*_CLAIMS)}, {_claims_sql('c')} SELECT id, pattern, spec_number, clause, s::int AS start, e::int AS \"end\", evidence FROM claims")
+def reference_claims(spark, d):
+    """References in texts, each stretch claimed by its most precise pattern."""
+    rows = references.claims(cased(spark, d, *_CLAIMS).select("id", F.col("x").alias("text")))
+    return rows.select("id", "pattern", "spec_number", "clause", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "evidence")
+
+
+_TELL = """text || chr(10) || 'Clause ' || (1 + doc_id % 9) || '.' || (doc_id % 4) || '.' || (doc_id % 7) || ' of TS ' || printf('%02d.%03d', 21 + (doc_id // 3) % 18, 200 + (doc_id // 3) % 40) || ', as in clause ' || (1 + doc_id % 5) || '.1.' || chr(10)
+  || '[6, TS ' || printf('%02d.%03d', 21 + (doc_id // 5) % 18, 200 + (doc_id // 5) % 40) || '][7, TS 38.999] and TS ' || printf('%02d.%03d', 21 + (doc_id // 8) % 18, 200 + (doc_id // 8) % 40) || chr(10) || 'section ' || (1 + doc_id % 9) || '.' || (doc_id % 5)"""
+_REFERENCE_SQL = f"""{C}, q AS (SELECT doc_id AS id, {_TELL} AS x FROM documents), gated AS (SELECT q.* FROM q JOIN chunks USING (id) WHERE NOT (id % 50 = 7)), {_claims_sql('gated')}, {TEXT_INDEX},
+asked AS (SELECT k.id, k.rank, k.s, c.spec_number AS own, CASE WHEN k.spec_number = '' THEN c.spec_number ELSE k.spec_number END AS spec, k.clause, k.evidence FROM claims k JOIN chunks c USING (id) WHERE k.spec_number = '' OR try_cast(split_part(k.spec_number, '.', 1) AS int) BETWEEN 21 AND 37),
+l AS (SELECT *, unnest(list_transform(range(1, len(string_split(clause, '.')) + 1), lambda n: array_to_string(string_split(clause, '.')[1:n], '.'))) AS sec, unnest(range(len(string_split(clause, '.')) - 1, -1, -1)) AS up FROM asked WHERE clause <> ''),
+hits AS (SELECT l.*, ix.id AS dst, 2 * up AS level FROM l JOIN ix ON ix.spec_number = l.spec AND ix.section = l.sec WHERE ix.section <> '' UNION ALL SELECT l.*, ix.id, 2 * up + 1 FROM l JOIN ix ON ix.spec_number = l.spec AND starts_with(ix.section, l.sec || '.')),
+five AS (SELECT spec_number, id AS dst FROM (SELECT *, min({{'a': id, 'b': place}}) OVER (PARTITION BY spec_number, section) AS key FROM ix) QUALIFY row_number() OVER (PARTITION BY spec_number ORDER BY key, id, place) <= 5),
+both_ AS (SELECT id, rank, s, own, spec, clause, evidence, dst FROM hits QUALIFY level = min(level) OVER (PARTITION BY id, rank, s) UNION ALL SELECT asked.*, dst FROM asked JOIN five ON five.spec_number = spec WHERE clause = ''),
+edges AS (SELECT id AS src, dst, 'REFERENCES' AS type, CASE WHEN spec <> own THEN 1.0::double ELSE 0.6::double END AS weight, spec AS target_spec, clause AS target_clause, spec <> own AS is_cross_spec, evidence, rank, s FROM both_ QUALIFY row_number() OVER (PARTITION BY id, dst ORDER BY rank, s) = 1)"""
+
+
+def _telling(spark, d):
+    """Chunks whose texts refer to specifications and clauses of the table; one in fifty is a list of references."""
+    k = F.col("id")
+    spec = lambda n: F.format_string("%02d.%03d", 21 + F.floor(k / n) % 18, 200 + F.floor(k / n) % 40)
+    number = lambda *parts: F.concat_ws(".", *[p.cast("string") for p in parts])
+    told = F.concat(F.lit("\nClause "), number(1 + k % 9, k % 4, k % 7), F.lit(" of TS "), spec(3), F.lit(", as in clause "), (1 + k % 5).cast("string"), F.lit(".1.\n[6, TS "), spec(5), F.lit("][7, TS 38.999] and TS "), spec(8), F.lit("\nsection "), number(1 + k % 9, k % 5))
+    listed = k % 50 == 7
+    rows = chunks(spark, d).withColumns({"text": F.concat("text", told), "section_title": F.when(listed, "References").otherwise("")})
+    return rows.withColumns({"own": F.col("section_number"), "section_number": F.when(listed, "2").otherwise(F.col("section_number"))})
+
+
+def _edges_told(spark, d):
+    nodes = _telling(spark, d)
+    index = nodes.withColumn("section_number", F.col("own"))
+    return references.edges(index, series=range(21, 38), told=nodes)
+
+
+@query(_REFERENCE_SQL + " SELECT src, dst, type, weight, target_spec, target_clause, is_cross_spec, evidence FROM edges")
+def reference_edges(spark, d):
+    """The edges that references in whole texts make: gated by series and section, each stretch claimed once, resolved to sections."""
+    return _edges_told(spark, d)
+
+
 _HALF = "floor(length(text) / 2)::bigint"
 _MD_TEXT = f"""'# 1 Scope' || chr(10) || chr(10) || 'This part is short.' || chr(10) || chr(10) || '# 5 Layer ' || doc_id || chr(10) || chr(10) || 'Introduction.' || chr(10) || chr(10) || '## 5.1 First' || chr(10) || chr(10) || substr(text, 1, {_HALF})
   || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || '$$' || chr(10) || 'x = y' || chr(10) || '$$' || chr(10) || chr(10) || '## 5.2 Second' || chr(10) || chr(10)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import arrays, arrow
 from quarry.functions import text as tx
-from quarry.operators import chunking, graph
+from quarry.operators import chunking, ingest
+from quarry.operators import references as refs
 from quarry.plans import ingestion
 from quarry.sources import files
 
@@ -130,6 +131,66 @@ def test_reference_edges(spark):
         (4, "e", "38.214", "9.2.4", "9.2", "See TS 38.213.", 1),
     ]
     frame = spark.createDataFrame(nodes, "id long, doc_id string, spec_number string, section_number string, parent_section_id string, text string, chunk_index int")
-    got = {(r.src, r.dst): (r.type, r.weight, r.target_clause, r.evidence) for r in graph.reference_edges(frame, arrow.reference_claims).collect()}
+    got = {(r.src, r.dst): (r.type, r.weight, r.target_clause, r.evidence) for r in refs.edges(frame).collect()}
     assert got[1, 3] == ("REFERENCES", 1.0, "9.2.3", "See clause 9.2.3 of TS 38.214 and more.")
     assert got[2, 1][:3] == ("REFERENCES", 0.6, "9.2") and {d for s, d in got if s == 4} == {1, 2}
+    assert got[2, 1][1] == 0.6 and all(r.is_cross_spec == (r.weight == 1.0) for r in refs.edges(frame).collect())
+    assert {(r.src, r.dst) for r in refs.edges(frame, series=(38,)).collect()} == set(got) and refs.edges(frame, series=(23,)).filter("is_cross_spec").count() == 0
+    listed = frame.withColumns({"section_number": F.lit("2"), "section_title": F.lit("References")})
+    assert refs.edges(listed).count() == 0
+
+
+def test_claims_are_swept(spark):
+    """Random texts of references, against the same rules over a list of stretches."""
+    draw = random.Random(4)
+    bits = ["clause 5.1", "Section 6.2.", " of ", "TS 38.213", "3GPP TR 38.901-1", "[6, TS 38.214]", "[7, 3GPP TS 23.501]", " ", "\n", "and", "sub-clause 7", ", "]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(400)]
+    rows = refs.claims(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, set()).add((r.pattern, r.spec_number, r.clause, r.start, r.end))
+    for i, text in enumerate(texts):
+        want, held = set(), []
+        for rank, (name, (pattern, groups)) in enumerate(refs.PATTERNS.items()):
+            for m in re.finditer(pattern, text):
+                span = range(m.start(), m.end() + 1)
+                if not any(x in range(a, b + 1) for a, b in held for x in (span[0], span[-1])):
+                    held.append(m.span())
+                    lines = text[: m.start()].rsplit("\n", 1)[-1] + m[0] + text[m.end() :].split("\n", 1)[0]
+                    near = re.search(refs.PATTERNS["same_spec"][0], text[max(0, m.start() - 80) : m.end() + 80])
+                    clause = m[1] if rank in (0, 1, 4) else near[1] if rank == 3 and near else ""
+                    if rank < 4 or not re.search(refs.SPEC_ON_LINE, lines):
+                        want.add((name, "" if rank == 4 else f"{m[groups[0]]}.{m[groups[1]]}", clause.rstrip("."), *m.span()))
+        assert got.get(i, set()) == want, text
+
+
+def test_paragraphs_are_gathered():
+    draw = random.Random(7)
+    for _ in range(300):
+        parts, most, want = ["x" * draw.randint(1, 40) for _ in range(draw.randint(0, 12))], draw.randint(5, 60), []
+        for part in parts:
+            if want and len("\n\n".join(want[-1])) + len(part) <= most:
+                want[-1].append(part)
+            else:
+                want.append([part])
+        assert [parts[a:b] for a, b in chunking.gathered(parts, most)] == want
+
+
+def test_small_blocks_join_prose():
+    """Small tables are fragments; what holds a table, by its text, is never joined to; blank lines of what fits stay."""
+    limits = chunking.Limits()
+    chunk = lambda t: chunking.Chunk(t)
+    join = lambda *ts: [c.text for c in chunking.merge_small([chunk(t) for t in ts], limits)]
+    table, prose, big = "| a |\n|---|\n| 1 |", "p" * 400, "| a |\n|---|\n" + "| 1 |\n" * 100
+    assert join(prose, table) == [f"{prose}\n\n{table}"] and join(prose, table, "small") == [f"{prose}\n\n{table}", "small"]
+    assert join(big, "small", prose) == [big, f"small\n\n{prose}"] and join(big, table) == [big, table] and join(table, prose) == [f"{table}\n\n{prose}"]
+    assert join("$$x$$", "$$y$$") == ["$$x$$", "$$y$$"] and join("a" * 7800, "b" * 200) == ["a" * 7800 + "\n\n" + "b" * 200] and join("a" * 7800, "b" * 201) == ["a" * 7800, "b" * 201]
+    assert chunking.split_long("first\n\n\n\nsecond", limits) == ["first\n\n\n\nsecond"]
+
+
+def test_bytes_are_cut_alike(spark):
+    """The expression and the plain rule cut at the same places."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(["a", "é", "中", "😀", ". ", "\n", "\n\n", "。", "; ", " "]) for _ in range(draw.randint(0, 120))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.c == arrow.safe_cut(r.t, 60) for r in rows.select("t", ingest.cut_bytes(F.col("t"), 60).alias("c")).collect())

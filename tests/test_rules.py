@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import arrow
 from quarry.functions import text as tx
-from quarry.operators import chunking, embedding, filters, ingest, numbering, ranking, search
+from quarry.operators import chunking, embedding, filters, ingest, numbering, ranking, references, search
 from quarry.plans import answers
 from quarry.streaming import traffic
 
@@ -52,9 +52,10 @@ def test_safe_cut_fits(text, most):
     assert len(arrow.safe_cut(text, most).encode()) <= max(most, 0) or len(text.encode()) <= most
 
 
-def test_claims_are_made_once():
-    found = arrow.claims("Clause 9.2.5 of TS 38.214, and clause 7.1.\nclause 5.1.2 here, [6, TS 38.213]\nsection 4.4 alone")
-    assert [(p, s, c) for p, s, c, _, _ in found] == [("clause_of_spec", "38.214", "9.2.5"), ("bracket", "38.213", ""), ("same_spec", "", "4.4")]
+def test_claims_are_made_once(spark):
+    text = "Clause 9.2.5 of TS 38.214, and clause 7.1.\nclause 5.1.2 here, [6, TS 38.213]\nsection 4.4 alone"
+    found = references.claims(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("rank", "start").collect()
+    assert [(r.pattern, r.spec_number, r.clause) for r in found] == [("clause_of_spec", "38.214", "9.2.5"), ("bracket", "38.213", ""), ("same_spec", "", "4.4")]
 
 
 def test_grid_to_pipe():
@@ -72,7 +73,7 @@ def test_split_keeps_tables_whole_and_introductions_first():
     text = f"# 5 Top\n\n{'Intro words here. ' * 30}\n\n## 5.1 Part\n\n{'Some prose in a paragraph. ' * 50}\n\n{table}\n\n{'More prose in a paragraph. ' * 50}"
     found = chunking.split(text)
     assert found[0].text.startswith("Intro") and found[0].section_number == "5"
-    assert [c.text for c in found if c.whole] == [table]
+    assert [c.text for c in found if chunking.holds_block(c.text)] == [table]
     assert found[1].section_path == "5 Top > 5.1 Part" and found[1].parent_section_id == "5" and found[1].parent_text.startswith("Some prose")
 
 
