@@ -30,6 +30,8 @@ MAGIC, VERSION, REVISIT = b"\x1f\x8b\x08", b"WARC/1.1", "http://netpreserve.org/
 #: Bytes of a range, bytes read at a time, and copies of the table of repeated payloads against skew.
 RANGE, BLOCK, SALTS = 16 << 20, 1 << 20, 16
 DATE = "1970-01-01T00:00:00Z"
+#: What a record starts with, and what stands for a member that breaks off.
+MARK, BROKEN = b"WARC/", "broken"
 
 
 def _filesystem(path: str):
@@ -135,42 +137,45 @@ class _Window:
         self.data, self.at = self.data[to - self.at :], to
 
 
-def _decode(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The record in the member at a place and where the member ends, or None if none starts there.
+def _decode(window: _Window, at: int) -> tuple[bytes, int] | str | None:
+    """The record in the member at a place and where the member ends, None if none starts there, or BROKEN if one does and can't be decoded to its end.
 
     Once its head is known to be a record's, a member is decoded block by block, and no block is held twice.
     """
-    unpacker, found, size = zlib.decompressobj(31), [], 0
+    probe, head = zlib.decompressobj(31), b""
     window.drop(at)
     feed = window.data
-    while True:
+    while len(head) < len(MARK) and not probe.eof:
         try:
-            found.append(unpacker.decompress(feed))
+            head += probe.decompress(feed, len(MARK) - len(head))
         except zlib.error:
             return None
-        size += len(found[-1])
-        if unpacker.eof or size >= len(VERSION):
-            if not b"".join(found).startswith(b"WARC/1."):
+        if len(head) < len(MARK) and not probe.eof:
+            before = len(window.data)
+            if not window.more():
                 return None
-            break
-        before = len(window.data)
-        if not window.more():
-            return None
-        feed = window.data[before:]
+            feed = window.data[before:]
+    if head != MARK:
+        return None
+    unpacker = zlib.decompressobj(31)
+    try:
+        found = [unpacker.decompress(window.data)]
+    except zlib.error:
+        return BROKEN
     while not unpacker.eof:
         if not window.next():
-            return None
+            return BROKEN
         try:
             found.append(unpacker.decompress(window.data))
         except zlib.error:
-            return None
+            return BROKEN
     end = window.at + len(window.data) - len(unpacker.unused_data)
     window.drop(end)
     return b"".join(found), end
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Place and content of the records whose member starts in [start, end)."""
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """Place and content of the records whose member starts in [start, end); None for one whose head is a record's but that can't be decoded to its end."""
     window, at = _Window(file, start), start
     while at < end:
         found = window.data.find(MAGIC, at - window.at)
@@ -184,40 +189,69 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         if at >= end:
             return
         got = _decode(window, at)
-        if got is None:
-            at += 1
-            if window.at > at:  # the member broke off after its head
-                window.to(at)
+        if isinstance(got, tuple):
+            yield at, got[0]
+            at = got[1]
             continue
-        yield at, got[0]
-        at = got[1]
+        if got is BROKEN:
+            yield at, None
+        at += 1
+        if window.at > at:  # the member broke off after its head
+            window.to(at)
+
 
+def headers(head: bytes) -> dict[str, str]:
+    """Header fields by their name in small letters; the space after the colon may be missing, folded lines are joined, the first of a name counts, and other lines are left out."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()
+    pairs = [line.partition(":") for line in lines[1:]]
+    return {name.strip().lower(): value.strip() for name, colon, value in reversed(pairs) if colon}
 
-def parse(data: bytes) -> dict:
-    """A record's headers and payload; a revisit's payload is None, and its length is that of the page it refers to."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?i)\r\nContent-Length: (\d+)", http)
-    page = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
-    revisit = headers["WARC-Type"] == "revisit"
-    return {
-        "page_id": page(headers["WARC-Record-ID"]), "payload_bytes": int(size[1]) if revisit else len(payload),
-        "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base32_sha1(payload),
-        "record_type": headers["WARC-Type"], "refers_to": page(headers.get("WARC-Refers-To")),
-        "url": headers["WARC-Target-URI"], "payload": None if revisit else payload,
-    }
 
+def _blank(data: bytes) -> tuple[bytes, bytes]:
+    """What comes before and after the first empty line; all and nothing where there is none."""
+    found = re.search(rb"\r?\n\r?\n", data)
+    return (data[: found.start()], data[found.end() :]) if found else (data, b"")
 
-_FIELDS = {"page_id": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_digest": ("string", pa.string()), "record_type": ("string", pa.string()), "refers_to": ("long", pa.int64()), "url": ("string", pa.string()), "payload": ("binary", pa.binary())}
 
+def parse(data: bytes | None) -> dict:
+    """A record's fields. A response's payload is what follows its HTTP head, a revisit's is None and as long as its HTTP head says, if it does; records of other types have their block as payload.
 
-def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tuple[str, ...] = tuple(_FIELDS)) -> DataFrame:
+    A record that can't be decoded, has no type or no length, or is shorter than it says comes back with its error.
+    """
+    none = dict.fromkeys(_FIELDS)
+    if data is None:
+        return none | {"error": "damaged member"}
+    head, rest = _blank(data)
+    own = headers(head)
+    kind, length = own.get("warc-type", "").lower(), own.get("content-length", "")
+    page = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d{1,18})>", x)) else None
+    about = none | {"page_id": page(own.get("warc-record-id")), "record_type": kind or None, "refers_to": page(own.get("warc-refers-to")), "url": own.get("warc-target-uri")}
+    if not kind or not re.fullmatch(r"[0-9]{1,18}", length):
+        return about | {"error": "no type" if not kind else "no length"}
+    if len(rest) < int(length):
+        return about | {"error": f"{len(rest)} of {length} bytes"}
+    block = rest[: int(length)]
+    inner, payload = _blank(block) if kind in ("response", "revisit") and block.startswith(b"HTTP/") else (b"", block)
+    if kind == "revisit":
+        size = headers(inner).get("content-length", "")
+        digest = re.sub("(?i)^sha1:", "", own.get("warc-payload-digest", ""))
+        return about | {"payload_bytes": int(size) if re.fullmatch("[0-9]{1,18}", size) else None, "payload_digest": digest or None}
+    return about | {"payload_bytes": len(payload), "payload_digest": base32_sha1(payload), "payload": payload}
+
+
+_FIELDS = {
+    "page_id": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_digest": ("string", pa.string()), "record_type": ("string", pa.string()),
+    "refers_to": ("long", pa.int64()), "url": ("string", pa.string()), "payload": ("binary", pa.binary()), "error": ("string", pa.string()),
+}
+
+
+def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tuple[str, ...] = tuple(_FIELDS), types: tuple[str, ...] | None = None) -> DataFrame:
     """Records of a table of archives (path, size), read by byte ranges of range_bytes, which are dealt a task each.
 
-    Archives of no bytes and an empty table give no rows; a record's null page id or url come back as null and a
-    placeholder; bytes that are no record's are skipped.
+    Records of every type come back unless types names some. Damaged records come back with what is known of them and
+    an error, so that they can be counted; without the field error they are left out. Archives of no bytes and an empty
+    table give no rows; a record's null page id or url come back as null and a placeholder; bytes that are no record's
+    are skipped.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +261,10 @@ def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tupl
                 with files.open_input_file(path) as file:
                     rows, held = [], 0
                     for _, data in members(file, part["start"], part["start"] + range_bytes):
-                        rows.append(parse(data))
-                        held += len(data)
+                        row = parse(data)
+                        if (row["error"] is None or "error" in fields) and (types is None or row["record_type"] in types or row["record_type"] is None):
+                            rows.append(row)
+                            held += len(data or b"")
                         if held > 16 << 20:
                             yield pack(rows)
                             rows, held = [], 0
