@@ -85,7 +85,8 @@ def _pairing(parts: int):
         codes = np.frombuffer(pa.decompress(state.column("codes")[0].as_buffer(), state.column("size")[0].as_py(), "zstd"), np.int32)
         many = int(codes.max(initial=-1)) + 1
         names = np.full(many + 1, -1, np.int64)  # the last one is for the gaps' -1
-        names[found.column("code").to_numpy()] = found.column("id").to_numpy()
+        for code, name in _told(found):
+            names[code] = name
         at = np.flatnonzero((names[codes[:-1]] >= 0) & (names[codes[1:]] >= 0))
         pairs, place, times = np.unique(codes[at].astype(np.int64) * many + codes[at + 1], return_inverse=True, return_counts=True)
         after = np.full(len(codes), -1, np.int32)
@@ -102,12 +103,28 @@ def _pairing(parts: int):
     return paired
 
 
+def _told(found: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a block's entries and their names, from rows or packed."""
+    if "packed" not in found.column_names:
+        yield found.column("code").to_numpy(), found.column("id").to_numpy()
+        return
+    for packed, size in zip(found.column("packed"), found.column("size").to_pylist(), strict=True):
+        yield from [tuple(np.frombuffer(pa.decompress(packed.as_buffer(), size, "zstd"), np.int64).reshape(2, -1))]
+
+
 _PIECES = pa.list_(pa.struct([("bucket", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())]))
 _STATE = "block long, size long, codes binary, pairs array<struct<bucket:long,size:long,packed:binary>>"
 
 
+_PHRASES = pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64()), ("id", pa.int64())]))
+_FOUND = "of long, size long, packed binary, phrases array<struct<left:long,right:long,a:long,id:long>>"
+
+
 def _counting(least: int):
-    """The function that adds up a bucket's pairs over all blocks: (of, code, left, right, a, id) of those that occur often enough."""
+    """The function that adds up a bucket's pairs over all blocks, and names those that occur often enough by the first block's place.
+
+    It gives the phrases in one row, and for each block `of` one with the block's own places of them and their names, packed.
+    """
 
     def counted(pieces: pa.Table) -> pa.Table:
         parts = [np.frombuffer(pa.decompress(p.as_buffer(), n, "zstd"), np.int64).reshape(4, -1) for p, n in zip(pieces.column("packed"), pieces.column("size").to_pylist(), strict=True)]
@@ -116,23 +133,30 @@ def _counting(least: int):
         order = np.lexsort((right, left))
         left, right, times, code, of = (x[order] for x in (left, right, times, code, of))
         first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-        each = np.diff(np.r_[first, len(left)])
-        total, name = np.repeat(np.add.reduceat(times, first), each), np.repeat(np.minimum.reduceat((of << 32) + code, first), each)
-        often = total >= least
-        return pa.table([x[often] for x in (of, code, left, right, total, name)], names=["of", "code", "left", "right", "a", "id"])
+        total, name = np.add.reduceat(times, first), np.minimum.reduceat((of << 32) + code, first)
+        often = np.repeat(total >= least, np.diff(np.r_[first, len(left)]))
+        own = np.repeat(name, np.diff(np.r_[first, len(left)]))[often]
+        code, of = code[often], of[often]
+        by = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[by], prepend=-1))
+        blocks = [np.stack([code[i], own[i]]) for i in np.split(by, cuts[1:])] if len(by) else []
+        kept = first[total >= least]
+        phrases = pa.StructArray.from_arrays([pa.array(x) for x in (left[kept], right[kept], total[total >= least], name[total >= least])], names=["left", "right", "a", "id"])
+        rows = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), phrases), pa.nulls(len(blocks), _PHRASES)]
+        columns = [[None, *of[by][cuts].tolist()], [None, *[b.nbytes for b in blocks]], [None, *[pa.compress(b.tobytes(), "zstd", asbytes=True) for b in blocks]]]
+        return pa.table([*[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], pa.chunked_array(rows, _PHRASES)], names=["of", "size", "packed", "phrases"])
 
     return counted
 
 
 def _often(state: DataFrame, least: int, parts: int) -> DataFrame:
-    """(of, code, left, right, a, id) of the pairs that occur often enough in all blocks together: their count, and as their name the first block's place.
+    """What _counting gives of all buckets' pairs.
 
     A block sends a bucket one row, its pairs packed; the number of buckets grows with the input, and a pair is in a
     bucket at most once for each block.
     """
     pieces = state.select(F.col("block").alias("of"), F.explode("pairs").alias("p")).select("of", "p.bucket", "p.size", "p.packed")
-    counted = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_counting(least), "of long, code long, left long, right long, a long, id long")
-    return stage(counted, "phrases")
+    return stage(pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_counting(least), _FOUND), "phrases")
 
 
 def _often_words(state: DataFrame, least: int, parts: int) -> DataFrame:
@@ -159,14 +183,17 @@ def named_phrases(docs: DataFrame, *, least: int = 100, longest: int = 5, bytes_
     first = found.filter(once).join(sizes, "lang").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", "n", *[F.array().cast("array<long>").alias(x) for x in ("prefix", "suffix")], *[F.lit(None).cast("long").alias(x) for x in ("left", "right")])
     levels = [stage(first, "names")]
     discard(sizes)
+    places = found.select("of", "code", "id")
     for _ in range(longest - 1):
-        after = stage(state.select("block", "size", "codes").groupBy("block").cogroup(found.select("of", "code", "id").groupBy("of")).applyInArrow(_pairing(parts), _STATE), "blocks")
+        after = stage(state.select("block", "size", "codes").groupBy("block").cogroup(places.groupBy("of")).applyInArrow(_pairing(parts), _STATE), "blocks")
         discard(state, found)
         state = after
         found = _often(state, least, parts)
+        places = found.filter("of is not null").select("of", "size", "packed")
+        named = found.filter("of is null").select(F.explode("phrases").alias("p")).select("p.*")
         parent = levels[-1]
         side = lambda s, keep: parent.select(F.col("id").alias(s), *[F.col(c).alias(f"_{s}_{c}") for c in keep])
-        both = found.filter(once).join(side("left", ["lang", "phrase", "a", "n", "prefix"]), "left").join(side("right", ["last", "a", "suffix"]), "right")
+        both = named.join(side("left", ["lang", "phrase", "a", "n", "prefix"]), "left").join(side("right", ["last", "a", "suffix"]), "right")
         grown = lambda s, x: F.concat(f"_{s}_{x}", F.array(f"_{s}_a")).alias(x)
         levels.append(stage(both.select("id", F.col("_left_lang").alias("lang"), F.concat("_left_phrase", F.lit(" "), "_right_last").alias("phrase"), F.col("_right_last").alias("last"), "a", F.col("_left_n").alias("n"),
                                         grown("left", "prefix"), grown("right", "suffix"), "left", "right"), "names"))

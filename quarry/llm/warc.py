@@ -174,8 +174,12 @@ def _decode(window: _Window, at: int) -> tuple[bytes, int] | str | None:
     return b"".join(found), end
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
-    """Place and content of the records whose member starts in [start, end); None for one whose head is a record's but that can't be decoded to its end."""
+def members(file, start: int, end: int, *, broken: bool = False) -> Iterator[tuple[int, bytes | None]]:
+    """Place and content of the records whose member starts in [start, end).
+
+    With broken, also None for what starts like a record's member but can't be decoded to its end: a damaged member,
+    or, where a range starts inside a record that holds such bytes as they are, these.
+    """
     window, at = _Window(file, start), start
     while at < end:
         found = window.data.find(MAGIC, at - window.at)
@@ -193,7 +197,7 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
             yield at, got[0]
             at = got[1]
             continue
-        if got is BROKEN:
+        if got is BROKEN and broken:
             yield at, None
         at += 1
         if window.at > at:  # the member broke off after its head
@@ -260,7 +264,7 @@ def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, fields: tupl
                 files, path = _filesystem(part["path"])
                 with files.open_input_file(path) as file:
                     rows, held = [], 0
-                    for _, data in members(file, part["start"], part["start"] + range_bytes):
+                    for _, data in members(file, part["start"], part["start"] + range_bytes, broken="error" in fields):
                         row = parse(data)
                         if (row["error"] is None or "error" in fields) and (types is None or row["record_type"] in types or row["record_type"] is None):
                             rows.append(row)
