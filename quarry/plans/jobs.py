@@ -13,6 +13,7 @@ from quarry.operators.storage import staged_path
 from quarry.plans.corpus import _EV, _HITS, _RECALL, _expected, _results
 from quarry.plans.documents import _markdown
 from quarry.plans.retrieval import BM25_SQL, C, R, _docs, _questions
+from quarry.plans.retrieval import SQL as RETRIEVAL_SQL
 from quarry.plans.texts import SQL as TEXT_SQL
 from quarry.plans.texts import _INDEX as TEXT_INDEX
 from quarry.plans.texts import _edges, cased, cased_sql
@@ -21,6 +22,7 @@ from quarry.sources.chunks import chunks, ranked
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+EXPAND_SQL = RETRIEVAL_SQL["graph_expand"]
 
 
 def query(sql: str | None = None):
@@ -160,6 +162,13 @@ def reference_edges(spark, d):
     return _edges_told(spark, d)
 
 
+@query(_REFERENCE_SQL.replace(C, R, 1) + ", e AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM edges),\nh AS (" + EXPAND_SQL.split("h AS (", 1)[1])
+def graph_expand_references(spark, d):
+    """The first hits' neighbours in the graph of references that texts make, in other specifications, unseen."""
+    found = ranking.positions(_edges_told(spark, d), F.asc("dst"), by=["src"], pos="n").select("src", "dst", (F.col("n") - 1).alias("place"))
+    return graph.expand(ranked(spark, d).filter("pos <= 10"), found, chunks(spark, d).select("id", "spec_number"))
+
+
 _HALF = "floor(length(text) / 2)::bigint"
 _MD_TEXT = f"""'# 1 Scope' || chr(10) || chr(10) || 'This part is short.' || chr(10) || chr(10) || '# 5 Layer ' || doc_id || chr(10) || chr(10) || 'Introduction.' || chr(10) || chr(10) || '## 5.1 First' || chr(10) || chr(10) || substr(text, 1, {_HALF})
   || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || '$$' || chr(10) || 'x = y' || chr(10) || '$$' || chr(10) || chr(10) || '## 5.2 Second' || chr(10) || chr(10)
