@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import chunking, evaluation, graph, ingest, ranking, references, search
 from quarry.operators.storage import staged_path
+from quarry.plans import answers
 from quarry.plans.corpus import _EV, _HITS, _RECALL, _expected, _results
 from quarry.plans.documents import _markdown
 from quarry.plans.retrieval import BM25_SQL, C, R, _docs, _questions
@@ -169,6 +170,40 @@ def graph_expand_references(spark, d):
     return graph.expand(ranked(spark, d).filter("pos <= 10"), found, chunks(spark, d).select("id", "spec_number"))
 
 
+def _checked(spark, d):
+    """Answers of whole texts, some with citations and terms added, and one or two sources for most of them."""
+    k, rows = F.col("id"), chunks(spark, d).select("id", "spec_number", F.coalesce("text", F.lit("")).alias("text"))
+    answer = F.when(k % 5 == 0, F.concat("text", F.lit(" As TS 21.200 says [1] and [9]. NR-U PDCP SDAP Section Type 3"))).when(k % 5 == 1, F.concat(F.lit("无法确定 "), "text")).when(k % 5 == 2, F.lit("TS 22.201 and TS 99.100 hold. UE RRC")).when(k % 5 == 3, F.col("text")).otherwise("")
+    own = rows.filter(k % 7 != 0).withColumn("text", F.when(k % 2 == 0, F.concat("text", F.lit(" uses NR-U and PDCP"))).otherwise(F.col("text")))
+    near = rows.withColumn("id", k - 1).filter(k % 3 == 0)
+    return rows.select("id", answer.alias("answer")), own.unionByName(near)
+
+
+_OTHER_LETTERS = r"[À-ÖØ-öø-\x{24F}\x{370}-\x{1FFF}\x{3040}-\x{9FFF}\x{AC00}-\x{D7A3}]"  # word characters to Spark's boundaries, none to this engine's
+_UNSURE = " OR ".join(f"contains(lower(answer), '{w.lower()}')" for w in answers.UNCERTAIN)
+
+
+@query(f"""{C}, t AS (SELECT id, spec_number, coalesce(text, '') AS text FROM chunks),
+an AS (SELECT id, CASE id % 5 WHEN 0 THEN text || ' As TS 21.200 says [1] and [9]. NR-U PDCP SDAP Section Type 3' WHEN 1 THEN '无法确定 ' || text WHEN 2 THEN 'TS 22.201 and TS 99.100 hold. UE RRC' WHEN 3 THEN text ELSE '' END AS answer FROM t),
+so AS (SELECT id, spec_number, CASE WHEN id % 2 = 0 THEN text || ' uses NR-U and PDCP' ELSE text END AS text FROM t WHERE id % 7 <> 0 UNION ALL SELECT id - 1, spec_number, text FROM t WHERE (id - 1) % 3 = 0),
+ph AS (SELECT *, CASE WHEN length(text) > 50 THEN list_filter(list_transform(string_split_regex(lower(text), '[.\\n]'), lambda x: trim(x)), lambda x: length(x) >= 20)[1:5] END AS phrases FROM so),
+g AS (SELECT id, list(spec_number) AS specs, string_agg(text, chr(10)) AS body, count(*) AS n FROM ph GROUP BY id),
+ci AS (SELECT ph.id, count(*) AS cited FROM ph JOIN an USING (id) WHERE phrases IS NOT NULL AND len(list_filter(phrases, lambda x: contains(lower(answer), x))) > 0 GROUP BY ph.id),
+r AS (SELECT an.id, answer, coalesce(specs, []) AS specs, coalesce(body, '') AS body, coalesce(n, 0) AS n, coalesce(cited, 0) AS cited, list_distinct(regexp_extract_all(answer, '{answers.CITED}', 1)) AS named,
+  list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d{{1,3}})\\]', 1), lambda x: x::int)) AS numbers,
+  list_distinct(list_concat(list_filter(regexp_extract_all(regexp_replace(answer, '{_OTHER_LETTERS}', '_', 'g'), '{answers.TERM}'), lambda x: regexp_matches(x, '^[A-Z]{{2,4}}(?:-[A-Z0-9]{{1,5}})?$')), regexp_extract_all(answer, '(?i)Section Type \\d+'))) AS own,
+  len(list_filter(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM an LEFT JOIN g USING (id) LEFT JOIN ci USING (id)),
+v AS (SELECT *, CASE WHEN len(own) = 0 THEN CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END ELSE len(list_filter(own, lambda x: contains(lower(body), lower(x))))::double / len(own) END AS t,
+  CASE WHEN len(regexp_extract_all(answer, '[一-鿿]')) / greatest(length(answer), 1)::double < 0.6 THEN CASE WHEN sentences > 0 THEN least(1.0, cited::double / sentences) ELSE 1.0 END ELSE 0.0 END AS p, ({_UNSURE}) AS sure FROM r),
+w AS (SELECT *, CASE WHEN sure THEN [] ELSE list_concat(list_transform(list_filter(named, lambda x: NOT list_contains(specs, x)), lambda x: 'unseen TS ' || x),
+  CASE WHEN len(list_filter(numbers, lambda x: x > n AND NOT contains(body, '[' || x || ']'))) > 0 THEN ['invalid source number'] ELSE [] END, CASE WHEN len(own) > 0 AND t < 0.3 AND p < 0.3 THEN ['low overlap'] ELSE [] END) END AS warnings FROM v)
+SELECT id, len(warnings) = 0 AS verified, round(CASE WHEN sure THEN 1.0 WHEN t < 0.3 THEN greatest(t, p) ELSE t END::double, 6) AS coverage, array_to_string(list_sort(warnings), '; ') AS warnings FROM w""")
+def verify_answers(spark, d):
+    """All checks of an answer by its sources: uncertainty, cited specifications, source numbers, terms and phrases."""
+    found = answers.verify(*_checked(spark, d))
+    return found.select("id", "verified", "coverage", F.array_join(F.sort_array("warnings"), "; ").alias("warnings"))
+
+
 _HALF = "floor(length(text) / 2)::bigint"
 _MD_TEXT = f"""'# 1 Scope' || chr(10) || chr(10) || 'This part is short.' || chr(10) || chr(10) || '# 5 Layer ' || doc_id || chr(10) || chr(10) || 'Introduction.' || chr(10) || chr(10) || '## 5.1 First' || chr(10) || chr(10) || substr(text, 1, {_HALF})
   || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || '$$' || chr(10) || 'x = y' || chr(10) || '$$' || chr(10) || chr(10) || '## 5.2 Second' || chr(10) || chr(10)
