@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation, filters, ingest
+from quarry.operators import cache, evaluation, filters, ingest
 from quarry.operators.embedding import centroids, route
 from quarry.operators.numbering import numbered
 from quarry.plans.retrieval import C, R
@@ -222,6 +222,24 @@ def ttl_hits(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(seconds - F.lag(seconds).over(w) < 3600, F.lit(False)).alias("hit"))
 
 
+_REQUESTS = """q AS (SELECT event_id AS request_id, user_id // 50 AS shard, event_type || (json_extract_string(props, '$.k')::bigint // 20) AS key, epoch_us(ts) / 1e6::double AS t FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS}, n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t, request_id) AS i FROM q),
+run AS (
+  SELECT shard, 0::bigint AS i, NULL::bigint AS request_id, false AS hit, NULL::varchar AS evicted, []::struct(k varchar, e double)[] AS held FROM (SELECT DISTINCT shard FROM q)
+  UNION ALL
+  SELECT shard, i, request_id, place IS NOT NULL AS hit, CASE WHEN place IS NULL AND len(live) = 4 THEN live[1].k END AS evicted,
+    CASE WHEN place IS NOT NULL THEN list_append(list_filter(live, lambda x: x.k <> key), live[place]) ELSE list_append(CASE WHEN len(live) = 4 THEN live[2:] ELSE live END, {{'k': key, 'e': t + 3600}}) END AS held
+  FROM (SELECT *, list_position(list_transform(live, lambda x: x.k), key) AS place FROM (SELECT n.shard, n.i, n.request_id, n.key, n.t, list_filter(run.held, lambda x: x.e > n.t) AS live FROM run JOIN n ON n.shard = run.shard AND n.i = run.i + 1)))
+SELECT request_id, shard, hit, evicted FROM run WHERE i > 0""")
+def bounded_cache(spark, d):
+    """Requests through caches of four entries that live an hour, one for each fifty users: what is answered, and what goes to make room."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.floor(F.col("user_id") / 50).alias("shard"), F.concat("event_type", F.floor(k / 20).cast("string")).alias("key"), "ts")
+    return cache.replay(rows, size=4)
+
+
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59.999999 SECONDS PRECEDING AND CURRENT ROW) AS offered FROM events""")
 def rate_offered(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-59_999_999, 0)
