@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import cache, evaluation, filters, ingest
 from quarry.operators.embedding import centroids, route
 from quarry.operators.numbering import numbered
+from quarry.operators.ranking import positions
 from quarry.plans.retrieval import C, R
 from quarry.sources.chunks import chunks, ranked, table
 
@@ -317,6 +318,50 @@ def eval_by_group(spark, d):
     return evaluation.by_group(rows.withColumns({"difficulty": kind, "multi_hop": F.col("sample") % 2 == 0}), ["recall", "ndcg"])
 
 
+_KINDS = "CASE sample % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, sample % 2 = 0 AS multi_hop"
+_AT = [(name, k) for name in ("recall", "section", "initial") for k in (5, 10, 20)]
+_REPORT = f"""{_EV}, pool AS (SELECT query_id AS sample, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS rank, spec_number AS spec FROM ranked),
+ex3 AS (SELECT sample, lower(spec) AS spec, ltrim(lower(section), '§') AS section FROM ex),
+smp AS (SELECT DISTINCT query_id AS sample FROM ranked),
+one AS (SELECT e.sample, e.spec, (SELECT min(rank) FROM res r WHERE r.sample = e.sample AND lower(r.spec) = e.spec) AS recall,
+    (SELECT min(rank) FROM res r JOIN ex3 x ON x.sample = r.sample AND x.spec = lower(r.spec) AND starts_with(lower(r.section), x.section) WHERE r.sample = e.sample AND x.spec = e.spec) AS section,
+    (SELECT min(rank) FROM pool p WHERE p.sample = e.sample AND lower(p.spec) = e.spec) AS initial
+  FROM (SELECT DISTINCT sample, spec FROM ex3) e),
+gain AS (SELECT r.sample, r.rank, row_number() OVER (PARTITION BY r.sample ORDER BY r.rank) AS best FROM res r WHERE r.rank <= 10 AND lower(r.spec) IN (SELECT spec FROM ex3 x WHERE x.sample = r.sample)),
+nd10 AS (SELECT sample, round(sum(1 / log2(rank + 1)) / sum(1 / log2(best + 1)), 6) AS ndcg_10 FROM gain GROUP BY sample),
+shr AS (SELECT smp.sample, {", ".join(f"round(CASE WHEN count(spec) = 0 THEN 1.0::double ELSE count(*) FILTER ({n} <= {k}) / count(spec)::double END, 6) AS {n}_{k}" for n, k in _AT)}, round(coalesce(1.0::double / min(recall), 0), 6) AS mrr
+  FROM smp LEFT JOIN one ON one.sample = smp.sample GROUP BY smp.sample),
+scored AS (SELECT shr.*, coalesce(ndcg_10, 0.0::double) AS ndcg_10, {_KINDS.replace('sample', 'shr.sample')} FROM shr LEFT JOIN nd10 ON nd10.sample = shr.sample)"""
+
+
+def _scored(spark, d):
+    rows = ranked(spark, d)
+    kind = F.when(F.col("sample") % 3 == 0, "easy").when(F.col("sample") % 3 == 1, "medium").otherwise("hard")
+    samples = rows.select(F.col("query_id").alias("sample")).distinct().withColumns({"difficulty": kind, "multi_hop": F.col("sample") % 2 == 0})
+    pool = positions(rows, F.desc("rerank_score"), F.asc("id"), pos="rank").select(F.col("query_id").alias("sample"), "rank", F.col("spec_number").alias("spec"))
+    return evaluation.scores(samples, _results(spark, d), _expected(spark, d), pool)
+
+
+@query(f"{_REPORT} SELECT * FROM scored")
+def eval_scores(spark, d):
+    """Every metric of each sample: of results, of their sections, and of the candidates before reranking."""
+    return _scored(spark, d)
+
+
+@query(f"""{_REPORT} SELECT CASE grouping(difficulty, multi_hop) WHEN 3 THEN 'all' WHEN 1 THEN 'difficulty' ELSE 'multi_hop' END AS level, difficulty, multi_hop, count(*) AS n, {", ".join(f"round(avg({n}_{k}), 6) AS {n}_{k}" for n, k in _AT)}, round(avg(mrr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10
+FROM scored GROUP BY GROUPING SETS ((), (difficulty), (multi_hop))""")
+def eval_report(spark, d):
+    """The report of an evaluation: means of all samples, by difficulty and by hops."""
+    return evaluation.report(_scored(spark, d))
+
+
+@query(f"""{_REPORT}, mean AS (SELECT round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_20), 6) AS recall_20, round(avg(mrr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10 FROM scored),
+lines AS (UNPIVOT mean ON recall_5, recall_10, recall_20, mrr, ndcg_10 INTO NAME metric VALUE value)
+SELECT metric, value, target, value >= target AS reached FROM lines JOIN (VALUES ('recall_5', 0.8::double), ('recall_10', 0.85), ('recall_20', 0.9), ('mrr', 0.7), ('ndcg_10', 0.75)) t(metric, target) USING (metric)""")
+def eval_targets(spark, d):
+    return evaluation.report_lines(evaluation.report(_scored(spark, d)))
+
+
 @query(f"""{R}, m AS (SELECT id, CASE WHEN contains(lower(text), 'the') THEN 'articles' WHEN contains(lower(text), 'der') THEN 'german' WHEN contains(lower(text), 'que') THEN 'romance' END AS label FROM ranked) SELECT label, count(*) AS n FROM m GROUP BY label""")
 def expected_labels(spark, d):
     """Labels by the first keyword that a text contains."""
