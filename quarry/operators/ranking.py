@@ -75,11 +75,11 @@ def fit_supplement(supplement: DataFrame, originals: DataFrame, *, by: Sequence[
     return supplement.join(main, list(by), "left").withColumn("score", F.when(F.col("_low").isNull(), F.col("score")).otherwise(F.round(fit, 9))).drop("_low", "_high")
 
 
-def merge_supplement(originals: DataFrame, supplement: DataFrame, *, tag: str = "multi_hop", by: Sequence[str] = BY) -> DataFrame:
-    """Originals, then the supplement's unseen rows (the first of each id) with scores in the originals' range."""
+def merge_supplement(originals: DataFrame, supplement: DataFrame, *, tag: str = "multi_hop", fit: bool = True, by: Sequence[str] = BY) -> DataFrame:
+    """Originals, then the supplement's unseen rows (the first of each id) with scores in the originals' range, or their own."""
     fresh = supplement.join(originals.select(*by, "id"), [*by, "id"], "left_anti")
     fresh = positions(fresh, F.asc("pos"), by=[*by, "id"], pos="_k").filter("_k = 1").drop("_k")
-    fresh = fit_supplement(fresh, originals, by=by).withColumn("source_tag", F.lit(tag))
+    fresh = (fit_supplement(fresh, originals, by=by) if fit else fresh).withColumn("source_tag", F.lit(tag))
     both = originals.withColumn("_late", F.lit(0)).unionByName(fresh.withColumn("_late", F.lit(1)))
     return positions(both, F.asc("_late"), F.asc("pos"), F.asc("id"), by=by).drop("_late")
 
