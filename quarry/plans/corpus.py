@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import cache, evaluation, filters, ingest
+from quarry.operators import cache, evaluation, filters, ingest, routing
 from quarry.operators.embedding import centroids, route
 from quarry.operators.numbering import numbered
 from quarry.operators.ranking import positions
@@ -386,6 +386,13 @@ def route_series(spark, d):
     return route(rows.filter("query_id % 20 = 0").select("query_id", "vector"), centroids(rows), 3)
 
 
+@query()
+def route_network(spark, d):
+    """The five labels that a network, fitted on a bounded sample, finds likeliest for each vector."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return routing.route(rows.select(F.col("id").alias("query_id"), "vector"), routing.fit(rows), 5)
+
+
 @query(f"""WITH {_MAN}, st AS (SELECT coalesce(m.spec_number, f.spec_number) AS spec_number, coalesce(m.release, f.release) AS release, m.spec_number IS NULL AS is_new, f.spec_number IS NULL AS is_gone,
   coalesce(m.sha256 <> f.sha256, true) AND ({_NUM.format('f.version')} > {_NUM.format('m.version')} OR ({_NUM.format('f.version')} = {_NUM.format('m.version')} AND f.version > m.version)) AS is_higher
   FROM man m FULL JOIN fil f ON m.spec_number = f.spec_number AND m.release = f.release)
