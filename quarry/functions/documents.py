@@ -50,6 +50,25 @@ def title(text: Column) -> Column:
     return F.coalesce(by_header, by_body, by_heading, F.lit(""))
 
 
+def converted_title(text: Column) -> Column:
+    """The title of a converted document, from its first 20 lines: the line that speaks of a technical specification with its neighbours, else the first heading, else the first three lines with text."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    join = lambda rows: F.array_join(rows, " — ")
+    lines = F.slice(F.split(text, "\n"), 1, 20)
+    at = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("specification") | F.lower(x).contains("technical")), F.lit(True)).cast("int")
+    around = F.filter(F.transform(F.slice(lines, F.greatest(at - 1, F.lit(1)), F.when(at == 1, 3).otherwise(4)), strip), lambda x: x != "")
+    heads = F.filter(F.transform(lines, strip), lambda x: x.startswith("#") & (F.length(x) > 3))
+    plain = F.transform(F.filter(lines, lambda x: (strip(x) != "") & ~x.startswith("!")), strip)
+    return F.when(at > 0, join(around)).when(F.size(heads) > 0, strip(F.ltrim(F.get(heads, F.lit(0)), F.lit("#")))).otherwise(F.coalesce(join(F.slice(plain, 1, 3)), F.lit("")))
+
+
+def answer_key(question: Column, release: Column, series: Column, doc_type: Column, reranked: Column, history: Column) -> Column:
+    """The key of a cached answer: a hash of all that the answer depends on; history is an array of role:content."""
+    or_empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    fixed = [F.trim(F.lower(question)), or_empty(release), or_empty(series), or_empty(doc_type), F.when(reranked, "True").otherwise("False")]
+    return F.sha2(F.array_join(F.concat(F.array(*fixed), F.coalesce(history, F.array().cast("array<string>"))), "|"), 256)
+
+
 def gap_response(answer: Column, most: int = 4) -> Column:
     """struct(sufficient, queries) of an analysis of what is missing."""
     text = F.trim(answer)

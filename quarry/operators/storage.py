@@ -66,6 +66,14 @@ class Folder:
     def names(self) -> list[str]:
         return sorted(x.getPath().getName() for x in self.files.listStatus(self.place)) if self.exists() else []
 
+    def state(self) -> list[tuple[str, int, int]]:
+        """(path, bytes, time of the last change) of each file below it, or of itself if it is one."""
+        out, files = [], self.files.listFiles(self.place, True) if self.exists() else None
+        while files is not None and files.hasNext():
+            found = files.next()
+            out.append((found.getPath().toString(), found.getLen(), found.getModificationTime()))
+        return sorted(out)
+
     def empty(self, pattern: str) -> list[str]:
         """Paths of the files of no bytes below it whose name matches a pattern with wildcards."""
         out, files = [], self.files.listFiles(self.place, True) if self.exists() else None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "texts", "corpus", "documents", "rules", "jobs")
+MODULES = ("retrieval", "texts", "corpus", "documents", "rules", "jobs", "records")
 
 
 def collect(kind: str) -> dict:

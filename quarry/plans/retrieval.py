@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import filters, ranking, search
 from quarry.operators.ranking import positions
-from quarry.operators.storage import staged_path
+from quarry.operators.storage import folder, staged_path
 from quarry.sources.chunks import CHUNKS_SQL, RANKED_SQL, chunks, ranked, table
 
 QUERIES: dict = {}
@@ -37,6 +37,18 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_KEPT: dict[tuple[str, str], tuple[list, search.Bm25]] = {}
+
+
+def _index(spark, d) -> search.Bm25:
+    """The index of a folder's documents, built once in an application and searched from then on; built anew where the documents' files have changed or its own are gone."""
+    key, state = (spark.sparkContext.applicationId, d), folder(spark, f"{d}/documents.parquet").state()
+    kept = _KEPT.get(key)
+    if kept is None or kept[0] != state or not kept[1].is_there():
+        _KEPT[key] = kept = (state, search.bm25_build(_docs(spark, d)))
+    return kept[1]
+
+
 _TOKENS = r"regexp_extract_all(lower(text), '\d{2}\.\d{3}|[a-z0-9]+')"
 BM25_SQL = f"""t AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents),
 dl AS (SELECT id, len(t) AS dl FROM t), nd AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
@@ -50,26 +62,26 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 @query(f"WITH {BM25_SQL} SELECT query_id, id, score, pos FROM bm WHERE pos <= 10")
 def bm25_topk(spark, d):
-    return search.bm25(_docs(spark, d), _questions(spark, d), 10)
+    return search.bm25_search(_index(spark, d), _questions(spark, d), 10)
 
 
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, d):
-    return search.bm25_build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, id, score, pos FROM bm WHERE pos <= 5")
 def bm25_persisted(spark, d):
     """The index written as tables sorted by term, opened again and searched."""
     path = staged_path(spark, "bm25")
-    search.bm25_write(search.bm25_build(_docs(spark, d)), path)
+    search.bm25_write(_index(spark, d), path)
     return search.bm25_search(search.bm25_read(spark, path), _questions(spark, d), 5)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, bm.id, score, pos FROM bm JOIN documents ON doc_id = bm.id WHERE pos <= 20 AND lang = 'en'")
 def bm25_postfilter(spark, d):
     """The filter comes after the top k, so fewer may be left."""
-    found = search.bm25(_docs(spark, d), _questions(spark, d), 20)
+    found = search.bm25_search(_index(spark, d), _questions(spark, d), 20)
     return found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").filter("lang = 'en'").select("query_id", "id", "score", "pos")
 
 
@@ -130,7 +142,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 def hybrid_search(spark, d):
     """Vectors and words searched and fused; a query that one side alone has is answered by that side."""
     dense = search.dense(_vectors(spark, d), _vector_queries(spark, d), 20)
-    sparse = search.bm25(_docs(spark, d), _questions(spark, d), 20)
+    sparse = search.bm25_search(_index(spark, d), _questions(spark, d), 20)
     return ranking.reciprocal_rank_fusion(dense, sparse, 10)
 
 

@@ -47,11 +47,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks as ranked results of twenty queries: query_id, score, rerank_score, source_tag and pos, the place by score."""
+    """Chunks as ranked results of twenty queries for each thousand of them: query_id, score, rerank_score, source_tag and pos, the place by score."""
     from quarry.operators.ranking import positions
 
     k = F.col("id")
-    rows = chunks(spark, sf_dir).withColumns({"query_id": k % 20, "score": (k * 7919 % 1000) / 1000.0, "rerank_score": (k * 104729 % 997) / 997.0, "source_tag": F.when(k % 10 == 0, "multi_hop")})
+    rows = chunks(spark, sf_dir).withColumns({"query_id": k % 20 + 20 * F.expr("id div 1000"), "score": (k * 7919 % 1000) / 1000.0, "rerank_score": (k * 104729 % 997) / 997.0, "source_tag": F.when(k % 10 == 0, "multi_hop")})
     return positions(rows.withColumns({"score": F.col("score").cast("double"), "rerank_score": F.col("rerank_score").cast("double")}))
 
 
@@ -68,4 +68,4 @@ CHUNKS_SQL = f"""chunks AS (
 RANKED_SQL = CHUNKS_SQL + """,
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM (
-    SELECT *, id % 20 AS query_id, (id * 7919 % 1000) / 1000.0::double AS score, (id * 104729 % 997) / 997.0::double AS rerank_score, CASE WHEN id % 10 = 0 THEN 'multi_hop' END AS source_tag FROM chunks))"""
+    SELECT *, id % 20 + 20 * (id // 1000) AS query_id, (id * 7919 % 1000) / 1000.0::double AS score, (id * 104729 % 997) / 997.0::double AS rerank_score, CASE WHEN id % 10 = 0 THEN 'multi_hop' END AS source_tag FROM chunks))"""
