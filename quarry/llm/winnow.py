@@ -464,7 +464,7 @@ def repeated_windows(docs: DataFrame, search: Search, answer: Callable[[bytes, n
     parts = int(input_bytes(docs) // BUCKET) + 8
     shards, groups = 4 * parts, -(-parts // FAN)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_data")
-    own = own.withColumn("_part", F.pmod(F.xxhash64("doc_id", "_data"), F.lit(parts)).cast("int"))
+    own = own.withColumn("_part", F.pmod(F.xxhash64("doc_id", "_data"), F.lit(parts)).cast("long"))  # a long, as the keys it meets: an int is hashed to another partition
     dealt = own.groupBy("_part")
 
     def bucket(key) -> int:

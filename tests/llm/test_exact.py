@@ -82,6 +82,18 @@ def test_substring_dedup(docs, texts, monkeypatch, small):
     assert {r.doc_id: r.kept for r in seed_extend.clean_texts(docs).collect()} == repeated_words(rows)
 
 
+@pytest.mark.parametrize("module", [run_index, seed_extend])
+def test_substring_dedup_over_several_partitions(spark, docs, texts, module):
+    """Buckets meet what is told of them where small exchanges are not made one partition."""
+    rows, held = list(enumerate(texts)), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(held, "false")
+    try:
+        got = {r.doc_id: r.kept if module is seed_extend else bytes(r.kept) for r in module.clean_texts(docs).collect()}
+    finally:
+        spark.conf.unset(held)
+    assert got == (repeated_words(rows) if module is seed_extend else repeated_bytes(rows))
+
+
 @pytest.mark.parametrize("module", [run_index, seed_extend])
 def test_substring_dedup_comes_from_its_method(spark, texts, monkeypatch, module):
     """Without labels, those of the index or of extended seeds, nothing is found."""
