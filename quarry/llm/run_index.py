@@ -83,7 +83,9 @@ class RunIndex:
         self.codes = np.where(there, np.cumsum(there), 0).astype(np.int64)  # of bytes; 0 is the mark that ends a text
         text = self.codes[raw]
         text[marks] = 0
-        order = suffix_order(text, np.repeat(marks, lengths + 1) - np.arange(len(text)))
+        self.left = np.repeat(marks, lengths + 1) - np.arange(len(text))
+        self.eights = np.ndarray(len(text), "<u8", np.pad(raw, (0, 8)), strides=(1,))  # of each place its byte and the seven after it
+        order = suffix_order(text, self.left)
         before = text[order - 1]  # the first place's is the last, a mark
         head = np.ones(len(text), bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # marks are all different, so none goes on a run
@@ -139,7 +141,7 @@ class RunIndex:
             run = self.letter_runs[near]
             good = (letter[which] > 0) & (self.letters[run] == letter[which]) & (slot[which] + k == near)
             spot = np.where(k == 0, self.stops[run], self.starts[run])
-            own = np.where(good, np.minimum(match[which], self._extent(np.where(good, at[which], -1), spot)), -1)
+            own = np.where(good, np.minimum(match[which], self._extent(np.where(good, at[which], -1), spot, match[which])), -1)
             better = own > best
             best[better], place[better], slots[better] = own[better], spot[better], near[better]
             to[better] = (np.where(k == 0, self.heads[run] + self.lengths[run] - 1, self.heads[run]))[better]
@@ -161,16 +163,21 @@ class RunIndex:
         other = np.where(prior[last] >= 0, prior[last] + gone, -1)
         return other, np.where(other >= 0, np.maximum(agree[last] - gone, 0), 0)
 
-    def _extent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length on which the texts from a and b agree; 0 where a is -1."""
+    def _extent(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """The length on which the texts from a and b agree, eight letters at a step; 0 where a is -1. most: it need not be told beyond."""
         out = np.zeros(len(a), np.int64)
         live = np.flatnonzero(a >= 0)
+        x, y = a[live], b[live]
+        room = np.minimum(self.left[x], self.left[y])
+        need = room if most is None else np.minimum(room, most[live])
         step = 0
         while len(live):
-            x = self.text[a[live] + step]
-            live = live[(x == self.text[b[live] + step]) & (x > 0)]
-            out[live] += 1
-            step += 1
+            apart = self.eights[x + step] ^ self.eights[y + step]
+            alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first other one
+            out[live] = np.minimum(step + alike, room)
+            step += 8
+            on = np.flatnonzero((alike == 8) & (need > step))
+            live, x, y, room, need = live[on], x[on], y[on], room[on], need[on]
         return out
 
     def classes(self, window: int) -> np.ndarray:
