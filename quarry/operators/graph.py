@@ -63,22 +63,61 @@ def next_section_edges(nodes: DataFrame) -> DataFrame:
     return found.filter(hit).select(F.col("id").alias("src"), "dst", F.lit("NEXT_SECTION").alias("type"), F.lit(WEIGHTS["NEXT_SECTION"]).alias("weight"))
 
 
+#: How a node is reached by a section's name: it stands under it, under one of its subsections, or is one of its specification's first.
+EXACT, UNDER, FIRST = 0, 1, 2
+
+
+def _above(section: Column) -> Column:
+    """The names of the sections that a section lies in."""
+    names = F.split(section, r"\.")
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(names)), lambda n: n < F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "."))
+
+
+def members(nodes: DataFrame, *, most: int | None = None) -> DataFrame:
+    """(spec_number, section, kind, id, held): each node once under every name that reaches it, with all sections that hold it; most: only so many of each name, by id."""
+    held = section_index(nodes).groupBy("spec_number", "id").agg(F.collect_set("section").alias("held"))
+    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("section"), F.lit(kind).alias("kind")))
+    names = F.concat(named(F.col("held"), EXACT), named(F.array_distinct(F.flatten(F.transform("held", _above))), UNDER))
+    rows = held.select("spec_number", "id", "held", F.explode(names).alias("m")).select("spec_number", "m.section", "m.kind", "id", "held")
+    return rows if most is None else positions(rows, F.asc("id"), by=["spec_number", "section", "kind"], pos="_m").filter(F.col("_m") <= most).drop("_m")
+
+
+def best_names(asked: DataFrame, nodes: DataFrame, by: Sequence[str] = ("ref",)) -> DataFrame:
+    """asked (by, spec_number, clause) to the name that settles it: (by, spec_number, section, kind, level), by names alone, before any node is looked at."""
+    parts = F.split("clause", r"\.")
+    levels = asked.filter("clause <> ''").select(*by, "spec_number", F.posexplode(F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("up", "section"))
+    index = section_index(nodes).select("spec_number", "section").distinct()
+    known = index.withColumn("kind", F.lit(EXACT)).unionByName(index.select("spec_number", F.explode(_above(F.col("section"))).alias("section"), F.lit(UNDER).alias("kind")).distinct())
+    found = levels.join(known, ["spec_number", "section"]).withColumn("level", 2 * F.col("up") + F.col("kind"))
+    best = found.withColumn("_best", F.min("level").over(Window.partitionBy(*by))).filter("level = _best")
+    return best.select(*by, "spec_number", "section", "kind", "level").distinct()
+
+
+def reach(targets: DataFrame, nodes: DataFrame, *order: str, by: str) -> DataFrame:
+    """targets (by, spec_number, section, kind, ...) met with the members that nodes are: each node once for each of by, at its first target in order.
+
+    Whether an earlier target reaches a node as well is told by the sections that hold it, so what is reached, many
+    times the targets, is neither grouped nor dealt out again.
+    """
+    along = Window.partitionBy(by, "spec_number").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    asked = targets.withColumn("_before", F.collect_list(F.struct("section", "kind")).over(along))
+    met = asked.join(nodes, [c for c in ("spec_number", "section", "kind", "_salt") if c in nodes.columns])
+    first = F.col("first") if "first" in nodes.columns else F.lit(False)
+
+    def has(t: Column) -> Column:
+        under = F.exists("held", lambda h: F.startswith(h, F.concat(t["section"], F.lit("."))))
+        return F.when(t["kind"] == EXACT, F.array_contains("held", t["section"])).when(t["kind"] == UNDER, under).otherwise(first)
+
+    return met.filter(~F.exists("_before", has)).drop("_before", "held", "first", "_salt")
+
+
 def resolve(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """asked (ref, spec_number, clause) to node ids: the exact section, else sections under it, else the same of each parent in turn.
 
-    The candidates are equi-joins: a clause's own prefixes against the index, and against the index's own
-    prefixes; the first level that has any wins.
+    The candidates are equi-joins: a clause's own prefixes against the names of sections, and against their own
+    prefixes; the first level that has any wins, and only its nodes are met.
     """
-    index = section_index(nodes)
-    parts = F.split("clause", r"\.")
-    levels = asked.filter("clause <> ''").select("ref", "spec_number", F.posexplode(F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("up", "section"))
-    exact = levels.join(index, ["spec_number", "section"]).select("ref", (2 * F.col("up")).alias("level"), "id", "place")
-    names = F.split("section", r"\.")
-    under = index.select("spec_number", "id", "place", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size(names)), lambda n: n < F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "."))).alias("section"))
-    deeper = levels.join(under, ["spec_number", "section"]).select("ref", (2 * F.col("up") + 1).alias("level"), "id", "place")
-    both = exact.unionByName(deeper)
-    best = both.withColumn("_best", F.min("level").over(Window.partitionBy("ref"))).filter("level = _best")
-    return best.select("ref", "id", "level").distinct()
+    return reach(best_names(asked, nodes), members(nodes), "section", by="ref").select("ref", "id", "level")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
