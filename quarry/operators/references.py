@@ -93,13 +93,14 @@ def claims(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def edges(nodes: DataFrame, *, series: Sequence[int] | None = None, told: DataFrame | None = None) -> DataFrame:
+def edges(nodes: DataFrame, *, series: Sequence[int] | None = None, told: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """REFERENCES edges (src, dst, type, weight, target_spec, target_clause, is_cross_spec, evidence), each once, the first in a text's order of claims.
 
     nodes: id, text, spec_number, the sections and, for the gate, section_title and parent_title. Sections that list a
     document's references make no edges, nor do references to other series than the wanted ones. A reference without a
     clause reaches the first five nodes of its specification, in the order in which sections come first. What refers to
-    itself is kept. told are the nodes whose texts are read, all unless given.
+    itself is kept. told are the nodes whose texts are read, all unless given. With most, a node's first `most` edges by
+    dst are whole, and of the others some are left out.
     """
     told = nodes if told is None else told
     title = lambda c: F.coalesce(F.col(c), F.lit("")) if c in told.columns else F.lit("")
@@ -109,11 +110,16 @@ def edges(nodes: DataFrame, *, series: Sequence[int] | None = None, told: DataFr
     asked = found.withColumn("spec_number", spec).filter((F.col("named") == "") | is_target_series(F.col("named"), tuple(series) if series else None))
     asked = asked.select(F.struct("id", "rank", "start").alias("ref"), "own", "spec_number", "clause", "evidence")
     index = graph.section_index(nodes).withColumn("key", F.min(F.struct("id", "place")).over(Window.partitionBy("spec_number", "section")))
-    whole = positions(index, F.asc("key"), F.asc("id"), F.asc("place"), by=["spec_number"], pos="_n").filter("_n <= 5").select("spec_number", F.col("id").alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    named = asked.join(graph.resolve(asked.select("ref", "spec_number", "clause"), nodes).select("ref", F.col("id").alias("dst")), "ref")
-    alone = asked.filter("clause = ''").withColumn("_salt", F.pmod(F.xxhash64("ref"), F.lit(SALTS)).cast("int")).join(whole, ["spec_number", "_salt"]).drop("_salt")
-    both = named.unionByName(alone)
+    five = positions(index, F.asc("key"), F.asc("id"), F.asc("place"), by=["spec_number"], pos="_n").filter("_n <= 5").select("spec_number", "id").distinct().withColumn("first", F.lit(True))
+    held = graph.members(nodes, most=most).join(five, ["spec_number", "id"], "left").withColumns({"first": F.coalesce("first", F.lit(False)), "_salt": F.lit(0)})
+    whole = five.join(graph.members(nodes).groupBy("spec_number", "id").agg(F.first("held").alias("held")), ["spec_number", "id"])
+    whole = whole.withColumns({"section": F.lit(""), "kind": F.lit(graph.FIRST), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    named = asked.join(graph.best_names(asked, nodes).select("ref", "section", "kind"), "ref").withColumn("_salt", F.lit(0))
+    alone = asked.filter("clause = ''").withColumns({"section": F.lit(""), "kind": F.lit(graph.FIRST), "_salt": F.pmod(F.xxhash64("ref.id"), F.lit(SALTS)).cast("int")})
+    target = [F.col("ref.id").alias("src"), "spec_number", "section", "kind", "_salt"]
+    facts = F.struct("ref.rank", "ref.start", "own", "clause", "evidence")
+    once = named.unionByName(alone).groupBy(*target).agg(F.min_by(facts, F.struct("ref.rank", "ref.start")).alias("f")).select("src", "spec_number", "section", "kind", "_salt", "f.*")
     cross = F.col("spec_number") != F.col("own")
-    rows = both.select(F.col("ref.id").alias("src"), "dst", F.lit("REFERENCES").alias("type"), F.when(cross, WEIGHTS["other"]).otherwise(WEIGHTS["own"]).alias("weight"),
-                       F.col("spec_number").alias("target_spec"), F.col("clause").alias("target_clause"), cross.alias("is_cross_spec"), "evidence", F.struct("ref.rank", "ref.start").alias("pos"))
-    return graph.first_edges(rows).drop("pos")
+    found = graph.reach(once, held.unionByName(whole), "rank", "start", by="src")
+    return found.select("src", F.col("id").alias("dst"), F.lit("REFERENCES").alias("type"), F.when(cross, WEIGHTS["other"]).otherwise(WEIGHTS["own"]).alias("weight"),
+                        F.col("spec_number").alias("target_spec"), F.col("clause").alias("target_clause"), cross.alias("is_cross_spec"), "evidence")

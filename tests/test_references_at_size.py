@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph
+from quarry.operators import graph, references
 
 
 def _dealt(spark) -> int:
@@ -22,3 +22,17 @@ def test_resolved_nodes_are_not_dealt_out(spark):
     found = graph.resolve(asked, nodes).collect()
     assert len(found) == 300 * 300 and {r.level for r in found} == {2} and len({(r.ref, r.id) for r in found}) == 300 * 300
     assert _dealt(spark) - before < 20_000
+
+
+def test_edges_are_not_dealt_out(spark):
+    nodes, before = _nodes(spark, 200), _dealt(spark)
+    found = references.edges(nodes).select("src", "dst", "target_clause").collect()
+    assert len(found) == 200 * 200 and {r.target_clause for r in found} == {"5.1"}  # its first claim reaches all
+    assert _dealt(spark) - before < 20_000
+
+
+def test_first_edges_of_each_node_are_whole(spark):
+    nodes = _nodes(spark, 60).withColumn("text", F.lit("see clause 5.1.2, clause 5.1.1 and clause 5.1.1.9"))
+    firsts = lambda rows: {(s, d) for s in range(60) for d in sorted(r.dst for r in rows if r.src == s)[:5]}
+    whole, some = references.edges(nodes).collect(), references.edges(nodes, most=5).collect()
+    assert firsts(whole) == firsts(some) and len(some) < len(whole)
