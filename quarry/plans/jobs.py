@@ -151,10 +151,11 @@ def _telling(spark, d):
     return rows.withColumns({"own": F.col("section_number"), "section_number": F.when(listed, "2").otherwise(F.col("section_number"))})
 
 
-def _edges_told(spark, d):
+def _edges_told(spark, d, *, of=None, most=None):
+    """The edges of all texts, or of those with the ids of `of`."""
     nodes = _telling(spark, d)
     index = nodes.withColumn("section_number", F.col("own"))
-    return references.edges(index, series=range(21, 38), told=nodes)
+    return references.edges(index, series=range(21, 38), told=nodes if of is None else nodes.join(of, "id", "left_semi"), most=most)
 
 
 @query(_REFERENCE_SQL + " SELECT src, dst, type, weight, target_spec, target_clause, is_cross_spec, evidence FROM edges")
@@ -166,8 +167,10 @@ def reference_edges(spark, d):
 @query(_REFERENCE_SQL.replace(C, R, 1) + ", e AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM edges),\nh AS (" + EXPAND_SQL.split("h AS (", 1)[1])
 def graph_expand_references(spark, d):
     """The first hits' neighbours in the graph of references that texts make, in other specifications, unseen."""
-    found = ranking.positions(_edges_told(spark, d), F.asc("dst"), by=["src"], pos="n").select("src", "dst", (F.col("n") - 1).alias("place"))
-    return graph.expand(ranked(spark, d).filter("pos <= 10"), found, chunks(spark, d).select("id", "spec_number"))
+    hits = ranked(spark, d).filter("pos <= 10")
+    edges = _edges_told(spark, d, of=hits.select("id").distinct(), most=5)  # an expansion takes five of each hit
+    found = ranking.positions(edges, F.asc("dst"), by=["src"], pos="n").select("src", "dst", (F.col("n") - 1).alias("place"))
+    return graph.expand(hits, found, chunks(spark, d).select("id", "spec_number"))
 
 
 def _checked(spark, d):
