@@ -225,7 +225,7 @@ def section_tree(spark, d):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(i, k, n.level, n.number, n.title, " > ".join(f"{x.number} {x.title}".strip() for x in n.line())) for i, t in zip(part["doc_id"], part["text"], strict=True) for k, n in enumerate(chunking.sections(t or ""))]
+            rows = [(i, k, n.level, n.number, n.title, " > ".join(f"{x.number} {x.title}".strip(chunking.SPACES) for x in n.line())) for i, t in zip(part["doc_id"], part["text"], strict=True) for k, n in enumerate(chunking.sections(t or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "level", "number", "title", "section_path"])
 
     return _markdown(spark, d).mapInPandas(run, "doc_id long, place long, level long, number string, title string, section_path string")
