@@ -8,6 +8,7 @@ from quarry.functions import documents as dx
 from quarry.operators import manifest as records
 from quarry.operators import search
 from quarry.operators.ranking import positions
+from quarry.operators.storage import stage as settled
 from quarry.plans.corpus import _MAN, _NUM, _files, _manifest
 from quarry.plans.retrieval import BM25_SQL, C, R, _index, _questions
 from quarry.plans.texts import _lines_sql, cased
@@ -83,8 +84,9 @@ def chunk_items(spark, d):
 SELECT query_id, bm.id, pos, release, series FROM bm LEFT JOIN meta ON doc_key = bm.id WHERE pos <= 10""")
 def hit_metadata(spark, d):
     """Hits with the metadata of their key: of a key that comes twice the last counts, and a key without any has none."""
-    last = chunks(spark, d).groupBy(F.expr("id div 2 * 2").alias("id")).agg(F.max_by(F.struct("release", "series"), "id").alias("m"))
-    hits = search.bm25_search(_index(spark, d), _questions(spark, d), 10)
+    hits = settled(search.bm25_search(_index(spark, d), _questions(spark, d), 10))
+    of_hits = chunks(spark, d).select(F.expr("id div 2 * 2").alias("key"), "id", "release", "series").join(hits.select(F.col("id").alias("key")), "key", "left_semi")
+    last = of_hits.groupBy(F.col("key").alias("id")).agg(F.max_by(F.struct("release", "series"), "id").alias("m"))
     return hits.join(last, "id", "left").select("query_id", "id", "pos", "m.release", "m.series")
 
 
