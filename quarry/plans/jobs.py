@@ -13,7 +13,7 @@ from quarry.operators.storage import staged_path
 from quarry.plans import answers
 from quarry.plans.corpus import _EV, _HITS, _RECALL, _expected, _results
 from quarry.plans.documents import _markdown
-from quarry.plans.retrieval import BM25_SQL, C, R, _docs, _questions
+from quarry.plans.retrieval import BM25_SQL, C, R, _index, _questions
 from quarry.plans.retrieval import SQL as RETRIEVAL_SQL
 from quarry.plans.texts import SQL as TEXT_SQL
 from quarry.plans.texts import _INDEX as TEXT_INDEX
@@ -79,7 +79,7 @@ def full_rebuild(spark, d):
 def eval_resume(spark, d):
     """An evaluation that broke off half-way and goes on with the samples that have no result yet."""
     path, samples = staged_path(spark, "eval"), _questions(spark, d)
-    index = search.bm25_build(_docs(spark, d))
+    index = _index(spark, d)
     answer = lambda part: search.bm25_search(index, part.select("query_id", "text"), 3).select("query_id", "id", "pos")
     evaluation.run_resumable(samples.filter("substring(sha2(text, 256), 1, 1) < '8'"), answer, path)
     return evaluation.run_resumable(samples, answer, path)
