@@ -76,10 +76,12 @@ def any_of(text: Column, words) -> Column:
 
 
 def expand_abbreviations(text: Column) -> Column:
-    """Abbreviations not yet explained get their full names, longest first, in any case."""
-    for short in sorted(ABBREVIATIONS, key=len, reverse=True):
+    """Abbreviations not yet explained get their full names, longest first, in any case; a text without any is read once."""
+    given, shorts = text, sorted(ABBREVIATIONS, key=len, reverse=True)
+    for short in shorts:
         text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_(]){short}(?![A-Za-z0-9_]|\s*\()", f"{short} ({ABBREVIATIONS[short]})")
-    return text
+    first = "".join(sorted({short[0] for short in shorts}))
+    return F.when(F.rlike(given, F.lit(rf"(?i)(?=[{first}])(?<![A-Za-z0-9_(])(?:{'|'.join(shorts)})(?![A-Za-z0-9_]|\s*\()")), text).otherwise(given)
 
 
 def language(text: Column) -> Column:
