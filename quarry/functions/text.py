@@ -54,6 +54,9 @@ SPEC_WITH_CLAUSE = r"(?i)(?:3GPP\s+)?(TS|TR)\s+(\d{2})\.(\d{3})(?:\s*(?:§|claus
 CLAUSE_ALONE = r"(?i)(?:§\s*|clause\s+|subclause\s+|sub-clause\s+|section\s+|Annex\s+)([A-Z]?\d+(?:\.\d+)*)"
 TABLE_NUMBER = r"(?i)Table\s+([A-Z]?\d+(?:\.\d+)*(?:-[A-Z]?\d+(?:\.\d+)*)?)"
 FIGURE_NUMBER = r"(?i)Figure\s+([A-Z]?\d+(?:\.\d+)*(?:-[A-Z]?\d+(?:\.\d+)*)?)"
+#: Holds in a text where one of the four above has a match.
+ANY_REFERENCE = "(?i)(?=[3cstaf§])(?:" + "|".join(p.removeprefix("(?i)") for p in (SPEC_WITH_CLAUSE, CLAUSE_ALONE, TABLE_NUMBER, FIGURE_NUMBER)) + ")"
+REFERENCE = "start:int,rank:int,type:string,spec_number:string,clause:string,table:string,figure:string"
 CLAUSE_CONTEXT = ("ts ", "tr ", "3gpp", "specif", "clause", "section")
 RELEASE_PAIR = r"(?i)(?:Release\s+|Rel[.-]?\s*|R\s*)(\d{2})\s*(?:vs\.?|versus|compared?\s*(?:to|with)|和|与|对比|相比|比较|versus)\s*(?:Release\s+|Rel[.-]?\s*|R\s*)?(\d{2})"
 RELEASE_ONE = r"(?i)(?:Release\s+|Rel[.-]?\s*|R\s*)(\d{2})(?!\s*(?:vs\.?|versus|compared?|和|对比))"
@@ -91,7 +94,7 @@ def language(text: Column) -> Column:
 
 def spec_references(text: Column) -> Column:
     """Array of struct(start, rank, type, spec_number, clause, table, figure) by place: specifications with or without a clause, clauses that
-    stand alone after words of the field, tables and figures. Type and specification are ? where a text names none."""
+    stand alone after words of the field, tables and figures. Type and specification are ? where a text names none. A text without any is read once."""
     empty, unknown = F.lit(""), F.lit("?")
 
     def row(x: Column, rank: int, kind=unknown, spec=unknown, clause=empty, table=empty, figure=empty) -> Column:
@@ -106,7 +109,8 @@ def spec_references(text: Column) -> Column:
         alone = F.filter(clauses, lambda x: free(x) & any_of(before(x), CLAUSE_CONTEXT))
         return F.array_sort(F.concat(specs, F.transform(alone, lambda x: row(x, 1, clause=x["g1"])), F.transform(tables, lambda x: row(x, 2, table=x["g1"])), F.transform(figures, lambda x: row(x, 3, figure=x["g1"]))))
 
-    return once(found_at(text, (SPEC_WITH_CLAUSE, (1, 2, 3, 4)), (CLAUSE_ALONE, (1,)), (TABLE_NUMBER, (1,)), (FIGURE_NUMBER, (1,))), all_kinds)
+    found = once(found_at(text, (SPEC_WITH_CLAUSE, (1, 2, 3, 4)), (CLAUSE_ALONE, (1,)), (TABLE_NUMBER, (1,)), (FIGURE_NUMBER, (1,))), all_kinds)
+    return F.when(F.rlike(text, F.lit(ANY_REFERENCE)), found).otherwise(F.array().cast(f"array<struct<{REFERENCE}>>"))
 
 
 def reference_query(ref: Column) -> Column:
