@@ -34,38 +34,44 @@ def hashes(data: bytes) -> np.ndarray:
     return _BYTES[np.frombuffer(data, np.uint8)]
 
 
+def ranked(key: np.ndarray, place: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `room` bits by key, equal keys as they are given (in rising order), and whether each one's key is not the one before."""
+    if int(key.max(initial=0)).bit_length() + room <= 64:  # place and key in one number sort without an index
+        both = (key << np.uint64(room)) | place.astype(np.uint64)
+        both.sort()
+        place, key = (both & np.uint64((1 << room) - 1)).astype(np.int64), both >> np.uint64(room)
+    else:
+        order = np.argsort(key, kind="stable")
+        place, key = place[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return place, new
+
+
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Places in order of what follows them up to the next mark (0), ties by place; left: how far that mark is."""
     n = len(text)
     room, bits = max(1, n.bit_length()), max(1, int(text.max(initial=0)).bit_length())
-    low = np.arange(n, dtype=np.uint64)
-
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Order by key and place, and the rank of each place's key from 1."""
-        if int(key.max(initial=0)).bit_length() + room <= 64:  # place and key in one number sort without an index
-            both = (key << np.uint64(room)) | low
-            both.sort()
-            order, key = (both & np.uint64((1 << room) - 1)).astype(np.int64), both >> np.uint64(room)
-        else:
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-        new = np.ones(n, bool)
-        new[1:] = key[1:] != key[:-1]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        return order, rank, bool(new.all())
 
     have, key = 1, text.astype(np.uint64)
     while (have + 1) * bits + room <= 64 and have < n:
         key <<= np.uint64(bits)
         key[: n - have] |= np.where(left[: n - have] >= have, text[have:], 0).astype(np.uint64)
         have += 1
-    order, rank, apart = ranked(key)
-    most = int(left.max(initial=0)) + 1
-    while not apart and have < most:
-        key = rank << np.uint64(room)
-        key[: n - have] |= np.where(left[: n - have] >= have, rank[have:], np.uint64(0))
-        order, rank, apart = ranked(key)
+    order, new = ranked(key, np.arange(n), room)
+    rows, rank, most = np.arange(n), np.empty(n, np.uint64), int(left.max(initial=0)) + 1
+    rank[order] = np.maximum.accumulate(np.where(new, rows, 0)) + 1  # a place's rank is the first row of those equal so far
+    while have < most:
+        alike = ~new
+        alike[:-1] |= ~new[1:]
+        rows = rows[alike]  # only places that are not alone yet are sorted again, each group within its rows
+        if not len(rows):
+            break
+        place = order[rows]
+        further = np.where(left[place] >= have, rank[np.minimum(place + have, n - 1)], np.uint64(0))
+        place, new = ranked((rank[place] << np.uint64(room)) | further, place, room)
+        order[rows] = place
+        rank[place] = np.maximum.accumulate(np.where(new, rows, 0)) + 1
         have *= 2
     return order
 
@@ -125,9 +131,11 @@ class RunIndex:
             if not inside.all():
                 self._jump(np.flatnonzero(~inside), letter, slot, row, at, match)
                 run = self.letter_runs[slot]
-            row[:n] = np.where(letter > 0, self.letter_rows[slot] + row[:n] - self.heads[run], 0)
-            at[:n] = np.where(letter > 0, at[:n] - 1, self.starts[0])
-            match[:n] = np.where(letter > 0, match[:n] + 1, 0)
+            row[:n] += self.letter_rows[slot] - self.heads[run]
+            at[:n] -= 1
+            match[:n] += 1
+            gone = np.flatnonzero(letter == 0)
+            row[gone], at[gone], match[gone] = 0, self.starts[0], 0
             if step >= window:
                 to = out[:n] + sizes[:n] - step
                 found[to], places[to] = match[:n], at[:n]
