@@ -107,55 +107,60 @@ class RunIndex:
         sizes = self.lengths[by_letter]
         self.letter_rows = np.cumsum(sizes) - sizes  # the row that the first row of each run maps to
 
-    def stream(self, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    def stream(self, texts: list[bytes], window: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics at the places where a window of each text starts: the length, at most, of the match, and a text place that has it.
 
-        All texts are streamed side by side, a letter of each at a step.
+        All texts are streamed side by side, a letter of each at a step. Matches that start further left end no further
+        right, so a text ends once its match ends before `least` letters; 0 and -1 are told for the rest of its windows.
         """
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        by_length = np.argsort(-lengths, kind="stable")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        ends, sizes = np.cumsum(lengths)[by_length], lengths[by_length]
-        windows = np.maximum(lengths - window + 1, 0)
-        out = (np.cumsum(windows) - windows)[by_length]
+        ends = np.cumsum(sizes)
+        windows = np.maximum(sizes - window + 1, 0)
+        out = np.cumsum(windows) - windows
         found, places = np.zeros(windows.sum(), np.int64), np.full(windows.sum(), -1)
-        row, at, match = np.zeros(len(texts), np.int64), np.full(len(texts), self.starts[0] if self.runs else 0), np.zeros(len(texts), np.int64)
         if not self.runs:
             return found, places
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            n = int(np.searchsorted(-sizes, -step, side="right"))
-            letter, r = self.codes[raw[ends[:n] - step]], row[:n]
-            slot = np.searchsorted(self.letter_keys, letter * (len(self.text) + 1) + r, side="right") - 1
+        row, at, match = np.zeros(len(texts), np.int64), np.full(len(texts), self.starts[0]), np.zeros(len(texts), np.int64)
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            on = (sizes >= step) & (sizes - step + 1 + match >= least)
+            if not on.all():
+                ends, sizes, out, row, at, match = (c[on] for c in (ends, sizes, out, row, at, match))
+            if not len(row):
+                break
+            letter = self.codes[raw[ends - step]]
+            slot = np.searchsorted(self.letter_keys, letter * (len(self.text) + 1) + row, side="right") - 1
             run = self.letter_runs[slot]
-            inside = (letter > 0) & (slot >= 0) & (self.letters[run] == letter) & (r < self.heads[run] + self.lengths[run])
+            inside = (letter > 0) & (slot >= 0) & (self.letters[run] == letter) & (row < self.heads[run] + self.lengths[run])
             if not inside.all():
                 self._jump(np.flatnonzero(~inside), letter, slot, row, at, match)
                 run = self.letter_runs[slot]
-            row[:n] += self.letter_rows[slot] - self.heads[run]
-            at[:n] -= 1
-            match[:n] += 1
+            row += self.letter_rows[slot] - self.heads[run]
+            at -= 1
+            match += 1
             gone = np.flatnonzero(letter == 0)
             row[gone], at[gone], match[gone] = 0, self.starts[0], 0
             if step >= window:
-                to = out[:n] + sizes[:n] - step
-                found[to], places[to] = match[:n], at[:n]
+                to = out + sizes - step
+                found[to], places[to] = match, at
         return found, places
 
     def _jump(self, which: np.ndarray, letter: np.ndarray, slot: np.ndarray, row: np.ndarray, at: np.ndarray, match: np.ndarray) -> None:
         """Moves streams whose letter is not in their row's run to the end of a neighbouring run of it, where the longer match is."""
-        best, place, to, slots = np.full(len(which), -1), at[which].copy(), row[which].copy(), slot[which].copy()
-        for k in (0, 1):
-            near = np.clip(slot[which] + k, 0, self.runs - 1)
-            run = self.letter_runs[near]
-            good = (letter[which] > 0) & (self.letters[run] == letter[which]) & (slot[which] + k == near)
-            spot = np.where(k == 0, self.stops[run], self.starts[run])
-            own = np.where(good, np.minimum(match[which], self._extent(np.where(good, at[which], -1), spot, match[which])), -1)
-            better = own > best
-            best[better], place[better], slots[better] = own[better], spot[better], near[better]
-            to[better] = (np.where(k == 0, self.heads[run] + self.lengths[run] - 1, self.heads[run]))[better]
+        near = slot[which] + np.array([[0], [1]])  # the run before and the one after
+        slots = np.clip(near, 0, self.runs - 1)
+        run = self.letter_runs[slots]
+        good = (letter[which] > 0) & (self.letters[run] == letter[which]) & (near == slots)
+        spot = np.stack([self.stops[run[0]], self.starts[run[1]]])
+        reach = self._extent(np.where(good, at[which], -1).ravel(), spot.ravel(), np.tile(match[which], 2)).reshape(good.shape)
+        own = np.where(good, np.minimum(match[which], reach), -1)
+        k = (own[1] > own[0]).astype(np.int64)
+        best, run, spot, slots = (np.where(k, c[1], c[0]) for c in (own, run, spot, slots))
         gone = best < 0  # the letter is nowhere in the index
         letter[which[gone]] = 0
-        match[which], at[which], row[which], slot[which] = np.maximum(best, 0), place, to, slots
+        match[which] = np.maximum(best, 0)
+        which, run, spot, slots, k = (c[~gone] for c in (which, run, spot, slots, k))
+        at[which], slot[which], row[which] = spot, slots, self.heads[run] + np.where(k, 0, self.lengths[run] - 1)
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text place: the place before it in suffix order (-1 for none), and the length on which both agree."""
@@ -199,11 +204,28 @@ class RunIndex:
             label = further
 
 
-def labels(contents: list[bytes], anchors: np.ndarray, copies: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Streams contents against the index of all; a label for each of their windows that the stream finds there, else -1."""
-    index = RunIndex(contents)
-    length, place = index.stream(contents, window)
-    return np.where(length >= window, index.classes(window)[place], -1)
+def labels(contents: list[bytes], anchors: np.ndarray | None, copies: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A label for each window of different contents, which equal windows share.
+
+    Equal windows have equal anchors at the same distance, and a content holds each of its windows once. So where
+    several contents have an anchor, the first of them is streamed against the index of all the others: a window
+    that the stream does not find is nowhere else. anchors: the place of each content's anchor; None: all are indexed.
+    """
+    asked = np.zeros(len(contents), bool)
+    if anchors is not None:
+        first: dict[bytes, int] = {}
+        for i, (content, at) in enumerate(zip(contents, anchors.tolist(), strict=True)):
+            k = first.setdefault(content[at : at + GRAM], i)
+            asked[k] |= k != i
+    held = [c for c, a in zip(contents, asked, strict=True) if not a]
+    windows = np.maximum(np.fromiter(map(len, contents), np.int64, len(contents)) - window + 1, 0)
+    index = RunIndex(held)
+    classes, own = index.classes(window), windows[~asked]
+    out, streamed = np.empty(windows.sum(), np.int64), np.repeat(asked, windows)
+    out[~streamed] = classes[np.repeat(index.firsts - np.cumsum(own) + own, own) + np.arange(own.sum())]
+    length, place = index.stream([c for c, a in zip(contents, asked, strict=True) if a], window, window)
+    out[streamed] = np.where(length >= window, classes[place], len(index.text) + np.arange(len(place)))
+    return out
 
 
 def keep(data: bytes, starts: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[bytes, int]:
