@@ -53,14 +53,18 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     n = len(text)
     room, bits = max(1, n.bit_length()), max(1, int(text.max(initial=0)).bit_length())
 
-    have, key = 1, text.astype(np.uint64)
+    letters = text.astype(np.uint64)
+    have, key, close = 1, letters.copy(), np.flatnonzero(left < 64 // bits)
     while (have + 1) * bits + room <= 64 and have < n:
         key <<= np.uint64(bits)
-        key[: n - have] |= np.where(left[: n - have] >= have, text[have:], 0).astype(np.uint64)
+        key[: n - have] |= letters[have:]
+        key[close[left[close] < have]] &= ~np.uint64((1 << bits) - 1)  # nothing beyond the mark
         have += 1
     order, new = ranked(key, np.arange(n), room)
-    rows, rank, most = np.arange(n), np.empty(n, np.uint64), int(left.max(initial=0)) + 1
-    rank[order] = np.maximum.accumulate(np.where(new, rows, 0)) + 1  # a place's rank is the first row of those equal so far
+    short = np.uint32 if room <= 32 else np.uint64  # places are looked up at random: small numbers stay near
+    rows, rank, most, left = np.arange(n), np.empty(n, short), int(left.max(initial=0)) + 1, left.astype(short)
+    at = np.flatnonzero(new)
+    rank[order] = np.repeat((at + 1).astype(short), np.diff(at, append=n))  # a place's rank is the first row of those equal so far
     while have < most:
         alike = ~new
         alike[:-1] |= ~new[1:]
@@ -68,10 +72,11 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         if not len(rows):
             break
         place = order[rows]
-        further = np.where(left[place] >= have, rank[np.minimum(place + have, n - 1)], np.uint64(0))
-        place, new = ranked((rank[place] << np.uint64(room)) | further, place, room)
+        further = np.where(left[place] >= have, rank[np.minimum(place + have, n - 1)], short(0))
+        place, new = ranked((rank[place].astype(np.uint64) << np.uint64(room)) | further, place, room)
         order[rows] = place
-        rank[place] = np.maximum.accumulate(np.where(new, rows, 0)) + 1
+        at = np.flatnonzero(new)
+        rank[place] = np.repeat((rows[at] + 1).astype(short), np.diff(at, append=len(rows)))
         have *= 2
     return order
 
@@ -86,7 +91,7 @@ class RunIndex:
         marks = self.firsts + lengths
         there = np.bincount(raw, minlength=256) > 0
         there[0] = any(b"\x00" in x for x in texts)
-        self.codes = np.where(there, np.cumsum(there), 0).astype(np.int64)  # of bytes; 0 is the mark that ends a text
+        self.codes = np.where(there, np.cumsum(there), 0).astype(np.int16)  # of bytes; 0 is the mark that ends a text
         text = self.codes[raw]
         text[marks] = 0
         self.left = np.repeat(marks, lengths + 1) - np.arange(len(text))
@@ -103,7 +108,7 @@ class RunIndex:
         self.runs = len(self.heads)
         by_letter = np.argsort(self.letters, kind="stable")
         self.letter_runs = by_letter
-        self.letter_keys = self.letters[by_letter] * (len(text) + 1) + self.heads[by_letter]
+        self.letter_keys = self.letters[by_letter].astype(np.int64) * (len(text) + 1) + self.heads[by_letter]
         sizes = self.lengths[by_letter]
         self.letter_rows = np.cumsum(sizes) - sizes  # the row that the first row of each run maps to
 
@@ -128,7 +133,7 @@ class RunIndex:
                 ends, sizes, out, row, at, match = (c[on] for c in (ends, sizes, out, row, at, match))
             if not len(row):
                 break
-            letter = self.codes[raw[ends - step]]
+            letter = self.codes[raw[ends - step]].astype(np.int64)
             slot = np.searchsorted(self.letter_keys, letter * (len(self.text) + 1) + row, side="right") - 1
             run = self.letter_runs[slot]
             inside = (letter > 0) & (slot >= 0) & (self.letters[run] == letter) & (row < self.heads[run] + self.lengths[run])
@@ -165,16 +170,16 @@ class RunIndex:
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text place: the place before it in suffix order (-1 for none), and the length on which both agree."""
         n = len(self.text)
-        sample = np.argsort(self.starts)
-        at = self.starts[sample]
+        run = np.full(n, -1)
+        run[self.starts] = np.arange(self.runs)
+        at = np.flatnonzero(run >= 0)  # the first place is one: a mark is before it
+        sample = run[at]
         prior = np.where(sample > 0, self.stops[sample - 1], -1)
         agree = self._extent(prior, at)
-        last = np.zeros(n, np.int64)
-        last[at] = np.arange(len(at))
-        last = np.maximum.accumulate(last)
-        gone = np.arange(n) - at[last]
-        other = np.where(prior[last] >= 0, prior[last] + gone, -1)
-        return other, np.where(other >= 0, np.maximum(agree[last] - gone, 0), 0)
+        span = np.diff(at, append=n)
+        gone = np.arange(n) - np.repeat(at, span)
+        other = np.where(np.repeat(prior >= 0, span), np.repeat(prior, span) + gone, -1)
+        return other, np.where(other >= 0, np.maximum(np.repeat(agree, span) - gone, 0), 0)
 
     def _extent(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """The length on which the texts from a and b agree, eight letters at a step; 0 where a is -1. most: it need not be told beyond."""
@@ -187,7 +192,7 @@ class RunIndex:
         while len(live):
             apart = self.eights[x + step] ^ self.eights[y + step]
             alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first other one
-            out[live] = np.minimum(step + alike, room)
+            out[live] = np.minimum(step + alike.astype(np.int64), room)  # counted in 8 bits
             step += 8
             on = np.flatnonzero((alike == 8) & (need > step))
             live, x, y, room, need = live[on], x[on], y[on], room[on], need[on]
@@ -196,12 +201,14 @@ class RunIndex:
     def classes(self, window: int) -> np.ndarray:
         """For each text place the first in suffix order of the places with an equal window."""
         other, agree = self.statistics()
-        label = np.where(agree >= window, other, np.arange(len(self.text)))
-        while True:
-            further = label[label]
-            if np.array_equal(further, label):
-                return label
-            label = further
+        label, moved = np.arange(len(self.text)), np.flatnonzero(agree >= window)
+        further = other[moved]
+        while len(moved):
+            label[moved] = further
+            further = label[further]
+            on = further != label[moved]
+            moved, further = moved[on], further[on]
+        return label
 
 
 def labels(contents: list[bytes], anchors: np.ndarray | None, copies: np.ndarray, window: int = WINDOW) -> np.ndarray:

@@ -66,3 +66,13 @@ def test_streams_end_where_no_window_can_be_met():
         cut, at = index.stream(asked, 12, 12)
         assert (cut[length >= 12] == length[length >= 12]).all() and (at[length >= 12] == place[length >= 12]).all()
         assert (cut[length < 12] < 12).all() and (cut < length).any()
+
+
+def test_every_place_gets_the_class_of_its_window():
+    """Chains of one to hundreds of equal windows, in texts that agree on more than 255 letters."""
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(97, 97 + k, 90).astype(np.uint8).tobytes() for k in (1, 2, 3, 26)] + [b"abcdefgh" * 60, b"a" * 300]
+    index = run_index.RunIndex(texts)
+    label = index.classes(6)
+    places = [(t[i : i + 6], int(label[first + i])) for t, first in zip(texts, index.firsts, strict=True) for i in range(len(t) - 5)]
+    assert len(set(places)) == len({w for w, _ in places}) == len({k for _, k in places})
