@@ -34,7 +34,8 @@ def before_each(values: Column, fold: Callable[[Column, Column], Column]) -> Col
         tops = runs_of(v, lambda run, k: F.aggregate(run, F.lit(0), fold)).cast(INTS)
         return once(grown(tops, F.lit(0)), lambda s: F.concat(F.flatten(runs_of(v, lambda run, k: grown(run, F.get(s["out"], k))["out"])).cast(INTS), F.array(s["now"])))
 
-    return once(values, folded)
+    one_run = lambda v: once(grown(v, F.lit(0)), lambda s: F.concat(s["out"], F.array(s["now"])))
+    return once(values, lambda v: F.when(F.size(v) <= RUN, one_run(v)).otherwise(folded(v)))
 
 
 def found_at(text: Column, *patterns: tuple[str, Sequence[int]]) -> Column:

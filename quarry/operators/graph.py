@@ -65,6 +65,8 @@ def next_section_edges(nodes: DataFrame) -> DataFrame:
 
 #: How a node is reached by a section's name: it stands under it, under one of its subsections, or is one of its specification's first.
 EXACT, UNDER, FIRST = 0, 1, 2
+#: Most nodes that one row of members holds.
+GROUP = 1024
 
 
 def _above(section: Column) -> Column:
@@ -73,42 +75,58 @@ def _above(section: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.size(names)), lambda n: n < F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "."))
 
 
-def members(nodes: DataFrame, *, most: int | None = None) -> DataFrame:
-    """(spec_number, section, kind, id, held): each node once under every name that reaches it, with all sections that hold it; most: only so many of each name, by id."""
-    held = section_index(nodes).groupBy("spec_number", "id").agg(F.collect_set("section").alias("held"))
-    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("section"), F.lit(kind).alias("kind")))
-    names = F.concat(named(F.col("held"), EXACT), named(F.array_distinct(F.flatten(F.transform("held", _above))), UNDER))
-    rows = held.select("spec_number", "id", "held", F.explode(names).alias("m")).select("spec_number", "m.section", "m.kind", "id", "held")
-    return rows if most is None else positions(rows, F.asc("id"), by=["spec_number", "section", "kind"], pos="_m").filter(F.col("_m") <= most).drop("_m")
+def alike(nodes: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(spec_number, held, first, n, ids): nodes of a specification that the same sections hold, each once, by id in groups of at most `GROUP`; first: (spec_number, id) of the nodes that are its first."""
+    held = section_index(nodes).groupBy("spec_number", "id").agg(F.sort_array(F.collect_set("section")).alias("held"))
+    rows = held.withColumn("first", F.lit(False)) if first is None else held.join(first.withColumn("first", F.lit(True)), ["spec_number", "id"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    placed = positions(rows, F.asc("id"), by=["spec_number", "held", "first"], pos="_n")
+    return placed.groupBy("spec_number", "held", "first", F.floor((F.col("_n") - 1) / GROUP).alias("n")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
 
+def members(nodes: DataFrame, *, first: DataFrame | None = None, salts: int = 1, most: int | None = None) -> DataFrame:
+    """(spec_number, section, kind, _salt, held, first, ids): what alike gives, under every name that reaches it; what comes first in its specification under `salts` copies of no name.
 
-def best_names(asked: DataFrame, nodes: DataFrame, by: Sequence[str] = ("ref",)) -> DataFrame:
-    """asked (by, spec_number, clause) to the name that settles it: (by, spec_number, section, kind, level), by names alone, before any node is looked at."""
-    parts = F.split("clause", r"\.")
-    levels = asked.filter("clause <> ''").select(*by, "spec_number", F.posexplode(F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("up", "section"))
+    With most only so many nodes of each name, by id.
+    """
+    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("section"), F.lit(kind).alias("kind"), F.lit(0).alias("_salt")))
+    names = F.concat(named(F.col("held"), EXACT), named(F.array_distinct(F.flatten(F.transform("held", _above))), UNDER))
+    copies = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda n: F.struct(F.lit("").alias("section"), F.lit(FIRST).alias("kind"), n.alias("_salt")))
+    rows = alike(nodes, first).select("spec_number", "held", "first", "ids", F.explode(F.when(F.col("first"), F.concat(names, copies)).otherwise(names)).alias("m"))
+    rows = rows.select("spec_number", "m.section", "m.kind", "m._salt", "held", "first", "ids")
+    if most is None:
+        return rows
+    each = positions(rows.withColumn("id", F.explode("ids")), F.asc("id"), by=["spec_number", "section", "kind", "_salt"], pos="_m").filter((F.col("_m") <= most) | (F.col("kind") == FIRST))
+    return each.withColumn("ids", F.array("id")).drop("_m", "id")
+
+
+def best_names(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(spec_number, clause, section, kind, level): the name that settles each different clause of asked (spec_number, clause), by names alone, before any node is looked at."""
+    parts, once = F.split("clause", r"\."), asked.filter("clause <> ''").select("spec_number", "clause").distinct()
+    levels = once.select("spec_number", "clause", F.posexplode(F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("up", "section"))
     index = section_index(nodes).select("spec_number", "section").distinct()
     known = index.withColumn("kind", F.lit(EXACT)).unionByName(index.select("spec_number", F.explode(_above(F.col("section"))).alias("section"), F.lit(UNDER).alias("kind")).distinct())
     found = levels.join(known, ["spec_number", "section"]).withColumn("level", 2 * F.col("up") + F.col("kind"))
-    best = found.withColumn("_best", F.min("level").over(Window.partitionBy(*by))).filter("level = _best")
-    return best.select(*by, "spec_number", "section", "kind", "level").distinct()
+    return found.groupBy("spec_number", "clause").agg(F.min_by(F.struct("section", "kind", "level"), "level").alias("b")).select("spec_number", "clause", "b.*")
 
 
 def reach(targets: DataFrame, nodes: DataFrame, *order: str, by: str) -> DataFrame:
-    """targets (by, spec_number, section, kind, ...) met with the members that nodes are: each node once for each of by, at its first target in order.
+    """targets (by, spec_number, section, kind, _salt, ...) met with the members that nodes are: each node, as id, once for each of by, at its first target in order.
 
-    Whether an earlier target reaches a node as well is told by the sections that hold it, so what is reached, many
-    times the targets, is neither grouped nor dealt out again.
+    Whether an earlier target reaches a node as well is told by the sections that hold it, which is one question for all
+    nodes of a group. What is reached, many times the targets, is neither grouped nor dealt out again; it is made by as
+    many tasks as shuffles have, since the size of what is dealt out doesn't tell how much that is.
     """
+    keys = ["spec_number", "section", "kind", "_salt"]
+    dealt = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     along = Window.partitionBy(by, "spec_number").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     asked = targets.withColumn("_before", F.collect_list(F.struct("section", "kind")).over(along))
-    met = asked.join(nodes, [c for c in ("spec_number", "section", "kind", "_salt") if c in nodes.columns])
-    first = F.col("first") if "first" in nodes.columns else F.lit(False)
 
     def has(t: Column) -> Column:
         under = F.exists("held", lambda h: F.startswith(h, F.concat(t["section"], F.lit("."))))
-        return F.when(t["kind"] == EXACT, F.array_contains("held", t["section"])).when(t["kind"] == UNDER, under).otherwise(first)
+        return F.when(t["kind"] == EXACT, F.array_contains("held", t["section"])).when(t["kind"] == UNDER, under).otherwise(F.col("first"))
 
-    return met.filter(~F.exists("_before", has)).drop("_before", "held", "first", "_salt")
+    met = dealt(asked).join(dealt(nodes), keys).filter(~F.exists("_before", has))
+    return met.select(*[c for c in targets.columns if c != "_salt"], F.explode("ids").alias("id"))
 
 
 def resolve(asked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,7 +135,8 @@ def resolve(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     The candidates are equi-joins: a clause's own prefixes against the names of sections, and against their own
     prefixes; the first level that has any wins, and only its nodes are met.
     """
-    return reach(best_names(asked, nodes), members(nodes), "section", by="ref").select("ref", "id", "level")
+    targets = asked.join(best_names(asked, nodes), ["spec_number", "clause"]).withColumn("_salt", F.lit(0))
+    return reach(targets, members(nodes), "section", by="ref").select("ref", "id", "level")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

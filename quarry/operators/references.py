@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import found_at
+from quarry.functions.arrays import found_at, once
 from quarry.functions.documents import is_references_section, is_target_series
 
 from . import graph
@@ -24,6 +24,13 @@ PATTERNS = {
     "spec": (rf"(?i){_SPEC}(?:-\d)?", (1, 2)),
     "same_spec": (rf"(?i)(?:clause|section|subsection|sub-clause)\s+{_CLAUSE}", (1,)),
 }
+#: Where a match of any pattern begins, told by one letter first; the text from there; and the stretch over what begins further matches, until five words have none.
+_CITED = r"t[sr]\s+\d{2}\.\d{3}"
+_BEGIN = rf"[cst3\[](?:lause\s|ection\s|ub-?(?:clause|section)\s|[sr]\s+\d{{2}}\.\d{{3}}|gpp\s+{_CITED}|\d+,\s+(?:3gpp\s+)?{_CITED})"
+FROM_FIRST = rf"(?is){_BEGIN}.*"
+STRETCH = rf"(?i)(?:{_BEGIN}(?:(?!{_BEGIN})\S)*+(?:\s++(?:(?!{_BEGIN})\S)++){{0,5}}+\s*+)++"
+#: A stretch of more matches is settled by a sweep over rows.
+MOST_SETTLED = 64
 SPEC_ON_LINE = r"(?i)TS\s+\d{2}\.\d{3}"
 NEAR_CLAUSE, NEAR, MOST_EVIDENCE = 80, 40, 200
 WEIGHTS = {"other": 1.0, "own": 0.6}
@@ -32,27 +39,59 @@ SALTS = 16
 _NAMES = tuple(PATTERNS)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(id, cid, rank, start, end, spec_number, clause, counts, evidence): all matches of all patterns in nodes (id, text), by code points.
+def candidates(nodes: DataFrame, *keep: str) -> DataFrame:
+    """(id, keep, cid, rank, start, end, spec_number, clause, counts, evidence, taken): matches of all patterns in nodes (id, text, keep), by code points.
 
-    An empty specification is the text's own. counts is false for a clause on a line that names a specification.
+    Patterns are looked for in the stretches that STRETCH finds, and a stretch of at most `MOST_SETTLED` matches is
+    settled at once: only matches that claim their place are given, and taken is true. Of a longer one all are given,
+    and taken is null. An empty specification is the text's own. counts is false for a clause on a line that names a
+    specification.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    same = F.lit(PATTERNS["same_spec"][0])
-    around = lambda x, n: F.substring(text, F.greatest(x["start"] - n, F.lit(0)) + 1, x["end"] + n - F.greatest(x["start"] - n, F.lit(0)))
-
-    def row(x: Column, rank: Column) -> Column:
-        own = rank == _NAMES.index("same_spec")
-        near = F.regexp_extract(around(x, NEAR_CLAUSE), PATTERNS["same_spec"][0], 1)
-        clause = F.when(own, x["g1"]).when(rank == _NAMES.index("spec"), near).otherwise(x["g3"])
-        line = F.concat(F.substring_index(F.substring(text, F.lit(1), x["start"]), "\n", -1), F.substring(text, x["start"] + 1, x["end"] - x["start"]), F.substring_index(F.substring(text, x["end"] + 1, F.length(text)), "\n", 1))
-        spec = F.when(own, F.lit("")).otherwise(F.concat(x["g1"], F.lit("."), x["g2"]))
-        values = {"rank": rank, "start": x["start"], "end": x["end"], "spec_number": spec, "clause": F.regexp_replace(clause, r"\.+$", ""), "counts": ~own | ~F.rlike(line, F.lit(SPEC_ON_LINE)), "evidence": F.substring(F.regexp_replace(around(x, NEAR), r"^\s+|\s+$", ""), 1, MOST_EVIDENCE)}
+    before = lambda at: F.substring(text, F.lit(1), at)
+    begins = lambda z: F.greatest(z["start"] - NEAR_CLAUSE, F.lit(0))
+
+    def stretch(z: Column) -> Column:
+        """What a stretch's matches are told from, so that the whole text is gone through once for all of them."""
+        wide = F.substring(text, begins(z) + 1, z["end"] + NEAR_CLAUSE - begins(z))
+        after = F.substring(text, z["end"] + 1, F.length(text))
+        return F.struct(z["start"].alias("at"), F.substring(text, z["start"] + 1, z["end"] - z["start"]).alias("own"), wide.alias("wide"), (z["start"] - begins(z)).alias("shift"),
+                        F.substring_index(before(z["start"]), "\n", -1).alias("line"), F.substring_index(after, "\n", 1).alias("rest"))
+
+    def row(w: Column, x: Column, taken: Column) -> Column:
+        own, hit = x["rank"] == _NAMES.index("same_spec"), F.substring(w["own"], x["start"] + 1, x["end"] - x["start"])
+        group = lambda i: F.coalesce(*[F.when(x["rank"] == r, F.regexp_extract(hit, p, g[i])) for r, (p, g) in enumerate(PATTERNS.values()) if i < len(g)], F.lit(""))
+        first = lambda n: F.greatest(w["shift"] + x["start"] - n, F.lit(0))
+        around = lambda n: F.substring(w["wide"], first(n) + 1, w["shift"] + x["end"] + n - first(n))
+        near = F.regexp_extract(around(NEAR_CLAUSE), PATTERNS["same_spec"][0], 1)
+        clause = F.when(own, group(0)).when(x["rank"] == _NAMES.index("spec"), near).otherwise(group(2))
+        left, right = F.concat(w["line"], F.substring(w["own"], F.lit(1), x["start"])), F.concat(F.substring(w["own"], x["end"] + 1, F.length(w["own"])), w["rest"])
+        line = F.concat(F.substring_index(left, "\n", -1), hit, F.substring_index(right, "\n", 1))
+        spec = F.when(own, F.lit("")).otherwise(F.concat(group(0), F.lit("."), group(1)))
+        values = {"rank": x["rank"], "start": w["at"] + x["start"], "end": w["at"] + x["end"], "spec_number": spec, "clause": F.regexp_replace(clause, r"\.+$", ""), "counts": ~own | ~F.rlike(line, F.lit(SPEC_ON_LINE)), "evidence": F.substring(F.regexp_replace(around(NEAR), r"^\s+|\s+$", ""), 1, MOST_EVIDENCE), "taken": taken}
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
-    some = nodes.filter(F.rlike(text, same) | F.rlike(text, F.lit(PATTERNS["spec"][0])))
-    found = F.flatten(F.transform(found_at(text, *PATTERNS.values()), lambda x, r: F.transform(x, lambda m: row(m, r))))
-    return some.select("id", F.posexplode(found).alias("cid", "c")).select("id", "cid", "c.*")
+    def matches(w: Column) -> Column:
+        ranked = lambda x, r: F.transform(x, lambda m: F.struct(r.alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
+        few = lambda c: F.size(c) <= MOST_SETTLED
+        rows = lambda c: F.transform(F.when(few(c), settled_few(c)).otherwise(c), lambda x: row(w, x, F.when(few(c), F.lit(True))))
+        return once(F.flatten(F.transform(found_at(w["own"], *[(p, ()) for p, _ in PATTERNS.values()]), ranked)), rows)
+
+    def stretches(rest: Column) -> Column:
+        """Those of a text of which rest is what follows its first match's begin; what is before is read once."""
+        skipped = F.length(text) - F.length(rest)
+        moved = lambda z: F.struct((z["start"] + skipped).alias("start"), (z["end"] + skipped).alias("end"))
+        return F.transform(F.get(found_at(rest, (STRETCH, ())), F.lit(0)), lambda z: once(once(moved(z), stretch), matches))
+
+    found = F.flatten(once(F.regexp_extract(text, FROM_FIRST, 0), lambda rest: F.when(rest != "", stretches(rest))))
+    return nodes.select("id", *keep, F.posexplode(found).alias("cid", "c")).select("id", *keep, "cid", "c.*")
+
+
+def settled_few(found: Column) -> Column:
+    """Of an array of matches, by rank and start, those that claim their place: neither end lies in a stretch that one before them has claimed, ends included."""
+    within = lambda at, t: (at >= t["start"]) & (at <= t["end"])
+    taken = lambda a, x: F.exists(a, lambda t: within(x["start"], t) | within(x["end"], t))
+    return F.aggregate(found, F.slice(found, F.lit(1), F.lit(0)), lambda a, x: F.when(taken(a, x), a).otherwise(F.concat(a, F.array(x))))
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -81,14 +120,17 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def claims(nodes: DataFrame) -> DataFrame:
-    """(id, pattern, spec_number, clause, start, end, evidence, rank) of references in nodes (id, text); a stretch is claimed once, by the most precise pattern.
+def claims(nodes: DataFrame, *keep: str) -> DataFrame:
+    """(id, keep, pattern, spec_number, clause, start, end, evidence, rank) of references in nodes (id, text, keep); a stretch is claimed once, by the most precise pattern.
 
     Null and empty texts claim nothing; ids are taken to be unique.
     """
-    found = stage(candidates(nodes), "candidates")
-    rows = settled(found).filter("taken and counts")
-    out = stage(rows.select("id", F.get(F.array(*[F.lit(n) for n in _NAMES]), F.col("rank")).alias("pattern"), "spec_number", "clause", "start", "end", "evidence", "rank"), "claims")
+    found = stage(candidates(nodes, *keep), "candidates")
+    claimed = lambda rows: rows.filter("taken and counts").select("id", *keep, F.get(F.array(*[F.lit(n) for n in _NAMES]), F.col("rank")).alias("pattern"), "spec_number", "clause", "start", "end", "evidence", "rank")
+    crowded = found.filter("taken is null")
+    if crowded.isEmpty():
+        return claimed(found)
+    out = stage(claimed(found).unionByName(claimed(settled(crowded.drop("taken")))), "claims")
     discard(found)
     return out
 
@@ -105,21 +147,17 @@ def edges(nodes: DataFrame, *, series: Sequence[int] | None = None, told: DataFr
     told = nodes if told is None else told
     title = lambda c: F.coalesce(F.col(c), F.lit("")) if c in told.columns else F.lit("")
     told = told.filter(~F.coalesce(is_references_section(F.col("section_number"), title("section_title"), title("parent_title")), F.lit(False)))
-    found = claims(told.select("id", "text")).withColumnRenamed("spec_number", "named").join(told.select("id", F.col("spec_number").alias("own")), "id")
+    found = claims(told.select("id", "text", F.col("spec_number").alias("own")), "own").withColumnRenamed("spec_number", "named")
     spec = F.when(F.col("named") == "", F.col("own")).otherwise(F.col("named"))
     asked = found.withColumn("spec_number", spec).filter((F.col("named") == "") | is_target_series(F.col("named"), tuple(series) if series else None))
-    asked = asked.select(F.struct("id", "rank", "start").alias("ref"), "own", "spec_number", "clause", "evidence")
+    asked = asked.select(F.col("id").alias("src"), "rank", "start", "own", "spec_number", "clause", "evidence")
     index = graph.section_index(nodes).withColumn("key", F.min(F.struct("id", "place")).over(Window.partitionBy("spec_number", "section")))
-    five = positions(index, F.asc("key"), F.asc("id"), F.asc("place"), by=["spec_number"], pos="_n").filter("_n <= 5").select("spec_number", "id").distinct().withColumn("first", F.lit(True))
-    held = graph.members(nodes, most=most).join(five, ["spec_number", "id"], "left").withColumns({"first": F.coalesce("first", F.lit(False)), "_salt": F.lit(0)})
-    whole = five.join(graph.members(nodes).groupBy("spec_number", "id").agg(F.first("held").alias("held")), ["spec_number", "id"])
-    whole = whole.withColumns({"section": F.lit(""), "kind": F.lit(graph.FIRST), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
-    named = asked.join(graph.best_names(asked, nodes).select("ref", "section", "kind"), "ref").withColumn("_salt", F.lit(0))
-    alone = asked.filter("clause = ''").withColumns({"section": F.lit(""), "kind": F.lit(graph.FIRST), "_salt": F.pmod(F.xxhash64("ref.id"), F.lit(SALTS)).cast("int")})
-    target = [F.col("ref.id").alias("src"), "spec_number", "section", "kind", "_salt"]
-    facts = F.struct("ref.rank", "ref.start", "own", "clause", "evidence")
-    once = named.unionByName(alone).groupBy(*target).agg(F.min_by(facts, F.struct("ref.rank", "ref.start")).alias("f")).select("src", "spec_number", "section", "kind", "_salt", "f.*")
+    five = positions(index, F.asc("key"), F.asc("id"), F.asc("place"), by=["spec_number"], pos="_n").filter("_n <= 5").select("spec_number", "id").distinct()
+    named = asked.join(graph.best_names(asked, nodes).drop("level"), ["spec_number", "clause"]).withColumn("_salt", F.lit(0))
+    alone = asked.filter("clause = ''").withColumns({"section": F.lit(""), "kind": F.lit(graph.FIRST), "_salt": F.pmod(F.xxhash64("src"), F.lit(SALTS)).cast("int")})
+    facts = F.struct("rank", "start", "own", "clause", "evidence")
+    once_each = named.unionByName(alone).repartition("src", "spec_number").groupBy("src", "spec_number", "section", "kind", "_salt").agg(F.min_by(facts, F.struct("rank", "start")).alias("f"))
+    found = graph.reach(once_each.select("src", "spec_number", "section", "kind", "_salt", "f.*"), graph.members(nodes, first=five, salts=SALTS, most=most), "rank", "start", by="src")
     cross = F.col("spec_number") != F.col("own")
-    found = graph.reach(once, held.unionByName(whole), "rank", "start", by="src")
     return found.select("src", F.col("id").alias("dst"), F.lit("REFERENCES").alias("type"), F.when(cross, WEIGHTS["other"]).otherwise(WEIGHTS["own"]).alias("weight"),
                         F.col("spec_number").alias("target_spec"), F.col("clause").alias("target_clause"), cross.alias("is_cross_spec"), "evidence")
